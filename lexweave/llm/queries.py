@@ -6,11 +6,63 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexweave.llm import bpe, packing
+from lexweave.llm import ann, bpe, ctw, langid, licenses, line_dedup, minhash_forest, packing, quality
 from lexweave.llm.common import documents, small_batches
 
 
+def remainder(doc_id, n: int):
+    """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
+
+
+def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_forest.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), 4)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = line_dedup.dedup_lines(docs, count="n_dropped")
+    return found.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"), F.col("n_dropped").cast("long").alias("n_dropped"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = lambda doc_id: remainder(doc_id, 4) == 2
+    model = quality.train(docs, labels, held_out)
+    found = quality.score(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    model = langid.train(docs.where(~held_out))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    k = 20
+    graphs, shards = ann.index(vectors, k + 1)
+    asked = ann.usable(vectors, "vec_id", "embedding").where(F.col("vec_id") % 20 == 0).withColumnRenamed("vec_id", "query_id")
+    return ann.nearest(graphs, shards, asked, k)
+
+
+def op7_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return licenses.find_licenses(docs, licenses.known_digests(spark)).select("doc_id", "digest", "license_id")
+
+
+def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return ctw.score_documents(docs, remainder(F.col("doc_id"), 5) == 1)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -23,11 +75,31 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_forest": op1_minhash_forest,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_quality": op4_quality,
+    "op5_language": op5_language,
+    "op6_graph_ann": op6_graph_ann,
+    "op7_license_digest": op7_license_digest,
+    "op8_context_tree": op8_context_tree,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_tree_bpe": op10_tree_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+OP1_SQL = r"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))
+                                          WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, g.b FROM reach r JOIN both_ways g ON r.b = g.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+ORACLE: dict[str, str] = {"op1_minhash_forest": OP1_SQL, "op7_license_digest": licenses.oracle()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
