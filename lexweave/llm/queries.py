@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import ann, bpe, ctw, langid, licenses, line_dedup, minhash_forest, packing, quality
+from lexweave.llm import ann, bpe, ctw, langid, licenses, line_dedup, media, minhash_forest, packing, quality
 from lexweave.llm.common import documents, small_batches
 
 
@@ -22,6 +22,13 @@ def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def op2_page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds media: every page, drawn as an image, is one."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    found = media.image_groups(pages, lambda markup: media.decode_image(media.rasterise(markup)))
+    return found.withColumnRenamed("id", "page_id")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = line_dedup.dedup_lines(docs, count="n_dropped")
@@ -76,6 +83,7 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_forest": op1_minhash_forest,
+    "op2_page_images": op2_page_images,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality": op4_quality,
     "op5_language": op5_language,
