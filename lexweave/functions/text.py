@@ -107,16 +107,6 @@ def chunks(words_: Column, width: int, overlap: int) -> Column:
     return F.when(F.size(words_) > 0, F.transform(starts, lambda i: F.slice(words_, (i * step + 1).cast("int"), width))).otherwise(F.array().cast("array<array<string>>"))
 
 
-def best_window(hits: Column, width: int) -> Column:
-    """(score, at): the first run of ``width`` entries with the largest sum, by prefix sums."""
-    sums = F.aggregate(hits, F.array(F.lit(0)), lambda acc, h: F.concat(acc, F.array(F.element_at(acc, -1) + h)))
-    n = F.size(hits)
-    starts = F.sequence(F.lit(0), F.greatest(n - width, F.lit(0)))
-    scored = F.transform(starts, lambda i: F.struct((F.get(sums, F.least(i + width, n)) - F.get(sums, i)).alias("score"), (-i).alias("minus_at")))
-    best = F.array_max(scored)
-    return F.struct(best["score"].alias("score"), (-best["minus_at"]).alias("at"))
-
-
 def url_canonical(url: Column) -> Column:
     """Lower case, https, no query, fragment or closing punctuation."""
     plain = F.regexp_replace(F.lower(F.trim(url)), r"[?#].*$", "")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.plans import relational
+from lexweave.plans import relational, retrieval
 
-MODULES: list = [relational]
+MODULES: list = [relational, retrieval]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -26,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Ranked retrieval for every benchmark passage."""
+    return retrieval.bm25_topk(spark, sf_dir)

@@ -51,7 +51,7 @@ SQL = {
     "anti_join_new": """SELECT d.doc_id FROM {documents} d LEFT ANTI JOIN {labels} l ON d.doc_id = l.doc_id""",
     "delist_missing": """SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END AS delisted FROM {documents} d
         LEFT JOIN (SELECT DISTINCT doc_id FROM {labels}) l ON d.doc_id = l.doc_id""",
-    "not_exists_stub": """SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)""",
+    "not_exists_stub": """SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000)""",
     "reconcile_full_outer": """SELECT coalesce(e.id, s.id) AS id, coalesce(e.expected, 0) AS expected, coalesce(s.stored, 0) AS stored,
         CASE WHEN e.id IS NULL THEN 'orphan' WHEN s.id IS NULL THEN 'missing' WHEN e.expected = s.stored THEN 'indexed' ELSE 'stale' END AS status
         FROM (SELECT doc_id AS id, CAST(ceil(n_chars / 1000.0) AS BIGINT) AS expected FROM {documents} WHERE doc_id % 7 <> 0) e
@@ -121,7 +121,7 @@ SQL = {
     "first_appearance_rank": """SELECT owner, min_pos, dense_rank() OVER (ORDER BY min_pos) AS rank FROM (SELECT label AS owner, min(vec_id) AS min_pos FROM {embeddings} GROUP BY label) t""",
     "evidence_top3": """SELECT owner, vec_id, r FROM (SELECT label AS owner, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM {embeddings}) t WHERE r <= 3""",
     "rolling_sum": """SELECT user_id, event_id, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS hits FROM {events}""",
-    "carry_forward": """SELECT user_id, event_id, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_click FROM {events}""",
+    "carry_forward": """SELECT user_id, event_id, max(CASE WHEN event_type = 'click' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_click FROM {events}""",
     "occurrence_number": """SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS occurrence FROM {conversations}""",
     "boundary_groups": """SELECT conv_id, turn, sum(changed) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS block FROM (
         SELECT conv_id, turn, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS changed FROM {conversations}) t""",
@@ -153,7 +153,7 @@ SQL = {
     "feature_batch_skips": """SELECT reason, count(*) AS n FROM (SELECT CASE WHEN n_chars < 300 THEN 'gap' WHEN l.doc_id IS NOT NULL THEN 'done' ELSE 'run' END AS reason
         FROM {documents} d LEFT JOIN (SELECT DISTINCT doc_id FROM {labels}) l ON d.doc_id = l.doc_id) t GROUP BY reason""",
     "latest_success": """SELECT max(event_id) AS latest, max(CASE WHEN event_type = 'purchase' THEN event_id END) AS last_success FROM {events}""",
-    "trace_deletes": """SELECT e.event_id FROM {events} e LEFT ANTI JOIN (SELECT DISTINCT user_id FROM {events} WHERE event_type = 'purchase') r ON e.user_id = r.user_id""",
+    "trace_deletes": """SELECT e.event_id FROM {events} e LEFT ANTI JOIN (SELECT DISTINCT user_id FROM {events} WHERE value > 200) r ON e.user_id = r.user_id""",
     "orphan_traces": """SELECT DISTINCT e.user_id FROM {events} e LEFT ANTI JOIN {conversations} c ON e.user_id = c.conv_id""",
     "workspace_order": """SELECT c_custkey FROM {customer} ORDER BY CASE WHEN c_custkey % 50 = 0 THEN 0 ELSE 1 END, c_nationkey, c_custkey LIMIT 60""",
 }
