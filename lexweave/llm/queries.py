@@ -107,7 +107,23 @@ c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
-ORACLE: dict[str, str] = {"op1_minhash_forest": OP1_SQL, "op7_license_digest": licenses.oracle()}
+# Candidates by equal halves, distance by counting places or by trying every deletion: another way to the same lines.
+OP3_SQL = r"""WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS no, unnest(ls) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+t AS (SELECT doc_id, no, raw, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM l),
+k AS (SELECT line, length(line) AS n, min(doc_id * 10000000 + no) AS at FROM t WHERE length(line) >= 10 GROUP BY line),
+same AS (SELECT x.line AS a, y.line AS b, x.at AS at_a, y.at AS at_b FROM k x JOIN k y ON x.n = y.n AND left(x.line, x.n // 2) = left(y.line, y.n // 2) AND x.line < y.line
+  UNION SELECT x.line, y.line, x.at, y.at FROM k x JOIN k y ON x.n = y.n AND substr(x.line, x.n // 2 + 1) = substr(y.line, y.n // 2 + 1) AND x.line < y.line),
+longer AS (SELECT x.line AS a, y.line AS b, x.at AS at_a, y.at AS at_b FROM k x JOIN k y ON y.n = x.n + 1 AND left(x.line, x.n // 2) = left(y.line, x.n // 2)
+  UNION SELECT x.line, y.line, x.at, y.at FROM k x JOIN k y ON y.n = x.n + 1 AND substr(x.line, x.n // 2 + 1) = substr(y.line, x.n // 2 + 2)),
+near AS (SELECT * FROM same WHERE len(list_filter(range(1, length(a) + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))) = 1
+  UNION SELECT * FROM longer WHERE len(list_filter(range(1, length(b) + 1), lambda i: left(b, i - 1) || substr(b, i + 1) = a)) > 0),
+later AS (SELECT DISTINCT CASE WHEN at_a < at_b THEN b ELSE a END AS line FROM near),
+f AS (SELECT t.doc_id, t.no, t.raw, coalesce(later.line IS NOT NULL OR t.doc_id * 10000000 + t.no > k.at, false) AS gone
+  FROM t LEFT JOIN k ON t.line = k.line LEFT JOIN later ON t.line = later.line),
+g AS (SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '') AS text, count(*) FILTER (WHERE gone) AS n_dropped FROM f GROUP BY 1)
+SELECT d.doc_id, md5(g.text) AS text_md5, length(g.text) AS n_chars, coalesce(g.n_dropped, 0) AS n_dropped FROM documents d LEFT JOIN g USING (doc_id)"""
+
+ORACLE: dict[str, str] = {"op1_minhash_forest": OP1_SQL, "op3_line_dedup": OP3_SQL, "op7_license_digest": licenses.oracle()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
