@@ -36,3 +36,23 @@ def session(name: str = "lexweave", cpus: int | str = "*", **conf: str) -> Spark
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the Parquet tables below ``sf_dir``, read by Spark alone."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset and the master is local."""
+    import tempfile
+    import uuid
+
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="lexweave-")
+    return f"{found.rstrip('/')}/lexweave-{uuid.uuid4().hex}"
+
+
+def settled(frame):
+    """``frame`` as a written table, read back: its lineage ends there."""
+    path = shared_folder(frame.sparkSession)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
