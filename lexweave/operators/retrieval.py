@@ -62,7 +62,7 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, doc: str, phrase: str, t
     """
     tokens = docs.select(doc, X.tokens(F.col(text)).alias("tokens"))
     asked = phrases.select(phrase, X.tokens(F.col("phrase_text")).alias("want")).where(F.size("want") > 0)
-    met = tokens.select(doc, F.explode(F.array_distinct("tokens")).alias("first")).join(F.broadcast(asked.withColumn("first", F.element_at("want", 1))), "first").drop("first")
+    met = tokens.select(doc, F.explode(F.array_distinct("tokens")).alias("first")).join(asked.withColumn("first", F.element_at("want", 1)), "first").drop("first")
     last = F.size("tokens") - F.size("want") + 1
     run = F.exists(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.slice(F.col("tokens"), i, F.size("want")) == F.col("want"))
     return met.join(tokens, doc).where((last >= 1) & run).select(phrase, doc).distinct()
@@ -78,9 +78,28 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, F.lit(0.0)).otherwise(dot(a, b) / norm)
 
 
+#: Queries that go to every task by broadcast (a few hundred bytes each); a larger set is dealt over shuffled blocks.
+BROADCAST_QUERIES = 2000
+
+
+def against_all(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """A stated query set against every vector, exactly.
+
+    A set under ``BROADCAST_QUERIES`` rows is broadcast. A larger one meets the
+    vectors block by block: vectors are dealt into as many blocks as there are
+    shuffle partitions, and each query goes to every block once.
+    """
+    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        return vectors.join(F.broadcast(queries), F.lit(True))
+    blocks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = vectors.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    asked = queries.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return dealt.join(asked, "_block").drop("_block")
+
+
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact: rows (query_id, q) against rows (vec_id, embedding); the queries are a stated, small set."""
-    pairs = vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    """Exact: rows (query_id, q) against rows (vec_id, embedding)."""
+    pairs = against_all(vectors, queries).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
     return top_k(pairs, k, ["query_id"], [F.desc("score"), F.asc("vec_id")])
 
 

@@ -72,12 +72,12 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cosine_max_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = table(spark, sf_dir, "embeddings").crossJoin(F.broadcast(_asked(spark, sf_dir)))
+    pairs = R.against_all(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir))
     return pairs.groupBy("query_id", "label").agg(F.round(F.max(R.cosine(F.col("embedding"), F.col("q"))), 6).alias("best"))
 
 
 def dense_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = table(spark, sf_dir, "embeddings").crossJoin(F.broadcast(_asked(spark, sf_dir))).groupBy("vec_id").agg(F.round(F.max(R.cosine(F.col("embedding"), F.col("q"))), 6).alias("score"))
+    best = R.against_all(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir)).groupBy("vec_id").agg(F.round(F.max(R.cosine(F.col("embedding"), F.col("q"))), 6).alias("score"))
     return best.orderBy(F.desc("score"), "vec_id").limit(50)
 
 

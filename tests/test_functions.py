@@ -135,6 +135,14 @@ def test_retrieval(spark):
     assert one(spark, retrieval.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0))), t="") == 0.0
 
 
+def test_query_sets_of_any_size_meet_all_vectors(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "vec_id long, embedding array<double>")
+    asked = vectors.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    few = sorted(map(tuple, retrieval.cosine_top_k(vectors, asked, 3).collect()))
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 1)
+    assert sorted(map(tuple, retrieval.cosine_top_k(vectors, asked, 3).collect())) == few and len(few) == 12
+
+
 def test_listing_source_and_merge(spark):
     day = datetime(2024, 1, 1)
     spark.dataSource.register(listing.listing_source(lambda n: [(f"id{n}", f"u{n}", "t", day.replace(day=n + 1)), ("id0", "u0", "t", day)], "pages_of_test"))
