@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.plans import deep, relational, retrieval
+from lexweave.plans import corpus, deep, relational, retrieval
 
-MODULES: list = [relational, retrieval, deep]
+MODULES: list = [relational, retrieval, deep, corpus]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
