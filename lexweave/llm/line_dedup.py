@@ -52,8 +52,11 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     return line.where(F.length("line") >= min_chars).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(17), "line"))
 
 
+KEYS = [f"k{i}" for i in range(2 * SEGMENTS)]
+
+
 def segment_keys(line: Column) -> Column:
-    """Hashes of the line without each segment, by its own length and by one less."""
+    """Hashes of the line without each segment, by its own length and by one less, as an array."""
     n = F.length(line)
     keys = []
     for role in (n, n - 1):
@@ -89,7 +92,7 @@ def variants(lines: DataFrame) -> DataFrame:
 def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """(h1, h2) of the distinct lines that have an earlier near-duplicate."""
     spark = lines.sparkSession
-    keyed = distinct.select("h1", F.explode("keys").alias("key"))
+    keyed = distinct.select("h1", F.explode(F.array(*KEYS)).alias("key"))
     met = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     alive = written(keyed.join(met, "key", "left_semi").select("h1").distinct(), "alive")
     few = alive.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
@@ -110,7 +113,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, th, gone): the numbers of the lines that go, for each document with such lines."""
     lines = lines_of(docs, min_chars)
     at = F.struct("doc", "line_no")
-    distinct = written(lines.groupBy("h1", "h2").agg(F.min(at).alias("at"), F.count("*").alias("copies"), F.first(segment_keys(F.col("line"))).alias("keys")), "lines")
+    # Keys are made in a projection of their own, in compiled code; inside the aggregation they would be interpreted.
+    keyed = lines.withColumn("keys", segment_keys(F.col("line"))).select(at.alias("at"), "h1", "h2", *[F.col("keys")[i].alias(k) for i, k in enumerate(KEYS)])
+    distinct = written(keyed.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count("*").alias("copies"), *[F.first(k).alias(k) for k in KEYS]), "lines")
     near = near_lines(lines, distinct)
     fate = distinct.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("near or copies > 1").select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.select("doc", "th", "line_no", "h1", "h2").join(fate, ["h1", "h2"]).where(F.col("near") | (F.struct("doc", "line_no") > F.col("at")))
