@@ -4,14 +4,14 @@
    eigenvalue of the gradient's structure. A corner's orientation is that of
    its patch's intensity centroid; its descriptor is ``BITS`` comparisons of
    smoothed pixels at places turned by that orientation.
-2. The descriptor is cut into ``TABLES`` keys. Corners with an equal key in a
-   table meet: each with the one of the image before it and with the one of the
-   first image of that key, so a key that very many images share gives links in
-   proportion to its rows, and copies still reach the first of their group.
-3. For two images that meet in at least ``VOTES`` corners, a vote over rotation,
-   scale and shift finds the best similarity; its inliers are counted.
+2. Images with the same corners are one class, which stands for all of them. The
+   descriptor is cut into ``TABLES`` keys. Every two classes that share a key are
+   counted, however many share it; the work grows with the pairs of a key.
+3. For two images that meet in at least ``VOTES`` corners of equal key, a vote
+   over rotation, scale and shift finds the best similarity; its inliers are
+   counted.
 4. Images with at least ``INLIERS`` agreeing corners are linked; links are closed
-   into groups.
+   into groups. ``n_links`` counts all images that an image is linked to.
 
 Media are bytes: PGM or PPM (binary, 8 bits), or PNG with 8-bit grey or RGB
 samples without interlacing. ``rasterise`` makes such bytes from a page's markup:
@@ -23,13 +23,14 @@ their own group; equal ids are one image; images of any size are read whole.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm.common import small_batches, written
@@ -39,6 +40,8 @@ LEVELS, SPACING, STRENGTH = 2, 6, 0.02
 BITS, TABLES, ANGLES, RADIUS = 128, 4, 32, 7
 VOTES, INLIERS, TOLERANCE = 6, 8, 3.0
 CELL, COLUMNS = 4, 32
+#: Images of a key in a block, about; pairs that a task holds before it sums them up.
+BLOCK, HELD_PAIRS = 1000, 2_000_000
 
 _RANDOM = np.random.default_rng(7)
 _TESTS = np.clip(_RANDOM.normal(0, RADIUS / 2.2, (BITS, 4)), -RADIUS, RADIUS)
@@ -197,40 +200,111 @@ def corners(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def corner_table(media: DataFrame, decode=decode_image) -> DataFrame:
-    """(image, n, place, keys) for each corner of rows (id, data).
+    """(image, n, print, places, keys) for each row (id, data) with corners.
 
-    ``n`` counts the image's corners; ``place`` packs x, y, level and angle;
-    ``keys`` are the descriptor's parts, null where an earlier corner of the
-    image has that part already.
+    ``n`` counts the corners; ``places`` packs x, y, level and angle of each into
+    64 bits, in order; ``keys`` has ``TABLES`` parts of 32 bits of each
+    descriptor; ``print`` is a digest of both.
     """
-    size = BITS // 8 // TABLES
-    names = ["image", "n", "place", *[f"key{t}" for t in range(TABLES)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[] for _ in range(3 + 2 * TABLES)]
+            rows: list[tuple] = []
             for image, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 pixels = decode(data.as_py())
                 if image is None or pixels is None:
                     continue
-                places, descriptors = corners(pixels)
-                packed = (places[:, 0].astype(np.int64) << 38) | (places[:, 1].astype(np.int64) << 8) | (places[:, 2] << 5) | places[:, 3]
+                found, descriptors = corners(pixels)
+                if not len(found):
+                    continue
+                packed = (found[:, 0].astype(np.int64) << 38) | (found[:, 1].astype(np.int64) << 8) | (found[:, 2] << 5) | found[:, 3]
                 order = np.argsort(packed)
-                values = [np.full(len(packed), image, np.int64), np.full(len(packed), len(packed), np.int64), packed[order]]
-                for t in range(TABLES):
-                    wide = np.zeros((len(packed), 8), np.uint8)
-                    wide[:, :size] = descriptors[order, t * size : (t + 1) * size]
-                    keys = wide.view("<i8").ravel()
-                    again = np.ones(len(keys), bool)
-                    again[np.unique(keys, return_index=True)[1]] = False
-                    values += [keys, again]
-                for column, value in zip(columns, values, strict=True):
-                    column.append(value)
-            if columns[0]:
-                flat = [np.concatenate(c) for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in flat[:3]] + [pa.array(flat[3 + 2 * t], mask=flat[4 + 2 * t]) for t in range(TABLES)], names)
-
-    return media.mapInArrow(run, "image long, n long, place long, " + ", ".join(f"{k} long" for k in names[3:]))
+                places, keys = packed[order].tobytes(), descriptors[order].tobytes()
+                rows.append((image, len(packed), hashlib.blake2b(places + keys, digest_size=16).hexdigest(), places, keys))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["image", "n", "print", "places", "keys"])
+
+    return media.mapInArrow(run, "image long, n long, print string, places binary, keys binary")
+
+
+def keyed(places: bytes, keys: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys with their table's number, each once, and the place of the first corner that has it."""
+    at, parts = np.frombuffer(places, np.int64), np.frombuffer(keys, "<u4").reshape(-1, TABLES).astype(np.int64)
+    found, first = np.unique(parts | (np.arange(TABLES) << 32), return_index=True)
+    return found, at[first // TABLES]
+
+
+def key_table(found: DataFrame) -> DataFrame:
+    """(key, image) for each key of each row of a corner table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = [keyed(p, k)[0] for p, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            images = np.repeat(batch.column(0).to_numpy(), [len(x) for x in lists])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(images)], ["key", "image"])
+
+    return found.select("image", "places", "keys").mapInArrow(run, "key long, image long")
+
+
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """(a, b, n), a < b: how many keys any two images share; rows (key, image).
+
+    Images of a key that more than ``BLOCK`` have are dealt to blocks, and every
+    block meets every other, so no task holds all pairs of a key.
+    """
+    heavy = keys.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK).select("key", F.ceil(F.col("rows") / BLOCK).alias("blocks"))
+    dealt = keys.join(heavy, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("image"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    cells = dealt.select("key", "image", "block", low, high).groupBy("key", "low", "high").agg(
+        F.collect_list(F.when(F.col("block") == F.col("low"), F.col("image"))).alias("ones"),
+        F.collect_list(F.when(F.col("block") != F.col("low"), F.col("image"))).alias("others"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            x, y = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+            held.clear()
+            ids, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+            x, y = at[: len(x)], at[len(x) :]
+            code, counts = np.unique((np.minimum(x, y) * len(ids) + np.maximum(x, y))[x != y], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(ids[code // len(ids)]), pa.array(ids[code % len(ids)]), pa.array(counts.astype(np.int64))], ["a", "b", "n"])
+
+        for batch in batches:
+            for ones, others in zip(batch.column(0), batch.column(1), strict=True):
+                x, y = ones.values.to_numpy(), others.values.to_numpy()
+                if len(y):
+                    pair = np.repeat(x, len(y)), np.tile(y, len(x))
+                else:
+                    i, j = np.triu_indices(len(x), 1)
+                    pair = x[i], x[j]
+                held.append(pair)
+                size += len(pair[0])
+                if size > HELD_PAIRS:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    met = cells.where("low <> high or size(ones) > 1").where("low = high or size(others) > 0").where("size(ones) > 0")
+    return met.select("ones", "others").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def meetings(first: list[tuple[bytes, bytes]], second: list[tuple[bytes, bytes]]) -> np.ndarray:
+    """The distinct pairs of places of two images' corners with an equal key; an image is its rows' places and keys."""
+    (k1, p1), (k2, p2) = ([np.concatenate(c) for c in zip(*(keyed(*row) for row in rows), strict=True)] for rows in (first, second))
+    order = np.argsort(k2, kind="stable")
+    k2, p2 = k2[order], p2[order]
+    low, high = np.searchsorted(k2, k1), np.searchsorted(k2, k1, "right")
+    n = high - low
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    return np.unique(np.stack([np.repeat(p1, n), p2[at]], 1), axis=0)
 
 
 def consensus(first: np.ndarray, second: np.ndarray) -> int:
@@ -259,30 +333,32 @@ def image_groups(media: DataFrame, decode=decode_image) -> DataFrame:
     small_batches(media.sparkSession)
     ids = media.select(F.col(media.columns[0]).cast("long").alias("id"), F.col(media.columns[1]).alias("data"))
     found = written(corner_table(ids, decode), "corners")
-    keys = F.array(*[F.when(F.col(f"key{t}").isNotNull(), F.struct(F.lit(t).alias("t"), F.col(f"key{t}").alias("k"))) for t in range(TABLES)])
-    one = found.select("image", "place", F.explode(F.array_compact(keys)).alias("key")).select(F.xxhash64("key.t", "key.k").alias("key"), "image", "place")
-    by_key = Window.partitionBy("key").orderBy("image", "place")
-    here = F.struct("image", "place")
-    met = one.withColumn("before", F.lag(here).over(by_key)).withColumn("first", F.first(here).over(by_key)).where("before is not null")
-    meetings = met.select("image", "place", F.explode(F.array_distinct(F.array("before", "first"))).alias("other")).where("other.image <> image")
-    votes = meetings.groupBy(F.col("other.image").alias("a"), F.col("image").alias("b")).agg(F.collect_set(F.struct(F.col("other.place").alias("p"), F.col("place").alias("q"))).alias("votes"))
+    prints = found.groupBy("image").agg(F.max("n").alias("n_corners"), F.array_sort(F.collect_set("print")).alias("prints"))
+    named = prints.join(prints.groupBy("prints").agg(F.min("image").alias("rep"), F.count("*").alias("size")), "prints")
+    images = written(named.select("image", "n_corners", "rep", "size"), "images")
+    classes = images.where("image = rep").select("image", "size")
+    ours = found.join(classes.select("image"), "image", "left_semi")
+
+    # So many corners can't agree where fewer keys are shared. Images of one class meet as their first with itself.
+    close = shared_keys(key_table(ours)).where(F.col("n") >= max(VOTES, INLIERS)).select("a", "b")
+    close = written(close.unionByName(classes.where("size > 1").select(F.col("image").alias("a"), F.col("image").alias("b"))), "close-images")
+    rows = ours.groupBy("image").agg(F.collect_set(F.struct("places", "keys")).alias("rows"))
+    pairs = close.join(rows.select(F.col("image").alias("a"), F.col("rows").alias("first")), "a").join(rows.select(F.col("image").alias("b"), F.col("rows").alias("second")), "b")
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, inliers = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for pairs in batch.column(2):
-                rows = np.array([(r["p"], r["q"]) for r in pairs.as_py()], np.int64)
-                inliers.append(consensus(rows[:, 0], rows[:, 1]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(inliers, pa.int64())], ["a", "b", "inliers"])
+            inliers = []
+            for one, two in zip(batch.column(2), batch.column(3), strict=True):
+                votes = meetings(*([(r["places"], r["keys"]) for r in x.as_py()] for x in (one, two)))
+                inliers.append(consensus(votes[:, 0], votes[:, 1]) if len(votes) >= VOTES else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inliers, pa.int64())], ["a", "b", "inliers"])
 
-    agreed = votes.where(F.size("votes") >= VOTES).mapInArrow(agree, "a long, b long, inliers long")
+    agreed = pairs.select("a", "b", "first", "second").mapInArrow(agree, "a long, b long, inliers long")
     links = written(agreed.where(F.col("inliers") >= INLIERS), "image-links")
-    groups = components(links, "image-groups")
-    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    counts = found.groupBy("image").agg(F.max("n").alias("n_corners"))
+    groups = components(links, "image-groups").select(F.col("node").alias("rep"), "label")
+    ends = links.select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degrees = ends.join(classes.withColumnRenamed("image", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum(F.col("size") - (F.col("a") == F.col("b")).cast("long")).alias("n_links"))
+    linked = images.join(degrees, "rep", "left").join(groups, "rep", "left")
+    linked = linked.select(F.col("image").alias("id"), "n_corners", "n_links", F.when(F.col("n_links").isNotNull(), F.coalesce("label", "rep")).alias("label"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return (
-        ids.select("id").distinct()
-        .join(counts.withColumnRenamed("image", "id"), "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left").join(degrees.withColumnRenamed("node", "id"), "id", "left")
-        .select("id", zero("n_corners"), zero("n_links"), F.coalesce("label", "id").alias("group_id"))
-    )
+    return ids.select("id").distinct().join(linked, "id", "left").select("id", zero("n_corners"), zero("n_links"), F.coalesce("label", "id").alias("group_id"))

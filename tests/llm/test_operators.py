@@ -140,6 +140,42 @@ def test_image_copies(spark):
     assert media.image_groups(spark.createDataFrame([], "id long, data binary")).collect() == []
 
 
+def brute_links(images):
+    """Pairs of images by every pair of corners with an equal part of the descriptor, without joins."""
+    found = [media.corners(media.decode_image(x)) for x in images]
+    links = set()
+    for i, j in itertools.combinations(range(len(images)), 2):
+        votes = set()
+        for t in range(media.TABLES):
+            first, second = ({}, {})
+            for held, (places, descriptors) in ((first, found[i]), (second, found[j])):
+                for (x, y, level, turn), d in sorted(zip(map(tuple, places.tolist()), descriptors, strict=True), key=lambda r: r[0]):
+                    held.setdefault(d[4 * t : 4 * t + 4].tobytes(), (x << 38) | (y << 8) | (level << 5) | turn)
+            votes |= {(first[k], second[k]) for k in first.keys() & second.keys()}
+        rows = np.array(sorted(votes), np.int64).reshape(-1, 2)
+        if len(votes) >= media.VOTES and media.consensus(rows[:, 0], rows[:, 1]) >= media.INLIERS:
+            links.add((i, j))
+    return links
+
+
+@pytest.mark.parametrize("block", [1000, 3])
+def test_image_links_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(media, "BLOCK", block)
+    base, images = scene(3), []
+    for k in range(8):  # edited copies, so that each shares its keys with others between
+        edited = base.copy()
+        edited[6 * k : 6 * k + 42, 6 * k : 6 * k + 42] = scene(50 + k, 42)
+        images.append(edited)
+    images += [images[2], images[2], images[2], scene(4), scene(4)[12:]]
+    images = [pgm(x) for x in images]
+    links = brute_links(images)
+    assert len(links) > 20
+    got = {r.id: r for r in media.image_groups(spark.createDataFrame(list(enumerate(images)), "id long, data binary")).collect()}
+    assert {i: got[i].n_links for i in got} == {i: sum(i in x for x in links) for i in range(len(images))}
+    linked = {x: y for x, y in components(spark.createDataFrame(sorted(links), "a long, b long")).collect()}
+    assert {i: got[i].group_id for i in got} == {i: linked.get(i, i) for i in range(len(images))}
+
+
 def test_pages_become_images():
     assert media.rasterise(None) is None and media.rasterise("<script>x</script>") is None
     assert media.decode_image(media.rasterise("<p>one two<p>three<br>four five")).shape == (12, 128)
