@@ -176,6 +176,12 @@ def test_image_links_equal_brute_force(spark, monkeypatch, block):
     assert {i: got[i].group_id for i in got} == {i: linked.get(i, i) for i in range(len(images))}
 
 
+def test_small_crops_are_linked(spark):
+    images = [pgm(scene(3)), pgm(scene(3)[24:66, 24:66]), pgm(scene(4))]
+    got = {r.id: (r.n_links, r.group_id) for r in media.image_groups(spark.createDataFrame(list(enumerate(images)), "id long, data binary")).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (0, 2)}
+
+
 def test_pages_become_images():
     assert media.rasterise(None) is None and media.rasterise("<script>x</script>") is None
     assert media.decode_image(media.rasterise("<p>one two<p>three<br>four five")).shape == (12, 128)
