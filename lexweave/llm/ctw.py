@@ -3,16 +3,12 @@
 Tokens are lower-cased words and one end to each text. A token is spelled as its
 bytes and a closing mark, each byte as eight binary choices, most significant
 bit first. The context of a byte is the ``DEPTH`` bytes before it in its token,
-begun by an opening mark. There are ``CLASSES`` opening marks, one for each class
-of texts: a text's class is the nearest of the centroids of byte trigrams, found
-without labels on at most ``SAMPLE_TEXTS`` training texts, the first by a hash of
-the id. A text's class has its share of training texts as probability, so the
-words of a language or style are told apart from the first byte on.
+begun by an opening mark.
 Every context of 0 to ``DEPTH`` bytes keeps a
 Krichevsky-Trofimov estimate of each binary choice, and context-tree weighting
 mixes the estimates of all depths: a node's weighted probability is half its own
 estimate and half the product of its children's. The end of a text is the empty
-word. A text's probability is that of its class times the product over its tokens.
+word. A text's probability is the product over its tokens.
 
 The tree is learned from counts of all training tokens. Contexts that share
 their last two bytes are weighed together in one task, on distinct (context,
@@ -33,15 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm.common import small_batches, utf8, written
 
 DEPTH = 6
 CLOSE = 0x0A  # a byte that no word has
-CLASSES, FIRST_MARK = 8, 0xF8  # the opening marks: bytes that no UTF-8 text has
-SAMPLE_TEXTS, TRIGRAMS, ROUNDS = 3000, 2048, 15
+FIRST_MARK = 0xF8  # the opening mark: a byte that no UTF-8 text has
 #: Tokens in the broadcast dictionary, at most.
 FREQUENT = 250_000
 #: (context, byte) pairs in a broadcast table, at most (12 bytes each); beyond, tokens meet them by a join.
@@ -55,83 +50,36 @@ def words(text: bytes) -> list[bytes]:
     return text.split()
 
 
-def trigrams(text: bytes) -> np.ndarray:
-    """Square roots of hashed byte-trigram counts at length one; zero for under three bytes."""
-    total, at = np.zeros(TRIGRAMS), 0
-    while at + 3 <= len(text):
-        data = np.frombuffer(text[at : at + (1 << 20) + 2], np.uint8).astype(np.uint32)
-        codes = ((data[:-2] << np.uint32(16)) | (data[1:-1] << np.uint32(8)) | data[2:]) * np.uint32(2654435761)
-        total += np.bincount(codes >> np.uint32(32 - TRIGRAMS.bit_length() + 1), minlength=TRIGRAMS)
-        at += 1 << 20
-    found = np.sqrt(total).astype(np.float32)
-    return found / max(float(np.sqrt((found**2).sum())), 1e-9)
+def units(text: bytes) -> list[tuple[bytes, bytes]]:
+    """(word, the word after its context) of each word of a lower-cased text and of its end."""
+    mark = bytes([FIRST_MARK])
+    return [(word, mark + word) for word in [*words(text), b""]]
 
 
-def class_of(text: bytes, centroids: np.ndarray) -> int:
-    """The class of a lower-cased text."""
-    return int((centroids @ trigrams(text)).argmax())
-
-
-def find_classes(features: np.ndarray) -> np.ndarray:
-    """Spherical k-means from rows far from each other; the same rows give the same centroids."""
-    if not len(features):
-        return np.zeros((1, TRIGRAMS), np.float32)
-    chosen = [features[0]]
-    for _ in range(CLASSES - 1):
-        chosen.append(features[(features @ np.stack(chosen).T).max(1).argmin()])
-    centroids = np.stack(chosen)
-    for _ in range(ROUNDS):
-        nearest = (features @ centroids.T).argmax(1)
-        sums = np.stack([features[nearest == k].sum(0) if (nearest == k).any() else centroids[k] for k in range(len(centroids))])
-        centroids = sums / np.maximum(np.sqrt((sums**2).sum(1, keepdims=True)), 1e-9)
-    return centroids.astype(np.float32)
-
-
-def learn_classes(training: DataFrame) -> np.ndarray:
-    """Centroids from a bounded sample of (doc_id, text)."""
-    ids = training.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_TEXTS)
+def token_counts(docs: DataFrame, training: Column) -> DataFrame:
+    """(token, word, c) for every token, with its context before it, of any text; c counts the training texts only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [trigrams(x.lower()).tobytes() for x in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "features"])
-
-    # SAMPLE_TEXTS ids: a bounded table.
-    rows = training.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("length(text) > 2").join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, features binary")
-    found = rows.groupBy("doc_id").agg(F.min("features").alias("features")).select(F.xxhash64("doc_id").alias("k"), "doc_id", "features").collect()
-    found.sort(key=lambda r: (r["k"], r["doc_id"]))
-    return find_classes(np.stack([np.frombuffer(r["features"], np.float32) for r in found]) if found else np.zeros((0, TRIGRAMS), np.float32))
-
-
-def token_counts(docs: DataFrame, training: Column, centroids: np.ndarray) -> DataFrame:
-    """(token, c) for every class's mark and token of any text; c counts the training texts only."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[Counter] = [Counter() for _ in range(CLASSES)]
+        seen: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            tokens = [b"%c%b" % (FIRST_MARK + k, t) for k in range(CLASSES) for t in seen[k]]
-            counts = [c for k in range(CLASSES) for c in seen[k].values()]
-            for counter in seen:
-                counter.clear()
-            return pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(counts, pa.int64())], ["token", "c"])
+            columns = [pa.array([t for _, t in seen], pa.binary()), pa.array([w for w, _ in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())]
+            seen.clear()
+            return pa.RecordBatch.from_arrays(columns, ["token", "word", "c"])
 
         for batch in batches:
             for text, train in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                text = text.lower()
-                counter = seen[class_of(text, centroids)]
+                found = units(text.lower())
                 if train:
-                    counter.update(words(text))
-                    counter[b""] += 1
+                    seen.update(found)
                 else:
-                    for word in set(words(text)):
-                        counter[word] += 0
-                    counter[b""] += 0
-                if sum(map(len, seen)) > HELD_TOKENS:
+                    for unit in found:
+                        seen[unit] += 0
+                if len(seen) > HELD_TOKENS:
                     yield flush()
         yield flush()
 
-    return docs.select("text", training.alias("train")).mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return docs.select("text", training.alias("train")).mapInArrow(run, "token binary, word binary, c long").groupBy("token", "word").agg(F.sum("c").alias("c"))
 
 
 def spelled(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -201,26 +149,30 @@ def weigh(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     Gives the mixed probability of each of the eight choices of each key, and
     the nodes of depth 2 with the logarithms of their weighted probabilities.
     """
-    byte, context = keys & 255, keys >> 8
-    node, bit = choices(byte)
-    node, bit, n = node.ravel(), bit.ravel(), np.repeat(counts, 8).astype(np.float64)
-    context = np.repeat(context, 8)
-    mixed = children = child_of = None
-    for depth in range(DEPTH, 1, -1):
-        ids, first, inverse = np.unique((context & ((1 << (8 * depth)) - 1)) * NODE + node, return_index=True, return_inverse=True)
-        ones = np.bincount(inverse, n * bit, len(ids))
-        zeros = np.bincount(inverse, n, len(ids)) - ones
-        own = log_kt(zeros, ones)
-        estimate = (np.where(bit, ones[inverse], zeros[inverse]) + 0.5) / (zeros + ones + 1)[inverse]
-        if mixed is None:
-            weighted, mixed = own, estimate
-        else:
-            below = np.bincount(inverse[child_of], children, len(ids))
-            weighted = np.logaddexp(own, below) - np.log(2)
-            share = np.exp(np.minimum(own - np.log(2) - weighted, 0))[inverse]
-            mixed = share * estimate + (1 - share) * mixed
-        children, child_of = weighted, first
-    return mixed.reshape(-1, 8), ids, weighted
+    context, n = keys >> 8, counts.astype(np.float64)
+    nodes, bits = choices(keys & 255)
+    columns, names, weights = [], [], []
+    # The nodes of each of the eight choices are apart from those of the others.
+    for node, bit in zip(nodes.T, bits.T, strict=True):
+        mixed = children = child_of = None
+        for depth in range(DEPTH, 1, -1):
+            ids, first, inverse = np.unique((context & ((1 << (8 * depth)) - 1)) * NODE + node, return_index=True, return_inverse=True)
+            ones = np.bincount(inverse, n * bit, len(ids))
+            zeros = np.bincount(inverse, n, len(ids)) - ones
+            own = log_kt(zeros, ones)
+            estimate = (np.where(bit, ones[inverse], zeros[inverse]) + 0.5) / (zeros + ones + 1)[inverse]
+            if mixed is None:
+                weighted, mixed = own, estimate
+            else:
+                below = np.bincount(inverse[child_of], children, len(ids))
+                weighted = np.logaddexp(own, below) - np.log(2)
+                share = np.exp(np.minimum(own - np.log(2) - weighted, 0))[inverse]
+                mixed = share * estimate + (1 - share) * mixed
+            children, child_of = weighted, first
+        columns.append(mixed)
+        names.append(ids)
+        weights.append(weighted)
+    return np.stack(columns, 1), np.concatenate(names), np.concatenate(weights)
 
 
 def grow(pairs: DataFrame) -> DataFrame:
@@ -290,9 +242,9 @@ def code_lengths(grown: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
 
 
 def token_scores(vocabulary: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(token, c, lp): the count in all classes, and log10 of the model's probability after the class's mark."""
+    """(token, own, c, lp): the counts of the token after its context and of its word, and log10 of the model's probability."""
     spark = vocabulary.sparkSession
-    vocabulary = vocabulary.select("token", F.col("total").alias("c"))
+    vocabulary = vocabulary.select("token", F.col("c").alias("own"), F.col("total").alias("c"))
     if lengths.count() <= BROADCAST_PAIRS:
         table = lengths.toArrow()
         keys, values = table.column(0).to_numpy(), table.column(1).to_numpy().astype(np.float32)
@@ -306,9 +258,9 @@ def token_scores(vocabulary: DataFrame, lengths: DataFrame) -> DataFrame:
                     continue
                 found, starts = spelled(batch.column(0).to_pylist())
                 scores = np.add.reduceat(lp[np.searchsorted(known, found)].astype(np.float64), starts)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], ["token", "c", "lp"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], ["token", "own", "c", "lp"])
 
-        return vocabulary.mapInArrow(run, "token binary, c long, lp double")
+        return vocabulary.mapInArrow(run, "token binary, own long, c long, lp double")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,15 +268,15 @@ def token_scores(vocabulary: DataFrame, lengths: DataFrame) -> DataFrame:
                 continue
             found, starts = spelled(batch.column(0).to_pylist())
             row = np.repeat(np.arange(batch.num_rows), np.diff([*starts, len(found)]))
-            yield pa.RecordBatch.from_arrays([*(x.take(pa.array(row)) for x in batch.columns), pa.array(found)], ["token", "c", "key"])
+            yield pa.RecordBatch.from_arrays([*(x.take(pa.array(row)) for x in batch.columns), pa.array(found)], ["token", "own", "c", "key"])
 
-    spelt = vocabulary.mapInArrow(spell, "token binary, c long, key long")
-    return spelt.join(lengths, "key").groupBy("token").agg(F.first("c").alias("c"), F.sum("lp").alias("lp"))
+    spelt = vocabulary.mapInArrow(spell, "token binary, own long, c long, key long")
+    return spelt.join(lengths, "key").groupBy("token").agg(F.first("own").alias("own"), F.first("c").alias("c"), F.sum("lp").alias("lp"))
 
 
 def frequent_tokens(scored: DataFrame) -> tuple[int, dict[bytes, tuple[int, float]]]:
     """The least count that at most FREQUENT tokens reach, and these tokens."""
-    by_size = scored.where("c > 0").groupBy(F.floor(F.log2("c") * 8).alias("size")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect()
+    by_size = scored.where("own > 0").groupBy(F.floor(F.log2("own") * 8).alias("size")).agg(F.count("*").alias("n"), F.min("own").alias("least")).collect()
     total, least = 0, None
     for r in sorted(by_size, key=lambda r: -r["size"]):
         total += r["n"]
@@ -333,7 +285,7 @@ def frequent_tokens(scored: DataFrame) -> tuple[int, dict[bytes, tuple[int, floa
         least = r["least"]
     if least is None:
         return 2**62, {}
-    rows = scored.where(F.col("c") >= least).toArrow().to_pydict()
+    rows = scored.where(F.col("own") >= least).toArrow().to_pydict()
     return least, dict(zip(rows["token"], zip(rows["c"], rows["lp"], strict=True), strict=True))
 
 
@@ -344,14 +296,11 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     """Each document with its counts, its base score and the model's score."""
     spark = docs.sparkSession
     small_batches(spark)
-    centroids = learn_classes(docs.where(~held_out))
-    word = F.expr("substring(token, 2)")
-    counted = token_counts(docs, ~held_out, centroids)
-    vocabulary = written(counted.withColumn("total", F.sum("c").over(Window.partitionBy(word))), "vocabulary")  # a word has a row for each class at most
-    n = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()["n"]
-    v = vocabulary.where("total > 0").select(word.alias("word")).distinct().count()
-    texts = {r["token"][0] - FIRST_MARK: r["c"] for r in vocabulary.where("length(token) = 1").select("token", "c").collect()}  # a row for each class
-    prior = [float(np.log10((texts.get(k, 0) + 0.5) / (sum(texts.values()) + 0.5 * CLASSES))) for k in range(CLASSES)]
+    counted = written(token_counts(docs, ~held_out), "token-counts")
+    totals = written(counted.groupBy("word").agg(F.sum("c").alias("total")), "words")
+    vocabulary = written(counted.join(totals, "word").select("token", "c", "total"), "vocabulary")
+    n = totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()["n"]
+    v = totals.where("total > 0").count()
     pairs = written(pair_counts(vocabulary), "pairs")
     grown = written(grow(pairs), "tree")
     lengths = written(code_lengths(grown, shallow(pairs, grown)), "code-lengths")
@@ -367,19 +316,17 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
             out: list[list] = [[] for _ in range(8)]
             for uid, doc, text, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 text = text.lower()
-                kind = class_of(text, centroids)
-                mark = bytes([FIRST_MARK + kind])
-                found, total, in_base, in_model = words(text), 0, 0.0, prior[kind]
-                for word, tf in [*Counter(found).items(), (b"", 1)]:
-                    hit = known(mark + word)
+                found, total, in_base, in_model = units(text), 0, 0.0, 0.0
+                for token, tf in Counter(t for _, t in found).items():
+                    hit = known(token)
                     if hit is None:
-                        for column, value in zip(out, (uid, None, None, mark + word, tf, 0, 0.0, 0.0), strict=True):
+                        for column, value in zip(out, (uid, None, None, token, tf, 0, 0.0, 0.0), strict=True):
                             column.append(value)
                     else:
                         total += tf
                         in_base += tf * hit[0]
                         in_model += tf * hit[1]
-                for column, value in zip(out, (uid, doc, held, None, len(found) + 1, total, in_base, in_model), strict=True):
+                for column, value in zip(out, (uid, doc, held, None, len(found), total, in_base, in_model), strict=True):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], [p.split()[0] for p in PARTS.split(", ")])
@@ -387,7 +334,7 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text", held_out.alias("held"))
     parts = written(rows.mapInArrow(run, PARTS), "text-parts")
     whole = parts.where("token is null").select("uid", "doc_id", "held", F.col("tf").alias("n_tokens"), "known", "base", "lp")
-    rare = parts.where("token is not null").select("uid", "token", "tf").join(scored.where(F.col("c") < least), "token")
+    rare = parts.where("token is not null").select("uid", "token", "tf").join(scored.where(F.col("own") < least), "token")
     sums = rare.groupBy("uid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("known2"),
         F.sum(F.col("tf") * F.log10((F.col("c") + 0.5) / base)).alias("base2"),

@@ -426,6 +426,21 @@ def test_context_tree_equals_brute_force(spark):
     assert lengths.keys() == want.keys() and all(abs(lengths[k] - want[k]) < 1e-4 for k in want)
 
 
+def test_scores_equal_one_tree_over_all_texts(spark):
+    texts = ["the cat sat on the mat", "le chat est sur le toit", "der hund und die katze", "the dog saw the cat", "cat the sat", ""]
+    mark, close, pairs, spelt = bytes([ctw.FIRST_MARK]), bytes([ctw.CLOSE]), {}, {}
+    for i, text in enumerate(texts):
+        spelt[i] = []
+        for token in [*text.encode().split(), b""]:
+            whole = mark + token + close
+            spelt[i] += [(whole[max(0, k - ctw.DEPTH) : k].rjust(ctw.DEPTH, b"\0"), whole[k]) for k in range(1, len(whole))]
+        for key in spelt[i]:
+            pairs[key] = pairs.get(key, 0) + (i != 4)
+    want = slow_ctw(pairs)
+    got = {r.doc_id: r.score for r in ctw.score_documents(docs(spark, texts), F.col("doc_id") == 4).collect()}
+    assert all(abs(got[i] - sum(want[k] for k in spelt[i])) < 1e-3 for i in range(len(texts)))
+
+
 @pytest.mark.parametrize("limits", [(250_000, 6_000_000), (2, 1)])
 def test_base_scores_and_both_ways(spark, monkeypatch, limits):
     monkeypatch.setattr(ctw, "FREQUENT", limits[0])
