@@ -2,8 +2,8 @@
 
 Tokens are lower-cased words and one end to each text. A token is spelled as its
 bytes and a closing mark, each byte as eight binary choices, most significant
-bit first. The context of a byte is the ``DEPTH`` bytes before it in its token,
-begun by an opening mark.
+bit first. The context of a byte is the ``DEPTH`` bytes before it in its text,
+whatever tokens they belong to; a text begins with an opening mark.
 Every context of 0 to ``DEPTH`` bytes keeps a
 Krichevsky-Trofimov estimate of each binary choice, and context-tree weighting
 mixes the estimates of all depths: a node's weighted probability is half its own
@@ -13,7 +13,9 @@ word. A text's probability is the product over its tokens.
 The tree is learned from counts of all training tokens. Contexts that share
 their last two bytes are weighed together in one task, on distinct (context,
 byte) pairs with counts; depths 0 and 1 have at most 65,536 entries and are
-weighed on the driver. Tokens above a count threshold chosen so that at most
+weighed on the driver. A token is counted
+and scored together with the ``DEPTH`` bytes before it, so each distinct pair of
+these once. Those above a count threshold chosen so that at most
 ``FREQUENT`` pass are broadcast; all others meet their scores by a join, so no
 frequent token is ever shuffled and no rare one is left out.
 
@@ -51,9 +53,13 @@ def words(text: bytes) -> list[bytes]:
 
 
 def units(text: bytes) -> list[tuple[bytes, bytes]]:
-    """(word, the word after its context) of each word of a lower-cased text and of its end."""
-    mark = bytes([FIRST_MARK])
-    return [(word, mark + word) for word in [*words(text), b""]]
+    """(word, the word after the ``DEPTH`` bytes before it) of each word of a lower-cased text and of its end."""
+    found, at, out = [*words(text), b""], 1, []
+    whole = b"%c%b" % (FIRST_MARK, bytes([CLOSE]).join(found))
+    for word in found:
+        out.append((word, whole[max(0, at - DEPTH) : at + len(word)]))
+        at += len(word) + 1
+    return out
 
 
 def token_counts(docs: DataFrame, training: Column) -> DataFrame:
@@ -83,17 +89,23 @@ def token_counts(docs: DataFrame, training: Column) -> DataFrame:
 
 
 def spelled(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (context << 8 | byte) of every byte after a token's mark, and each token's first key."""
+    """Keys (context << 8 | byte) of every byte after a token's last mark, and each token's first key."""
     data = np.frombuffer(b"".join(b"%b%c" % (t, CLOSE) for t in tokens), np.uint8).astype(np.int64)
     lengths = np.array([len(t) + 1 for t in tokens], np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
     place = np.arange(len(data)) - np.repeat(starts, lengths)
     keys = data.copy()
     for k in range(1, DEPTH + 1):
         older = np.zeros_like(data)
         older[k:] = data[:-k]
         keys |= np.where(place >= k, older, 0) << (8 * k)
-    return keys[place > 0], starts - np.arange(len(tokens))
+    # What is before the word ends with an opening or a closing mark; the closing mark at the end is the word's own.
+    marked = (data == FIRST_MARK) | (data == CLOSE)
+    marked[ends - 1] = False
+    marks = np.flatnonzero(marked)
+    before = marks[np.searchsorted(marks, ends) - 1] - starts + 1 if len(tokens) else lengths
+    return keys[place >= np.repeat(before, lengths)], starts - (np.cumsum(before) - before)
 
 
 def pair_counts(vocabulary: DataFrame) -> DataFrame:

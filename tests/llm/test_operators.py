@@ -430,10 +430,8 @@ def test_scores_equal_one_tree_over_all_texts(spark):
     texts = ["the cat sat on the mat", "le chat est sur le toit", "der hund und die katze", "the dog saw the cat", "cat the sat", ""]
     mark, close, pairs, spelt = bytes([ctw.FIRST_MARK]), bytes([ctw.CLOSE]), {}, {}
     for i, text in enumerate(texts):
-        spelt[i] = []
-        for token in [*text.encode().split(), b""]:
-            whole = mark + token + close
-            spelt[i] += [(whole[max(0, k - ctw.DEPTH) : k].rjust(ctw.DEPTH, b"\0"), whole[k]) for k in range(1, len(whole))]
+        whole = mark + b"".join(token + close for token in [*text.encode().split(), b""])
+        spelt[i] = [(whole[max(0, k - ctw.DEPTH) : k].rjust(ctw.DEPTH, b"\0"), whole[k]) for k in range(1, len(whole))]
         for key in spelt[i]:
             pairs[key] = pairs.get(key, 0) + (i != 4)
     want = slow_ctw(pairs)
