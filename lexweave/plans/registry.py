@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.plans import adapted, corpus, deep, relational, retrieval
+from lexweave.plans import adapted, corpus, deep, relational, retrieval, whole
 
-MODULES: list = [relational, retrieval, deep, corpus, adapted]
+MODULES: list = [relational, retrieval, deep, corpus, adapted, whole]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

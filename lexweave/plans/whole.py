@@ -1,0 +1,97 @@
+"""Queries over all rows and whole texts whose namesakes, checked against SQL, take a part."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexweave.functions import references
+from lexweave.operators import corpus as C
+from lexweave.operators import graph
+from lexweave.operators import retrieval as R
+from lexweave.plans import deep, retrieval
+from lexweave.plans.shared import spark_query
+from lexweave.session import table
+
+
+def _found(docs: DataFrame, find: Callable[[str], list[tuple]], schema: str) -> DataFrame:
+    """(doc_id, ...): a row for each of what ``find`` gives of a text."""
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(doc, *x) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in find(text or "")]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+
+
+def proximity_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    at = lambda word: _found(docs, lambda text: [(m.start() + 1,) for m in re.finditer(word, text)], "doc_id long, at long")
+    return C.near(at("tion"), at("ing"))
+
+
+def title_subsets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    titles = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("day"), F.col("text").alias("title"))
+    return C.subset_titles(titles, docs.select(F.col("doc_id").alias("subject_id"), F.col("doc_id").alias("before"), F.col("text").alias("subject")))
+
+
+def redacted_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(C.redact(F.col("text"))).alias("clean_md5"))
+
+
+def reference_extract_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reference of every text, with its place."""
+    find = lambda text: [(r["at"], references.canonical(r)) for r in references.iterate_references(text)]
+    return _found(table(spark, sf_dir, "documents"), find, "doc_id long, at long, reference string")
+
+
+def chain_closure_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.chain(deep._edges(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seed")))
+
+
+def bfs_levels_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.neighbourhood(deep._edges(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seed")), 3)
+
+
+def _arms(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    lexical = retrieval.bm25_topk(spark, sf_dir).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"), "rank")
+    semantic = R.cosine_top_k(table(spark, sf_dir, "embeddings"), retrieval._asked(spark, sf_dir), 20)
+    return {"lexical": lexical, "semantic": semantic.select("query_id", F.col("vec_id").alias("id"), "rank")}
+
+
+def rrf_fusion_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.top_k(R.rrf(_arms(spark, sf_dir), ["query_id", "id"]), 10, ["query_id"], [F.desc("score"), F.asc("id")])
+
+
+def dual_arm_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arms = _arms(spark, sf_dir)
+    return arms["lexical"].where("rank <= 5").withColumn("arm", F.lit("lexical")).unionByName(arms["semantic"].where("rank <= 5").withColumn("arm", F.lit("semantic")))
+
+
+def hybrid_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = R.rrf(_arms(spark, sf_dir), ["query_id", "id"])
+    years = F.greatest(F.floor((F.lit(3000) - F.col("id")).cast("double")) / 365.25, F.lit(0.0))
+    return R.top_k(fused.withColumn("score", F.round(F.col("score") + 0.008 / (1 + years), 8)), 10, ["query_id"], [F.desc("score"), F.asc("id")])
+
+
+TEXTS = {
+    "entity_projection_whole": """SELECT l_orderkey, l_linenumber, coalesce(l_returnflag, '-') AS comparator,
+        CASE WHEN l_linestatus = 'O' THEN true ELSE false END AS in_force FROM {lineitem}""",
+    "label_by_discriminator_whole": """SELECT e.event_id, CASE WHEN e.event_type = 'click' THEN d.source ELSE c.c_name END AS label FROM {events} e
+        LEFT JOIN {documents} d ON e.user_id = d.doc_id LEFT JOIN {customer} c ON e.user_id = c.c_custkey""",
+}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        proximity_join_whole, title_subsets_whole, redacted_whole, reference_extract_whole, chain_closure_whole, bfs_levels_whole, rrf_fusion_whole, dual_arm_whole, hybrid_score_whole,
+    )
+} | {name: spark_query(text) for name, text in TEXTS.items()}
+ORACLE: dict[str, str] = {}

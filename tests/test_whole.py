@@ -1,0 +1,75 @@
+"""Queries over all rows and whole texts against brute force on a small fixture."""
+
+import hashlib
+import itertools
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+
+from lexweave.plans import registry
+
+PAD = "plain words before it " * 8
+TEXTS = [
+    "alpha beta gamma", "gamma beta alpha delta", "alpha beta", PAD + "api_key=abc and Bearer xyz.1",
+    PAD + "see BPRD Circular No. 05 of 2011 and EPD Circular Letter No. 7 of 2012", "station ending " + "x" * 300 + " nation king", "beta", "alpha", None,
+]
+VECTORS = np.random.default_rng(5).normal(size=(301, 4))
+
+
+@pytest.fixture(scope="module")
+def whole(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("whole")
+    n = len(TEXTS)
+    put = lambda name, **columns: pq.write_table(pa.table(columns), folder / f"{name}.parquet")
+    put("documents", doc_id=pa.array(range(n), pa.int64()), text=pa.array(TEXTS), lang=["en"] * n, source=[f"s{i}" for i in range(n)], n_chars=pa.array([len(t or "") for t in TEXTS], pa.int64()))
+    put("embeddings", vec_id=pa.array(range(301), pa.int64()), embedding=pa.array(VECTORS.astype("f4").tolist(), pa.list_(pa.float32())), label=pa.array([0] * 301, pa.int64()))
+    put("benchmark", item_id=pa.array([0, 1], pa.int64()), text=["alpha beta", "station"])
+    put("lineitem", l_orderkey=pa.array([1, 2, 50], pa.int64()), l_linenumber=pa.array([1, 1, 1], pa.int64()), l_returnflag=["R", None, "N"], l_linestatus=["O", "F", "O"])
+    put("events", event_id=pa.array([1, 2, 10], pa.int64()), user_id=pa.array([1, 2, 3], pa.int64()), event_type=["click", "view", "click"])
+    put("customer", c_custkey=pa.array([1, 2, 3], pa.int64()), c_name=["a", "b", "c"])
+    return lambda name: [tuple(r) for r in registry.queries()[f"{name}_whole"](spark, str(folder)).collect()]
+
+
+def test_texts_are_read_whole(whole):
+    words = [set((t or "").split()) for t in TEXTS]
+    assert {(s, i) for s, i in whole("title_subsets") if max(s, i) in (0, 1, 2, 6, 7)} == {(s, i) for i, s in itertools.combinations((0, 1, 2, 6, 7), 2) if words[s] <= words[i]}
+    clean = TEXTS[3].replace("abc", "[redacted]").replace("Bearer xyz.1", "Bearer [redacted]")
+    assert dict(whole("redacted"))[3] == hashlib.md5(clean.encode()).hexdigest()
+    assert [r[::2] for r in sorted(whole("reference_extract"))] == [(4, "BPRD CIRCULAR NO 5 OF 2011"), (4, "EPD CIRCULAR LETTER NO 7 OF 2012")]
+    at = lambda t, w: [i + 1 for i in range(len(t)) if t.startswith(w, i)]
+    assert sorted(whole("proximity_join")) == sorted((d, a, b) for d, t in enumerate(TEXTS) for a in at(t or "", "tion") for b in at(t or "", "ing") if abs(a - b) <= 200)
+    assert len(whole("proximity_join")) == 2
+
+
+def test_all_seeds_and_rows(whole):
+    n = len(TEXTS)
+    edges = [(i, i // 2, i % 5) for i in range(1, n)]
+    level = {(s, s): 0 for s in range(n)}
+    for depth in (1, 2, 3):
+        for (s, x), _ in list(level.items()):
+            for a, b, _ in edges:
+                for y in ([b] if a == x else []) + ([a] if b == x else []):
+                    level.setdefault((s, y), depth)
+    assert {(s, x): d for s, x, d in whole("bfs_levels")} == level
+    reached = {(s, s) for s in range(n)}
+    for way in (1, -1):
+        here = {(s, s) for s in range(n)}
+        for _ in range(n):
+            here |= {(s, e[:2][::way][1]) for s, x in here for e in edges if e[2] in (0, 3) and e[:2][::way][0] == x}
+        reached |= here
+    assert set(whole("chain_closure")) == reached
+    assert sorted(whole("entity_projection")) == [(1, 1, "R", True), (2, 1, "-", False), (50, 1, "N", True)]
+    assert sorted(whole("label_by_discriminator")) == [(1, "s1"), (2, "b"), (10, "s3")]
+
+
+def test_fusion_asks_the_allowed_vectors(whole):
+    v = VECTORS.astype("f4").astype("f8")
+    unit = v / np.sqrt((v**2).sum(1, keepdims=True))
+    best = {q: sorted(range(301), key=lambda i: (-round(float(unit[q] @ unit[i]), 6), i))[:20] for q in (0, 100, 200, 300)}
+    got = whole("dual_arm")
+    assert {(q, i, r) for q, i, r, arm in got if arm == "semantic"} == {(q, i, k + 1) for q in best for k, i in enumerate(best[q][:5])}
+    for name in ("rrf_fusion", "hybrid_score"):
+        assert {r[0] for r in whole(name)} == {0, 1, 100, 200, 300}
+    assert {r[1] for r in whole("rrf_fusion") if r[0] == 100} == set(best[100][:10])
