@@ -2,7 +2,7 @@
 
 1. Each text becomes the set of its distinct word shingles as 64-bit hashes,
    with a signature of ``TREES * DEPTH`` minima. Documents with equal sets are
-   one class, named by its smallest doc_id.
+   one class, named by 64 bits of the set's digest.
 2. Every tree orders all classes by its own part of the signature. A range sort
    deals the order out evenly, whatever region is crowded; a scan compares each
    class with up to ``REACH`` before it in its region, which are those with the
@@ -13,7 +13,8 @@
    threshold are confirmed on full sets, strongest first, except pairs that are
    connected already. Large clusters are cut into blocks and compared block
    against block.
-4. Confirmed links are closed into components.
+4. Confirmed links, and those between the sets of one doc_id, are closed into
+   components, named by their smallest doc_id.
 
 Recall: a pair at the threshold shares a region in at least one tree with
 probability 1 - (1 - 0.8**4)**20 > 0.9999.
@@ -26,6 +27,7 @@ component; a null doc_id links with nothing.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,25 +153,31 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def print_of(shingles: np.ndarray) -> tuple[bytes, int]:
+    """The digest of a set, and the name of its class."""
+    found = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return found, int.from_bytes(found[:8], "little", signed=True)
+
+
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """``docs`` (doc_id, text) as (doc_id, n_shingles, fp, sig); fp and sig are null for empty sets."""
-    import hashlib
+    """``docs`` (doc_id, text) as (doc_id, n_shingles, fp, rep, sig); fp, rep and sig are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(utf8(batch.column(1)), n)
             full = [i for i, s in enumerate(sets) if len(s)]
             prints: list = [None] * len(sets)
+            reps: list = [None] * len(sets)
             sigs: list = [None] * len(sets)
             for i, sig in zip(full, signatures([sets[i] for i in full]) if full else (), strict=True):
-                prints[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
+                prints[i], reps[i] = print_of(sets[i])
                 sigs[i] = sig.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())],
-                ["doc_id", "n_shingles", "fp", "sig"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(reps, pa.int64()), pa.array(sigs, pa.binary())],
+                ["doc_id", "n_shingles", "fp", "rep", "sig"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, rep long, sig binary")
 
 
 def forest(classes: DataFrame) -> DataFrame:
@@ -298,9 +306,8 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
     small_batches(spark)
     sketched = written(sketches(docs, n), "sketches")
     usable = sketched.where("fp is not null and doc_id is not null")
-    # One row for each set. Of rows with equal doc_id and unequal sets each set is a class of its own name.
-    classes = usable.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    classes = written(classes.withColumn("rep_fp", F.struct("rep", "fp")).groupBy("rep").agg(F.min_by(F.struct("fp", "n_shingles", "sig"), "fp").alias("c"), F.count("*").alias("sets")).select("rep", "c.*"), "classes")
+    # One row for each set.
+    classes = written(usable.groupBy("fp").agg(F.first("rep").alias("rep"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
 
     rows = written(forest(classes), "forest")
     crowded = rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region")
@@ -323,14 +330,18 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(utf8(batch.column(1)), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([print_of(s)[1] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "shingles"])
 
-    wanted = members.select("rep")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(wanted) if count <= BROADCAST_IDS else wanted, "rep", "left_semi")
+    wanted = members.join(classes.select("rep", "least"), "rep").select(F.col("least").alias("doc_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted) if count <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
     sets = texts.mapInArrow(shingle, "rep long, shingles binary").groupBy("rep").agg(F.min("shingles").alias("shingles"))
     links = written(dealt.join(sets, "rep").groupBy("task").applyInPandas(_confirm_task, "a long, b long"), "links")
-    labels = components(links, "components").select(F.col("node").alias("rep"), "label")
+    least = classes.select("rep", "least")
+    met = links.join(least.select(F.col("rep").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("rep").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    several = usable.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("doc_id")
+    same = usable.select("doc_id", "rep").join(several, "doc_id", "left_semi").distinct().join(least, "rep").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    labels = components(met.unionByName(same), "components").select(F.col("node").alias("least"), "label")
 
-    named = classes.select("fp", "rep").join(labels, "rep", "left").select("fp", F.coalesce("label", "rep").alias("label"))
+    named = classes.select("fp", "least").join(labels, "least", "left").select("fp", F.coalesce("label", "least").alias("label"))
     found = sketched.select("doc_id", "n_shingles", "fp").join(named, "fp", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))

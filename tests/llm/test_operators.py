@@ -95,6 +95,15 @@ def test_near_duplicates_edges(spark, edge_docs, no_docs):
     assert minhash_forest.near_duplicates(no_docs).collect() == []
 
 
+def test_two_texts_of_one_id_are_one_document(spark):
+    one, two, other = ("red green blue", "sun moon star sky", "oak elm ash fir")
+    near = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, one), (5, two), (6, one), (7, two), (3, near), (8, near + " end"), (8, other), (9, other), (4, "alone here now"), (4, None), (6, None)]
+    found = minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()
+    assert len(found) == len(rows)
+    assert {r.doc_id: r.component_id for r in found if r.n_shingles} == {5: 5, 6: 5, 7: 5, 3: 3, 8: 3, 9: 3, 4: 4}
+
+
 def test_large_clusters_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash_forest, "BLOCK_ROWS", 4)
     texts = copies(3)
