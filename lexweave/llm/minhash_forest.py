@@ -8,7 +8,7 @@
    class with up to ``REACH`` before it in its region, which are those with the
    longest common prefix. So the depth adapts: a sparse region is compared
    whole at ``LEAST_DEPTH``, in a crowded one the neighbours agree to a greater
-   depth. The best candidates by estimated similarity connect into clusters.
+   depth. All candidates by estimated similarity connect into clusters.
 3. In each cluster all pairs whose estimate is within five deviations of the
    threshold are confirmed on full sets, strongest first, except pairs that are
    connected already. Large clusters are cut into blocks and compared block
@@ -41,7 +41,7 @@ from lexweave.llm.components import components
 
 SIMILARITY = (80, 100)  # at least 80 / 100
 TREES, DEPTH, LEAST_DEPTH = 20, 5, 4
-REACH, BEST = 256, 3
+REACH = 256
 #: Estimates under these are more than four, or five, deviations below the threshold.
 CANDIDATE, CONFIRM = 0.62, 0.58
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 2_000_000
@@ -225,8 +225,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             old = len(tail[0])
             region, reps, sig = np.concatenate([tail[0], region]), np.concatenate([tail[1], reps]), np.concatenate([tail[2], sig])
         n = len(reps)
-        best = np.full((n, BEST), -1.0, np.float32)
-        partner = np.zeros((n, BEST), np.int64)
+        first, second = [], []
         rows = np.arange(max(old, 1), n)
         for shift in range(1, REACH + 1):
             rows = rows[rows >= shift]
@@ -234,14 +233,10 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(rows):
                 break
             estimate = (sig[rows] == sig[rows - shift]).mean(1)
-            good = estimate >= CANDIDATE
-            at, value = rows[good], estimate[good]
-            worst = best[at].argmin(1)
-            better = value > best[at, worst]
-            at, worst = at[better], worst[better]
-            best[at, worst], partner[at, worst] = value[better], reps[at - shift]
-        hit = best >= 0
-        a, b = np.repeat(reps, BEST)[hit.ravel()], partner.ravel()[hit.ravel()]
+            at = rows[estimate >= CANDIDATE]
+            first.append(reps[at])
+            second.append(reps[at - shift])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (first, second))
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         fresh = []
         for x, y in pairs.tolist():

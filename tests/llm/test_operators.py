@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,6 +96,18 @@ def test_near_duplicates_edges(spark, edge_docs, no_docs):
     assert minhash_forest.near_duplicates(no_docs).collect() == []
 
 
+def test_every_candidate_of_a_region_is_kept():
+    last, far = np.arange(100, dtype=np.uint32), np.arange(100, dtype=np.uint32)
+    far[65:] += 1000
+    near = [np.where(np.arange(100) < 30 + k, last + 5000, last).astype(np.uint32) for k in range(4)]
+    # The first is a candidate of the last alone, the four between are nearer to it.
+    sigs = [far, *near, last]
+    assert all((far == x).mean() < minhash_forest.CANDIDATE < (last == x).mean() for x in near) and (far == last).mean() >= minhash_forest.CANDIDATE
+    columns = [pa.array([7] * 6, pa.int64()), pa.array(range(6), pa.int64()), pa.array(range(10, 16), pa.int64()), pa.array([x.tobytes() for x in sigs], pa.binary())]
+    found = [tuple(r.values()) for b in minhash_forest.scan(iter([pa.RecordBatch.from_arrays(columns, ["region", "rest", "rep", "sig"])])) for r in b.to_pylist()]
+    assert (10, 15) in found and len(found) == 5
+
+
 def test_two_texts_of_one_id_are_one_document(spark):
     one, two, other = ("red green blue", "sun moon star sky", "oak elm ash fir")
     near = " ".join(f"w{i}" for i in range(40))
