@@ -61,6 +61,18 @@ KNOWN = {
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
 }
 
+# Digests of the canonical form of whole texts, as Debian has them in /usr/share/common-licenses.
+DIGESTS = {
+    "Apache-2.0": "59fc4bfd310bca26ce67a2ddcefeb4fe9694a70737d94908f69eeb6d0942dba2",
+    "CC0-1.0": "bd0e52fb1af40ab9797ba72f1d627b83d449e9926f66d21c51209413ac988137",
+    "GPL-2.0": "9aae015a6322bbdec1a61c624a33b2c7d3b56283db1642e6e18d7820d4957b61",
+    "GPL-3.0": "ab75edbf73a72121bdba9fb3af792f1b33a1533edb22a286043c7478d958ee63",
+    "LGPL-2.1": "56d21d93f6012cbd7f1195b72528da245ccf843598ff833a87101eb36863f95b",
+    "LGPL-3.0": "f0cae4b317f4f263dca8e79625f8d9c7618c87e0ca6665c79b0f1c12ac856938",
+    "MPL-1.1": "327a97374ad104383199744cb81e02d549b4aae5d048b7b0d6cd8299513ab0bc",
+    "MPL-2.0": "a90ba5346ad1927fede05edb2d96afdd4948d68d16cef5d29e84239426134356",
+}
+
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text, between single blanks; null if nothing is left."""
@@ -78,7 +90,10 @@ def digest(text: Column) -> Column:
 def known_digests(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """(digest, license_id) of the known texts: a few rows, one for each digest."""
     rows = spark.createDataFrame(sorted((KNOWN if texts is None else texts).items()), "license_id string, body string")
-    return rows.select(digest(F.col("body")).alias("digest"), "license_id").where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    found = rows.select(digest(F.col("body")).alias("digest"), "license_id")
+    if texts is None:
+        found = found.unionByName(spark.createDataFrame([(v, k) for k, v in sorted(DIGESTS.items())], "digest string, license_id string"))
+    return found.where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def find_licenses(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -394,6 +395,15 @@ def test_licenses(spark, no_docs):
     assert licenses.find_licenses(no_docs, licenses.known_digests(spark)).collect() == []
 
 
+def test_whole_licences_by_digest(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-3.0": "GPL-3", "GPL-2.0": "GPL-2", "MPL-2.0": "MPL-2.0"}
+    paths = {k: Path("/usr/share/common-licenses", v) for k, v in files.items()}
+    if not all(p.exists() for p in paths.values()):
+        pytest.skip("no licence texts on this machine")
+    got = licenses.find_licenses(docs(spark, [p.read_text() for p in paths.values()]), licenses.known_digests(spark)).collect()
+    assert [r.license_id for r in sorted(got, key=lambda r: r.doc_id)] == list(paths)
+
+
 # 8. Context-tree weighting
 
 
