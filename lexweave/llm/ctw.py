@@ -10,24 +10,33 @@ mixes the estimates of all depths: a node's weighted probability is half its own
 estimate and half the product of its children's. The end of a text is the empty
 word. A text's probability is the product over its tokens.
 
-The tree is learned from counts of all training tokens. Contexts that share
-their last two bytes are weighed together in one task, on distinct (context,
-byte) pairs with counts; depths 0 and 1 have at most 65,536 entries and are
-weighed on the driver. A token is counted
-and scored together with the ``DEPTH`` bytes before it, so each distinct pair of
-these once. Those above a count threshold chosen so that at most
-``FREQUENT`` pass are broadcast; all others meet their scores by a join, so no
-frequent token is ever shuffled and no rare one is left out.
+1. Texts are dealt to blocks of about ``BLOCK_BYTES``; long ones are cut between
+   words. A block keeps its texts, and each of its distinct words and distinct
+   (context, byte) keys once, with their counts in training texts, dealt to
+   parts by hash. Keys with the same last three context bytes share a part.
+2. Each part adds up the counts of all blocks. It weighs depths 3 to ``DEPTH``
+   of its trees and gives what they weigh to depth 2. Depths 0 to 2 have at most
+   65,536 contexts with 255 nodes each; they are weighed on the driver.
+3. Each part mixes all depths for its keys and answers every block, with the
+   code length of each of the block's keys and the count of each of its words.
+4. Each block adds up the answers along its texts.
+
+So no text meets the whole model and no task holds it: what a task holds is one
+block, or one part, whose number follows ``spark.sql.shuffle.partitions``. What
+is learned has no bound but the distinct keys and words of the training texts.
 
 Edge cases: a null text is empty and has the end alone; without training rows
-all counts are 0 and the model is uniform; repeated rows are scored each and
-count each; a text of any length is read whole.
+all counts are 0 and the model is uniform; repeated rows, also those of one
+doc_id, are scored each and count each; a null doc_id is scored like any other;
+a text of any length is read whole; of ``docs`` only
+doc_id and text are read, so that no other column can clash; no rows give no rows.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -37,102 +46,197 @@ from pyspark.sql import functions as F
 from lexweave.llm.common import small_batches, utf8, written
 
 DEPTH = 6
+#: Contexts of so many bytes at least are weighed in the parts, shorter ones on the driver.
+LOWER = 3
 CLOSE = 0x0A  # a byte that no word has
 FIRST_MARK = 0xF8  # the opening mark: a byte that no UTF-8 text has
-#: Tokens in the broadcast dictionary, at most.
-FREQUENT = 250_000
-#: (context, byte) pairs in a broadcast table, at most (12 bytes each); beyond, tokens meet them by a join.
-BROADCAST_PAIRS = 6_000_000
-HELD_TOKENS = 400_000
+BLOCK_BYTES, CHUNK_BYTES = 16 << 20, 2 << 20
+#: Parts to a shuffle partition, so that parts of uneven size even out.
+PARTS = 2
 NODE = 256
+# What a row is; texts come after the answers that they need, blocks after the model.
+KEY_MODEL, WORD_MODEL, BLOCK_KEYS, BLOCK_WORDS, TEXT, NODES = range(6)
+
+DEALT = "block long, kind int, part int, data binary, counts binary, uid long, doc_id long, held boolean, text binary"
+MODEL = "part int, kind int, data binary, counts binary, total long, known long, node long, zeros double, ones double, below double"
+
+
+def spelled(text: bytes) -> bytes:
+    """The opening mark, and each word of a lower-cased text and its end with a closing mark."""
+    # Words are runs of bytes other than 0x20 and 0x09 to 0x0D.
+    return b"%c%b%c" % (FIRST_MARK, bytes([CLOSE]).join([*text.split(), b""]), CLOSE)
+
+
+def pieces(text: bytes) -> Iterator[tuple[int, bytes]]:
+    """(lead, part of a spelled text): cut after closing marks; the first ``lead`` bytes are context only."""
+    at = 1
+    while at < len(text):
+        stop = text.find(CLOSE, at + CHUNK_BYTES) + 1 if len(text) - at > CHUNK_BYTES else 0
+        stop = stop or len(text)
+        lead = min(at, DEPTH)
+        yield lead, text[at - lead : stop]
+        at = stop
+
+
+def keys_of(parts: list[tuple[int, bytes]]) -> np.ndarray:
+    """A key for each byte of the pieces: its context, the nearest byte first, then the byte; 56 bits."""
+    data = np.frombuffer(b"".join(b"%b%b" % (bytes(DEPTH), p) for _, p in parts), np.uint8)
+    mark = np.ones(len(data), bool)
+    at = 0
+    for lead, p in parts:
+        mark[at : at + DEPTH + lead] = False
+        at += DEPTH + len(p)
+    one = data.astype(np.int64)
+    two = one << 8
+    two[1:] |= one[:-1]
+    six = two << 32
+    six[2:] |= two[:-2] << 16
+    six[4:] |= two[:-4]
+    one[1:] |= six[:-1] << 8
+    return one[mark]
+
+
+def chunked(parts: list[tuple[int, bytes]]) -> Iterator[list[tuple[int, bytes]]]:
+    """The pieces in groups of about ``CHUNK_BYTES``; a long word is cut."""
+    held, size = [], 0
+    for lead, p in parts:
+        at = lead
+        while at < len(p):
+            stop = min(len(p), at + 2 * CHUNK_BYTES)
+            before = lead if at == lead else DEPTH
+            held.append((before, p[at - before : stop]))
+            size += stop - at
+            at = stop
+            if size >= CHUNK_BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with the sums of their counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts[order], first)
+
+
+def distinct(parts: list[tuple[int, bytes]], weight: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct keys of each chunk of the pieces, with ``weight`` times their counts."""
+    out = []
+    for chunk in chunked(parts):
+        keys = np.sort(keys_of(chunk))
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        out.append((keys[first], weight * np.diff(np.append(first, len(keys)))))
+    return out
 
 
-def words(text: bytes) -> list[bytes]:
-    """Runs of bytes other than 0x20 and 0x09 to 0x0D, of a lower-cased text."""
-    return text.split()
+_ZSTD = pa.Codec("zstd")
 
 
-def units(text: bytes) -> list[tuple[bytes, bytes]]:
-    """(word, the word after the ``DEPTH`` bytes before it) of each word of a lower-cased text and of its end."""
-    found, at, out = [*words(text), b""], 1, []
-    whole = b"%c%b" % (FIRST_MARK, bytes([CLOSE]).join(found))
-    for word in found:
-        out.append((word, whole[max(0, at - DEPTH) : at + len(word)]))
-        at += len(word) + 1
-    return out
+def packed(numbers: np.ndarray) -> bytes:
+    """Integers, byte by byte of equal weight, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<i8")).view(np.uint8).reshape(-1, 8).T
+    return len(numbers).to_bytes(8, "little") + _ZSTD.compress(planes.tobytes(), asbytes=True)
 
 
-def token_counts(docs: DataFrame, training: Column) -> DataFrame:
-    """(token, word, c) for every token, with its context before it, of any text; c counts the training texts only."""
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(_ZSTD.decompress(data[8:], 8 * n, asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
 
-        def flush() -> pa.RecordBatch:
-            columns = [pa.array([t for _, t in seen], pa.binary()), pa.array([w for w, _ in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())]
-            seen.clear()
-            return pa.RecordBatch.from_arrays(columns, ["token", "word", "c"])
+def packed_keys(keys: np.ndarray) -> bytes:
+    return packed(np.diff(keys, prepend=0))
 
-        for batch in batches:
-            for text, train in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                found = units(text.lower())
-                if train:
-                    seen.update(found)
-                else:
-                    for unit in found:
-                        seen[unit] += 0
-                if len(seen) > HELD_TOKENS:
-                    yield flush()
-        yield flush()
-
-    return docs.select("text", training.alias("train")).mapInArrow(run, "token binary, word binary, c long").groupBy("token", "word").agg(F.sum("c").alias("c"))
-
-
-def spelled(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (context << 8 | byte) of every byte after a token's last mark, and each token's first key."""
-    data = np.frombuffer(b"".join(b"%b%c" % (t, CLOSE) for t in tokens), np.uint8).astype(np.int64)
-    lengths = np.array([len(t) + 1 for t in tokens], np.int64)
-    ends = np.cumsum(lengths)
-    starts = ends - lengths
-    place = np.arange(len(data)) - np.repeat(starts, lengths)
-    keys = data.copy()
-    for k in range(1, DEPTH + 1):
-        older = np.zeros_like(data)
-        older[k:] = data[:-k]
-        keys |= np.where(place >= k, older, 0) << (8 * k)
-    # What is before the word ends with an opening or a closing mark; the closing mark at the end is the word's own.
-    marked = (data == FIRST_MARK) | (data == CLOSE)
-    marked[ends - 1] = False
-    marks = np.flatnonzero(marked)
-    before = marks[np.searchsorted(marks, ends) - 1] - starts + 1 if len(tokens) else lengths
-    return keys[place >= np.repeat(before, lengths)], starts - (np.cumsum(before) - before)
-
-
-def pair_counts(vocabulary: DataFrame) -> DataFrame:
-    """(key, n): how often training tokens have a byte after a context; 0 where only other tokens do."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data))
+
+
+def packed_words(words: list[bytes]) -> bytes:
+    flat = bytes([CLOSE]).join(words)
+    return len(flat).to_bytes(8, "little") + _ZSTD.compress(flat, asbytes=True)
+
+
+def unpacked_words(data: bytes) -> list[bytes]:
+    """The words, of which there is at least one; the empty word is one too."""
+    return _ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True).split(bytes([CLOSE]))
 
-        def flush() -> pa.RecordBatch:
-            keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            counts = np.zeros(len(keys), np.int64)
-            np.add.at(counts, inverse, np.concatenate([c for _, c in held]))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key, by the last ``LOWER`` bytes of its context."""
+    near = (keys >> (8 * (DEPTH + 1 - LOWER))).astype(np.uint64)
+    return ((near * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+def batch_of(schema: str, rows: list[dict]) -> pa.RecordBatch:
+    """Rows as an Arrow batch; what a row has no value for is null."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[k]) for n, k in fields], [n for n, _ in fields])
+
+
+def dealt(docs: DataFrame, held_out: Column, parts: int) -> DataFrame:
+    """The rows of ``DEALT``: each block's texts, its words and its keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[dict] = []
+        train: list[tuple[int, bytes]] = []
+        other: list[tuple[int, bytes]] = []
+        words: Counter = Counter()
+        unseen: set[bytes] = set()
+        size, number, task = 0, 0, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal size, number
+            block = (task << 32) | number
+            for i in range(0, len(texts), 256):
+                yield batch_of(DEALT, [r | {"block": block, "kind": TEXT} for r in texts[i : i + 256]])
+            found = distinct(train, 1) + distinct(other, 0)
+            keys, counts = summed(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))
+            where = part_of(keys, parts)
+            order = np.argsort(where, kind="stable")
+            keys, counts, where = keys[order], counts[order], where[order]
+            edges = [*np.flatnonzero(np.diff(where, prepend=-1)), len(keys)]
+            rows = [{"block": block, "kind": BLOCK_KEYS, "part": int(where[i]), "data": packed_keys(keys[i:j]), "counts": packed(counts[i:j])} for i, j in zip(edges, edges[1:], strict=False)]
+            by_part: dict[int, list[bytes]] = {}
+            for w in words.keys() | unseen:
+                by_part.setdefault(crc32(w) % parts, []).append(w)
+            rows += [{"block": block, "kind": BLOCK_WORDS, "part": p, "data": packed_words(ws), "counts": packed(np.array([words.get(w, 0) for w in ws], np.int64))} for p, ws in by_part.items()]
+            yield batch_of(DEALT, rows)
+            for held in (texts, train, other, words, unseen):
+                held.clear()
+            size, number = 0, number + 1
 
         for batch in batches:
-            tokens, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-            if not tokens:
-                continue
-            keys, starts = spelled(tokens)
-            held.append((keys, np.repeat(counts, np.diff([*starts, len(keys)]))))
-            if sum(len(k) for k, _ in held) > 2_000_000:
-                yield flush()
-        if held:
-            yield flush()
+            columns = [batch.column(i).to_pylist() for i in (0, 1, 2, 4)]
+            for part, uid, doc, held, text in zip(*columns, utf8(batch.column(3)), strict=True):
+                task = part
+                whole = spelled(text.lower())
+                for lead, piece in pieces(whole):
+                    texts.append({"uid": uid, "doc_id": doc, "held": held, "part": lead, "text": piece})
+                    found = piece[lead:-1].split(bytes([CLOSE]))
+                    if held:
+                        other.append((lead, piece))
+                        unseen.update(found)
+                    else:
+                        train.append((lead, piece))
+                        words.update(found)
+                    size += len(piece)
+                    if size >= BLOCK_BYTES:
+                        yield from flush()
+        if size:
+            yield from flush()
 
-    return vocabulary.select("token", "c").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    # Very small input partitions are read together, for blocks of a sensible size.
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    few = docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // BLOCK_BYTES)))
+    rows = few.select(F.spark_partition_id(), F.monotonically_increasing_id(), F.col("doc_id").cast("long"), "text", F.coalesce(held_out, F.lit(False)))
+    return rows.mapInArrow(run, DEALT)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -144,216 +248,296 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
+_SMALL = np.arange(4096, dtype=np.float64)
+_SMALL_HALF, _SMALL_ONE = log_gamma(_SMALL + 0.5), log_gamma(_SMALL + 1)
+
+
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """ln of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
-    return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1) - np.log(np.pi)
-
-
-def choices(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte its eight nodes in the binary decomposition and the bits taken."""
-    k = np.arange(8)
-    return (1 << k)[None, :] | (byte[:, None] >> (8 - k)[None, :]), (byte[:, None] >> (7 - k)[None, :]) & 1
-
-
-def weigh(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Depths 2 to DEPTH of the trees over whole groups of contexts with equal last two bytes.
-
-    Gives the mixed probability of each of the eight choices of each key, and
-    the nodes of depth 2 with the logarithms of their weighted probabilities.
-    """
-    context, n = keys >> 8, counts.astype(np.float64)
-    nodes, bits = choices(keys & 255)
-    columns, names, weights = [], [], []
-    # The nodes of each of the eight choices are apart from those of the others.
-    for node, bit in zip(nodes.T, bits.T, strict=True):
-        mixed = children = child_of = None
-        for depth in range(DEPTH, 1, -1):
-            ids, first, inverse = np.unique((context & ((1 << (8 * depth)) - 1)) * NODE + node, return_index=True, return_inverse=True)
-            ones = np.bincount(inverse, n * bit, len(ids))
-            zeros = np.bincount(inverse, n, len(ids)) - ones
-            own = log_kt(zeros, ones)
-            estimate = (np.where(bit, ones[inverse], zeros[inverse]) + 0.5) / (zeros + ones + 1)[inverse]
-            if mixed is None:
-                weighted, mixed = own, estimate
-            else:
-                below = np.bincount(inverse[child_of], children, len(ids))
-                weighted = np.logaddexp(own, below) - np.log(2)
-                share = np.exp(np.minimum(own - np.log(2) - weighted, 0))[inverse]
-                mixed = share * estimate + (1 - share) * mixed
-            children, child_of = weighted, first
-        columns.append(mixed)
-        names.append(ids)
-        weights.append(weighted)
-    return np.stack(columns, 1), np.concatenate(names), np.concatenate(weights)
+    n = n0 + n1
+    low = np.minimum(n, len(_SMALL) - 1).astype(np.int64)
+    out = _SMALL_HALF[np.minimum(n0, len(_SMALL) - 1).astype(np.int64)] + _SMALL_HALF[np.minimum(n1, len(_SMALL) - 1).astype(np.int64)] - _SMALL_ONE[low]
+    big = np.flatnonzero(n >= len(_SMALL))
+    out[big] = log_gamma(n0[big] + 0.5) + log_gamma(n1[big] + 0.5) - log_gamma(n[big] + 1)
+    return out - np.log(np.pi)
+
+
+def halved(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weighted probabilities of nodes with children, in logarithms, and the share of their own estimates."""
+    weighted = np.logaddexp(own, below) - np.log(2)
+    return weighted, np.exp(np.minimum(own - np.log(2) - weighted, 0))
+
+
+class Level:
+    """The distinct (context, byte) pairs of one depth in order, and where those of the next depth belong."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, within: np.ndarray | None = None):
+        self.keys, self.n, self.within = keys, n, within
+
+    def above(self, depth: int) -> Level:
+        """The level of one byte less of context; ``depth`` is this one's."""
+        shorter = (self.keys >> 16 << 8) | (self.keys & 255) if depth else self.keys
+        keys, within = np.unique(shorter, return_inverse=True)
+        return Level(keys, np.bincount(within, self.n, len(keys)), within)
+
+    def choice(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The nodes of the ``k``-th choice: first pair, run of each pair, zeros, ones, and each pair's bit."""
+        node = self.keys >> (8 - k)
+        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(node))))
+        bit = (self.keys >> (7 - k)) & 1
+        ones = np.add.reduceat(self.n * bit, first)
+        return first, run, np.add.reduceat(self.n, first) - ones, ones, bit
+
+
+def levels(keys: np.ndarray, n: np.ndarray) -> list[Level]:
+    """Levels of depth ``DEPTH`` down to ``LOWER - 1`` of sorted keys."""
+    out = [Level(keys, n.astype(np.float64))]
+    for depth in range(DEPTH, LOWER - 1, -1):
+        out.append(out[-1].above(depth))
+    return out
 
 
-def grow(pairs: DataFrame) -> DataFrame:
-    """Rows (key, mixed) for pairs and (node, weighted) for nodes of depth 2."""
+def node_ids(keys: np.ndarray, k: int) -> np.ndarray:
+    """Names of the nodes of the ``k``-th choice of (context, byte) pairs."""
+    return (keys >> 8) * NODE + ((1 << k) | ((keys & 255) >> (8 - k)))
+
+
+def weigh(tree: list[Level], k: int) -> tuple[list[tuple], np.ndarray]:
+    """For the ``k``-th choice, bottom up: each level's runs, bits, counts and shares, and the last level's sums from below."""
+    seen, below, starts = [], None, None
+    for level in tree:
+        first, run, zeros, ones, bit = level.choice(k)
+        if below is None:
+            weighted, share = log_kt(zeros, ones), None
+        else:
+            under = np.bincount(run[level.within[starts]], below, len(first))
+            if level is tree[-1]:
+                return seen, under
+            weighted, share = halved(log_kt(zeros, ones), under)
+        seen.append((level, run, bit, zeros, ones, share))
+        below, starts = weighted, first
+    raise AssertionError("no level")
+
+
+def upward(keys: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    """What whole subtrees of depth ``LOWER`` give the nodes of one byte less: counts and weights."""
+    tree = levels(keys, n)
+    nodes, zeros, ones, below = [], [], [], []
+    for k in range(8):
+        first, _, z, o, _ = tree[-1].choice(k)
+        nodes.append(node_ids(tree[-1].keys[first], k))
+        zeros.append(z)
+        ones.append(o)
+        below.append(weigh(tree, k)[1])
+    return {"node": np.concatenate(nodes), "zeros": np.concatenate(zeros), "ones": np.concatenate(ones), "below": np.concatenate(below)}
+
+
+def code_lengths(keys: np.ndarray, n: np.ndarray, upper: dict[str, np.ndarray]) -> np.ndarray:
+    """log10 of each key's mixed probability, over all depths."""
+    tree = levels(keys, n)
+    total = np.zeros(len(keys))
+    for k in range(8):
+        top = tree[-1].keys
+        at = np.searchsorted(upper["node"], node_ids(top, k))
+        told, rest = np.where((top >> (7 - k)) & 1, upper["one"][at], upper["zero"][at]), upper["rest"][at]
+        within = tree[-1].within
+        for level, run, bit, zeros, ones, share in reversed(weigh(tree, k)[0]):
+            told, rest = told[within], rest[within]
+            estimate = (np.where(bit, ones[run], zeros[run]) + 0.5) / (zeros + ones + 1)[run]
+            if share is None:
+                total += np.log10(told + rest * estimate)
+            else:
+                told, rest, within = told + rest * share[run] * estimate, rest * (1 - share[run]), level.within
+    return total
+
+
+def upper_levels(sums: pa.Table) -> dict[str, np.ndarray]:
+    """Depths 0 to ``LOWER - 1`` of nodes (node, zeros, ones, below), told as what each adds to a choice of 0 or 1 and leaves to longer contexts."""
+    node = sums.column("node").to_numpy()
+    order = np.argsort(node)
+    node = node[order]
+    zeros, ones, below = (sums.column(c).to_numpy()[order].astype(np.float64) for c in ("zeros", "ones", "below"))
+    seen, ids, inverse = [], node, np.arange(len(node))
+    for depth in range(LOWER - 1, -1, -1):
+        weighted, share = halved(log_kt(zeros, ones), below)
+        seen.append((share[inverse], ((zeros + 0.5) / (zeros + ones + 1))[inverse], ((ones + 0.5) / (zeros + ones + 1))[inverse]))
+        if depth:
+            # The oldest byte of a node's context goes.
+            ids, up = np.unique((ids // NODE >> 8) * NODE + ids % NODE, return_inverse=True)
+            zeros, ones, below = (np.bincount(up, x, len(ids)) for x in (zeros, ones, weighted))
+            inverse = up[inverse]
+    zero, one, rest = np.zeros(len(node)), np.zeros(len(node)), np.ones(len(node))
+    for share, at0, at1 in reversed(seen):
+        zero, one, rest = zero + rest * share * at0, one + rest * share * at1, rest * (1 - share)
+    return {"node": node, "zero": zero, "one": one, "rest": rest}
+
+
+def learned(blocks: DataFrame) -> DataFrame:
+    """The rows of ``MODEL``: each part's keys and words with their counts, and its sums for nodes of depth ``LOWER - 1``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not held:
-            return
-        keys = np.concatenate([k for k, _ in held])
-        mixed, nodes, weighted = weigh(keys, np.concatenate([c for _, c in held]))
-        flat = mixed.astype("<f4").tobytes()
-        names, step = ["key", "mixed", "node", "weighted"], 20_000
-        for i in range(0, len(keys), step):
-            part = keys[i : i + step]
-            blobs = [flat[32 * j : 32 * j + 32] for j in range(i, i + len(part))]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(blobs, pa.binary()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.float64())], names)
-        # The oldest byte of a node's context goes: what is left names its parent of depth 1.
-        parents, inverse = np.unique(nodes % (NODE * 256), return_inverse=True)
-        total = np.bincount(inverse, weighted, len(parents))
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(parents), pa.int64()), pa.nulls(len(parents), pa.binary()), pa.array(parents), pa.array(total)], names)
-
-    tail = F.col("key").bitwiseAND(0xFFFF00)
-    return pairs.repartition(tail).mapInArrow(run, "key long, mixed binary, node long, weighted double")
-
-
-def shallow(pairs: DataFrame, grown: DataFrame) -> dict[str, np.ndarray]:
-    """Depths 0 and 1: weights and counts of at most 65,536 nodes."""
-    sums = pairs.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("k")).agg(F.sum("n").alias("n")).collect()
-    below = grown.where("node is not null").groupBy("node").agg(F.sum("weighted").alias("w")).collect()
-    k = np.array([r["k"] for r in sums], np.int64)
-    n = np.array([r["n"] for r in sums], np.float64)
-    node, bit = choices(k & 255)
-    counts = np.zeros((2, 256 * NODE))
-    for b in (0, 1):
-        np.add.at(counts[b], ((k >> 8)[:, None] * NODE + node)[bit == b], np.repeat(n, 8).reshape(-1, 8)[bit == b])
-    under = np.zeros(256 * NODE)
-    for r in below:
-        under[r["node"]] = r["w"]
-    own1 = log_kt(counts[0], counts[1])
-    weighted1 = np.logaddexp(own1, under) - np.log(2)
-    top = counts.reshape(2, 256, NODE).sum(1)
-    own0 = log_kt(top[0], top[1])
-    weighted0 = np.logaddexp(own0, weighted1.reshape(256, NODE).sum(0)) - np.log(2)
-    return {
-        "counts1": counts, "counts0": top,
-        "share1": np.exp(np.minimum(own1 - np.log(2) - weighted1, 0)), "share0": np.exp(np.minimum(own0 - np.log(2) - weighted0, 0)),
-    }
-
-
-def code_lengths(grown: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """(key, lp): log10 of the mixed probability of a byte after its context."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        words: Counter = Counter()
+        now, size = None, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = []
+            if held:
+                keys, counts = summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+                rows.append({"part": now, "kind": KEY_MODEL, "data": packed_keys(keys), "counts": packed(counts)})
+                sums = upward(keys, counts)
+                n = len(sums["node"])
+                columns = {"kind": pa.array([NODES] * n, pa.int32())} | {c: pa.array(v) for c, v in sums.items()}
+                empty = batch_of(MODEL, [{}] * n)
+                yield pa.RecordBatch.from_arrays([columns.get(f.name, empty.column(i)) for i, f in enumerate(empty.schema)], empty.schema.names)
+            if words:
+                numbers = np.array(list(words.values()), np.int64)
+                rows.append({"part": now, "kind": WORD_MODEL, "data": packed_words(list(words)), "counts": packed(numbers), "total": int(numbers.sum()), "known": int((numbers > 0).sum())})
+            held.clear()
+            words.clear()
+            yield batch_of(MODEL, rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            mixed = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<f4").reshape(-1, 8).astype(np.float64)
-            node, bit = choices(keys & 255)
-            at = ((keys >> 8) & 255)[:, None] * NODE + node
-            for counts, share, where in ((model["counts1"], model["share1"], at), (model["counts0"], model["share0"], node)):
-                zeros, ones = counts[0][where], counts[1][where]
-                estimate = (np.where(bit, ones, zeros) + 0.5) / (zeros + ones + 1)
-                mixed = share[where] * estimate + (1 - share[where]) * mixed
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.log10(mixed).sum(1))], ["key", "lp"])
-
-    return grown.where("key is not null").select("key", "mixed").mapInArrow(run, "key long, lp double")
-
-
-def token_scores(vocabulary: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(token, own, c, lp): the counts of the token after its context and of its word, and log10 of the model's probability."""
-    spark = vocabulary.sparkSession
-    vocabulary = vocabulary.select("token", F.col("c").alias("own"), F.col("total").alias("c"))
-    if lengths.count() <= BROADCAST_PAIRS:
-        table = lengths.toArrow()
-        keys, values = table.column(0).to_numpy(), table.column(1).to_numpy().astype(np.float32)
-        order = np.argsort(keys)
-        shared = spark.sparkContext.broadcast((keys[order], values[order]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, lp = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                found, starts = spelled(batch.column(0).to_pylist())
-                scores = np.add.reduceat(lp[np.searchsorted(known, found)].astype(np.float64), starts)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], ["token", "own", "c", "lp"])
-
-        return vocabulary.mapInArrow(run, "token binary, own long, c long, lp double")
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, kind, data, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    if now is not None:
+                        yield from flush()
+                    now, size = part, 0
+                if kind == BLOCK_KEYS:
+                    held.append((unpacked_keys(data), unpacked(counts)))
+                    size += len(held[-1][0])
+                    if size > 2 * len(held[0][0]) + (1 << 20):
+                        held[:] = [summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
+                        size = len(held[0][0])
+                else:
+                    for word, n in zip(unpacked_words(data), unpacked(counts).tolist(), strict=True):
+                        words[word] += n
+        if now is not None:
+            yield from flush()
+
+    rows = blocks.where(F.col("kind").isin(BLOCK_KEYS, BLOCK_WORDS)).select("part", "kind", "data", "counts")
+    return rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, MODEL)
+
+
+def answered(blocks: DataFrame, model: DataFrame, upper: dict[str, np.ndarray]) -> DataFrame:
+    """(block, kind, part, data, counts): each block's keys with code lengths (doubles) and words with counts in ``counts``."""
+    shared = blocks.sparkSession.sparkContext.broadcast(upper)
+    schema = "block long, kind int, part int, data binary, counts binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = lengths = None
+        known: dict[bytes, int] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            found, starts = spelled(batch.column(0).to_pylist())
-            row = np.repeat(np.arange(batch.num_rows), np.diff([*starts, len(found)]))
-            yield pa.RecordBatch.from_arrays([*(x.take(pa.array(row)) for x in batch.columns), pa.array(found)], ["token", "own", "c", "key"])
+            rows = []
+            for part, kind, block, data, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == KEY_MODEL:
+                    keys = unpacked_keys(data)
+                    lengths = code_lengths(keys, unpacked(counts), shared.value)
+                elif kind == WORD_MODEL:
+                    known = dict(zip(unpacked_words(data), unpacked(counts).tolist(), strict=True))
+                elif kind == BLOCK_KEYS:
+                    found = lengths[np.searchsorted(keys, unpacked_keys(data))]
+                    rows.append({"block": block, "kind": kind, "part": part, "data": data, "counts": found.astype("<f8").tobytes()})
+                else:
+                    found = np.array([known[w] for w in unpacked_words(data)], np.int64)
+                    rows.append({"block": block, "kind": kind, "part": part, "data": data, "counts": packed(found)})
+            yield batch_of(schema, rows)
 
-    spelt = vocabulary.mapInArrow(spell, "token binary, own long, c long, key long")
-    return spelt.join(lengths, "key").groupBy("token").agg(F.first("own").alias("own"), F.first("c").alias("c"), F.sum("lp").alias("lp"))
+    asked = blocks.where(F.col("kind").isin(BLOCK_KEYS, BLOCK_WORDS)).select("part", "kind", "block", "data")
+    told = model.where(F.col("kind").isin(KEY_MODEL, WORD_MODEL)).select("part", "kind", F.lit(None).cast("long").alias("block"), "data", "counts")
+    rows = told.unionByName(asked.withColumn("counts", F.lit(None).cast("binary")))
+    return rows.repartition("part").sortWithinPartitions("part", "kind", "block").mapInArrow(run, schema)
 
 
-def frequent_tokens(scored: DataFrame) -> tuple[int, dict[bytes, tuple[int, float]]]:
-    """The least count that at most FREQUENT tokens reach, and these tokens."""
-    by_size = scored.where("own > 0").groupBy(F.floor(F.log2("own") * 8).alias("size")).agg(F.count("*").alias("n"), F.min("own").alias("least")).collect()
-    total, least = 0, None
-    for r in sorted(by_size, key=lambda r: -r["size"]):
-        total += r["n"]
-        if total > FREQUENT:
-            break
-        least = r["least"]
-    if least is None:
-        return 2**62, {}
-    rows = scored.where(F.col("own") >= least).toArrow().to_pydict()
-    return least, dict(zip(rows["token"], zip(rows["c"], rows["lp"], strict=True), strict=True))
+SUMS = "uid long, doc_id long, held boolean, n_tokens long, n_known long, base double, lp double"
 
 
-PARTS = "uid long, doc_id long, held boolean, token binary, tf long, known long, base double, lp double"
+def added(blocks: DataFrame, answers: DataFrame, total: int, known: int) -> DataFrame:
+    """The rows of ``SUMS``, one for each piece of a text."""
+    base = float(total + 0.5 * (known + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        keys: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        words: dict[bytes, float] = {}
+        unknown = float(np.log10(0.5 / base))
+        waiting: list[tuple] = []
+        size = 0
+
+        def ready() -> None:
+            """The block's answers in order of keys."""
+            if len(keys) > 1:
+                both = np.concatenate(keys)
+                order = np.argsort(both)
+                keys[:], lengths[:] = [both[order]], [np.concatenate(lengths)[order]]
+
+        def flush() -> pa.RecordBatch:
+            nonlocal size
+            ready()
+            sums = np.zeros(len(waiting))
+            for i, (*_, lead, piece) in enumerate(waiting):
+                if len(piece) - lead > 2 * CHUNK_BYTES:
+                    # A word longer than a chunk.
+                    sums[i] = sum(float(look(part).sum()) for part in chunked([(lead, piece)]))
+            short = [(i, lead, piece) for i, (*_, lead, piece) in enumerate(waiting) if len(piece) - lead <= 2 * CHUNK_BYTES]
+            if short:
+                spread = look([(lead, piece) for _, lead, piece in short])
+                ends = np.cumsum([len(piece) - lead for _, lead, piece in short])
+                sums[[i for i, _, _ in short]] = np.add.reduceat(spread, np.concatenate([[0], ends[:-1]]))
+            tokens = [piece[lead:-1].split(bytes([CLOSE])) for *_, lead, piece in waiting]
+            numbers = [len(t) for t in tokens]
+            logs = np.fromiter((words[w] for t in tokens for w in t), np.float64, sum(numbers))
+            starts = np.concatenate([[0], np.cumsum(numbers)[:-1]])
+            columns = [pa.array([w[c] for w in waiting], k) for c, k in ((0, pa.int64()), (1, pa.int64()), (2, pa.bool_()))]
+            columns += [pa.array(numbers, pa.int64()), pa.array(np.add.reduceat((logs > unknown).astype(np.int64), starts)), pa.array(np.add.reduceat(logs, starts)), pa.array(sums)]
+            waiting.clear()
+            size = 0
+            return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SUMS.split(", ")])
+
+        def look(parts: list[tuple[int, bytes]]) -> np.ndarray:
+            asked = keys_of(parts)
+            order = np.argsort(asked)
+            out = np.empty(len(asked))
+            out[order] = lengths[0][np.searchsorted(keys[0], asked[order])]
+            return out
+
+        for batch in batches:
+            for block, kind, part, data, counts, uid, doc, held, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != now:
+                    if waiting:
+                        yield flush()
+                    keys, lengths, words, now = [], [], {}, block
+                if kind == BLOCK_KEYS:
+                    keys.append(unpacked_keys(data))
+                    lengths.append(np.frombuffer(counts, "<f8"))
+                elif kind == BLOCK_WORDS:
+                    words.update(zip(unpacked_words(data), np.log10((unpacked(counts) + 0.5) / base).tolist(), strict=True))
+                else:
+                    waiting.append((uid, doc, held, part, text))
+                    size += len(text)
+                    if size >= CHUNK_BYTES:
+                        yield flush()
+        if waiting:
+            yield flush()
+
+    texts = blocks.where(F.col("kind") == TEXT).select("block", "kind", "part", F.lit(None).cast("binary").alias("data"), F.lit(None).cast("binary").alias("counts"), "uid", "doc_id", "held", "text")
+    nothing = {"uid": "long", "doc_id": "long", "held": "boolean", "text": "binary"}
+    rows = answers.select("*", *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()]).unionByName(texts)
+    return rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, SUMS)
 
 
 def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     """Each document with its counts, its base score and the model's score."""
     spark = docs.sparkSession
     small_batches(spark)
-    counted = written(token_counts(docs, ~held_out), "token-counts")
-    totals = written(counted.groupBy("word").agg(F.sum("c").alias("total")), "words")
-    vocabulary = written(counted.join(totals, "word").select("token", "c", "total"), "vocabulary")
-    n = totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()["n"]
-    v = totals.where("total > 0").count()
-    pairs = written(pair_counts(vocabulary), "pairs")
-    grown = written(grow(pairs), "tree")
-    lengths = written(code_lengths(grown, shallow(pairs, grown)), "code-lengths")
-    scored = written(token_scores(vocabulary, lengths), "token-scores")
-    least, frequent = frequent_tokens(scored)
-    base = float(n + 0.5 * (v + 1))
-    table = {t: (float(np.log10((c + 0.5) / base)), lp) for t, (c, lp) in frequent.items()}
-    shared = spark.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value.get
-        for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for uid, doc, text, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                text = text.lower()
-                found, total, in_base, in_model = units(text), 0, 0.0, 0.0
-                for token, tf in Counter(t for _, t in found).items():
-                    hit = known(token)
-                    if hit is None:
-                        for column, value in zip(out, (uid, None, None, token, tf, 0, 0.0, 0.0), strict=True):
-                            column.append(value)
-                    else:
-                        total += tf
-                        in_base += tf * hit[0]
-                        in_model += tf * hit[1]
-                for column, value in zip(out, (uid, doc, held, None, len(found), total, in_base, in_model), strict=True):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], [p.split()[0] for p in PARTS.split(", ")])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text", held_out.alias("held"))
-    parts = written(rows.mapInArrow(run, PARTS), "text-parts")
-    whole = parts.where("token is null").select("uid", "doc_id", "held", F.col("tf").alias("n_tokens"), "known", "base", "lp")
-    rare = parts.where("token is not null").select("uid", "token", "tf").join(scored.where(F.col("own") < least), "token")
-    sums = rare.groupBy("uid").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("known2"),
-        F.sum(F.col("tf") * F.log10((F.col("c") + 0.5) / base)).alias("base2"),
-        F.sum(F.col("tf") * F.col("lp")).alias("lp2"),
-    )
-    add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return whole.join(sums, "uid", "left").select(
-        "doc_id", F.col("held").alias("held_out"), "n_tokens", add("known", "known2").cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), add("base", "base2").alias("base_score"), add("lp", "lp2").alias("score"),
-    )
+    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = written(dealt(docs, held_out, parts), "blocks")
+    model = written(learned(blocks), "context-trees")
+    counted = model.where(F.col("kind") == WORD_MODEL).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("known"), F.lit(0)).alias("v")).first()
+    nodes = model.where(F.col("kind") == NODES).groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below"))
+    upper = upper_levels(nodes.toArrow())
+    sums = added(blocks, answered(blocks, model, upper), counted["n"], counted["v"])
+    whole = sums.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("held").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "lp")])
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(counted["n"]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("lp").alias("score"))

@@ -441,52 +441,85 @@ def slow_ctw(pairs):
     return out
 
 
-def test_context_tree_equals_brute_force(spark):
-    mark = bytes([ctw.FIRST_MARK])
-    vocabulary = {mark + w: c for w, c in {b"": 5, b"the": 40, b"then": 7, b"thesis": 2, b"a": 9, b"zebra": 0, b"verylongword": 3}.items()}
+def spelt_pairs(text):
+    """(context, byte) of every coded byte of a text, one by one."""
+    whole = bytes([ctw.FIRST_MARK]) + b"".join(w + bytes([ctw.CLOSE]) for w in [*(text or "").encode().lower().split(), b""])
+    return [(whole[max(0, k - ctw.DEPTH) : k].rjust(ctw.DEPTH, b"\0"), whole[k]) for k in range(1, len(whole))]
+
+
+def test_context_tree_equals_brute_force():
+    rng = random.Random(5)
     pairs = {}
-    for token, c in vocabulary.items():
-        whole = token + bytes([ctw.CLOSE])
-        for i in range(1, len(whole)):
-            key = (whole[max(0, i - ctw.DEPTH) : i].rjust(ctw.DEPTH, b"\0"), whole[i])
-            pairs[key] = pairs.get(key, 0) + c
-    frame = spark.createDataFrame([(bytearray(t), c, c) for t, c in vocabulary.items()], "token binary, c long, total long")
-    counted = ctw.pair_counts(frame)
-    grown = ctw.grow(counted)
-    lengths = {r.key: r.lp for r in ctw.code_lengths(grown, ctw.shallow(counted, grown)).collect()}
-    want = {int.from_bytes(c, "big") << 8 | b: v for (c, b), v in slow_ctw(pairs).items()}
-    assert lengths.keys() == want.keys() and all(abs(lengths[k] - want[k]) < 1e-4 for k in want)
-
-
-def test_scores_equal_one_tree_over_all_texts(spark):
-    texts = ["the cat sat on the mat", "le chat est sur le toit", "der hund und die katze", "the dog saw the cat", "cat the sat", ""]
-    mark, close, pairs, spelt = bytes([ctw.FIRST_MARK]), bytes([ctw.CLOSE]), {}, {}
+    for text in ["the then thesis a zebra", "verylongword the the", "é ü", "", *[" ".join(rng.choice(["the", "then", "a", "cat", "sat"]) for _ in range(400))]]:
+        for key in spelt_pairs(text):
+            pairs[key] = pairs.get(key, 0) + (text != "é ü")
+    # A node far beyond the table of small counts.
+    pairs[next(iter(pairs))] += 1_000_000
+    flat = {int.from_bytes(c[::-1], "big") << 8 | b: n for (c, b), n in pairs.items()}
+    keys = np.array(sorted(flat), np.int64)
+    counts = np.array([flat[k] for k in keys.tolist()], np.int64)
+    # Several parts give their sums to the upper depths.
+    parts = ctw.part_of(keys, 3)
+    sums = [pa.table(ctw.upward(keys[parts == p], counts[parts == p])) for p in np.unique(parts)]
+    upper = ctw.upper_levels(pa.concat_tables(sums).group_by("node").aggregate([(c, "sum") for c in ("zeros", "ones", "below")]).rename_columns(["node", "zeros", "ones", "below"]))
+    want = {int.from_bytes(c[::-1], "big") << 8 | b: v for (c, b), v in slow_ctw(pairs).items()}
+    for p in np.unique(parts):
+        got = ctw.code_lengths(keys[parts == p], counts[parts == p], upper)
+        assert np.allclose(got, [want[k] for k in keys[parts == p].tolist()], rtol=1e-8, atol=1e-9)
+
+
+def test_keys_of_pieces_are_those_of_the_whole(monkeypatch):
+    monkeypatch.setattr(ctw, "CHUNK_BYTES", 50)
+    text = ctw.spelled(b" ".join([b"word", b"x" * 500, "\u00e9".encode()] * 9))
+    want = [int.from_bytes(c[::-1], "big") << 8 | b for c, b in spelt_pairs(text[1:-1].decode())]
+    found = list(ctw.pieces(text))
+    assert len(found) > 3 and b"".join(p[lead:] for lead, p in found) == text[1:]
+    assert np.concatenate([ctw.keys_of(chunk) for chunk in ctw.chunked(found)]).tolist() == want
+    assert ctw.unpacked_keys(ctw.packed_keys(np.sort(want))).tolist() == sorted(want)
+
+
+@pytest.mark.parametrize("sizes", [(16 << 20, 2 << 20), (300, 40)])
+def test_scores_equal_one_tree_over_all_texts(spark, monkeypatch, sizes):
+    monkeypatch.setattr(ctw, "BLOCK_BYTES", sizes[0])
+    monkeypatch.setattr(ctw, "CHUNK_BYTES", sizes[1])
+    texts = ["the cat sat on the mat", "le chat est sur le toit", "der hund und die katze", "the dog saw the cat", "cat the sat", "", None, "ein " * 60 + "end" * 50]
+    pairs, spelt = {}, {}
     for i, text in enumerate(texts):
-        whole = mark + b"".join(token + close for token in [*text.encode().split(), b""])
-        spelt[i] = [(whole[max(0, k - ctw.DEPTH) : k].rjust(ctw.DEPTH, b"\0"), whole[k]) for k in range(1, len(whole))]
+        spelt[i] = spelt_pairs(text)
         for key in spelt[i]:
             pairs[key] = pairs.get(key, 0) + (i != 4)
     want = slow_ctw(pairs)
     got = {r.doc_id: r.score for r in ctw.score_documents(docs(spark, texts), F.col("doc_id") == 4).collect()}
-    assert all(abs(got[i] - sum(want[k] for k in spelt[i])) < 1e-3 for i in range(len(texts)))
+    assert all(abs(got[i] - sum(want[k] for k in spelt[i])) < 1e-7 for i in range(len(texts)))
 
 
-@pytest.mark.parametrize("limits", [(250_000, 6_000_000), (2, 1)])
-def test_base_scores_and_both_ways(spark, monkeypatch, limits):
-    monkeypatch.setattr(ctw, "FREQUENT", limits[0])
-    monkeypatch.setattr(ctw, "BROADCAST_PAIRS", limits[1])
-    texts = EDGES[:6] + ["The cat and the DOG", "the cat sat", "new words only", "the the the end"]
-    frame = docs(spark, texts).unionByName(docs(spark, texts).where("doc_id = 7"))
+@pytest.mark.parametrize("sizes", [(16 << 20, 2 << 20), (2000, 100)])
+def test_base_scores_and_edges(spark, monkeypatch, sizes):
+    monkeypatch.setattr(ctw, "BLOCK_BYTES", sizes[0])
+    monkeypatch.setattr(ctw, "CHUNK_BYTES", sizes[1])
+    texts = EDGES + ["The cat and the DOG", "the cat sat", "new words only", "the the the end"]
+    rows = [*enumerate(texts), (7, texts[7]), (7, "another text of one id"), (None, "no id at all")]
+    frame = spark.createDataFrame([(i, t, 0.5, "x", True) for i, t in rows], "doc_id long, text string, score double, block string, held boolean")
     held = F.col("doc_id") % 3 == 1
-    train = [w for i, t in [*enumerate(texts), (7, texts[7])] if i % 3 != 1 for w in [*(t or "").encode().lower().split(), None]]
-    rows = ctw.score_documents(frame, held).collect()
-    assert len(rows) == len(texts) + 1
-    for r in rows:
-        tokens = [*(texts[r.doc_id] or "").encode().lower().split(), None]
-        base = sum(math.log10((train.count(t) + 0.5) / (len(train) + 0.5 * (len(set(train)) + 1))) for t in tokens)
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(t in train for t in tokens), len(train)) and abs(r.base_score - base) < 1e-9 and r.score < 0
-    test_base_scores_and_both_ways.seen = getattr(test_base_scores_and_both_ways, "seen", {}) | {limits: sorted((r.doc_id, round(r.score, 3)) for r in rows)}
-    assert len({str(x) for x in test_base_scores_and_both_ways.seen.values()}) == 1
+    is_held = lambda i: i is not None and i % 3 == 1
+    split = lambda t: [*(t or "").encode().lower().split(), None]
+    train = [w for i, t in rows if not is_held(i) for w in split(t)]
+    counts = {w: train.count(w) for w in set(train)}
+    want = []
+    for i, t in rows:
+        tokens = split(t)
+        base = sum(math.log10((counts.get(w, 0) + 0.5) / (len(train) + 0.5 * (len(counts) + 1))) for w in tokens)
+        want.append((i is None, i or 0, is_held(i), len(tokens), sum(w in counts for w in tokens), len(train), round(base, 6)))
+    found = ctw.score_documents(frame, held).collect()
+    assert all(r.score < 0 for r in found)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in found) == sorted(want)
+    test_base_scores_and_edges.seen = getattr(test_base_scores_and_edges, "seen", {}) | {sizes: sorted((r.doc_id or -1, round(r.score, 6)) for r in found)}
+    assert len({str(x) for x in test_base_scores_and_edges.seen.values()}) == 1
+
+
+def test_without_training_texts_the_model_is_uniform(spark):
+    (row,) = ctw.score_documents(docs(spark, ["ab"]), F.lit(True)).collect()
+    assert row.train_tokens == 0 and row.n_known == 0 and abs(row.score - 4 * 8 * math.log10(0.5)) < 1e-9
 
 
 def test_no_documents_no_scores(spark, no_docs):
