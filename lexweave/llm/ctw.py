@@ -365,7 +365,7 @@ def upper_levels(sums: pa.Table) -> dict[str, np.ndarray]:
         if depth:
             # The oldest byte of a node's context goes.
             ids, up = np.unique((ids // NODE >> 8) * NODE + ids % NODE, return_inverse=True)
-            zeros, ones, below = (np.bincount(up, x, len(ids)) for x in (zeros, ones, weighted))
+            zeros, ones, below = (np.bincount(up, x, len(ids)).astype(np.float64) for x in (zeros, ones, weighted))
             inverse = up[inverse]
     zero, one, rest = np.zeros(len(node)), np.zeros(len(node)), np.ones(len(node))
     for share, at0, at1 in reversed(seen):
