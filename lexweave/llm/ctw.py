@@ -19,7 +19,8 @@ word. A text's probability is the product over its tokens.
    65,536 contexts with 255 nodes each; they are weighed on the driver.
 3. Each part mixes all depths for its keys and answers every block, with the
    code length of each of the block's keys and the count of each of its words.
-4. Each block adds up the answers along its texts.
+4. Each block adds up the answers along its texts. Code lengths reach it in single
+   precision, at every size.
 
 So no text meets the whole model and no task holds it: what a task holds is one
 block, or one part, whose number follows ``spark.sql.shuffle.partitions``. What
@@ -50,7 +51,9 @@ DEPTH = 6
 LOWER = 3
 CLOSE = 0x0A  # a byte that no word has
 FIRST_MARK = 0xF8  # the opening mark: a byte that no UTF-8 text has
-BLOCK_BYTES, CHUNK_BYTES = 16 << 20, 2 << 20
+BLOCK_BYTES, CHUNK_BYTES = 32 << 20, 1 << 20
+#: Bytes that are spelled at once within a processor's cache, and keys that wait to be merged.
+CACHED, MERGED = 1 << 18, 1 << 20
 #: Parts to a shuffle partition, so that parts of uneven size even out.
 PARTS = 2
 NODE = 256
@@ -78,6 +81,17 @@ def pieces(text: bytes) -> Iterator[tuple[int, bytes]]:
         at = stop
 
 
+def rolled(data: np.ndarray, out: np.ndarray) -> None:
+    """Into ``out`` the key of each byte, from the bytes before it in ``data``; zeros before its start."""
+    two = data.astype(np.uint16) << np.uint16(8)
+    two[1:] |= data[:-1]
+    four = two.astype(np.uint32) << np.uint32(16)
+    four[2:] |= two[:-2]
+    out[:] = data
+    out[1:] |= four[:-1].astype(np.int64) << 24
+    out[5:] |= two[:-5].astype(np.int64) << 8
+
+
 def keys_of(parts: list[tuple[int, bytes]]) -> np.ndarray:
     """A key for each byte of the pieces: its context, the nearest byte first, then the byte; 56 bits."""
     data = np.frombuffer(b"".join(b"%b%b" % (bytes(DEPTH), p) for _, p in parts), np.uint8)
@@ -86,14 +100,13 @@ def keys_of(parts: list[tuple[int, bytes]]) -> np.ndarray:
     for lead, p in parts:
         mark[at : at + DEPTH + lead] = False
         at += DEPTH + len(p)
-    one = data.astype(np.int64)
-    two = one << 8
-    two[1:] |= one[:-1]
-    six = two << 32
-    six[2:] |= two[:-2] << 16
-    six[4:] |= two[:-4]
-    one[1:] |= six[:-1] << 8
-    return one[mark]
+    found = np.empty(len(data), np.int64)
+    for i in range(0, len(data), CACHED):
+        # The first of a stretch lack their context, so each stretch begins earlier.
+        stretch = np.empty(min(CACHED, len(data) - i) + min(DEPTH, i), np.int64)
+        rolled(data[max(0, i - DEPTH) : i + CACHED], stretch)
+        found[i : i + CACHED] = stretch[min(DEPTH, i) :]
+    return found[mark]
 
 
 def chunked(parts: list[tuple[int, bytes]]) -> Iterator[list[tuple[int, bytes]]]:
@@ -124,14 +137,60 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts[order], first)
 
 
-def distinct(parts: list[tuple[int, bytes]], weight: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sorted distinct keys of each chunk of the pieces, with ``weight`` times their counts."""
-    out = []
-    for chunk in chunked(parts):
-        keys = np.sort(keys_of(chunk))
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        out.append((keys[first], weight * np.diff(np.append(first, len(keys)))))
-    return out
+class Gathered:
+    """Distinct keys with their counts, merged as they come."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.held.append((keys, counts))
+        self.size += len(keys)
+        if len(self.held) > 2 and self.size > 2 * len(self.held[0][0]) + MERGED:
+            self.held = [self.merged()]
+            self.size = len(self.held[0][0])
+
+    def spell(self, parts: list[tuple[int, bytes]], weight: int) -> None:
+        """Adds the keys of pieces, with ``weight`` times their counts."""
+        for chunk in chunked(parts):
+            keys = keys_of(chunk)
+            keys.sort()
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            self.add(keys[first], weight * np.diff(np.append(first, len(keys))))
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        return summed(np.concatenate([k for k, _ in self.held]), np.concatenate([c for _, c in self.held]))
+
+
+class Places:
+    """Where each of some distinct keys stands, by hashing with open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.bits = np.uint64(64 - max(10, int(2 * len(keys)).bit_length()))
+        slots = self.slots = np.full(1 << (64 - int(self.bits)), -1, np.int32)
+        todo = np.arange(len(keys), dtype=np.int32)
+        at = self.start(keys)
+        while len(todo):
+            free = slots[at] < 0
+            slots[at[free]] = todo[free]
+            left = slots[at] != todo
+            todo, at = todo[left], (at[left] + 1) & (len(slots) - 1)
+
+    def start(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.bits).astype(np.int64)
+
+    def find(self, asked: np.ndarray) -> np.ndarray:
+        """The place of each of ``asked``; all are among the keys."""
+        at = self.start(asked)
+        found = self.slots[at]
+        wrong = np.flatnonzero(self.keys[found] != asked)
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & (len(self.slots) - 1)
+            found[wrong] = self.slots[at[wrong]]
+            wrong = wrong[self.keys[found[wrong]] != asked[wrong]]
+        return found
 
 
 _ZSTD = pa.Codec("zstd")
@@ -185,19 +244,26 @@ def dealt(docs: DataFrame, held_out: Column, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[dict] = []
-        train: list[tuple[int, bytes]] = []
-        other: list[tuple[int, bytes]] = []
+        waiting: dict[bool, list[tuple[int, bytes]]] = {False: [], True: []}
+        sizes = {False: 0, True: 0}
+        found = Gathered()
         words: Counter = Counter()
         unseen: set[bytes] = set()
         size, number, task = 0, 0, 0
 
+        def spell(held: bool) -> None:
+            found.spell(waiting[held], 0 if held else 1)
+            waiting[held].clear()
+            sizes[held] = 0
+
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal size, number
+            nonlocal size, number, found
             block = (task << 32) | number
             for i in range(0, len(texts), 256):
                 yield batch_of(DEALT, [r | {"block": block, "kind": TEXT} for r in texts[i : i + 256]])
-            found = distinct(train, 1) + distinct(other, 0)
-            keys, counts = summed(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))
+            for held in (False, True):
+                spell(held)
+            keys, counts = found.merged()
             where = part_of(keys, parts)
             order = np.argsort(where, kind="stable")
             keys, counts, where = keys[order], counts[order], where[order]
@@ -208,9 +274,9 @@ def dealt(docs: DataFrame, held_out: Column, parts: int) -> DataFrame:
                 by_part.setdefault(crc32(w) % parts, []).append(w)
             rows += [{"block": block, "kind": BLOCK_WORDS, "part": p, "data": packed_words(ws), "counts": packed(np.array([words.get(w, 0) for w in ws], np.int64))} for p, ws in by_part.items()]
             yield batch_of(DEALT, rows)
-            for held in (texts, train, other, words, unseen):
-                held.clear()
-            size, number = 0, number + 1
+            for gathered in (texts, words, unseen):
+                gathered.clear()
+            size, number, found = 0, number + 1, Gathered()
 
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in (0, 1, 2, 4)]
@@ -219,13 +285,11 @@ def dealt(docs: DataFrame, held_out: Column, parts: int) -> DataFrame:
                 whole = spelled(text.lower())
                 for lead, piece in pieces(whole):
                     texts.append({"uid": uid, "doc_id": doc, "held": held, "part": lead, "text": piece})
-                    found = piece[lead:-1].split(bytes([CLOSE]))
-                    if held:
-                        other.append((lead, piece))
-                        unseen.update(found)
-                    else:
-                        train.append((lead, piece))
-                        words.update(found)
+                    (unseen if held else words).update(piece[lead:-1].split(bytes([CLOSE])))
+                    waiting[held].append((lead, piece))
+                    sizes[held] += len(piece)
+                    if sizes[held] >= CHUNK_BYTES:
+                        spell(held)
                     size += len(piece)
                     if size >= BLOCK_BYTES:
                         yield from flush()
@@ -377,14 +441,15 @@ def learned(blocks: DataFrame) -> DataFrame:
     """The rows of ``MODEL``: each part's keys and words with their counts, and its sums for nodes of depth ``LOWER - 1``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        found = Gathered()
         words: Counter = Counter()
-        now, size = None, 0
+        now = None
 
         def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal found
             rows = []
-            if held:
-                keys, counts = summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+            if found.held:
+                keys, counts = found.merged()
                 rows.append({"part": now, "kind": KEY_MODEL, "data": packed_keys(keys), "counts": packed(counts)})
                 sums = upward(keys, counts)
                 n = len(sums["node"])
@@ -394,7 +459,7 @@ def learned(blocks: DataFrame) -> DataFrame:
             if words:
                 numbers = np.array(list(words.values()), np.int64)
                 rows.append({"part": now, "kind": WORD_MODEL, "data": packed_words(list(words)), "counts": packed(numbers), "total": int(numbers.sum()), "known": int((numbers > 0).sum())})
-            held.clear()
+            found = Gathered()
             words.clear()
             yield batch_of(MODEL, rows)
 
@@ -403,13 +468,9 @@ def learned(blocks: DataFrame) -> DataFrame:
                 if part != now:
                     if now is not None:
                         yield from flush()
-                    now, size = part, 0
+                    now = part
                 if kind == BLOCK_KEYS:
-                    held.append((unpacked_keys(data), unpacked(counts)))
-                    size += len(held[-1][0])
-                    if size > 2 * len(held[0][0]) + (1 << 20):
-                        held[:] = [summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
-                        size = len(held[0][0])
+                    found.add(unpacked_keys(data), unpacked(counts))
                 else:
                     for word, n in zip(unpacked_words(data), unpacked(counts).tolist(), strict=True):
                         words[word] += n
@@ -421,7 +482,7 @@ def learned(blocks: DataFrame) -> DataFrame:
 
 
 def answered(blocks: DataFrame, model: DataFrame, upper: dict[str, np.ndarray]) -> DataFrame:
-    """(block, kind, part, data, counts): each block's keys with code lengths (doubles) and words with counts in ``counts``."""
+    """(block, kind, part, data, counts): each block's keys with code lengths (single precision) and words with counts in ``counts``."""
     shared = blocks.sparkSession.sparkContext.broadcast(upper)
     schema = "block long, kind int, part int, data binary, counts binary"
 
@@ -438,7 +499,7 @@ def answered(blocks: DataFrame, model: DataFrame, upper: dict[str, np.ndarray])
                     known = dict(zip(unpacked_words(data), unpacked(counts).tolist(), strict=True))
                 elif kind == BLOCK_KEYS:
                     found = lengths[np.searchsorted(keys, unpacked_keys(data))]
-                    rows.append({"block": block, "kind": kind, "part": part, "data": data, "counts": found.astype("<f8").tobytes()})
+                    rows.append({"block": block, "kind": kind, "part": part, "data": data, "counts": found.astype("<f4").tobytes()})
                 else:
                     found = np.array([known[w] for w in unpacked_words(data)], np.int64)
                     rows.append({"block": block, "kind": kind, "part": part, "data": data, "counts": packed(found)})
@@ -461,21 +522,18 @@ def added(blocks: DataFrame, answers: DataFrame, total: int, known: int) -> Data
         now = None
         keys: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
+        places = spread = None
         words: dict[bytes, float] = {}
         unknown = float(np.log10(0.5 / base))
         waiting: list[tuple] = []
         size = 0
 
-        def ready() -> None:
-            """The block's answers in order of keys."""
-            if len(keys) > 1:
-                both = np.concatenate(keys)
-                order = np.argsort(both)
-                keys[:], lengths[:] = [both[order]], [np.concatenate(lengths)[order]]
-
         def flush() -> pa.RecordBatch:
-            nonlocal size
-            ready()
+            nonlocal size, places, spread
+            if places is None:
+                places, spread = Places(np.concatenate(keys)), np.concatenate(lengths)
+                keys.clear()
+                lengths.clear()
             sums = np.zeros(len(waiting))
             for i, (*_, lead, piece) in enumerate(waiting):
                 if len(piece) - lead > 2 * CHUNK_BYTES:
@@ -483,9 +541,9 @@ def added(blocks: DataFrame, answers: DataFrame, total: int, known: int) -> Data
                     sums[i] = sum(float(look(part).sum()) for part in chunked([(lead, piece)]))
             short = [(i, lead, piece) for i, (*_, lead, piece) in enumerate(waiting) if len(piece) - lead <= 2 * CHUNK_BYTES]
             if short:
-                spread = look([(lead, piece) for _, lead, piece in short])
+                each = look([(lead, piece) for _, lead, piece in short])
                 ends = np.cumsum([len(piece) - lead for _, lead, piece in short])
-                sums[[i for i, _, _ in short]] = np.add.reduceat(spread, np.concatenate([[0], ends[:-1]]))
+                sums[[i for i, _, _ in short]] = np.add.reduceat(each, np.concatenate([[0], ends[:-1]]))
             tokens = [piece[lead:-1].split(bytes([CLOSE])) for *_, lead, piece in waiting]
             numbers = [len(t) for t in tokens]
             logs = np.fromiter((words[w] for t in tokens for w in t), np.float64, sum(numbers))
@@ -497,21 +555,19 @@ def added(blocks: DataFrame, answers: DataFrame, total: int, known: int) -> Data
             return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SUMS.split(", ")])
 
         def look(parts: list[tuple[int, bytes]]) -> np.ndarray:
-            asked = keys_of(parts)
-            order = np.argsort(asked)
-            out = np.empty(len(asked))
-            out[order] = lengths[0][np.searchsorted(keys[0], asked[order])]
-            return out
+            return spread[places.find(keys_of(parts))].astype(np.float64)
 
         for batch in batches:
             for block, kind, part, data, counts, uid, doc, held, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != now:
                     if waiting:
                         yield flush()
-                    keys, lengths, words, now = [], [], {}, block
+                    places, words, now = None, {}, block
+                    keys.clear()
+                    lengths.clear()
                 if kind == BLOCK_KEYS:
                     keys.append(unpacked_keys(data))
-                    lengths.append(np.frombuffer(counts, "<f8"))
+                    lengths.append(np.frombuffer(counts, "<f4"))
                 elif kind == BLOCK_WORDS:
                     words.update(zip(unpacked_words(data), np.log10((unpacked(counts) + 0.5) / base).tolist(), strict=True))
                 else:
