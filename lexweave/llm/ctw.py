@@ -51,7 +51,7 @@ DEPTH = 6
 LOWER = 3
 CLOSE = 0x0A  # a byte that no word has
 FIRST_MARK = 0xF8  # the opening mark: a byte that no UTF-8 text has
-BLOCK_BYTES, CHUNK_BYTES = 32 << 20, 1 << 20
+BLOCK_BYTES, CHUNK_BYTES = 24 << 20, 1 << 20
 #: Bytes that are spelled at once within a processor's cache, and keys that wait to be merged.
 CACHED, MERGED = 1 << 18, 1 << 20
 #: Parts to a shuffle partition, so that parts of uneven size even out.
@@ -60,7 +60,7 @@ NODE = 256
 # What a row is; texts come after the answers that they need, blocks after the model.
 KEY_MODEL, WORD_MODEL, BLOCK_KEYS, BLOCK_WORDS, TEXT, NODES = range(6)
 
-DEALT = "block long, kind int, part int, data binary, counts binary, uid long, doc_id long, held boolean, text binary"
+DEALT = "block long, kind int, part int, data binary, counts binary, text binary"
 MODEL = "part int, kind int, data binary, counts binary, total long, known long, node long, zeros double, ones double, below double"
 
 
@@ -226,6 +226,23 @@ def unpacked_words(data: bytes) -> list[bytes]:
     return _ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True).split(bytes([CLOSE]))
 
 
+# A piece of a text: its row, document (with a mark where that is null), whether it is held out, its lead and its bytes.
+Piece = tuple[int, int | None, bool, int, bytes]
+
+
+def packed_texts(pieces: list[Piece]) -> dict[str, bytes]:
+    numbers = np.array([(uid, doc or 0, doc is None, held, lead, len(text)) for uid, doc, held, lead, text in pieces], np.int64)
+    flat = b"".join(text for *_, text in pieces)
+    return {"data": packed(numbers.T.ravel()), "text": len(flat).to_bytes(8, "little") + _ZSTD.compress(flat, asbytes=True)}
+
+
+def unpacked_texts(data: bytes, text: bytes) -> Iterator[Piece]:
+    flat, at = _ZSTD.decompress(text[8:], int.from_bytes(text[:8], "little"), asbytes=True), 0
+    for uid, doc, missing, held, lead, n in unpacked(data).reshape(6, -1).T.tolist():
+        yield uid, None if missing else doc, bool(held), lead, flat[at : at + n]
+        at += n
+
+
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     """The part of each key, by the last ``LOWER`` bytes of its context."""
     near = (keys >> (8 * (DEPTH + 1 - LOWER))).astype(np.uint64)
@@ -243,7 +260,8 @@ def dealt(docs: DataFrame, held_out: Column, parts: int) -> DataFrame:
     """The rows of ``DEALT``: each block's texts, its words and its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: list[dict] = []
+        texts: list[Piece] = []
+        kept: list[dict] = []
         waiting: dict[bool, list[tuple[int, bytes]]] = {False: [], True: []}
         sizes = {False: 0, True: 0}
         found = Gathered()
@@ -259,10 +277,9 @@ def dealt(docs: DataFrame, held_out: Column, parts: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal size, number, found
             block = (task << 32) | number
-            for i in range(0, len(texts), 256):
-                yield batch_of(DEALT, [r | {"block": block, "kind": TEXT} for r in texts[i : i + 256]])
             for held in (False, True):
                 spell(held)
+            yield batch_of(DEALT, [r | {"block": block, "kind": TEXT} for r in [*kept, *([packed_texts(texts)] if texts else [])]])
             keys, counts = found.merged()
             where = part_of(keys, parts)
             order = np.argsort(where, kind="stable")
@@ -274,7 +291,7 @@ def dealt(docs: DataFrame, held_out: Column, parts: int) -> DataFrame:
                 by_part.setdefault(crc32(w) % parts, []).append(w)
             rows += [{"block": block, "kind": BLOCK_WORDS, "part": p, "data": packed_words(ws), "counts": packed(np.array([words.get(w, 0) for w in ws], np.int64))} for p, ws in by_part.items()]
             yield batch_of(DEALT, rows)
-            for gathered in (texts, words, unseen):
+            for gathered in (texts, kept, words, unseen):
                 gathered.clear()
             size, number, found = 0, number + 1, Gathered()
 
@@ -284,12 +301,14 @@ def dealt(docs: DataFrame, held_out: Column, parts: int) -> DataFrame:
                 task = part
                 whole = spelled(text.lower())
                 for lead, piece in pieces(whole):
-                    texts.append({"uid": uid, "doc_id": doc, "held": held, "part": lead, "text": piece})
+                    texts.append((uid, doc, held, lead, piece))
                     (unseen if held else words).update(piece[lead:-1].split(bytes([CLOSE])))
                     waiting[held].append((lead, piece))
                     sizes[held] += len(piece)
                     if sizes[held] >= CHUNK_BYTES:
                         spell(held)
+                        kept.append(packed_texts(texts))
+                        texts.clear()
                     size += len(piece)
                     if size >= BLOCK_BYTES:
                         yield from flush()
@@ -525,11 +544,10 @@ def added(blocks: DataFrame, answers: DataFrame, total: int, known: int) -> Data
         places = spread = None
         words: dict[bytes, float] = {}
         unknown = float(np.log10(0.5 / base))
-        waiting: list[tuple] = []
-        size = 0
+        waiting: list[Piece] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal size, places, spread
+            nonlocal places, spread
             if places is None:
                 places, spread = Places(np.concatenate(keys)), np.concatenate(lengths)
                 keys.clear()
@@ -551,17 +569,14 @@ def added(blocks: DataFrame, answers: DataFrame, total: int, known: int) -> Data
             columns = [pa.array([w[c] for w in waiting], k) for c, k in ((0, pa.int64()), (1, pa.int64()), (2, pa.bool_()))]
             columns += [pa.array(numbers, pa.int64()), pa.array(np.add.reduceat((logs > unknown).astype(np.int64), starts)), pa.array(np.add.reduceat(logs, starts)), pa.array(sums)]
             waiting.clear()
-            size = 0
             return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SUMS.split(", ")])
 
         def look(parts: list[tuple[int, bytes]]) -> np.ndarray:
             return spread[places.find(keys_of(parts))].astype(np.float64)
 
         for batch in batches:
-            for block, kind, part, data, counts, uid, doc, held, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, kind, data, counts, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != now:
-                    if waiting:
-                        yield flush()
                     places, words, now = None, {}, block
                     keys.clear()
                     lengths.clear()
@@ -569,18 +584,16 @@ def added(blocks: DataFrame, answers: DataFrame, total: int, known: int) -> Data
                     keys.append(unpacked_keys(data))
                     lengths.append(np.frombuffer(counts, "<f4"))
                 elif kind == BLOCK_WORDS:
-                    words.update(zip(unpacked_words(data), np.log10((unpacked(counts) + 0.5) / base).tolist(), strict=True))
+                    numbers = unpacked(counts)
+                    # Words of one count share one number.
+                    logs = {n: float(np.log10((n + 0.5) / base)) for n in np.unique(numbers).tolist()}
+                    words.update(zip(unpacked_words(data), map(logs.get, numbers.tolist()), strict=True))
                 else:
-                    waiting.append((uid, doc, held, part, text))
-                    size += len(text)
-                    if size >= CHUNK_BYTES:
-                        yield flush()
-        if waiting:
-            yield flush()
-
-    texts = blocks.where(F.col("kind") == TEXT).select("block", "kind", "part", F.lit(None).cast("binary").alias("data"), F.lit(None).cast("binary").alias("counts"), "uid", "doc_id", "held", "text")
-    nothing = {"uid": "long", "doc_id": "long", "held": "boolean", "text": "binary"}
-    rows = answers.select("*", *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()]).unionByName(texts)
+                    waiting.extend(unpacked_texts(data, text))
+                    yield flush()
+
+    texts = blocks.where(F.col("kind") == TEXT).select("block", "kind", "data", F.lit(None).cast("binary").alias("counts"), "text")
+    rows = answers.select("block", "kind", "data", "counts", F.lit(None).cast("binary").alias("text")).unionByName(texts)
     return rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, SUMS)
 
 

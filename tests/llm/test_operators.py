@@ -104,9 +104,37 @@ def test_every_candidate_of_a_region_is_kept():
     # The first is a candidate of the last alone, the four between are nearer to it.
     sigs = [far, *near, last]
     assert all((far == x).mean() < minhash_forest.CANDIDATE < (last == x).mean() for x in near) and (far == last).mean() >= minhash_forest.CANDIDATE
-    columns = [pa.array([7] * 6, pa.int64()), pa.array(range(6), pa.int64()), pa.array(range(10, 16), pa.int64()), pa.array([x.tobytes() for x in sigs], pa.binary())]
-    found = [tuple(r.values()) for b in minhash_forest.scan(iter([pa.RecordBatch.from_arrays(columns, ["region", "rest", "rep", "sig"])])) for r in b.to_pylist()]
-    assert (10, 15) in found and len(found) == 5
+    columns = [pa.array([7] * 6, pa.int64()), pa.array([bytes([i]) for i in range(6)], pa.binary()), pa.array(range(10, 16), pa.int64()), pa.array([x.tobytes() for x in sigs], pa.binary())]
+    rows = [r for b in minhash_forest.scan(iter([pa.RecordBatch.from_arrays(columns, ["region", "rest", "rep", "sig"])])) for r in b.to_pylist()]
+    assert {(r["node"], r["root"]) for r in rows if r["node"]} == {(x, 10) for x in range(11, 16)}
+    assert next(r["partner"] for r in rows if r["node"] == 15) == 11 and len([r for r in rows if r["border"] is not None]) == 12
+
+
+def test_regions_go_on_across_the_parts(spark, monkeypatch):
+    monkeypatch.setattr(minhash_forest, "REACH", 4)
+    width = minhash_forest.TREES * minhash_forest.DEPTH
+    sigs = [((i + np.arange(width)) // width).astype(np.uint32) << np.uint32(16) for i in range(400)]
+    rows = spark.createDataFrame([(7, 0, 1000 - i if i % 2 else i, s.tobytes()) for i, s in enumerate(sigs)], "region long, tree int, rep long, sig binary")
+    edges, near = minhash_forest.candidates(rows)
+    assert dict(components(edges).collect()) == {1000 - i if i % 2 else i: 0 for i in range(400)}
+    assert all(a > b for a, b in near.collect())
+
+
+def test_crowded_region_and_open_sets(spark, monkeypatch):
+    """Hundreds of texts share most of a passage, some by enough to be linked; recall is 1 against all pairs."""
+    monkeypatch.setattr(minhash_forest, "REACH", 16)
+    monkeypatch.setattr(minhash_forest, "BLOCK_ROWS", 64)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(300)]
+    edited = lambda text, n: [word() if i in places else w for places in [set(rng.sample(range(280), n))] for i, w in enumerate(text)]
+    texts = [edited(base, 7) for _ in range(300)]
+    texts += [edited(texts[k], 7) for k in range(0, 300, 5)]
+    texts += [[*base[:-i], *(word() for _ in range(i))] for i in range(1, 40)]
+    texts = [" ".join(t) for t in texts]
+    want = brute_components(texts, 4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_forest.near_duplicates(docs(spark, texts), 4).collect()}
+    assert len({c for _, c in want.values()}) > 100 and got == want
 
 
 def test_two_texts_of_one_id_are_one_document(spark):
