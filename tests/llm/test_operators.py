@@ -130,7 +130,8 @@ def test_crowded_region_and_open_sets(spark, monkeypatch):
     edited = lambda text, n: [word() if i in places else w for places in [set(rng.sample(range(280), n))] for i, w in enumerate(text)]
     texts = [edited(base, 7) for _ in range(300)]
     texts += [edited(texts[k], 7) for k in range(0, 300, 5)]
-    texts += [[*base[:-i], *(word() for _ in range(i))] for i in range(1, 40)]
+    other = [word() for _ in range(300)]
+    texts += [[*other[:-i], *(word() for _ in range(i))] for i in range(1, 40)]
     texts = [" ".join(t) for t in texts]
     want = brute_components(texts, 4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_forest.near_duplicates(docs(spark, texts), 4).collect()}
