@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Rows that go to a Python worker at once, so that long texts stay bounded.
-ARROW_ROWS = 1024
+#: Rows and bytes that go to a Python worker at once, so that long texts stay bounded; a batch ends at the row that exceeds the bytes.
+ARROW_ROWS, ARROW_BYTES = 1024, "4m"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +19,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the Arrow batch size for maps over long texts."""
+    """Lower the size of Arrow batches for maps over long texts, for this session: plans are lazy, so it holds beyond the call."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:

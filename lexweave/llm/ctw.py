@@ -51,9 +51,9 @@ DEPTH = 6
 LOWER = 3
 CLOSE = 0x0A  # a byte that no word has
 FIRST_MARK = 0xF8  # the opening mark: a byte that no UTF-8 text has
-BLOCK_BYTES, CHUNK_BYTES = 24 << 20, 1 << 20
+BLOCK_BYTES, CHUNK_BYTES = 16 << 20, 1 << 20
 #: Bytes that are spelled at once within a processor's cache, and keys that wait to be merged.
-CACHED, MERGED = 1 << 18, 1 << 20
+CACHED, MERGED = 1 << 18, 1 << 19
 #: Parts to a shuffle partition, so that parts of uneven size even out.
 PARTS = 2
 NODE = 256
@@ -147,7 +147,7 @@ class Gathered:
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.held.append((keys, counts))
         self.size += len(keys)
-        if len(self.held) > 2 and self.size > 2 * len(self.held[0][0]) + MERGED:
+        if len(self.held) > 2 and self.size > 1.5 * len(self.held[0][0]) + MERGED:
             self.held = [self.merged()]
             self.size = len(self.held[0][0])
 
