@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -51,19 +51,30 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def free(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores after it as it takes to differ from all others, case aside."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def append_columns(
     frame: DataFrame,
-    fields: list[T.StructField],
+    fields: Sequence[T.StructField],
     compute: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]],
 ) -> DataFrame:
     """``frame`` with columns computed from Arrow batches; other columns pass through.
 
     ``compute`` is called once for each task and returns the function of a
-    batch, so that models and tables load once. New names must not be in use.
+    batch, so that models and tables load once. A new name that is in use gets
+    underscores until it is free.
     """
-    clash = {f.name for f in fields} & set(frame.columns)
-    if clash:
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    taken = list(frame.columns)
+    for i, field in enumerate(fields):
+        name = free(field.name, taken)
+        fields = [*fields[:i], T.StructField(name, field.dataType, field.nullable), *fields[i + 1 :]]
+        taken.append(name)
     schema = T.StructType([*frame.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

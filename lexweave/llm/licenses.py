@@ -8,7 +8,9 @@ of any other kind do not matter, so each document costs one pass.
 
 Edge cases: a null text, or one in which nothing is left, has a null digest and
 no licence; of known licences with equal digests the first name counts;
-repeated rows are looked up each; no text is cut.
+repeated rows are looked up each; a text of any length is read whole; ids are
+not looked at, so that null and equal ones are like any other; no rows give no
+rows; a new column whose name is in use gets underscores until it is free.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.llm.common import free
+
 COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9]{4})|\(c\)|©)[^\n]*"
 RESERVATION = r"all rights reserved\.?"
 NOT_WORD = r"[^a-z0-9]+"
@@ -97,8 +101,17 @@ def known_digests(spark: SparkSession, texts: dict[str, str] | None = None) -> D
 
 
 def find_licenses(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the digest of the canonical text and the licence it is, or null."""
-    return docs.withColumn("digest", digest(F.col(text))).join(F.broadcast(known), "digest", "left")
+    """``docs`` with the digest of the canonical text and the licence it is, or null.
+
+    The columns are ``digest`` and ``license_id``; one that ``docs`` has already
+    gets underscores until its name is free.
+    """
+    digest_name = free("digest", docs.columns)
+    id_name = free("license_id", [*docs.columns, digest_name])
+    key = free("_known", [*docs.columns, digest_name, id_name])
+    table = known.select(F.col("digest").alias(key), F.col("license_id").alias(id_name))
+    found = docs.withColumn(digest_name, digest(F.col(text)))
+    return found.join(F.broadcast(table), F.col(digest_name) == F.col(key), "left").drop(key)
 
 
 def oracle(table: str = "documents") -> str:

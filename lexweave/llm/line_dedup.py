@@ -18,7 +18,10 @@ near-duplicate of it; lines under ``MIN_CHARS`` characters always stay.
 Edge cases: a null text stays null, an empty one empty; a document whose lines
 all go keeps its row with an empty text; a null doc_id counts as the latest;
 rows with equal doc_id and text are one document, whose copies get equal texts;
-columns beside ``doc_id`` and ``text`` pass through.
+ties, lines of two rows with one doc_id and line number, go by neither: both
+stay unless an earlier one exists; a text of any length is cut into its lines;
+no rows give no rows; columns beside ``doc_id`` and ``text`` pass through, also
+those with the operator's own names.
 """
 
 from __future__ import annotations
@@ -26,12 +29,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import written
+from lexweave.llm.common import free, written
 
 MIN_CHARS = 10
 SEGMENTS = 3
 LEAF = 128
-#: Lines whose keys are broadcast, at 16 bytes each; more of them meet their texts by a shuffle.
+#: Lines that are broadcast by their keys, at some 40 bytes each; more of them meet the others by a shuffle.
 BROADCAST_LINES = 300_000
 LAST = 2**63 - 1
 
@@ -45,10 +48,21 @@ def _from(text: Column, start: Column) -> Column:
     return F.substring(text, start, F.lit(2**31 - 1))
 
 
+BLANKS = (" ", "\t", "\r")
+
+
+def trimmed(text: Column) -> Column:
+    """The text without blanks at its ends; most texts have none there and are not looked through."""
+    blank = F.lit(False)
+    for c in BLANKS:
+        blank = blank | text.startswith(c) | text.endswith(c)
+    return F.when(blank, F.btrim(text, F.lit("".join(BLANKS)))).otherwise(text)
+
+
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     """Each line with its document's key, its place, its trimmed text and its hash."""
     split = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    line = split.withColumn("line", F.btrim("raw", F.lit(" \t\r"))).drop("raw")
+    line = split.withColumn("line", trimmed(F.col("raw"))).drop("raw")
     return line.where(F.length("line") >= min_chars).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(17), "line"))
 
 
@@ -56,13 +70,21 @@ KEYS = [f"k{i}" for i in range(2 * SEGMENTS)]
 
 
 def segment_keys(line: Column) -> Column:
-    """Hashes of the line without each segment, by its own length and by one less, as an array."""
+    """Hashes of the line without each segment, by its own length and by one less, as an array.
+
+    Segments before the one that is left out are counted from the start, those
+    after it from the end; each is hashed once, and a key is a hash of hashes.
+    """
     n = F.length(line)
     keys = []
-    for role in (n, n - 1):
-        for s in range(SEGMENTS):
-            start, stop = F.floor(role * s / SEGMENTS).cast("int"), F.floor(role * (s + 1) / SEGMENTS).cast("int")
-            keys.append(F.xxhash64(role, F.lit(s), _left(line, start), _from(line, n - (role - stop) + 1)))
+    for less in (0, 1):
+        role = n - less
+        edges = [F.floor(role * s / SEGMENTS).cast("int") for s in range(SEGMENTS + 1)]
+        piece = lambda s, shift, edges=edges: F.xxhash64(F.substring(line, edges[s] + 1 + shift, edges[s + 1] - edges[s]))
+        left = [piece(s, 0) for s in range(SEGMENTS)]
+        # Counted from the end, a line of one character more has its segments one place further on.
+        right = [piece(s, 1) for s in range(SEGMENTS)] if less else left
+        keys += [F.xxhash64(role, F.lit(s), *left[:s], *right[s + 1 :]) for s in range(SEGMENTS)]
     return F.array(*keys)
 
 
@@ -117,24 +139,26 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     keyed = lines.withColumn("keys", segment_keys(F.col("line"))).select(at.alias("at"), "h1", "h2", *[F.col("keys")[i].alias(k) for i, k in enumerate(KEYS)])
     distinct = written(keyed.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count("*").alias("copies"), *[F.first(k).alias(k) for k in KEYS]), "lines")
     near = near_lines(lines, distinct)
-    fate = distinct.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("near or copies > 1").select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.select("doc", "th", "line_no", "h1", "h2").join(fate, ["h1", "h2"]).where(F.col("near") | (F.struct("doc", "line_no") > F.col("at")))
+    fate = written(distinct.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("near or copies > 1").select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near")), "fate")
+    few = fate.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    gone = lines.select("doc", "th", "line_no", "h1", "h2").join(F.broadcast(fate) if few else fate, ["h1", "h2"]).where(F.col("near") | (F.struct("doc", "line_no") > F.col("at")))
     return gone.groupBy("doc", "th").agg(F.collect_set("line_no").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, count: str | None = None) -> DataFrame:
     """``docs`` with the lines of ``text`` that have no earlier near-duplicate.
 
-    With ``count``, a column of that name has the number of lines taken away.
+    With ``count``, a column of that name, or of the first free one with an
+    underscore more, has the number of lines taken away.
     """
     gone = dropped_lines(docs, min_chars)
-    names = docs.columns
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("th"))
     joined = keyed.join(gone, ["doc", "th"], "left")
-    parts = F.split("row.text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(parts, i + 1)), "\n"))
-    columns = [text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in names]
+    # The lines are a column of their own, so that a text is split once, not once a line.
+    cut = joined.withColumn("parts", F.when(F.col("gone").isNotNull(), F.split("row.text", "\n")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("parts"), i)), "\n"))
+    columns = [text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
     if count:
-        columns.append(F.coalesce(F.size("gone"), F.lit(0)).alias(count))
-    return joined.select(*columns)
+        columns.append(F.coalesce(F.size("gone"), F.lit(0)).alias(free(count, docs.columns)))
+    return cut.select(*columns)
