@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,19 +27,25 @@ STOPWORDS = (
     "regards", "sincerely", "obedient", "servant",
 )
 
+# Fixed value: a dot after a single letter, as in "u.s.", is no end of a word.
 DOTTED_LETTER = r"(?<=\b[a-z])\.(?=[a-z]|\s|$)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Runs of word characters, Unicode-aware, as they stand."""
-    return F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
 def tokens(text: Column, stopwords: Iterable[str] = STOPWORDS) -> Column:
     """Lower-case words of two characters or more that are no stopwords; "u.s." is one word."""
-    stop = F.array(*[F.lit(w) for w in stopwords])
     plain = F.regexp_replace(F.lower(text), DOTTED_LETTER, "")
-    return F.filter(words(plain), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    # A long list of literals is looked up in a hash set.
+    return F.filter(words(plain), lambda w: (F.length(w) > 1) & ~w.isin(*stopwords))
 
 
 def blank_split(text: Column) -> Column:
@@ -73,6 +79,20 @@ def token_estimate(text: Column, up: bool = True) -> Column:
     return F.greatest(F.lit(1), F.floor((F.length(text) + (3 if up else 0)) / 4)).cast("long")
 
 
+def places(text: Column, word: str) -> Column:
+    """Where a word occurs, counted from 1, as an array; occurrences that overlap count each."""
+    length = len(word)
+    # The text is cut before every occurrence.
+    pieces = F.split(text, f"(?={_quoted(word)})")
+    ends = F.transform(pieces, lambda p: F.length(p))
+    starts = F.transform(F.sequence(F.lit(1), F.size(ends)), lambda i: F.aggregate(F.slice(ends, F.lit(1), i - 1), F.lit(0), lambda s, x: s + x) + 1)
+    return F.transform(F.filter(starts, lambda at: F.substring(text, at, F.lit(length)) == word), lambda at: at.cast("long"))
+
+
+def _quoted(word: str) -> str:
+    return "".join(c if c.isalnum() or c == " " else "\\" + c for c in word)
+
+
 def excerpt(text: Column, terms: Iterable[str], width: int) -> Column:
     """``width`` characters around the earliest term; the start where none occurs."""
     found = [F.when(F.instr(F.lower(text), t) > 0, F.instr(F.lower(text), t)) for t in terms]
@@ -81,6 +101,13 @@ def excerpt(text: Column, terms: Iterable[str], width: int) -> Column:
     return F.substring(text, start, F.lit(width))
 
 
+def excerpt_within(text: Column, terms: Iterable[str], width: Column) -> Column:
+    """``excerpt`` of a width that is a column."""
+    places = F.filter(F.array(*[F.instr(F.lower(text), t) for t in terms]), lambda p: p > 0)
+    start = F.greatest(F.lit(1), F.coalesce(F.array_min(places), F.lit(1)) - F.floor(width / 2).cast("int"))
+    return F.substring(text, start, width.cast("int"))
+
+
 def highlight(text: Column, terms: Iterable[str]) -> Column:
     """Words that begin with a term between mark tags, terms in the order given."""
     for term in terms:
@@ -116,15 +143,3 @@ def url_canonical(url: Column) -> Column:
 def slug(text: Column, width: int = 56) -> Column:
     """Letters and digits joined by hyphens, cut to ``width`` characters."""
     return F.regexp_replace(F.left(F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9]+", "-"), r"^-+|-+$", ""), F.lit(width)), r"-+$", "")
-
-
-# A reference: department code, kind of circular, number, and a year near it.
-REFERENCE = r"(?i)\b([A-Z]{2,}(?:\s?&\s?[A-Z]+)*)\s+(?:CIRCULAR\s+(LETTER\s+)?)(?:NO\.?\s*)?0*([0-9]{1,3})(?:\s*(?:OF|/|,)?\s*([0-9]{4}))?"
-
-
-def canonical_reference(text: Column) -> Column:
-    """The first reference as ``CODE CIRCULAR[ LETTER] NO n[ OF y]``; null without one."""
-    part = lambda i: F.regexp_extract(text, REFERENCE, i)
-    code = F.regexp_replace(F.upper(part(1)), r"\s*&\s*", "&")
-    whole = F.concat(code, F.lit(" CIRCULAR"), F.when(part(2) != "", " LETTER").otherwise(""), F.lit(" NO "), part(3), F.when(part(4) != "", F.concat(F.lit(" OF "), part(4))).otherwise(""))
-    return F.when(text.rlike(REFERENCE), whole)

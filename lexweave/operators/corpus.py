@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as X
+from lexweave.operators.retrieval import small_side
+from lexweave.session import settled
 
 
 def first_reason(rules: dict[str, Column]) -> Column:
@@ -28,16 +30,36 @@ def reconcile(expected: DataFrame, stored: DataFrame) -> DataFrame:
     return joined.select("id", F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("stored", F.lit(0)).alias("stored"), status.alias("status"))
 
 
-def contained_names(docs: DataFrame, names: DataFrame, words: int) -> DataFrame:
-    """(doc_id, name_id): documents whose canonical text has a name's canonical words in a row.
+#: Names that go to every task by broadcast; more meet the texts by a shuffle.
+BROADCAST_NAMES = 200_000
+ANCHOR_WORDS = 3
 
-    Names of ``words`` words meet the documents' runs of as many words by an equi
-    join, so no pair of document and name is made that does not match.
+
+def contained_names(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, name_id): documents whose canonical text has a name's canonical words in a row, whatever their number.
+
+    Runs of up to ``ANCHOR_WORDS`` words meet the names that begin with them by
+    an equi join on a hash, before any shuffle where the names are few; the
+    whole name is then looked for in the documents that are left.
     """
-    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
-    listed = docs.select("doc_id", tokens.alias("w")).where(F.size("w") >= words)
-    runs = listed.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.array_join(F.slice(F.col("w"), i, words), " ")))).alias("name"))
-    return runs.join(names.select("name_id", "name"), "name").select("doc_id", "name_id").distinct()
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    listed = docs.select("doc_id", words.alias("w"))
+    asked = names.select("name_id", F.regexp_extract_all(F.lower("name"), F.lit("[a-z0-9]+"), F.lit(0)).alias("want")).where(F.size("want") > 0)
+    asked = asked.withColumn("n", F.least(F.size("want"), F.lit(ANCHOR_WORDS)))
+    widths = sorted(r["n"] for r in asked.select("n").distinct().collect())  # at most ANCHOR_WORDS rows
+    if not widths:
+        return docs.select("doc_id").limit(0).crossJoin(names.select("name_id"))
+    key = lambda array, i, n: F.xxhash64(F.lit(n), *[F.get(array, i + j) for j in range(n)])
+    own = F.lit(None).cast("long")
+    for n in widths:
+        own = F.when(F.col("n") == n, key(F.col("want"), F.lit(0), n)).otherwise(own)
+    asked = small_side(asked.select("name_id", "want", own.alias("key")), BROADCAST_NAMES)
+    run = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: key(F.col("w"), i, n))).otherwise(F.array().cast("array<bigint>"))
+    runs = [run(n) for n in widths]
+    met = settled(listed.select("doc_id", F.explode(F.array_distinct(F.concat(*runs))).alias("key")).join(asked, "key").select("doc_id", "name_id", F.array_join("want", " ").alias("name")).distinct())
+    texts = listed.select("doc_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("canonical"))
+    whole = texts.join(small_side(met.select("doc_id").distinct(), BROADCAST_NAMES), "doc_id", "left_semi")
+    return met.join(whole, "doc_id").where(F.contains("canonical", F.concat(F.lit(" "), F.col("name"), F.lit(" ")))).select("doc_id", "name_id").distinct()
 
 
 def near(mentions: DataFrame, parts: DataFrame, reach: int = 200) -> DataFrame:
@@ -69,9 +91,20 @@ def expand_terms(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
 
 
 def current_versions(versions: DataFrame, now: Column) -> DataFrame:
-    """One version of each document in force: the latest effective one that is not ahead, else the newest seen."""
-    eligible = versions.where(F.col("effective_from").isNull() | (F.col("effective_from") <= now))
-    best = Window.partitionBy("document_id").orderBy(F.col("effective_from").desc_nulls_last(), F.col("first_seen").desc(), F.col("version_id").desc())
+    """One version of each document in force, among those of source "live" whose day has come.
+
+    Rows are (document_id, version_id, source, effective_from, first_seen,
+    listed, listed_day, listed_order). The latest effective day wins; where no
+    version has one, the one that the listing names, of these the latest row
+    by day and order, then the one seen last. Ties go to the smaller
+    version_id. A document whose versions all lie ahead has none.
+    """
+    eligible = versions.where((F.col("source") == "live") & (F.col("effective_from").isNull() | (F.col("effective_from") <= now)))
+    undated = F.col("effective_from").isNull()
+    # A dated version goes before all undated ones; the rest only tells undated ones apart.
+    order = [F.col("effective_from").desc_nulls_last()]
+    order += [F.when(undated, c).desc_nulls_last() for c in (F.col("listed"), F.when(F.col("listed"), F.col("listed_day")), F.when(F.col("listed"), F.col("listed_order")), F.col("first_seen"))]
+    best = Window.partitionBy("document_id").orderBy(*order, F.col("version_id"))
     return eligible.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
 
 

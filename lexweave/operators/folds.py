@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 CHANGES = "chain long, req_id string, requirement string, status string, origin string, history int"
 
@@ -33,8 +34,15 @@ def consolidate(changes: DataFrame) -> DataFrame:
 
 
 def greedy_budget(rows: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
-    """Rows taken in order while they fit; one that does not fit is passed over."""
+    """Rows taken in order while they fit; one that does not fit is passed over. Sizes are at least 1.
+
+    Room only shrinks, so of the rows of one size those that are taken are the
+    first ones, and at most ``budget / size`` of them. All others go before the
+    fold, whose group is then bounded by the budget, whatever a group's rows.
+    """
     schema = rows.schema
+    nth = F.row_number().over(Window.partitionBy(group, size).orderBy(order))
+    few = rows.where(F.col(size).between(1, budget)).withColumn("_nth", nth).where(F.col("_nth") <= budget).where(F.col("_nth") * F.col(size) <= budget).drop("_nth")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         left, keep = budget, []
@@ -44,15 +52,10 @@ def greedy_budget(rows: DataFrame, group: str, order: str, size: str, budget: in
             left -= n if n <= left else 0
         return pdf[keep]
 
-    return rows.groupBy(group).applyInPandas(fold, schema)
+    return few.groupBy(group).applyInPandas(fold, schema)
 
 
-def dehyphenate(lines: list[str]) -> list[str]:
-    """A line that ends in a hyphen is joined to the next if that begins in lower case."""
-    out: list[str] = []
-    for line in lines:
-        if out and out[-1].endswith("-") and line[:1].islower():
-            out[-1] = out[-1][:-1] + line
-        else:
-            out.append(line)
-    return out
+def prefix_budget(rows: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
+    """Rows taken in order until one does not fit; that one ends the group."""
+    taken = F.sum(size).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("_taken", taken).where(F.col("_taken") <= budget).drop("_taken")

@@ -1,17 +1,26 @@
 """Ranked retrieval: postings, BM25, phrases, cosine, fusion and evidence.
 
 Queries come as a DataFrame, so a batch of them costs one pass over the corpus.
-Terms of the queries are joined to postings by term; only matching postings are
-shuffled, and each query's best are kept by a ranked window with a limit that
-Spark also applies before the shuffle.
+Texts are tokenized once; what no query asks for goes before the first shuffle.
+Each query's best are kept by a ranked window whose limit Spark also applies
+before the shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as X
+from lexweave.session import settled
+
+#: Query terms (some 50 bytes each) that go to every task by broadcast; more meet the postings by a shuffle.
+BROADCAST_TERMS = 1_000_000
 
 
 def top_k(frame: DataFrame, k: int, by: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
@@ -19,11 +28,16 @@ def top_k(frame: DataFrame, k: int, by: list[str], order: list[Column], rank: st
     return frame.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col(rank) <= k)
 
 
+def small_side(frame: DataFrame, bound: int) -> DataFrame:
+    """``frame`` with a hint to broadcast it where it has at most ``bound`` rows."""
+    return F.broadcast(frame) if frame.limit(bound + 1).count() <= bound else frame
+
+
 def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, term, tf, length): a row for each document and term."""
     rows = docs.select(F.col(doc), X.tokens(F.col(text)).alias("tokens"))
     rows = rows.select(doc, F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    return rows.groupBy(doc, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    return rows.groupBy(doc, "term").agg(F.count("*").cast("double").alias("tf"), F.first("length").alias("length"))
 
 
 def query_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
@@ -32,40 +46,101 @@ def query_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
     return rows.groupBy(query, "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(posts: DataFrame, terms: DataFrame, query: str, doc: str, k: int, k1: float = 1.2, b: float = 0.75, least_idf: float = 1e-6) -> DataFrame:
-    """The ``k`` best documents of each query; ties go to the smaller document."""
-    wanted = posts.join(terms.select("term").distinct(), "term", "left_semi")
-    totals = posts.select(doc, "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))  # one row
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(raw <= 0, F.lit(least_idf)).otherwise(raw)
-    part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    scored = terms.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(totals)).groupBy(query, doc).agg(F.round(F.sum(part), 6).alias("score"))
-    return top_k(scored, k, [query], [F.desc("score"), F.asc(doc)])
+def asked_postings(docs: DataFrame, terms: DataFrame, doc: str, columns: dict[str, float]) -> DataFrame:
+    """(doc, length, term, tf) for the asked terms alone, and a row with a null term for every document.
 
+    ``columns`` have weights: a term counts as often as its columns weigh, and
+    the length is that of all columns. Terms that nobody asks for go before
+    the shuffle; texts are tokenized once, as the result is a written table.
+    """
+    listed = docs.select(F.col(doc), *[X.tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"t{i}") for i, c in enumerate(columns)])
+    length = sum(F.size(f"t{i}") for i in range(len(columns)))
+    weighted = lambda i, w: F.transform(F.col(f"t{i}"), lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
+    parts = [weighted(i, w) for i, w in enumerate(columns.values())]
+    mark = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("w")))
+    rows = listed.select(doc, length.alias("length"), F.explode(F.concat(mark, *parts)).alias("p")).select(doc, "length", "p.term", "p.w")
+    wanted = small_side(terms.select("term").distinct().withColumn("asked", F.lit(True)), BROADCAST_TERMS)
+    kept = rows.join(wanted, "term", "left").where("asked or term is null")
+    return settled(kept.groupBy(doc, "term").agg(F.first("length").alias("length"), F.sum("w").alias("tf")))
+
+
+def scored(posts: DataFrame, terms: DataFrame, query: str, doc: str, k: int, k1: float, b: float, floor: str) -> DataFrame:
+    """The ``k`` best documents of each query by BM25; ties go to the smaller document.
+
+    ``floor`` says what a term gets that half of the documents or more have:
+    "clamp" a very small weight, "mean" a quarter of the mean weight of all
+    terms of ``posts``.
+    """
+    totals = posts.where("term is null").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))  # one row
+    df = posts.where("term is not null").groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))
+    raw = df.withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    if floor == "clamp":
+        weighted = raw.withColumn("idf", F.when(F.col("raw") <= 0, F.lit(1e-6)).otherwise(F.col("raw")))
+    else:
+        weighted = raw.crossJoin(F.broadcast(raw.agg(F.avg("raw").alias("mean_raw")))).withColumn("idf", F.when(F.col("raw") < 0, F.lit(0.25) * F.col("mean_raw")).otherwise(F.col("raw")))
+    weights = terms.join(weighted.select("term", "idf", "mean_length"), "term").select(query, "term", (F.col("qtf") * F.col("idf")).alias("weight"), "mean_length")
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
+    # Where the query's weights are broadcast, postings of a document stay together, and its partial sums are whole before the shuffle.
+    together = posts.where("term is not null").repartition(doc)
+    met = together.join(small_side(weights, BROADCAST_TERMS), "term")
+    return top_k(met.groupBy(query, doc).agg(F.round(F.sum(part), 6).alias("score")), k, [query], [F.desc("score"), F.asc(doc)])
+
+
+def bm25(docs: DataFrame, terms: DataFrame, query: str, doc: str, k: int, k1: float = 1.2, b: float = 0.75, columns: dict[str, float] | None = None) -> DataFrame:
+    """The ``k`` best documents of each query, as a full-text index ranks them, by weighted columns."""
+    return scored(asked_postings(docs, terms, doc, columns or {"text": 1.0}), terms, query, doc, k, k1, b, "clamp")
+
+
+def okapi(docs: DataFrame, terms: DataFrame, query: str, doc: str, k: int, k1: float = 1.5, b: float = 0.75, text: str = "text") -> DataFrame:
+    """The ``k`` best documents of each query where common terms weigh a quarter of the mean of the vocabulary.
+
+    The mean is of all terms of ``docs``, asked or not, so its document
+    frequencies are counted over the whole vocabulary.
+    """
+    listed = settled(docs.select(F.col(doc), X.tokens(F.col(text)).alias("tokens")))
+    n = F.count("*").alias("n")
+    totals = listed.agg(n, F.avg(F.size("tokens")).alias("mean_length"))  # one row
+    df = listed.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = settled(df.crossJoin(F.broadcast(totals)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    mean = raw.agg(F.avg("raw").alias("mean_raw"))  # one row
+    asked = terms.join(raw, "term").crossJoin(F.broadcast(mean))
+    idf = F.when(F.col("raw") < 0, F.lit(0.25) * F.col("mean_raw")).otherwise(F.col("raw"))
+    weights = asked.select(query, "term", (F.col("qtf") * idf).alias("weight"), "mean_length")
+    wanted = small_side(terms.select("term").distinct(), BROADCAST_TERMS)
+    posts = listed.select(doc, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy(doc, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
+    met = posts.join(small_side(weights, BROADCAST_TERMS), "term").groupBy(query, doc).agg(F.round(F.sum(part), 6).alias("score"))
+    return top_k(met, k, [query], [F.desc("score"), F.asc(doc)])
 
-def weighted_bm25(columns: dict[str, float], docs: DataFrame, doc: str) -> DataFrame:
-    """Postings whose tf is the weighted sum over columns, and whose length is of all columns."""
-    parts = [docs.select(doc, F.explode(X.tokens(F.col(c))).alias("term"), F.lit(float(w)).alias("w")) for c, w in columns.items()]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    lengths = docs.select(doc, sum(F.size(X.tokens(F.coalesce(F.col(c), F.lit("")))) for c in columns).alias("length"))
-    return rows.groupBy(doc, "term").agg(F.sum("w").alias("tf")).join(lengths, doc)
+
+ANCHOR = 3
 
 
 def phrase_matches(docs: DataFrame, phrases: DataFrame, doc: str, phrase: str, text: str = "text") -> DataFrame:
     """(phrase, doc): documents with the phrase's tokens in a row; no cutoff.
 
-    Candidates meet on the phrase's first token; the row of tokens is then
-    looked for in these documents alone.
+    Places meet phrases by a hash of up to ``ANCHOR`` first tokens, before any
+    shuffle where the phrases are few; whole phrases are then compared in the
+    documents that are left.
     """
     tokens = docs.select(doc, X.tokens(F.col(text)).alias("tokens"))
-    asked = phrases.select(phrase, X.tokens(F.col("phrase_text")).alias("want")).where(F.size("want") > 0)
-    met = tokens.select(doc, F.explode(F.array_distinct("tokens")).alias("first")).join(asked.withColumn("first", F.element_at("want", 1)), "first").drop("first")
-    last = F.size("tokens") - F.size("want") + 1
-    run = F.exists(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.slice(F.col("tokens"), i, F.size("want")) == F.col("want"))
-    return met.join(tokens, doc).where((last >= 1) & run).select(phrase, doc).distinct()
+    asked = phrases.select(phrase, X.tokens(F.col("phrase_text")).alias("want")).where(F.size("want") > 0).withColumn("n", F.least(F.size("want"), F.lit(ANCHOR)))
+    widths = sorted(r["n"] for r in asked.select("n").distinct().collect())  # at most ANCHOR rows
+    if not widths:
+        return asked.select(phrase).crossJoin(docs.select(doc).limit(0))
+    key = lambda array, i, n: F.xxhash64(F.lit(n), *[F.get(array, i + j) for j in range(n)])
+    own = F.lit(None).cast("long")
+    for n in widths:
+        own = F.when(F.col("n") == n, key(F.col("want"), F.lit(0), n)).otherwise(own)
+    asked = asked.select(phrase, "want", own.alias("key"))
+    runs = lambda n: F.when(F.size("tokens") >= n, F.transform(F.sequence(F.lit(0), F.size("tokens") - n), lambda i: key(F.col("tokens"), i, n))).otherwise(F.array().cast("array<bigint>"))
+    places = [runs(n) for n in widths]
+    met = tokens.select(doc, F.explode(F.array_distinct(F.concat(*places))).alias("key")).join(small_side(asked, BROADCAST_TERMS).select(phrase, "want", "key"), "key").drop("key").distinct()
+    met = settled(met)
+    whole = tokens.join(small_side(met.select(doc).distinct(), BROADCAST_TERMS), doc, "left_semi")
+    last = F.size("tokens") - F.size("want")
+    run = F.exists(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: (F.get(F.col("tokens"), i) == F.get(F.col("want"), F.lit(0))) & (F.slice(F.col("tokens"), i + 1, F.size("want")) == F.col("want")))
+    return met.join(whole, doc).where((last >= 0) & run).select(phrase, doc).distinct()
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -78,31 +153,137 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, F.lit(0.0)).otherwise(dot(a, b) / norm)
 
 
-#: Queries that go to every task by broadcast (a few hundred bytes each); a larger set is dealt over shuffled blocks.
+#: Queries that go to every task by broadcast (a few hundred bytes each); a larger set is dealt over blocks.
 BROADCAST_QUERIES = 2000
-
-
-def against_all(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """A stated query set against every vector, exactly.
-
-    A set under ``BROADCAST_QUERIES`` rows is broadcast. A larger one meets the
-    vectors block by block: vectors are dealt into as many blocks as there are
-    shuffle partitions, and each query goes to every block once.
+#: Vectors whose scores for all queries are held at once.
+HELD_VECTORS = 4096
+#: Scores are rounded to six places afterwards; what lies so near the last kept one may tie with it.
+MARGIN = 2e-6
+
+
+def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
+    """Vectors as rows of length one; zero, null and odd-sized vectors as zeros."""
+    rows = column.to_pylist()
+    width = width or max((len(r) for r in rows if r), default=1)
+    out = np.zeros((len(rows), width))
+    for i, r in enumerate(rows):
+        if r is not None and len(r) == width:
+            out[i] = r
+    norm = np.sqrt((out * out).sum(1, keepdims=True))
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
+class _Best:
+    """The ``k`` best of each query so far, with all that may tie with the last."""
+
+    def __init__(self, asked: np.ndarray, k: int):
+        self.asked, self.k = asked, k
+        self.ids = np.zeros(0, np.int64)
+        self.scores = np.zeros((len(asked), 0))
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        scores = np.concatenate([self.scores, self.asked @ vectors.T], 1)
+        ids = np.concatenate([self.ids, ids])
+        if len(ids) > self.k:
+            last = np.partition(scores, len(ids) - self.k, axis=1)[:, len(ids) - self.k]
+            self.cut = scores >= last[:, None] - MARGIN
+            keep = self.cut.any(0)
+            ids, scores = ids[keep], scores[:, keep]
+        self.ids, self.scores = ids, scores
+
+    def rows(self, query_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(self.ids)
+        if n > self.k:
+            last = np.partition(self.scores, n - self.k, axis=1)[:, n - self.k]
+            q, v = np.nonzero(self.scores >= last[:, None] - MARGIN)
+        else:
+            q, v = np.nonzero(np.ones_like(self.scores, bool))
+        return query_ids[q], self.ids[v], self.scores[q, v]
+
+
+PAIRS = "query_id long, vec_id long, score double"
+
+
+def nearest_pairs(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): for each block of vectors and query the ``k`` of the largest cosine, and ties.
+
+    Both sides are brought to length one once, then scored by matrix products.
     """
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        return vectors.join(F.broadcast(queries), F.lit(True))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "q")
+    names = [f.split()[0] for f in PAIRS.split(", ")]
+    if asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        table = asked.toArrow()
+        shared = vectors.sparkSession.sparkContext.broadcast((table.column(0).to_numpy(), _matrix(table.column(1).combine_chunks())))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, matrix = shared.value
+            best = _Best(matrix, k)
+            for batch in batches:
+                for i in range(0, batch.num_rows, HELD_VECTORS):
+                    part = batch.slice(i, HELD_VECTORS)
+                    best.add(part.column(0).to_numpy(), _matrix(part.column(1), matrix.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best.rows(ids)], names)
+
+        return rows.mapInArrow(run, PAIRS)
+    # Vectors are dealt to blocks, queries to groups, and every group meets every block once.
     blocks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = vectors.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    asked = queries.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    return dealt.join(asked, "_block").drop("_block")
+    groups = -(-asked.count() // BROADCAST_QUERIES)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("group", every(groups))
+    right = asked.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")).withColumn("block", every(blocks))
+
+    def meet(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        matrix = _matrix(pa.array(q["q"]))
+        best = _Best(matrix, k)
+        for i in range(0, len(v), HELD_VECTORS):
+            best.add(v["vec_id"].to_numpy()[i : i + HELD_VECTORS], _matrix(pa.array(v["embedding"].iloc[i : i + HELD_VECTORS]), matrix.shape[1]))
+        return pd.DataFrame(dict(zip(names, best.rows(q["query_id"].to_numpy()), strict=True)))
+
+    return left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(meet, PAIRS)
 
 
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact: rows (query_id, q) against rows (vec_id, embedding)."""
-    pairs = against_all(vectors, queries).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    """Exact: rows (query_id, q) against rows (vec_id, embedding); scores to six places, ties to the smaller vec_id."""
+    pairs = nearest_pairs(vectors, queries, k).withColumn("score", F.round("score", 6))
     return top_k(pairs, k, ["query_id"], [F.desc("score"), F.asc("vec_id")])
 
 
+def best_per_group(vectors: DataFrame, queries: DataFrame, group: str) -> DataFrame:
+    """(query_id, group, best): each query's largest cosine in each group; (group, best) of any query where ``group`` is vec_id.
+
+    Queries, a bounded set, go to every task; scores are matrix products, and
+    only maxima leave a task.
+    """
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "q")
+    if asked.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
+        raise ValueError(f"more than {BROADCAST_QUERIES} queries: ask in several sets")
+    table = asked.toArrow()
+    shared = vectors.sparkSession.sparkContext.broadcast((table.column(0).to_numpy(), _matrix(table.column(1).combine_chunks())))
+    alone = group == "vec_id"
+    schema = "vec_id long, best double" if alone else f"query_id long, {group} long, best double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = shared.value
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            scores = matrix @ _matrix(batch.column(1), matrix.shape[1]).T
+            if alone:
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(scores.max(0))], ["vec_id", "best"])
+                continue
+            for key in np.unique(keys):
+                most = scores[:, keys == key].max(1)
+                held[int(key)] = np.maximum(held[int(key)], most) if int(key) in held else most
+        for key, most in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), key)), pa.array(most)], ["query_id", group, "best"])
+
+    found = vectors.select(F.col(group).cast("long").alias(group), "embedding").mapInArrow(run, schema)
+    return found.groupBy(*([] if alone else ["query_id"]), group).agg(F.round(F.max("best"), 6).alias("best"))
+
+
 def rrf(arms: dict[str, DataFrame], key: list[str], constant: int = 60) -> DataFrame:
     """Reciprocal rank fusion: arms (key, rank) become one score with each arm's rank."""
     tagged = [a.select(*key, F.lit(name).alias("arm"), (F.lit(1.0) / (constant + F.col("rank"))).alias("part")) for name, a in arms.items()]
@@ -112,11 +293,32 @@ def rrf(arms: dict[str, DataFrame], key: list[str], constant: int = 60) -> DataF
     return rows.groupBy(*key).agg(F.round(F.sum("part"), 8).alias("score"), F.count("*").alias("arms"))
 
 
+def densest(words: Column, terms: list[str], width: int) -> Column:
+    """(score, at) of the first window of ``width`` words with the most hits; a word hits if it contains a term.
+
+    A best window that begins earliest begins at the start or ends at a hit, so
+    only the hits are looked at, each with the ``width`` hits before it.
+    """
+    n = F.size(words)
+    hits = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(F.lower(F.get(words, i)), t)))
+
+    def best(hits: Column) -> Column:
+        last = F.greatest(n - width, F.lit(0))
+        start = F.struct(F.size(F.filter(F.slice(hits, 1, width), lambda p: p < width)).alias("score"), F.lit(0).alias("minus"))
+
+        def window(p: Column, j: Column) -> Column:
+            back = F.filter(F.sequence(F.lit(0), F.least(j, F.lit(width - 1))), lambda k: F.get(hits, j - k) > p - width)
+            return F.struct(F.size(back).alias("score"), (-(p - width + 1)).alias("minus"))
+
+        ends = F.filter(F.transform(hits, window), lambda w: (-w["minus"] > 0) & (-w["minus"] <= last))
+        return F.array_max(F.concat(F.array(start), ends))
+
+    # The hits are bound once, as the element of an array of one.
+    found = F.get(F.transform(F.array(hits), best), F.lit(0))
+    return F.struct(found["score"].cast("long").alias("score"), (-found["minus"]).cast("long").alias("at"))
+
+
 def best_passage(docs: DataFrame, terms: list[str], doc: str, width: int = 25, text: str = "text") -> DataFrame:
-    """(doc, score, at): the densest window of words, where a word hits if it contains a term."""
-    hit = F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(F.lower("word"), t)).cast("int")
-    ws = docs.select(doc, X.blank_split(F.col(text)).alias("ws")).select(doc, F.size("ws").alias("n_words"), F.posexplode("ws").alias("at", "word"))
-    ahead = Window.partitionBy(doc).orderBy("at").rowsBetween(0, width - 1)
-    scored = ws.withColumn("score", F.sum(hit).over(ahead)).where(F.col("at") <= F.greatest(F.col("n_words") - width, F.lit(0)))
-    best = scored.groupBy(doc).agg(F.max(F.struct("score", (-F.col("at")).alias("minus"))).alias("b"))
-    return best.select(doc, F.col("b.score").cast("long").alias("score"), (-F.col("b.minus")).cast("long").alias("at"))
+    """(doc, score, at): the densest window of each document's words; documents without words have none."""
+    ws = docs.select(doc, X.blank_split(F.col(text)).alias("ws")).where(F.size("ws") > 0)
+    return ws.select(doc, densest(F.col("ws"), terms, width).alias("w")).select(doc, "w.score", "w.at")

@@ -43,23 +43,26 @@ def harvested(edges: DataFrame, anchors: DataFrame, kind: str = "clarifies", con
     return edges.unionByName(new.select("source_id", "target_id", F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence")))
 
 
+PAGE_NUMBER = r"(?i)^(page\s+)?[0-9]+(\s+of\s+[0-9]+)?$"
+
+
 def clean_pages(pages: DataFrame) -> DataFrame:
-    """(doc, page, text) without the lines at a page's edges that at least half of a document's pages, and three, repeat."""
-    lines = pages.select("doc", "page", F.posexplode(F.split("text", "\n")).alias("at", "line"), F.size(F.split("text", "\n")).alias("n"))
-    plain = X.collapse(F.regexp_replace("line", "[0-9]+", "#"))
-    marked = lines.withColumn("edge", (F.col("at") < 2) | (F.col("at") >= F.col("n") - 2)).withColumn("key", plain)
-    edges = marked.where("edge and length(line) <= 160 and key <> ''").groupBy("doc", "key").agg(F.count_distinct("page").alias("on"))
-    counts = pages.groupBy("doc").agg(F.count("*").alias("pages"))
-    repeated = edges.join(counts, "doc").where(F.col("on") >= F.greatest(F.lit(3), F.floor((F.col("pages") + 1) / 2))).select("doc", "key", F.lit(True).alias("gone"))
-    kept = marked.join(repeated, ["doc", "key"], "left").where(~(F.coalesce("gone", F.lit(False)) & F.col("edge")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda r: r["line"]), "\n")
-    joined = kept.groupBy("doc", "page").agg(text.alias("text"))
-    return pages.select("doc", "page").join(joined, ["doc", "page"], "left").select("doc", "page", F.regexp_replace(F.coalesce("text", F.lit("")), r"(\p{L})-\n(\p{Ll})", "$1$2").alias("text"))
-
-
-def part_noun(word: Column) -> Column:
-    """A heading's noun in the singular, first letter large."""
-    return F.initcap(F.regexp_replace(F.lower(F.trim(word)), r"(?<=[a-z]{2})(ies|s)$", ""))
+    """(doc, page, text): pages without the lines that many of them repeat at an edge, nor page numbers there.
+
+    An edge is the first or last two lines that are not blank. A line up to 160
+    characters goes if it stands at an edge as often as half of the pages, and
+    at least three times, case aside. A word cut by a hyphen is joined to the
+    line below if that begins in lower case.
+    """
+    plain = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n"), X.collapse), lambda x: x != "")
+    listed = pages.select("doc", "page", plain.alias("lines"))
+    ends = F.concat(F.slice("lines", 1, 2), F.slice("lines", F.greatest(F.size("lines") - 1, F.lit(1)), F.least(F.size("lines"), F.lit(2))))
+    counts = listed.select("doc", F.explode(F.transform(F.filter(ends, lambda x: F.length(x) <= 160), F.lower)).alias("line")).groupBy("doc", "line").agg(F.count("*").alias("n"))
+    many = pages.groupBy("doc").agg(F.greatest(F.lit(3), F.floor((F.count("*") + 1) / 2)).alias("least"))
+    repeated = counts.join(many, "doc").where("n >= least").groupBy("doc").agg(F.collect_set("line").alias("repeated"))
+    kept = F.filter("lines", lambda x, i: ~(((i <= 1) | (i >= F.size("lines") - 2)) & (F.coalesce(F.array_contains("repeated", F.lower(x)), F.lit(False)) | x.rlike(PAGE_NUMBER))))
+    joined = F.regexp_replace(F.array_join("kept", "\n"), r"(?U)-\n(?=\p{Ll})", "")
+    return listed.join(repeated, "doc", "left").withColumn("kept", kept).select("doc", "page", joined.alias("text"))
 
 
 def attachment_info(url: Column) -> Column:

@@ -24,21 +24,24 @@ def expected_vs_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("name_id"), F.array_join(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), 2, 4), " ").alias("name"))
-    return C.contained_names(table(spark, sf_dir, "documents"), names, 4)
+    """Names of one to many words: the names of parts, and the passages whole."""
+    parts = table(spark, sf_dir, "part").select("p_name").distinct().select(F.concat(F.lit("part "), "p_name").alias("name_id"), F.col("p_name").alias("name"))
+    passages = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("name_id"), F.col("text").alias("name"))
+    return C.contained_names(table(spark, sf_dir, "documents"), parts.unionByName(passages))
 
 
 def proximity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two places of a document where both words occur near each other."""
     docs = table(spark, sf_dir, "documents")
-    at = lambda word: docs.select("doc_id", F.instr("text", word).cast("long").alias("at")).where("at > 0")
-    return C.near(at("tion"), at("ing"))
+    at = lambda word: docs.select("doc_id", F.explode(X.places(F.col("text"), word)).alias("at"))
+    return C.near(at("tion of"), at("ing the"))
 
 
 def title_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    titles = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("day"), F.left("text", F.lit(120)).alias("title"))
-    subjects = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("subject_id"), F.col("doc_id").alias("before"), F.left("text", F.lit(24)).alias("subject"))
-    return C.subset_titles(titles, subjects)
+    """Titles, the first lines of documents, that have every word of a later one's last line."""
+    docs = table(spark, sf_dir, "documents").withColumn("lines", F.split("text", "\n"))
+    titles = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("day"), F.element_at("lines", 1).alias("title"))
+    return C.subset_titles(titles, docs.select(F.col("doc_id").alias("subject_id"), F.col("doc_id").alias("before"), F.element_at("lines", -1).alias("subject")))
 
 
 def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +51,12 @@ def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def versions_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("version_id"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate")).alias("effective_from"), F.col("o_orderkey").alias("first_seen"))
+    """Orders as versions of their customers' documents: every fourth archived, every third undated, every second listed."""
+    k = F.col("o_orderkey")
+    v = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("document_id"), k.alias("version_id"), F.when(k % 4 == 0, "archive").otherwise("live").alias("source"), F.when(k % 3 != 0, F.col("o_orderdate")).alias("effective_from"),
+        (k * 7919 % 10007).alias("first_seen"), (k % 2 == 0).alias("listed"), F.when(k % 5 != 0, k % 11).alias("listed_day"), (k % 17).alias("listed_order"),
+    )
     return C.current_versions(v, F.lit("1995-06-30").cast("timestamp_ntz")).select("document_id", "version_id")
 
 
@@ -70,17 +78,16 @@ def json_facet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def span_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a benchmark passage, blanks aside, stands word for word in a document that shares its first eight words."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", X.collapse(F.col("text")).alias("span"))
-    keyed = items.withColumn("name", F.array_join(F.slice(F.regexp_extract_all(F.lower("span"), F.lit("[a-z0-9]+"), F.lit(0)), 1, 4), " ")).withColumnRenamed("item_id", "name_id")
+    """Whether a benchmark passage, blanks aside, stands word for word in a document that has its canonical words in a row."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("name_id"), X.collapse(F.col("text")).alias("span"), F.col("text").alias("name"))
     docs = table(spark, sf_dir, "documents")
-    met = C.contained_names(docs, keyed, 4).join(keyed, "name_id").join(docs.select("doc_id", X.collapse(F.col("text")).alias("body")), "doc_id")
+    met = C.contained_names(docs, items).join(items.drop("name"), "name_id").join(docs.select("doc_id", X.collapse(F.col("text")).alias("body")), "doc_id")
     return met.select("doc_id", F.col("name_id").alias("item_id"), F.contains("body", F.col("span")).alias("verified"))
 
 
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = F.concat(F.lit("api_key="), F.col("doc_id").cast("string"), F.lit(" Bearer x"), F.col("doc_id").cast("string"), F.lit(" "), F.left("text", F.lit(20)))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(C.redact(made)).alias("clean_md5"))
+    """Whole texts without the values of secret-looking keys."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(C.redact(F.col("text"))).alias("clean_md5"))
 
 
 def coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,19 +120,25 @@ ORACLE = {
     "expected_vs_stored": r"""WITH e AS (SELECT doc_id AS id, CASE WHEN n <= 130 THEN least(n, 1) ELSE CAST(ceil((n - 130) / 100.0) AS BIGINT) + 1 END AS expected FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n FROM documents)),
 s AS (SELECT vec_id % 400 + 700 AS id, count(*) AS stored FROM embeddings GROUP BY 1)
 SELECT coalesce(e.id, s.id) AS id, coalesce(expected, 0) AS expected, coalesce(stored, 0) AS stored, CASE WHEN expected IS NULL THEN 'orphan' WHEN expected = 0 THEN 'empty' WHEN stored IS NULL THEN 'missing' WHEN expected = stored THEN 'indexed' ELSE 'stale' END AS status FROM e FULL JOIN s ON e.id = s.id""",
-    "name_contains": f"""SELECT d.doc_id, b.item_id AS name_id FROM (SELECT doc_id, ' ' || array_to_string({CANON}, ' ') || ' ' AS t FROM documents) d, (SELECT item_id, list_slice({CANON}, 2, 5) AS w FROM benchmark) b WHERE len(w) = 4 AND contains(d.t, ' ' || array_to_string(w, ' ') || ' ')""",
-    "proximity_join": "SELECT doc_id, a AS at_a, b AS at_b FROM (SELECT doc_id, instr(text, 'tion') AS a, instr(text, 'ing') AS b FROM documents) WHERE a > 0 AND b > 0 AND abs(a - b) <= 200",
-    "title_subsets": f"""WITH t AS (SELECT doc_id AS id, list_distinct({TOK.replace("lower(text)", "lower(left(text, 120))")}) AS w FROM documents), s AS (SELECT doc_id AS subject_id, list_distinct({TOK.replace("lower(text)", "lower(left(text, 24))")}) AS w FROM documents WHERE doc_id % 20 = 0)
+    "name_contains": f"""WITH n AS (SELECT DISTINCT 'part ' || p_name AS name_id, lower(p_name) AS text FROM part UNION ALL SELECT 'item ' || item_id, text FROM benchmark), k AS (SELECT name_id, {CANON} AS w FROM n)
+SELECT d.doc_id, k.name_id FROM (SELECT doc_id, ' ' || array_to_string({CANON}, ' ') || ' ' AS t FROM documents) d, k WHERE len(w) > 0 AND contains(d.t, ' ' || array_to_string(w, ' ') || ' ')""",
+    "proximity_join": """WITH a AS (SELECT doc_id, unnest(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 7) = 'tion of')) AS at_a FROM documents WHERE contains(text, 'tion of') AND contains(text, 'ing the')),
+b AS (SELECT doc_id, unnest(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 7) = 'ing the')) AS at_b FROM documents WHERE contains(text, 'tion of') AND contains(text, 'ing the'))
+SELECT doc_id, at_a, at_b FROM a JOIN b USING (doc_id) WHERE abs(at_a - at_b) <= 200""",
+    "title_subsets": f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), t AS (SELECT doc_id AS id, list_distinct({TOK.replace("lower(text)", "lower(ls[1])")}) AS w FROM l), s AS (SELECT doc_id AS subject_id, list_distinct({TOK.replace("lower(text)", "lower(ls[-1])")}) AS w FROM l)
 SELECT subject_id, id FROM t JOIN s ON id < subject_id WHERE len(s.w) > 0 AND list_has_all(t.w, s.w)""",
     "synonym_expand": """WITH t AS (SELECT DISTINCT conv_id AS query, lower(role) AS term FROM conversations), s(term, phrase) AS (VALUES ('user', 'human'), ('user', 'person'), ('assistant', 'model'), ('assistant', 'helper'), ('system', 'user'), ('system', 'rules'))
 SELECT query, term, bool_or(own) AS own FROM (SELECT query, term, true AS own FROM t UNION ALL SELECT query, phrase, false FROM t JOIN s USING (term)) GROUP BY 1, 2""",
-    "versions_in_force": """SELECT document_id, version_id FROM (SELECT o_custkey AS document_id, o_orderkey AS version_id, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate END DESC NULLS LAST, o_orderkey DESC) AS r
-FROM orders WHERE o_orderkey % 3 = 0 OR o_orderdate <= TIMESTAMP '1995-06-30') WHERE r = 1""",
+    "versions_in_force": """WITH v AS (SELECT o_custkey AS d, o_orderkey AS k, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate END AS eff FROM orders WHERE o_orderkey % 4 <> 0),
+e AS (SELECT * FROM v WHERE eff IS NULL OR eff <= TIMESTAMP '1995-06-30'),
+dated AS (SELECT d, arg_min(k, (-epoch(eff), k)) AS k FROM e WHERE eff IS NOT NULL GROUP BY d),
+undated AS (SELECT d, first(k ORDER BY k % 2 = 0 DESC, CASE WHEN k % 2 = 0 AND k % 5 <> 0 THEN k % 11 END DESC NULLS LAST, CASE WHEN k % 2 = 0 THEN k % 17 END DESC NULLS LAST, k * 7919 % 10007 DESC, k) AS k FROM e WHERE d NOT IN (SELECT d FROM dated) GROUP BY d)
+SELECT d AS document_id, k AS version_id FROM dated UNION ALL SELECT d, k FROM undated""",
     "tag_facet": "SELECT unnest([lang, source]) AS tag, count(*) AS n FROM documents GROUP BY 1",
     "json_facet": "SELECT unnest(json_keys(props)) AS field, count(*) AS n FROM events GROUP BY 1",
-    "span_verified": f"""WITH d AS (SELECT doc_id, ' ' || array_to_string({CANON}, ' ') || ' ' AS t, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS body FROM documents), b AS (SELECT item_id, list_slice({CANON}, 1, 4) AS w, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS span FROM benchmark)
-SELECT doc_id, item_id, contains(body, span) AS verified FROM d, b WHERE len(w) = 4 AND contains(t, ' ' || array_to_string(w, ' ') || ' ')""",
-    "redacted": "SELECT doc_id, md5('api_key=[redacted] Bearer [redacted] ' || left(text, 20)) AS clean_md5 FROM documents",
+    "span_verified": f"""WITH d AS (SELECT doc_id, ' ' || array_to_string({CANON}, ' ') || ' ' AS t, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS body FROM documents), b AS (SELECT item_id, {CANON} AS w, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS span FROM benchmark)
+SELECT doc_id, item_id, contains(body, span) AS verified FROM d, b WHERE len(w) > 0 AND contains(t, ' ' || array_to_string(w, ' ') || ' ')""",
+    "redacted": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\b(api[_-]?key|token|secret|password|authorization)\b("?\s*[:=]\s*"?)([^\s",}]+)', '\1\2[redacted]', 'gi'), '\bbearer\s+[A-Za-z0-9._-]+', 'Bearer [redacted]', 'gi')) AS clean_md5 FROM documents""",
     "coerced": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(1000000 + c_custkey AS DOUBLE) END AS number, CASE WHEN c_custkey % 2 = 0 THEN '2020-02-05' ELSE '2021-03-03' END AS day FROM customer",
     "allowed_urls": "SELECT page_id, host, host = 'example.com' OR ends_with(host, '.example.com') AS allowed FROM (SELECT page_id, regexp_extract(lower(url), '^https?://([^/]+)', 1) AS host FROM pages)",
     "latency_summary": "SELECT event_type, user_id % 2 AS arm, count(*) FILTER (WHERE value > 50) AS large, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median FROM events GROUP BY 1, 2",

@@ -13,17 +13,32 @@ from lexweave.sources import sinks
 from lexweave.streaming import jobs
 
 
+KINDS = ("amends", "supersedes", "clarifies", "adds_to", "references", "cancels")
+
+
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.element_at(F.array(*[F.lit(k) for k in ("amends", "supersedes", "clarifies", "adds_to", "references")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("doc_id") % 6 + 1).cast("int"))
     return table(spark, sf_dir, "documents").where("doc_id > 0").select(F.col("doc_id").alias("source_id"), (F.col("doc_id") / 2).cast("long").alias("target_id"), kind.alias("kind"))
 
 
+def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seed"))
+
+
 def chain_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.chain(_edges(spark, sf_dir), table(spark, sf_dir, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("seed")))
+    """The chain of every document."""
+    return graph.chain(_edges(spark, sf_dir), _seeds(spark, sf_dir))
+
+
+def chain_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of every chain of a sensible size, oldest first; a document's day is its length."""
+    nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 != 0, F.col("n_chars")).alias("day"))
+    return graph.chain_members(chain_closure(spark, sf_dir), nodes)
 
 
 def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.neighbourhood(_edges(spark, sf_dir), table(spark, sf_dir, "documents").where("doc_id in (7, 100)").select(F.col("doc_id").alias("seed")), 3)
+    """What lies within three edges of every document."""
+    return graph.neighbourhood(_edges(spark, sf_dir), _seeds(spark, sf_dir), 3)
 
 
 def status_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +46,10 @@ def status_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An edge's key is a document's length; it resolves where one other document has that length."""
-    nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("reference"))
-    edges = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), (F.col("n_chars") + 1).alias("reference"), F.lit(None).cast("long").alias("target_id"))
+    """An edge's key is a document's length by tens; it resolves where one other document has that key."""
+    key = F.floor(F.col("n_chars") / 10).alias("reference")
+    nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), key)
+    edges = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), key, F.lit(None).cast("long").alias("target_id"))
     return graph.resolve(edges, nodes).select("source_id", "target_id")
 
 
@@ -50,8 +66,14 @@ def token_budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.greedy_budget(rows, "source", "doc_id", "tokens", 4000)
 
 
+def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", X.token_estimate(F.col("text")).alias("tokens"))
+    return folds.prefix_budget(rows, "source", "doc_id", "tokens", 4000)
+
+
 def checklist_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.left(X.canonical_words(F.col("text")), F.lit(60))
+    """Turns of equal canonical words stand once, with how often and in how many roles."""
+    key = X.canonical_words(F.col("text"))
     return table(spark, sf_dir, "conversations").groupBy(F.md5(key).alias("key_md5")).agg(F.count("*").alias("n"), F.min("turn").alias("first_turn"), F.size(F.collect_set("role")).cast("long").alias("roles"))
 
 
@@ -95,21 +117,29 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
 
 
-EDGE_SQL = "SELECT doc_id AS source_id, doc_id // 2 AS target_id, ['amends', 'supersedes', 'clarifies', 'adds_to', 'references'][doc_id % 5 + 1] AS kind FROM documents WHERE doc_id > 0"
+EDGE_SQL = "SELECT doc_id AS source_id, doc_id // 2 AS target_id, ['amends', 'supersedes', 'clarifies', 'adds_to', 'references', 'cancels'][doc_id % 6 + 1] AS kind FROM documents WHERE doc_id > 0"
+# What a member amends comes first; only then what amends any of these.
+CHAIN = f"""e AS (SELECT * FROM ({EDGE_SQL}) WHERE kind IN ('amends', 'adds_to')), up AS (SELECT doc_id AS seed, doc_id AS node FROM documents UNION SELECT up.seed, e.target_id FROM up JOIN e ON up.node = e.source_id),
+c AS (SELECT seed, node FROM up UNION SELECT c.seed, e.source_id FROM c JOIN e ON c.node = e.target_id)"""
 TOK = r"list_filter(regexp_extract_all(regexp_replace(lower(text), '\b([a-z])\.([a-z]|\s|$)', '\1\2', 'g'), '[\p{L}\p{N}_]+'), lambda w: length(w) > 1 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "], w))"
 
 ORACLE = {
-    "chain_closure": f"""WITH RECURSIVE e AS (SELECT * FROM ({EDGE_SQL}) WHERE kind IN ('amends', 'adds_to')), s AS (SELECT doc_id AS seed FROM documents WHERE doc_id % 50 = 0),
-up AS (SELECT seed, seed AS node FROM s UNION SELECT up.seed, e.target_id FROM up JOIN e ON up.node = e.source_id),
-down AS (SELECT seed, seed AS node FROM s UNION SELECT down.seed, e.source_id FROM down JOIN e ON down.node = e.target_id)
-SELECT seed, node FROM up UNION SELECT seed, node FROM down""",
+    "chain_closure": f"WITH RECURSIVE {CHAIN} SELECT seed, node FROM c",
+    "chain_order": f"""WITH RECURSIVE {CHAIN}, m AS (SELECT seed, node, CASE WHEN node % 7 <> 0 THEN n_chars END AS day FROM c JOIN documents ON doc_id = node),
+k AS (SELECT seed, node, count(*) OVER (PARTITION BY seed) AS n, row_number() OVER (PARTITION BY seed ORDER BY day NULLS FIRST, node) - 1 AS position, first_value(node) OVER (PARTITION BY seed ORDER BY day NULLS FIRST, node) AS base FROM m)
+SELECT seed, node, position, base FROM k WHERE n BETWEEN 2 AND 50""",
     "bfs_levels": f"""WITH RECURSIVE e AS ({EDGE_SQL}), g AS (SELECT source_id AS a, target_id AS b FROM e UNION SELECT target_id, source_id FROM e),
-r AS (SELECT doc_id AS seed, doc_id AS node, 0 AS level FROM documents WHERE doc_id IN (7, 100) UNION SELECT r.seed, g.b, r.level + 1 FROM r JOIN g ON r.node = g.a WHERE r.level < 3)
+r AS (SELECT doc_id AS seed, doc_id AS node, 0 AS level FROM documents UNION SELECT r.seed, g.b, r.level + 1 FROM r JOIN g ON r.node = g.a WHERE r.level < 3)
 SELECT seed, node, min(level) AS level FROM r GROUP BY 1, 2""",
-    "status_priority": f"""SELECT d.doc_id AS id, CASE coalesce(p, 0) WHEN 3 THEN 'superseded' WHEN 2 THEN 'amended' WHEN 1 THEN 'clarified' ELSE 'active' END AS status FROM documents d
-LEFT JOIN (SELECT target_id, max(CASE kind WHEN 'supersedes' THEN 3 WHEN 'amends' THEN 2 WHEN 'adds_to' THEN 2 WHEN 'clarifies' THEN 1 ELSE 0 END) AS p FROM ({EDGE_SQL}) GROUP BY 1) ON d.doc_id = target_id""",
-    "reference_resolution": "SELECT d.doc_id AS source_id, n.id AS target_id FROM documents d LEFT JOIN (SELECT n_chars, min(doc_id) AS id FROM documents GROUP BY 1 HAVING count(*) = 1) n ON n.n_chars = d.n_chars + 1",
-    "checklist_dedupe": "SELECT md5(left(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' '), 60)) AS key_md5, count(*) AS n, min(turn) AS first_turn, count(DISTINCT role) AS roles FROM conversations GROUP BY 1",
+    "status_priority": f"""SELECT d.doc_id AS id, CASE WHEN bool_or(kind = 'cancels') THEN 'cancelled' WHEN bool_or(kind = 'supersedes') THEN 'superseded' WHEN count(kind) > 0 THEN 'amended' ELSE 'active' END AS status
+FROM documents d LEFT JOIN ({EDGE_SQL}) e ON d.doc_id = e.target_id GROUP BY 1""",
+    "reference_resolution": """SELECT d.doc_id AS source_id, CASE WHEN count(n.doc_id) = 1 THEN min(n.doc_id) END AS target_id FROM documents d LEFT JOIN documents n ON n.n_chars // 10 = d.n_chars // 10 AND n.doc_id <> d.doc_id GROUP BY 1""",
+    "budget_prefix": "SELECT source, doc_id, tokens FROM (SELECT source, doc_id, tokens, sum(tokens) OVER (PARTITION BY source ORDER BY doc_id) AS taken FROM (SELECT source, doc_id, greatest(1, (length(text) + 3) // 4) AS tokens FROM documents)) WHERE taken <= 4000",
+    "token_budget_pack": """WITH RECURSIVE t AS (SELECT source, doc_id, greatest(1, (length(text) + 3) // 4) AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+r AS (SELECT source, 0::BIGINT AS n, 4000::BIGINT AS room, NULL::BIGINT AS doc_id, NULL::BIGINT AS tokens FROM documents GROUP BY source
+  UNION ALL SELECT t.source, t.n, CASE WHEN t.tokens <= r.room THEN r.room - t.tokens ELSE r.room END, CASE WHEN t.tokens <= r.room THEN t.doc_id END, t.tokens FROM r JOIN t ON t.source = r.source AND t.n = r.n + 1)
+SELECT source, doc_id, tokens FROM r WHERE doc_id IS NOT NULL""",
+    "checklist_dedupe": "SELECT md5(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')) AS key_md5, count(*) AS n, min(turn) AS first_turn, count(DISTINCT role) AS roles FROM conversations GROUP BY 1",
     "transcript_export": "SELECT conv_id, md5(string_agg('**' || upper(role[1]) || lower(role[2:]) || '**' || chr(10) || chr(10) || trim(text), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn)) AS markdown_md5 FROM conversations GROUP BY 1",
     "csv_cells": "SELECT c_custkey, CASE WHEN c_acctbal::DECIMAL(12,2)::VARCHAR LIKE '-%' THEN '''' || c_acctbal::DECIMAL(12,2)::VARCHAR ELSE c_acctbal::DECIMAL(12,2)::VARCHAR END AS balance FROM customer",
     "stream_window_counts": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, hour(ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2, 3",
@@ -122,7 +152,7 @@ LEFT JOIN (SELECT target_id, max(CASE kind WHEN 'supersedes' THEN 3 WHEN 'amends
 QUERIES = {
     f.__name__: f
     for f in (
-        chain_closure, bfs_levels, status_priority, reference_resolution, consolidation_fold, token_budget_pack, checklist_dedupe, html_text, html_links,
+        chain_closure, chain_order, bfs_levels, status_priority, reference_resolution, consolidation_fold, token_budget_pack, budget_prefix, checklist_dedupe, html_text, html_links,
         transcript_export, csv_cells, stream_window_counts, stream_dedupe, stream_tail, stream_incremental_index, stream_sessions,
     )
 }

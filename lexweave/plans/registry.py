@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.plans import adapted, corpus, deep, relational, retrieval, whole
+from lexweave.plans import adapted, corpus, deep, laws, relational, retrieval
 
-MODULES: list = [relational, retrieval, deep, corpus, adapted, whole]
+MODULES: list = [relational, retrieval, deep, corpus, adapted, laws]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

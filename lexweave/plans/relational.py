@@ -1,4 +1,4 @@
-"""Filters, joins, aggregations, windows, sorts and pages as SQL that both engines read.
+"""Queries of filters, joins, aggregations, windows, sorts and pages, by the library's operators, and their SQL.
 
 The tables stand for the corpus: orders are circulars, line items regulatory
 values, parts metrics, suppliers departments, customers subjects, events trace
@@ -8,10 +8,19 @@ its id by arithmetic.
 
 from __future__ import annotations
 
-from lexweave.plans.shared import duckdb_query, spark_query
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexweave.operators import graph
+from lexweave.operators import relational as O
+from lexweave.operators.corpus import reconcile
+from lexweave.plans.shared import duckdb_query
+from lexweave.session import table
 
 EDGES = """(SELECT doc_id AS source_id, doc_id % 97 AS target_id,
-  CASE doc_id % 5 WHEN 0 THEN 'amends' WHEN 1 THEN 'supersedes' WHEN 2 THEN 'clarifies' WHEN 3 THEN 'adds_to' ELSE 'references' END AS kind
+  CASE doc_id % 5 WHEN 0 THEN 'amends' WHEN 1 THEN 'supersedes' WHEN 2 THEN 'clarifies' WHEN 3 THEN 'adds_to' ELSE CASE WHEN doc_id % 3 = 0 THEN 'cancels' ELSE 'references' END END AS kind
   FROM {documents} WHERE doc_id > 96)"""
 
 SQL = {
@@ -30,7 +39,7 @@ SQL = {
     "summary_projection": """SELECT doc_id, coalesce(source, 'unknown') AS department, n_chars > 1000 AS is_long,
         concat('doc-', CAST(doc_id AS STRING)) AS label FROM {documents}""",
     "entity_projection": """SELECT l_orderkey, l_linenumber, coalesce(l_returnflag, '-') AS comparator,
-        CASE WHEN l_linestatus = 'O' THEN true ELSE false END AS in_force FROM {lineitem} WHERE l_orderkey % 50 = 0""",
+        CASE WHEN l_linestatus = 'O' THEN true ELSE false END AS in_force FROM {lineitem}""",
     "column_pruning": """SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_totalprice > 300000""",
     "contains_any_column": """SELECT c_custkey FROM {customer} WHERE lower(c_name) LIKE '%99%' OR lower(c_mktsegment) LIKE '%build%'""",
     "browse_department_year": """SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_orderpriority = '1-URGENT' AND year(o_orderdate) = 1995""",
@@ -58,7 +67,7 @@ SQL = {
         FULL OUTER JOIN (SELECT vec_id AS id, count(*) AS stored FROM {embeddings} GROUP BY vec_id) s ON e.id = s.id""",
     "lookup_join": """SELECT s.s_suppkey, n.n_name, r.r_name FROM {supplier} s JOIN {nation} n ON s.s_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey""",
     "label_by_discriminator": """SELECT e.event_id, CASE WHEN e.event_type = 'click' THEN d.source ELSE c.c_name END AS label FROM {events} e
-        LEFT JOIN {documents} d ON e.user_id = d.doc_id LEFT JOIN {customer} c ON e.user_id = c.c_custkey WHERE e.event_id % 10 = 0""",
+        LEFT JOIN {documents} d ON e.user_id = d.doc_id LEFT JOIN {customer} c ON e.user_id = c.c_custkey""",
     "edge_endpoints": f"""SELECT e.source_id, e.target_id, e.kind, a.lang AS source_lang, b.lang AS target_lang FROM {EDGES} e
         JOIN {{documents}} a ON e.source_id = a.doc_id JOIN {{documents}} b ON e.target_id = b.doc_id""",
     "self_join_label": """SELECT c.doc_id, concat(p.source, ' - ', c.source) AS label FROM {documents} c JOIN {documents} p ON c.doc_id % 13 = p.doc_id WHERE c.doc_id > 12""",
@@ -93,9 +102,9 @@ SQL = {
     "min_max_latest": """SELECT o_orderpriority, CAST(CAST(min(o_orderdate) AS DATE) AS STRING) AS first_day, CAST(CAST(max(o_orderdate) AS DATE) AS STRING) AS last_day, max(o_orderkey) AS last_key FROM {orders} GROUP BY o_orderpriority""",
     "trace_rollup": """SELECT user_id AS trace_id, count(*) AS events, coalesce(sum(length(props)), 0) AS payload_bytes, max(event_id) AS last_event, count(DISTINCT event_type) AS kinds FROM {events} GROUP BY user_id""",
     "ledger_status": """SELECT status, count(*) AS n FROM (SELECT CASE WHEN n_chars = 0 THEN 'empty' WHEN n_chars % 3 = 0 THEN 'indexed' ELSE 'stale' END AS status FROM {documents}) t GROUP BY status""",
-    "status_rollup": f"""SELECT d.doc_id, CASE coalesce(p.priority, 0) WHEN 3 THEN 'superseded' WHEN 2 THEN 'amended' WHEN 1 THEN 'clarified' ELSE 'active' END AS status
-        FROM {{documents}} d LEFT JOIN (SELECT target_id, max(CASE kind WHEN 'supersedes' THEN 3 WHEN 'amends' THEN 2 WHEN 'adds_to' THEN 2 WHEN 'clarifies' THEN 1 ELSE 0 END) AS priority
-        FROM {EDGES} e GROUP BY target_id) p ON d.doc_id = p.target_id""",
+    "status_rollup": f"""SELECT d.doc_id, CASE max(CASE WHEN e.target_id IS NULL THEN 0 WHEN e.kind = 'cancels' THEN 3 WHEN e.kind = 'supersedes' THEN 2 ELSE 1 END)
+        WHEN 3 THEN 'cancelled' WHEN 2 THEN 'superseded' WHEN 1 THEN 'amended' ELSE 'active' END AS status
+        FROM {{documents}} d LEFT JOIN {EDGES} e ON d.doc_id = e.target_id GROUP BY d.doc_id""",
     "in_out_degree": f"""SELECT d.doc_id, coalesce(o.n, 0) AS outgoing, coalesce(i.n, 0) AS incoming FROM {{documents}} d
         LEFT JOIN (SELECT source_id, count(*) AS n FROM {EDGES} e GROUP BY source_id) o ON d.doc_id = o.source_id
         LEFT JOIN (SELECT target_id, count(*) AS n FROM {EDGES} e GROUP BY target_id) i ON d.doc_id = i.target_id""",
@@ -158,5 +167,410 @@ SQL = {
     "workspace_order": """SELECT c_custkey FROM {customer} ORDER BY CASE WHEN c_custkey % 50 = 0 THEN 0 ELSE 1 END, c_nationkey, c_custkey LIMIT 60""",
 }
 
-QUERIES = {name: spark_query(text) for name, text in SQL.items()}
+STRENGTH = {"supersedes": 4, "amends": 3, "adds_to": 2, "clarifies": 1}
+
+
+class Tables:
+    """The tables below a folder, and the edges and parts that queries take from them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
+
+    @property
+    def edges(self) -> DataFrame:
+        d = F.col("doc_id")
+        kind = F.when(d % 5 == 0, "amends").when(d % 5 == 1, "supersedes").when(d % 5 == 2, "clarifies").when(d % 5 == 3, "adds_to").when(d % 3 == 0, "cancels").otherwise("references")
+        return self.documents.where("doc_id > 96").select(d.alias("source_id"), (d % 97).alias("target_id"), kind.alias("kind"))
+
+
+def day(column: str):
+    return F.col(column).cast("date").cast("string")
+
+
+def at(text: str):
+    return F.lit(text).cast("timestamp_ntz")
+
+
+def filter_set(t):
+    return O.matching(t.documents, any_of={"lang": ["en", "fr"]}, between={"n_chars": (200, 20000)}, having={"source": "src1"}, where=[F.col("source").isNotNull()]).select("doc_id", "source", "lang")
+
+
+def allow_sets(t):
+    return O.matching(t.orders, any_of={"o_orderstatus": ["O", "F"]}, years={"o_orderdate": (1993, 1997)}, where=[F.col("o_totalprice") > 1000]).select("o_orderkey", "o_orderstatus")
+
+
+def cli_scope(t):
+    rows = O.matching(t.orders, having={"o_orderpriority": ["urgent", "high"]}, years={"o_orderdate": [1994, 1996]})
+    return O.page(rows, [F.desc("o_orderdate"), F.asc("o_orderkey")], 50).select("o_orderkey", "o_orderpriority", day("o_orderdate").alias("day"))
+
+
+def value_range_filter(t):
+    return O.matching(t.lineitem, equals={"l_returnflag": "R"}, between={"l_quantity": (10, 20)}, where=[F.col("l_discount") > 0.05]).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+def freshness_predicate(t):
+    return t.benchmark.select("item_id", O.contains("text", [" the latest ", "current", "newest"]).cast("int").alias("wants_newest"))
+
+
+def null_or_kind(t):
+    rows = t.events.select("event_id", F.nullif("event_type", F.lit("view")).alias("kind"))
+    return rows.where(F.col("kind").isNull() | (F.col("kind") == "click"))
+
+
+def summary_projection(t):
+    return t.documents.select("doc_id", F.coalesce("source", F.lit("unknown")).alias("department"), (F.col("n_chars") > 1000).alias("is_long"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("label"))
+
+
+def entity_projection(t):
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.coalesce("l_returnflag", F.lit("-")).alias("comparator"), (F.col("l_linestatus") == "O").alias("in_force"))
+
+
+def column_pruning(t):
+    return O.matching(t.orders, where=[F.col("o_totalprice") > 300000]).select("o_orderkey", "o_totalprice")
+
+
+def contains_any_column(t):
+    return O.having_any(t.customer, {"c_name": "99", "c_mktsegment": "build"}).select("c_custkey")
+
+
+def browse_department_year(t):
+    return O.matching(t.orders, equals={"o_orderpriority": "1-URGENT"}, years={"o_orderdate": [1995]}).select("o_orderkey", "o_totalprice")
+
+
+def browse_recent(t):
+    return O.page(t.orders.select("o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), F.desc("o_orderkey")], 25).select("o_orderkey")
+
+
+def trace_filter(t):
+    return O.matching(t.events, equals={"event_type": "click"}, where=[F.col("user_id").isin(3, 17) | (F.col("event_id") == 3)]).select("event_id", "user_id")
+
+
+def session_visibility(t):
+    seen = O.present(t.conversations, O.matching(t.labels, equals={"toxic": 1}), {"conv_id": "doc_id"}, missing=True)
+    return O.page(O.rolled_up(seen, ["conv_id"], last_turn=F.max("turn")), [F.desc("last_turn"), F.asc("conv_id")], 50)
+
+
+def value_query_star(t):
+    facts = O.matching(t.lineitem, where=[F.col("l_quantity") > 45])
+    rows = O.star(facts, [(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderkey", "l_orderkey"), (t.part.select("p_partkey", "p_brand"), "p_partkey", "l_partkey"), (t.supplier.select("s_suppkey", "s_name"), "s_suppkey", "l_suppkey")])
+    return rows.select("l_orderkey", "l_linenumber", "o_orderstatus", "p_brand", "s_name")
+
+
+def left_join_current(t):
+    return O.children(t.documents.select("doc_id"), O.matching(t.labels, equals={"toxic": 0}), "doc_id", "doc_id", quality=F.max("quality"))
+
+
+def inner_join_pending(t):
+    orders = O.matching(t.orders, equals={"o_orderpriority": "2-HIGH"}).select("o_orderkey", "o_orderdate")
+    rows = t.lineitem.where("l_returnflag <> 'N'").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.where("l_shipdate > o_orderdate").select("l_orderkey", "l_linenumber")
+
+
+def parent_children_counts(t):
+    rows = O.children(t.orders.select("o_orderkey"), t.lineitem, "o_orderkey", "l_orderkey", children=F.count("l_linenumber"), last_child=F.max("l_linenumber"))
+    return rows.select("o_orderkey", F.coalesce("children", F.lit(0)).alias("children"), F.coalesce("last_child", F.lit(0)).alias("last_child"))
+
+
+def semi_join_filter(t):
+    return O.present(t.orders.select("o_orderkey"), t.lineitem.where("l_quantity > 49"), {"o_orderkey": "l_orderkey"})
+
+
+def anti_join_new(t):
+    return O.present(t.documents.select("doc_id"), t.labels, {"doc_id": "doc_id"}, missing=True)
+
+
+def delist_missing(t):
+    return O.marked(t.documents.select("doc_id"), t.labels, "doc_id", "doc_id", "delisted", 0, 1)
+
+
+def not_exists_stub(t):
+    return O.present(t.customer.select("c_custkey"), t.orders.where("o_totalprice > 250000"), {"c_custkey": "o_custkey"}, missing=True)
+
+
+def reconcile_full_outer(t):
+    expected = t.documents.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("id"), F.ceil(F.col("n_chars") / 1000).alias("expected"))
+    return reconcile(expected, O.rolled_up(t.embeddings, [F.col("vec_id").alias("id")], stored=F.count("*")))
+
+
+def lookup_join(t):
+    return O.star(t.supplier, [(t.nation, "n_nationkey", "s_nationkey"), (t.region, "r_regionkey", "n_regionkey")]).select("s_suppkey", "n_name", "r_name")
+
+
+def label_by_discriminator(t):
+    rows = O.star(t.events, [(t.documents.select("doc_id", "source"), "doc_id", "user_id"), (t.customer.select("c_custkey", "c_name"), "c_custkey", "user_id")])
+    return rows.select("event_id", F.when(F.col("event_type") == "click", F.col("source")).otherwise(F.col("c_name")).alias("label"))
+
+
+def edge_endpoints(t):
+    return O.named_ends(t.edges, t.documents, "doc_id", "lang", "source_lang", "target_lang").select("source_id", "target_id", "kind", "source_lang", "target_lang")
+
+
+def self_join_label(t):
+    parents = t.documents.select(F.col("doc_id").alias("parent"), F.col("source").alias("parent_source"))
+    rows = t.documents.where("doc_id > 12").withColumn("parent", F.col("doc_id") % 13).join(O.small_side(parents, O.DIMENSION), "parent")
+    return rows.select("doc_id", F.concat("parent_source", F.lit(" - "), "source").alias("label"))
+
+
+def multi_key_join(t):
+    keys = t.pages.select(F.col("page_id").alias("same_id"), F.explode(F.array(F.lower("url"), F.lower(F.concat("url", F.lit("/"))))).alias("key"))
+    return t.pages.select("page_id", F.lower("url").alias("key")).join(keys, "key").select("page_id", "same_id").distinct()
+
+
+def asof_latest(t):
+    rows = t.lineitem.select("l_partkey", "l_orderkey").join(t.orders.where(F.col("o_orderdate") <= at("1996-06-30 00:00:00")).select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return O.first_of(rows, ["l_partkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("l_partkey", "o_orderkey")
+
+
+def candidate_union(t):
+    arms = [t.documents.where("lang = 'en'").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 50).alias("rank")), t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("rank")), t.labels.where("quality = 1").select(F.col("doc_id").alias("id"), F.lit(0).alias("rank"))]
+    return O.united(arms)
+
+
+def union_candidates_truncated(t):
+    both = O.with_provenance(t.documents.where("lang = 'de'").select(F.col("doc_id").alias("id")), t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("score")))
+    return O.page(both, [F.desc("lexical"), F.desc("semantic"), F.asc("id")], 100)
+
+
+def set_difference(t):
+    return t.documents.select("doc_id").subtract(t.embeddings.select(F.col("vec_id").alias("doc_id")))
+
+
+def intersection_counts(t):
+    return t.documents.select("doc_id").intersect(t.embeddings.select("vec_id")).agg(F.count("*").alias("n"))
+
+
+def multi_source_priority(t):
+    of = lambda kind, total: O.rolled_up(t.events.where(F.col("event_type") == kind), [F.col("user_id").alias("k")], v=F.round(total, 3))
+    return O.preferred([of("click", F.max("value")), of("view", F.sum("value"))], "k")
+
+
+def round_robin(t):
+    return O.interleaved(t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("arm")), "arm", [F.asc("id")], 40)
+
+
+def coverage_conditional_counts(t):
+    return O.rolled_up(t.documents, [], total=F.count("*"), departments=F.count_distinct("source"), english=F.count_if(F.col("lang") == "en"), long_ones=F.count_if(F.col("n_chars") > 5000), shortest=F.min("n_chars"), longest=F.max("n_chars"))
+
+
+def dept_facet(t):
+    return O.facet(t.documents, "source", "source").orderBy("source")
+
+
+def year_facet(t):
+    return O.facet(O.matching(t.orders, equals={"o_orderpriority": "3-MEDIUM"}, where=[F.col("o_orderdate").isNotNull()]), F.year("o_orderdate"), "y").orderBy(F.desc("y"))
+
+
+def status_facet(t):
+    return O.facet(t.orders, "o_orderstatus", "status", "unknown")
+
+
+def type_facet(t):
+    return O.facet(t.part.where("p_type <> ''"), "p_type", "p_type").orderBy(F.desc("n"), "p_type")
+
+
+def index_overview(t):
+    return O.rolled_up(t.events, ["event_type"], n=F.count("*"), large=F.count_if(F.col("value") > 50), newest=F.max("event_id"))
+
+
+def run_history(t):
+    rows = t.events.select("event_id", "user_id", F.coalesce("event_type", F.lit("circulars")).alias("kind"))
+    return O.page(rows, [F.desc("event_id")], 20)
+
+
+def distinct_departments(t):
+    return O.rolled_up(t.orders, [], n=F.count_distinct("o_orderpriority"))
+
+
+def min_max_latest(t):
+    rows = O.rolled_up(t.orders, ["o_orderpriority"], first=F.min("o_orderdate"), last=F.max("o_orderdate"), last_key=F.max("o_orderkey"))
+    return rows.select("o_orderpriority", day("first").alias("first_day"), day("last").alias("last_day"), "last_key")
+
+
+def trace_rollup(t):
+    return O.rolled_up(t.events, [F.col("user_id").alias("trace_id")], events=F.count("*"), payload_bytes=F.coalesce(F.sum(F.length("props")), F.lit(0)), last_event=F.max("event_id"), kinds=F.count_distinct("event_type"))
+
+
+def ledger_status(t):
+    return O.facet(t.documents, F.when(F.col("n_chars") == 0, "empty").when(F.col("n_chars") % 3 == 0, "indexed").otherwise("stale"), "status")
+
+
+def status_rollup(t):
+    return graph.status_rollup(t.documents.select(F.col("doc_id").alias("id")), t.edges).withColumnRenamed("id", "doc_id")
+
+
+def in_out_degree(t):
+    return O.degrees(t.documents, t.edges, "doc_id")
+
+
+def relation_grouping(t):
+    return O.rolled_up(t.edges, ["target_id", "kind"], n=F.count("*"), first_source=F.min("source_id"))
+
+
+def latest_per_metric_subject(t):
+    return O.first_of(t.lineitem, ["l_partkey", "l_suppkey"], [F.desc_nulls_last("l_shipdate"), F.desc("l_orderkey"), F.desc("l_linenumber")]).select("l_partkey", "l_suppkey", "l_orderkey")
+
+
+def value_query_current(t):
+    rows = t.lineitem.join(t.orders.where("o_orderstatus not in ('F', 'P')").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return O.first_of(rows, ["l_partkey"], [F.desc_nulls_last("l_shipdate"), F.desc_nulls_last("o_orderdate"), F.desc("l_orderkey"), F.desc("l_linenumber")]).select("l_partkey", "l_orderkey", "l_linenumber")
+
+
+def strongest_link(t):
+    return O.strongest(t.edges, ["target_id"], "kind", STRENGTH, [F.asc("source_id")]).select("target_id", "source_id", "kind")
+
+
+def attachment_dedupe(t):
+    return O.first_of(t.documents.select("source", "n_chars", "doc_id", "lang"), ["source", "n_chars"], [F.when(F.col("lang") == "en", 0).otherwise(1), F.asc("doc_id")]).select("source", "n_chars", "doc_id")
+
+
+def rater_scores(t):
+    rows = t.labels.join(t.documents.select("doc_id", "source", "n_chars"), "doc_id")
+    capped = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 25).otherwise(60 + F.col("n_chars") % 40)
+    return O.rolled_up(rows, ["source"], score=F.round(F.avg(capped), 4), gated=F.count_if(F.col("toxic") == 1))
+
+
+def rater_agreement(t):
+    return O.rolled_up(t.labels, [], cells=F.count("*"), agreed=F.count_if(F.col("quality") == 1 - F.col("toxic")))
+
+
+def paired_wins(t):
+    raters = sorted(r["label"] for r in t.embeddings.select("label").distinct().collect())  # the raters: a handful
+    return O.paired_wins(t.embeddings, F.col("vec_id") % 25, "label", "vec_id", raters)
+
+
+def inventory_coverage(t):
+    rows = O.star(t.documents.select("doc_id"), [(t.embeddings.select("vec_id", F.lit(1).alias("has")), "vec_id", "doc_id"), (t.labels.select("doc_id", "quality"), "doc_id", "doc_id")])
+    return O.rolled_up(rows, [], in_scope=F.count("*"), indexed=F.count("has"), gap=F.count("*") - F.count("has"), included=F.count_if(F.col("quality") == 1))
+
+
+def first_appearance_rank(t):
+    return O.ranked_values(O.rolled_up(t.embeddings, [F.col("label").alias("owner")], min_pos=F.min("vec_id")), "min_pos", "rank")
+
+
+def evidence_top3(t):
+    return O.numbered(t.embeddings.select(F.col("label").alias("owner"), "vec_id"), ["owner"], [F.asc("vec_id")], "r", 3)
+
+
+def rolling_sum(t):
+    return O.rolling(t.events, ["user_id"], "event_id", (F.col("value") > 50).cast("int"), 25, "hits").select("user_id", "event_id", "hits")
+
+
+def carry_forward(t):
+    return O.last_before(t.events, ["user_id"], "event_id", F.when(F.col("event_type") == "click", F.col("event_id")), "last_click").select("user_id", "event_id", "last_click")
+
+
+def occurrence_number(t):
+    return O.numbered(t.conversations.select("conv_id", "turn", "role"), ["conv_id", "role"], [F.asc("turn")], "occurrence")
+
+
+def boundary_groups(t):
+    return O.runs_of(t.conversations.select("conv_id", "turn", "role"), ["conv_id"], "turn", "role", "block").select("conv_id", "turn", "block")
+
+
+def sequence_per_partition(t):
+    return O.numbered(t.events.select("user_id", "event_id"), ["user_id"], [F.asc("event_id")], "sequence")
+
+
+def history_truncate(t):
+    return O.numbered(t.conversations.select("conv_id", "turn"), ["conv_id"], [F.asc("turn")], "r", 3).drop("r")
+
+
+def version_currency(t):
+    rows = t.lineitem.where(F.col("l_shipdate").isNull() | (F.col("l_shipdate") <= at("1996-01-01 00:00:00")))
+    return O.first_of(rows, ["l_partkey"], [F.when(F.col("l_shipdate") <= at("1996-01-01 00:00:00"), 0).otherwise(1), F.desc("l_shipdate"), F.asc("l_orderkey"), F.asc("l_linenumber")]).select("l_partkey", "l_orderkey", "l_linenumber")
+
+
+def paging_offset(t):
+    return O.page(t.orders.select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 20, 40)
+
+
+def date_sort_mixed(t):
+    rows = t.documents.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 != 0, F.col("n_chars")).alias("a"), F.when(F.col("doc_id") % 2 != 0, F.col("doc_id")).alias("b"))
+    return O.page(rows, [F.coalesce("a", "b", F.lit(0)).desc(), F.asc("id")], 30).select("id")
+
+
+def ordering_nulls_last(t):
+    rows = t.documents.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 4 != 0, F.col("n_chars")).alias("k"))
+    return O.page(rows, [F.desc_nulls_last("k"), F.asc("id")], 1000)
+
+
+def two_key_sort(t):
+    return O.page(t.supplier, [F.asc("s_nationkey"), F.desc("s_name")], 60).select("s_suppkey", "s_nationkey")
+
+
+def arm_top_k(t):
+    rows = t.documents.select(F.col("lang").alias("arm"), F.col("doc_id").alias("id"), "n_chars")
+    return O.numbered(rows, ["arm"], [F.desc("n_chars"), F.asc("id")], "r", 10).select("arm", "id", "r")
+
+
+def page_clamp(t):
+    total = O.rolled_up(t.orders.where("o_totalprice > 200000"), [], total=F.count("*"))
+    return O.page_number(t.region.select((F.col("r_regionkey") * 40 - 3).alias("n")), "n", total, 20)
+
+
+def truncate_disclosed(t):
+    return O.disclosed(t.documents.where("lang = 'en'"), 500)
+
+
+def longest_name_first(t):
+    rows = t.part.select("p_partkey", F.length("p_name").alias("n"))
+    return O.page(rows, [F.desc("n"), F.asc("p_partkey")], 40)
+
+
+def timeline(t):
+    rows = t.edges.select("target_id", (F.lit(2015) + F.floor(F.col("source_id") / 365)).cast("long").alias("y")).distinct()
+    return O.ranked_values(rows, "y", "year_rank").select("target_id", "y", "year_rank")
+
+
+def edge_unresolved(t):
+    return O.present(t.edges, t.documents.where("lang = 'en'"), {"target_id": "doc_id"}, missing=True).select("source_id", "target_id")
+
+
+def blanket_guard(t):
+    return O.rolled_up(t.edges, ["target_id"], n=F.count("*")).where("n <= 80")
+
+
+def tail_after_sequence(t):
+    return O.page(t.events.where("event_id > 9000").select("event_id", "event_type"), [F.asc("event_id")], 100)
+
+
+def manifest_diff(t):
+    size = F.col("n_chars") + F.when(F.col("doc_id") % 9 == 0, 1).otherwise(0)
+    return O.file_differences(t.documents.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("size")), t.documents.where("doc_id % 11 <> 0").select(F.col("doc_id").alias("id"), size.alias("size")))
+
+
+def pending_scan(t):
+    rows = O.children(t.orders.select("o_orderkey"), t.lineitem, "o_orderkey", "l_orderkey", bad=F.max((F.col("l_returnflag") == "R").cast("int")))
+    return rows.where("bad is null or bad = 1").select("o_orderkey")
+
+
+def feature_batch_skips(t):
+    rows = O.marked(t.documents.select("doc_id", "n_chars"), t.labels, "doc_id", "doc_id", "have", "done", "run")
+    return O.facet(rows, F.when(F.col("n_chars") < 300, "gap").otherwise(F.col("have")), "reason")
+
+
+def latest_success(t):
+    return O.rolled_up(t.events, [], latest=F.max("event_id"), last_success=F.max(F.when(F.col("event_type") == "purchase", F.col("event_id"))))
+
+
+def trace_deletes(t):
+    return O.present(t.events.select("event_id", "user_id"), t.events.where("value > 200"), {"user_id": "user_id"}, missing=True).select("event_id")
+
+
+def orphan_traces(t):
+    return O.present(t.events.select("user_id").distinct(), t.conversations, {"user_id": "conv_id"}, missing=True)
+
+
+def workspace_order(t):
+    return O.page(t.customer, [F.when(F.col("c_custkey") % 50 == 0, 0).otherwise(1), F.asc("c_nationkey"), F.asc("c_custkey")], 60).select("c_custkey")
+
+
+def _registered(query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(Tables(spark, sf_dir))
+
+
+QUERIES = {name: _registered(globals()[name]) for name in SQL}
 ORACLE = {name: duckdb_query(text).replace("LEFT ANTI JOIN", "ANTI JOIN") for name, text in SQL.items()}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as X
 from lexweave.operators import retrieval as R
+from lexweave.operators import search as S
 from lexweave.session import table
 
 STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
@@ -34,15 +35,20 @@ SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION
 CLAMPED = "CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END"
 
 
+def _asked_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = R.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return R.bm25(R.postings(table(spark, sf_dir, "documents")), terms, "item_id", "doc_id", 20)
+    return R.bm25(table(spark, sf_dir, "documents"), _asked_terms(spark, sf_dir), "item_id", "doc_id", 20)
 
 
 def bm25_okapi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scope = table(spark, sf_dir, "documents").where("lang = 'en'")
-    terms = R.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return R.bm25(R.postings(scope), terms, "item_id", "doc_id", 10, 1.5, 0.75)
+    """Chunks of 350 words of the English documents, ranked as a small scoped corpus ranks them."""
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", X.blank_split(F.col("text")).alias("ws"))
+    parts = docs.select("doc_id", F.posexplode(X.chunks(F.col("ws"), 350, 75)).alias("n", "part"))
+    chunks = parts.select((F.col("doc_id") * 100000 + F.col("n")).alias("chunk_id"), F.array_join("part", " ").alias("text"))
+    return R.okapi(chunks, _asked_terms(spark, sf_dir), "item_id", "chunk_id", 10)
 
 
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,13 +56,14 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(X.tokens(F.col("text")), 1, 3), " ").alias("phrase_text"))
+    """Documents that have a whole passage, by its tokens."""
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase_text"))
     return R.phrase_matches(table(spark, sf_dir, "documents"), asked, "doc_id", "item_id")
 
 
 def matched_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = R.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text").select("term").distinct()
-    return R.postings(table(spark, sf_dir, "documents")).join(terms, "term", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_terms"))
+    posts = R.asked_postings(table(spark, sf_dir, "documents"), _asked_terms(spark, sf_dir), "doc_id", {"text": 1.0})
+    return posts.where("term is not null").groupBy("doc_id").agg(F.count("*").alias("n_terms"))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,19 +79,20 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cosine_max_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = R.against_all(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir))
-    return pairs.groupBy("query_id", "label").agg(F.round(F.max(R.cosine(F.col("embedding"), F.col("q"))), 6).alias("best"))
+    return R.best_per_group(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir), "label")
 
 
 def dense_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = R.against_all(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir)).groupBy("vec_id").agg(F.round(F.max(R.cosine(F.col("embedding"), F.col("q"))), 6).alias("score"))
-    return best.orderBy(F.desc("score"), "vec_id").limit(50)
+    best = R.best_per_group(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir), "vec_id")
+    return best.withColumnRenamed("best", "score").orderBy(F.desc("score"), "vec_id").limit(50)
 
 
 def _arms(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Both arms for every passage; a passage's vector is that of its number."""
     lexical = bm25_topk(spark, sf_dir).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"), "rank")
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
+    asked = vectors.join(passages, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return {"lexical": lexical, "semantic": R.cosine_top_k(vectors, asked, 20).select("query_id", F.col("vec_id").alias("id"), "rank")}
 
 
@@ -112,17 +120,25 @@ def best_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preview_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.instr(F.lower("text"), TERMS[0])
-    start = F.greatest(F.lit(1), found - 40)
-    return table(spark, sf_dir, "documents").select("doc_id", start.cast("long").alias("start"), F.md5(F.substring(F.col("text"), start, F.lit(2000))).alias("region_md5"), (start > 1).alias("cut_before"), (start + 2000 <= F.length("text")).alias("cut_after"))
+    """The region around the first of the query's terms."""
+    found = S.first_hit(F.col("text"), TERMS)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.greatest(F.lit(1), found - 40).cast("int").alias("start"))
+    return rows.select("doc_id", F.col("start").cast("long").alias("start"), F.md5(F.substring("text", F.col("start"), F.lit(2000))).alias("region_md5"), (F.col("start") > 1).alias("cut_before"), (F.col("start") + 2000 <= F.length("text")).alias("cut_after"))
+
+
+def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.md5(S.preview_of(F.col("text"), TERMS)).alias("preview_md5"))
 
 
 def jaccard_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each document the sentence nearest to the first benchmark passage by shared words."""
-    first = table(spark, sf_dir, "benchmark").agg(F.min_by("text", "item_id").alias("claim"))  # one row
-    docs = table(spark, sf_dir, "documents").crossJoin(F.broadcast(first))
-    sentences = docs.select("doc_id", "claim", F.posexplode(F.split("text", r"[.;:\n]")).alias("pos", "s")).where(F.length(F.trim("s")) >= 20)
-    scored = sentences.withColumn("score", F.round(X.jaccard(F.array_distinct(X.tokens(F.col("s"))), F.array_distinct(X.tokens(F.col("claim")))), 6))
+    """For each document the sentence nearest to the passage of its number by shared words, ties to the first."""
+    claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.array_distinct(X.tokens(F.col("text"))).alias("claim"))
+    n = table(spark, sf_dir, "benchmark").agg(F.count("*").alias("n_claims"))  # one row
+    docs = table(spark, sf_dir, "documents").crossJoin(F.broadcast(n)).withColumn("claim_id", F.col("doc_id") % F.col("n_claims"))
+    sentences = docs.select("doc_id", "claim_id", F.posexplode(F.split("text", r"[.;:\n]")).alias("pos", "s")).where(F.length(F.trim("s")) >= 20)
+    words = sentences.select("doc_id", "claim_id", "pos", F.array_distinct(X.tokens(F.col("s"))).alias("words"))
+    scored = words.join(R.small_side(claims, R.BROADCAST_QUERIES), "claim_id").withColumn("score", F.round(X.jaccard(F.col("words"), F.col("claim")), 6))
     return scored.groupBy("doc_id").agg(F.max("score").alias("score"), (-F.max(F.struct("score", (-F.col("pos")).alias("p")))["p"]).cast("long").alias("at"))
 
 
@@ -132,10 +148,19 @@ def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.chunks(X.blank_split(F.col("text")), 130, 30)).alias("chunk", "ws"))
+    # The words are a column of their own, so that they are split once, not once a chunk.
+    words = table(spark, sf_dir, "documents").select("doc_id", X.blank_split(F.col("text")).alias("ws"))
+    parts = words.select("doc_id", F.posexplode(X.chunks(F.col("ws"), 130, 30)).alias("chunk", "ws"))
     return parts.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.size("ws").cast("long").alias("n_words"), F.sha2(F.array_join("ws", " "), 256).alias("content_hash"))
 
 
+def titled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of 350 words with the title, here the source, before each."""
+    words = table(spark, sf_dir, "documents").select("doc_id", "source", X.blank_split(F.col("text")).alias("ws"))
+    parts = words.select("doc_id", "source", F.posexplode(X.chunks(F.col("ws"), 350, 75)).alias("chunk", "ws"))
+    return parts.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.md5(F.concat("source", F.lit("\n\n"), F.array_join("ws", " "))).alias("text_md5"))
+
+
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
 
@@ -170,21 +195,8 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.url_canonical(F.col("url")).alias("canonical"))
 
 
-def reference_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References in text made by arithmetic from ids: three spellings of a circular's number and year."""
-    made = F.when(F.col("doc_id") % 3 == 0, F.format_string("see BPRD Circular No. %02d of %d today", F.col("doc_id") % 90 + 1, F.lit(2010) + F.col("doc_id") % 12)).when(F.col("doc_id") % 3 == 1, F.format_string("under EPD Circular Letter %d of %d.", F.col("doc_id") % 90 + 1, F.lit(2010) + F.col("doc_id") % 12)).otherwise("no reference here")
-    return table(spark, sf_dir, "documents").select("doc_id", X.canonical_reference(made).alias("reference"))
-
-
-def slug_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Handles of conversations' first turns; equal ones, whatever their case, get a number."""
-    rows = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", X.slug(F.left(F.col("text"), F.lit(12)), 8).alias("slug"))
-    ranked = R.top_k(rows.withColumn("low", F.lower("slug")), 2**31 - 1, ["low"], [F.asc("conv_id")])
-    return ranked.select("conv_id", F.concat("slug", F.when(F.col("rank") > 1, F.concat(F.lit("-"), F.col("rank").cast("string"))).otherwise("")).alias("handle"))
-
-
 COS = "round(list_dot_product(e.embedding::DOUBLE[], a.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])), 6)"
-SEM = f"SELECT a.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, e.vec_id) AS rank FROM embeddings e, embeddings a WHERE a.vec_id < 40"
+SEM = f"SELECT a.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, e.vec_id) AS rank FROM embeddings e, embeddings a WHERE a.vec_id IN (SELECT item_id FROM benchmark)"
 LEX = f"SELECT item_id AS query_id, doc_id AS id, rank FROM ({bm25_sql('benchmark', 20, 1.2, 0.75, CLAMPED)})"
 FUSED = f"SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score, count(*) AS arms FROM (SELECT * FROM ({LEX}) UNION ALL SELECT * FROM ({SEM}) WHERE rank <= 20) GROUP BY 1, 2"
 SPLIT = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')"
@@ -199,16 +211,24 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_okapi, tokenize_counts, phrase_match, matched_terms, cosine_topk, knn_filtered, cosine_max_per_group, dense_band, rrf_fusion, dual_arm, hybrid_score,
-        best_window, preview_region, jaccard_sentence, chunk_counts, chunk_index, content_hash, snapshot_id, exact_duplicates, page_furniture, token_estimates, canonical_text, url_canonical,
-        reference_extract, slug_collisions,
+        best_window, preview_region, preview, jaccard_sentence, chunk_counts, chunk_index, titled_chunks, content_hash, snapshot_id, exact_duplicates, page_furniture, token_estimates, canonical_text, url_canonical,
     )
 }
 
 ORACLE = {
     "bm25_topk": bm25_sql("benchmark", 20, 1.2, 0.75, CLAMPED),
-    "bm25_okapi": bm25_sql("benchmark", 10, 1.5, 0.75, CLAMPED).replace("FROM documents)", "FROM documents WHERE lang = 'en')"),
+    "bm25_okapi": f"""WITH c AS (SELECT doc_id * 100000 + chunk AS chunk_id, array_to_string(list_slice(ws, chunk * 275 + 1, chunk * 275 + 350), ' ') AS text
+  FROM (SELECT doc_id, ws, unnest(range(0, CAST({COUNT.format(350, 275)} AS BIGINT))) AS chunk FROM (SELECT doc_id, {SPLIT} AS ws, len({SPLIT}) AS n FROM documents WHERE lang = 'en'))),
+t AS (SELECT chunk_id, {tok("text")} AS t FROM c),
+p AS (SELECT chunk_id, term, count(*) AS tf, any_value(n) AS dl FROM (SELECT chunk_id, len(t) AS n, unnest(t) AS term FROM t) GROUP BY 1, 2),
+tot AS (SELECT count(*) AS n, avg(len(t)) AS m FROM t),
+df AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, tot GROUP BY term, n),
+idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM df) ELSE raw END AS idf FROM df),
+q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({tok("text")}) AS term FROM benchmark) GROUP BY 1, 2),
+s AS (SELECT item_id, chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / m))), 6) AS score FROM q JOIN idf USING (term) JOIN p USING (term), tot GROUP BY 1, 2)
+SELECT item_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""",
     "tokenize_counts": f"SELECT doc_id, len({tok('text')}) AS n_tokens FROM documents",
-    "phrase_match": f"""WITH q AS (SELECT item_id, list_slice({tok("text")}, 1, 3) AS w FROM benchmark),
+    "phrase_match": f"""WITH q AS (SELECT item_id, {tok("text")} AS w FROM benchmark),
 d AS (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, {tok("text")} AS t FROM documents))
 SELECT DISTINCT item_id, doc_id FROM d JOIN q ON d.t[d.i] = q.w[1] WHERE list_slice(d.t, d.i, d.i + len(q.w) - 1) = q.w""",
     "matched_terms": f"WITH {POSTS}, q AS (SELECT DISTINCT unnest({tok('text')}) AS term FROM benchmark) SELECT doc_id, count(*) AS n_terms FROM p JOIN q USING (term) GROUP BY 1",
@@ -223,15 +243,22 @@ SELECT DISTINCT item_id, doc_id FROM d JOIN q ON d.t[d.i] = q.w[1] WHERE list_sl
 e AS (SELECT doc_id, n, unnest(hs) AS hit, generate_subscripts(hs, 1) AS i FROM h),
 s AS (SELECT doc_id, n, i, sum(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS score FROM e)
 SELECT doc_id, CAST(score AS BIGINT) AS score, CASE WHEN n <= 25 THEN 0 ELSE i - 1 END AS at FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS r FROM s WHERE i <= greatest(n - 24, 1)) WHERE r = 1""",
-    "preview_region": """SELECT doc_id, start, md5(substring(text, start, 2000)) AS region_md5, start > 1 AS cut_before, start + 2000 <= length(text) AS cut_after FROM (SELECT doc_id, text, greatest(1, instr(lower(text), 'tion') - 40) AS start FROM documents)""",
-    "jaccard_sentence": f"""WITH c AS (SELECT list_distinct({tok("text")}) AS b FROM (SELECT arg_min(text, item_id) AS text FROM benchmark)),
+    "preview_region": """SELECT doc_id, start, md5(substring(text, start, 2000)) AS region_md5, start > 1 AS cut_before, start + 2000 <= length(text) AS cut_after
+FROM (SELECT doc_id, text, greatest(1, CASE WHEN a > 0 AND b > 0 THEN least(a, b) ELSE a + b END - 40) AS start FROM (SELECT doc_id, text, instr(lower(text), 'tion') AS a, instr(lower(text), 'eau') AS b FROM documents))""",
+    "preview": f"""WITH w AS (SELECT doc_id, {SPLIT} AS ws FROM documents), e AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM w),
+s AS (SELECT doc_id, i, n, sum(CASE WHEN contains(lower(x), 'tion') OR contains(lower(x), 'eau') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS score FROM e),
+b AS (SELECT doc_id, n, arg_max(i, (score, -i)) - 1 AS begin_ FROM s WHERE i <= greatest(n - 24, 1) GROUP BY 1, 2)
+SELECT w.doc_id, md5(CASE WHEN len(ws) = 0 THEN '' ELSE CASE WHEN begin_ > 0 THEN '…' ELSE '' END || array_to_string(list_slice(ws, begin_ + 1, begin_ + 25), ' ') || CASE WHEN begin_ + 25 < n THEN '…' ELSE '' END END) AS preview_md5 FROM w LEFT JOIN b USING (doc_id)""",
+    "jaccard_sentence": f"""WITH c AS (SELECT item_id AS claim_id, list_distinct({tok("text")}) AS b FROM benchmark),
 s AS (SELECT doc_id, generate_subscripts(ss, 1) - 1 AS pos, unnest(ss) AS text FROM (SELECT doc_id, regexp_split_to_array(text, '[.;:\\n]') AS ss FROM documents)),
 t AS (SELECT doc_id, pos, list_distinct({tok("text")}) AS a FROM s WHERE length(trim(text)) >= 20),
-j AS (SELECT doc_id, pos, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS score FROM t, c)
+j AS (SELECT doc_id, pos, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS score FROM t JOIN c ON claim_id = doc_id % (SELECT count(*) FROM benchmark))
 SELECT doc_id, score, pos AS at FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS r FROM j) WHERE r = 1""",
     "chunk_counts": f"SELECT doc_id, {COUNT.format(130, 100)} AS n_index, {COUNT.format(350, 275)} AS n_title FROM (SELECT doc_id, len({SPLIT}) AS n FROM documents)",
     "chunk_index": f"""WITH w AS (SELECT doc_id, ws, unnest(range(0, CAST({COUNT.format(130, 100)} AS BIGINT))) AS chunk FROM (SELECT doc_id, {SPLIT} AS ws, len({SPLIT}) AS n FROM documents))
 SELECT doc_id, chunk, len(c) AS n_words, sha256(array_to_string(c, ' ')) AS content_hash FROM (SELECT doc_id, chunk, list_slice(ws, chunk * 100 + 1, chunk * 100 + 130) AS c FROM w)""",
+    "titled_chunks": f"""WITH w AS (SELECT doc_id, source, ws, unnest(range(0, CAST({COUNT.format(350, 275)} AS BIGINT))) AS chunk FROM (SELECT doc_id, source, {SPLIT} AS ws, len({SPLIT}) AS n FROM documents))
+SELECT doc_id, chunk, md5(source || chr(10) || chr(10) || array_to_string(list_slice(ws, chunk * 275 + 1, chunk * 275 + 350), ' ')) AS text_md5 FROM w""",
     "content_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
     "snapshot_id": "SELECT sha256(string_agg(h, '' ORDER BY part)) AS snapshot FROM (SELECT doc_id // 1000 AS part, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS h FROM documents GROUP BY 1)",
     "exact_duplicates": "SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
@@ -239,7 +266,4 @@ SELECT doc_id, chunk, len(c) AS n_words, sha256(array_to_string(c, ' ')) AS cont
     "token_estimates": "SELECT doc_id, greatest(1, (length(text) + 3) // 4) AS up, greatest(1, length(text) // 4) AS down FROM documents",
     "canonical_text": "SELECT doc_id, md5(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')) AS canonical_md5, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS collapsed_md5 FROM documents",
     "url_canonical": "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '[?#].*$', ''), '^http://', 'https://'), '[/.,;:)]+$', '') AS canonical FROM pages",
-    "reference_extract": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'BPRD CIRCULAR NO ' || (doc_id % 90 + 1) || ' OF ' || (2010 + doc_id % 12) WHEN 1 THEN 'EPD CIRCULAR LETTER NO ' || (doc_id % 90 + 1) || ' OF ' || (2010 + doc_id % 12) END AS reference FROM documents",
-    "slug_collisions": """SELECT conv_id, slug || CASE WHEN r > 1 THEN '-' || r ELSE '' END AS handle FROM (SELECT conv_id, slug, row_number() OVER (PARTITION BY lower(slug) ORDER BY conv_id) AS r FROM (
-SELECT conv_id, regexp_replace(left(regexp_replace(regexp_replace(left(text, 12), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 8), '-+$', '') AS slug FROM conversations WHERE turn = 0))""",
 }

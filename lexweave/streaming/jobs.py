@@ -85,17 +85,21 @@ def incremental(stream: DataFrame, key: str, order: str) -> DataFrame:
     return current(spark, target, key)
 
 
-def expand_stream(parts: DataFrame, handles: dict[str, str]) -> DataFrame:
+def expand_stream(parts: DataFrame, documents: list[tuple[str, str, str]]) -> DataFrame:
     """(session, position, text): citation handles expanded over parts of a text that come one by one.
 
+    ``documents`` (kind, id, label) are those that the turn offered, in order.
     What a session holds back is its state; a session's part with a null text closes it.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    from lexweave.functions.citations import StreamExpander
+    from lexweave.functions.citations import Handles, StreamExpander
 
     def step(key: tuple, batches, state: GroupState):
+        handles = Handles()
+        for document in documents:
+            handles.mint(*document)
         expander = StreamExpander(handles, state.get[0] if state.exists else "")
         rows = pd.concat(list(batches)).sort_values("position")
         out = []

@@ -5,15 +5,16 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.functions import citations, markup, references
+from lexweave.functions import citations, dates, layouts, markup, references, titles
 from lexweave.functions import text as X
-from lexweave.operators import folds, graph, retrieval
+from lexweave.operators import blocks, folds, graph, retrieval
 from lexweave.sources import listing, sinks
 from lexweave.streaming import jobs
 
 
 def one(spark, column, **values):
-    return spark.createDataFrame([tuple(values.values())], list(values)).select(column.alias("x")).first().x
+    schema = ", ".join(f"{name} string" for name in values) if all(v is None or isinstance(v, str) for v in values.values()) else list(values)
+    return spark.createDataFrame([tuple(values.values())], schema).select(column.alias("x")).first().x
 
 
 def test_tokens(spark):
@@ -38,30 +39,63 @@ def test_text_pieces(spark):
     assert one(spark, X.url_canonical(F.col("t")), t=" http://A.b/C/?q#f") == "https://a.b/c"
     assert one(spark, X.slug(F.col("t")), t="--Mixed  Case & more!") == "Mixed-Case-more"
     assert one(spark, X.jaccard(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(3))), t="") == pytest.approx(1 / 3)
-    assert one(spark, X.canonical_reference(F.col("t")), t="see AC & MFD circular letter no. 05 of 2024") == "AC&MFD CIRCULAR LETTER NO 5 OF 2024"
-    assert one(spark, X.canonical_reference(F.col("t")), t="none") is None
-
-
-def test_references():
-    found = references.iterate_references("BPRD Circulars; EPD Circular No. 20, 21 and 22 dated November 03, 2011 and BC & CPD Circular Letter No. 5 of 2009")
-    assert [references.canonical(r) for r in found] == ["EPD CIRCULAR NO 20 OF 2011", "EPD CIRCULAR NO 21 OF 2011", "EPD CIRCULAR NO 22 OF 2011", "BC&CPD CIRCULAR LETTER NO 5 OF 2009"]
-    assert references.iterate_references(None) == []
+    assert one(spark, references.canonical_reference(F.col("t")), t="see AC & MFD circular letter no. 05 of 2024") == "AC&MFD CIRCULAR LETTER NO 5 OF 2024"
+    assert one(spark, references.canonical_reference(F.col("t")), t="none") is None
+    assert one(spark, X.places(F.col("t"), "an"), t="banana an") == [2, 4, 8]
+
+
+def test_references(spark):
+    text = "BPRD Circulars; EPD Circular No. 20, 21 and 22 dated November 03, 2011 and BC & CPD Circular Letter No. 5 of 2009; Banking Supervision Department Circular 7"
+    found = one(spark, F.transform(references.mentions(F.col("t")), lambda m: F.struct(m["at"], references.canonical(m).alias("c"))), t=text)
+    assert [r.c for r in found] == ["EPD CIRCULAR NO 20 OF 2011", "EPD CIRCULAR NO 21 OF 2011", "EPD CIRCULAR NO 22 OF 2011", "BC&CPD CIRCULAR LETTER NO 5 OF 2009", "BSD CIRCULAR NO 7"]
+    assert [r.at for r in found] == [text.index("EPD")] * 3 + [text.index("BC & CPD"), text.index("Banking")]
+    assert one(spark, references.mentions(F.col("t")), t=None) == []
+    context = "As told in DMMD Circular No. 20 dated 3rd March, 2012, banks shall"
+    year = lambda t: one(spark, references.year_in_context(F.col("t"), F.lit(context)), t=t)
+    assert [year("DMMD Circular no. 20"), year("DMMD Circular No. 20 of 2001"), year("DMMD Circular No. 20 (1999)"), year("DMMD Circular No. 9")] == [2012, 2001, 1999, None]
+    assert one(spark, references.focused_query(F.col("t")), t="what does BPRD Circular No. 5 of 2024 say on capital") == "what does say on capital"
+    assert one(spark, references.focused_query(F.col("t")), t="BPRD Circular No. 5 of 2024") == "BPRD Circular No. 5 of 2024"
+    typed = one(spark, references.typed(F.col("t")), t="bprd cir let 08 2018, BSD1 circular 4")
+    assert [tuple(r) for r in typed] == [("BPRD", "letter", 8, 2018), ("BSD1", "plain", 4, None)]
 
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("3rd March 2020", date(2020, 3, 3)), ("applicable from January 1, 2026", date(2026, 1, 1)), ("Dec 2019", date(2019, 12, 1)), ("2021-02-30", None), ("", None), (None, None), ("2020-05-06", date(2020, 5, 6))],
+    [("3rd March 2020", date(2020, 3, 3)), ("applicable from January 1, 2026", date(2026, 1, 1)), ("on December 2019", date(2019, 12, 1)), ("30 February 2021", date(2021, 2, 1)), ("", None), (None, None), ("in May 2020 and 7 June 2021", date(2021, 6, 7)), ("15-March-2027", date(2027, 3, 15))],
 )
-def test_dates(text, want):
-    assert references.find_date(text) == want
+def test_dates(spark, text, want):
+    assert one(spark, dates.find_date(F.col("t")), t=text) == want
 
 
 @pytest.mark.parametrize(
-    ("title", "want"),
-    [("Rules (amended upto 2020) (Updated)", ("Rules", "Updated")), ("Manual, 2018", ("Manual", "2018")), ("Plain title", ("Plain title", None)), (None, ("", None)), ("(2020)", ("(2020)", None))],
+    ("title", "name", "version"),
+    [
+        ("Rules for Payments (Updated till July 16, 2026)", "Rules for Payments", "Updated till July 16, 2026"),
+        ("Rules for Payments, updated till October 07, 2024", "Rules for Payments", "updated till October 07, 2024"),
+        ("Rules for Payments (as of August 03, 2016)", "Rules for Payments", "as of August 03, 2016"),
+        ("Ordinance 1962 ( being updated )", "Ordinance 1962", "being updated"),
+        ("Rules - effective from 2020 (Updated)", "Rules", "Updated"),
+        ("Survey of Investment (FIS)", "Survey of Investment (FIS)", None),
+        ("Some Bank Act, 1956", "Some Bank Act, 1956", None),
+        ("Cards – Credit / Debit", "Cards - Credit/Debit", None),
+        ("Guide - Money and Finance", "Guide - Money and Finance", None),
+        (None, "", None),
+    ],
 )
-def test_titles(title, want):
-    assert references.split_title(title) == want
+def test_titles(spark, title, name, version):
+    assert tuple(one(spark, titles.split_title(F.col("t")), t=title)) == (name, version)
+
+
+def test_title_dates_names_and_nouns(spark):
+    day = lambda t: one(spark, titles.effective_from(F.col("t")), t=t)
+    assert [day("R (to be applicable from January 1, 2026)"), day("R (effective from July 2026)"), day("R (Updated till July 16, 2026)"), day("R")] == [date(2026, 1, 1), date(2026, 7, 1), None, None]
+    nouns = {"CHAPTERS": "Chapter", "Chapter No.": "Chapter", "Appendices": "Appendix", "Annexures": "Annexure", "policies": "Policie", "process": "Process", "Sr. No.": None, "": None}
+    assert {w: one(spark, titles.part_noun(F.col("t")), t=w) for w in nouns} == nouns
+    assert {w: layouts.singular(w) for w in nouns} == nouns
+    names = lambda t: one(spark, titles.identifying_names(F.col("t")), t=t)
+    assert [names("Foreign Exchange Manual"), names("Reporting Guide"), names("A B C D")] == [["foreign exchange manual", "fe manual"], [], ["a b c d"]]
+    label = lambda *c: one(spark, titles.law_label(*[F.lit(x).cast("string") for x in c]), t="")
+    assert [label("Manual", "Chapter 1", "Exports"), label(None, "Chapter 1", "Exports"), label("Manual", None, "Exports")] == ["Manual - Chapter 1: Exports", "Exports", "Exports"]
 
 
 def test_markup():
@@ -73,23 +107,63 @@ def test_markup():
     assert [markup.route_link(u, "a.b") for u in (None, "https://x.y/z", "https://w.a.b/f.PDF", "/circulars/1", "/laws-regulations/q", "/other")] == ["unknown", "external", "document", "circular", "subpage", "unknown"]
 
 
-def test_citations_stream_equals_batch():
-    handles = citations.mint([("id-1", "BPRD Circular 1"), ("id-2", "bprd circular 1"), ("id-3", "")])
-    assert list(handles) == ["BPRD-Circular-1", "bprd-circular-1-2", "source"]
-    text = "See [[bprd-circular-1]] and [[nobody-knows]] or [x] and [[source]] [[" + "y" * 300
-    want, unknown = citations.expand(text, handles)
-    assert unknown == 1 and "[[id-1]]" in want and "nobody knows" in want
+ID = "1dcf1c84-0f3a-4b7e-9a55-0123456789ab"
+
+
+def offered():
+    handles = citations.Handles()
+    handles.mint("circular", "id-1", "BPRD Circular Letter No. 01 of 2021")
+    handles.mint("law", "id-2", "Foreign Exchange Manual")
+    handles.mint("circular", "id-3", "BPRD Circular Letter No. 01 of 2021")
+    return handles
+
+
+def test_citation_slugs(spark):
+    cases = [
+        ("circular", "BPRD Circular Letter No. 01 of 2021", "BPRD-CL-01-2021"), ("circular", "SH&SFD Circular No. 4 of 2026", "SHSFD-C-4-2026"), ("attachment", "CL8-Annex_A-_Form.xlsx", "CL8-Annex-A-Form"),
+        ("law", "Rules of the Road", "Rules-of-the-Road"), ("law", "!!", "doc"), ("law", " ".join(["manual"] * 12) + " EXPORTS", "-".join(["manual"] * 7) + "-EXPORTS"), ("law", "x" * 70, "x" * 56),
+    ]
+    for kind, label, want in cases:
+        assert one(spark, citations.slug(F.col("t"), F.lit(kind)), t=label) == want == citations.python_slug(label, kind)
+    rows = spark.createDataFrame([(1, 1, "law", "Some Act"), (1, 2, "law", "some act"), (2, 1, "law", "Some Act")], "turn long, position long, kind string, label string")
+    assert sorted(r.slug for r in citations.minted(rows, "turn").collect()) == ["Some-Act", "Some-Act", "some-act-2"]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("See [[c:BPRD-CL-01-2021]].", "See [[circular:id-1|BPRD Circular Letter No. 01 of 2021]]."),
+        ("[[ C : bprd-cl-01-2021-2 | wrong ]]", "[[circular:id-3|BPRD Circular Letter No. 01 of 2021]]"),
+        ("Under [[c:BPRD-C-99-2099]] as amended.", "Under BPRD-C-99-2099 as amended."),
+        ("Per [[circular:nobody|Some Circular]] it is.", "Per Some Circular it is."),
+        ("By [[law:id-2|FE Manual]].", "By [[law:id-2|FE Manual]]."),
+        ("Banks report [[circular:1dc2c et al]] monthly.", "Banks report monthly."),
+        ("Banks report ([[circular:1dc2c et al]]) monthly.", "Banks report monthly."),
+        (f"Circular {ID} applies, ({ID}) too.", "Circular applies, too."),
+        ("The [[ see annexure ]] lists  two [x] [[", "The [[ see annexure ]] lists  two [x] [["),
+        (None, ""),
+    ],
+)
+def test_citations_expand(text, want):
+    assert offered().expand(text) == want
     for width in (1, 2, 3, 7, 50):
-        stream = citations.StreamExpander(handles)
-        assert "".join(stream.feed(text[i : i + width]) for i in range(0, len(text), width)) + stream.close() == want
+        stream = citations.StreamExpander(offered())
+        assert "".join(stream.feed((text or "")[i : i + width]) for i in range(0, len(text or ""), width)) + stream.close() == want
+
+
+def test_citations_replay_and_drops():
+    handles = offered()
+    text = f"See [[circular:id-9|EPD Circular No. 2 of 2020]] and {ID} here"
+    assert handles.replayed(text) == "See [[c:EPD-C-2-2020]] and here" == handles.replayed(handles.replayed(text))
+    handles.expand("[[l:nothing]] [[law:zz|Z]]")
+    assert [k for _, k in handles.fresh_drops()] == ["l:nothing", "law:zz"] and handles.fresh_drops() == []
 
 
 def test_stream_operator_keeps_state(spark, tmp_path):
-    handles = {"abc": "id-1"}
-    spark.createDataFrame([(1, 0, "x [[a"), (1, 1, "bc]] y"), (1, 2, None), (2, 0, "[[abc]]")], "session long, position long, text string").write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(1, 0, "x [[l:some-"), (1, 1, "act]] y"), (1, 2, None), (2, 0, "[[l:Some-Act]]")], "session long, position long, text string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("session long, position long, text string").parquet(str(tmp_path / "in"))
-    rows = jobs.drain(jobs.expand_stream(stream, handles)).orderBy("session", "position").collect()
-    assert [r.text for r in rows] == ["x ", "[[id-1]] y", "", "[[id-1]]"]
+    rows = jobs.drain(jobs.expand_stream(stream, [("law", "id-1", "Some Act")])).orderBy("session", "position").collect()
+    assert ["".join(r.text for r in rows if r.session == k) for k in (1, 2)] == ["x [[law:id-1|Some Act]] y", "[[law:id-1|Some Act]]"] and rows[0].text == "x"
 
 
 def test_incremental_index_replaces(spark, tmp_path):
@@ -103,9 +177,14 @@ def test_graph(spark):
     edges = spark.createDataFrame([(2, 1, "amends"), (3, 2, "adds_to"), (4, 1, "amends"), (1, 3, "amends"), (9, 8, "clarifies"), (7, None, "amends")], "source_id long, target_id long, kind string")
     seeds = spark.createDataFrame([(2,), (9,)], "seed long")
     assert sorted(map(tuple, graph.chain(edges, seeds).collect())) == [(2, 1), (2, 2), (2, 3), (2, 4), (9, 9)]
+    fork = spark.createDataFrame([(3, 1, "amends"), (4, 1, "adds_to"), (4, 9, "amends"), (5, 9, "amends")], "source_id long, target_id long, kind string")
+    chains = graph.chain(fork, spark.createDataFrame([(3,), (7,)], "seed long"))
+    assert sorted(r.node for r in chains.collect() if r.seed == 3) == [1, 3, 4]
+    days = spark.createDataFrame([(1, 5), (3, 2), (4, None), (7, 1)], "id long, day int")
+    assert sorted((r.position, r.node, r.base) for r in graph.chain_members(chains, days).collect()) == [(0, 4, 4), (1, 3, 4), (2, 1, 4)]
     assert sorted(map(tuple, graph.neighbourhood(edges, seeds, 1).where("seed = 9").collect())) == [(9, 8, 1), (9, 9, 0)]
     nodes = spark.createDataFrame([(1,), (8,), (5,)], "id long")
-    assert dict(graph.status_rollup(nodes, edges).collect()) == {1: "amended", 8: "clarified", 5: "active"}
+    assert dict(graph.status_rollup(nodes, edges).collect()) == {1: "amended", 8: "amended", 5: "active"}
     wanted = spark.createDataFrame([(1, "a", None), (2, "b", None), (3, "c", 9), (5, "a", None)], "source_id long, reference string, target_id long")
     known = spark.createDataFrame([(5, "a"), (6, "b"), (7, "b")], "id long, reference string")
     assert {(r.source_id, r.target_id) for r in graph.resolve(wanted, known).collect()} == {(1, 5), (2, None), (3, 9), (5, None)}
@@ -120,17 +199,18 @@ def test_folds(spark):
     assert got == {"r1": ("a2", "modified", "s0", 2), "r2": ("b", "removed", "s0", 2), "r3": ("c2", "added", "s1", 2)}
     rows = spark.createDataFrame([(1, 1, 50), (1, 2, 60), (1, 3, 40), (1, 4, 20)], "g long, o long, n long")
     assert [r.o for r in folds.greedy_budget(rows, "g", "o", "n", 100).orderBy("o").collect()] == [1, 3]
-    assert folds.dehyphenate(["regu-", "lation", "A-", "B"]) == ["regulation", "A-", "B"]
+    assert one(spark, blocks.dehyphenated(F.split("t", ",")), t="regu-,lation,A-,B") == ["regulation", "A-", "B"]
 
 
 def test_retrieval(spark):
     docs = spark.createDataFrame([(1, "money laundering rules for banks"), (2, "cash reserve requirement"), (3, "laundering money elsewhere"), (4, ""), (5, "x1 y1"), (6, "x2 y2"), (7, "x3 y3")], "doc_id long, text string")
     asked = spark.createDataFrame([(9, "money laundering")], "q long, text string")
-    best = retrieval.bm25(retrieval.postings(docs), retrieval.query_terms(asked, "q", "text"), "q", "doc_id", 5).orderBy("rank").collect()
+    best = retrieval.bm25(docs, retrieval.query_terms(asked, "q", "text"), "q", "doc_id", 5).orderBy("rank").collect()
     assert [r.doc_id for r in best] == [3, 1]
     phrases = asked.select("q", F.col("text").alias("phrase_text"))
     assert [tuple(r) for r in retrieval.phrase_matches(docs, phrases, "doc_id", "q").collect()] == [(9, 1)]
-    weighted = {(r.doc_id, r.term): r.tf for r in retrieval.weighted_bm25({"title": 5.0, "text": 1.0}, docs.withColumn("title", F.lit("cash")), "doc_id").collect()}
+    posts = retrieval.asked_postings(docs.withColumn("title", F.lit("cash")), retrieval.query_terms(asked, "q", "text").unionByName(asked.select("q", F.lit("cash").alias("term"), F.lit(1).cast("long").alias("qtf"))), "doc_id", {"title": 5.0, "text": 1.0})
+    weighted = {(r.doc_id, r.term): r.tf for r in posts.collect()}
     assert weighted[2, "cash"] == 6.0 and weighted[1, "cash"] == 5.0
     assert one(spark, retrieval.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0))), t="") == 0.0
 
