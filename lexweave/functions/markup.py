@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,3 +122,10 @@ def route_link(url: str | None, host: str) -> str:
     if re.search(r"/circulars/[^/]+", path):
         return "circular"
     return "subpage" if re.search(r"/laws-regulations/[^/]+", path) else "unknown"
+
+
+def questions(markdown: Column) -> Column:
+    """Questions ``**Q1.** text`` of a page, a line each, as an array of (key, question)."""
+    pattern = r"(?m)^\s*\*\*(Q?[0-9]+)\.?\*\*\.?\s*(\S.*)$"
+    part = lambda i: F.regexp_extract_all(markdown, F.lit(pattern), F.lit(i))
+    return F.transform(F.arrays_zip(part(1).alias("key"), part(2).alias("question")), lambda q: F.struct(q["key"].alias("key"), F.trim(q["question"]).alias("question")))

@@ -60,7 +60,7 @@ def field_of_kind(answer: dict[str, Any], name: str, kind: type) -> Any | None:
 def list_field(answers: Column, name: str) -> Column:
     """``field_of_kind`` for lists of strings, over a column of JSON objects; null if there is no single one."""
     entries = F.map_entries(F.from_json(answers, "map<string,string>"))
-    listed = F.filter(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.from_json(e["value"], "array<string>").alias("value"))), lambda e: F.ltrim(F.get_json_object(answers, F.concat(F.lit("$."), e["key"]))).startswith("["))
+    listed = F.filter(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.from_json(e["value"], "array<string>").alias("value"))), lambda e: F.ltrim(F.call_function("get_json_object", answers, F.concat(F.lit("$."), e["key"]))).startswith("["))
     own = F.get(F.filter(listed, lambda e: e["key"] == name), F.lit(0))["value"]
     return F.coalesce(own, F.when(F.size(listed) == 1, F.get(listed, F.lit(0))["value"]))
 

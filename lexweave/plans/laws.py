@@ -18,14 +18,17 @@ from lexweave.operators import validation as V
 from lexweave.plans.relational import Tables
 from lexweave.session import table
 
-MONTHS = F.array(*[F.lit(m.title()) for m in dates.MONTHS])
 #: Closing phrases of a title, by number; {0} is a date.
 PHRASES = (" (Updated till {0})", ", updated till {0}", " (as of {0})", " (being updated)", " (to be applicable from {0})", " (FIS)", "")
 
 
+def _month(n: Column) -> Column:
+    return F.get(F.array(*[F.lit(m.title()) for m in dates.MONTHS]), n % 12)
+
+
 def _date(n: Column) -> Column:
     """A date in words: month, day and year by rule."""
-    return F.concat(F.get(MONTHS, n % 12), F.lit(" "), (n % 28 + 1).cast("string"), F.lit(", "), (n % 30 + 1990).cast("string"))
+    return F.concat(_month(n), F.lit(" "), (n % 28 + 1).cast("string"), F.lit(", "), (n % 30 + 1990).cast("string"))
 
 
 def _pick(n: Column, values: tuple[str, ...], said: Column) -> Column:
@@ -43,7 +46,7 @@ def law_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def found_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first date of each document's text, of which one is written into every third."""
     d = F.col("doc_id")
-    said = F.when(d % 3 == 0, F.concat(F.lit(" dated "), _date(d), F.lit(" "))).when(d % 3 == 1, F.concat(F.lit(" of "), (d % 28 + 1).cast("string"), F.lit("th "), F.get(MONTHS, d % 12), F.lit(" "), (d % 30 + 1990).cast("string"), F.lit(" "))).otherwise("")
+    said = F.when(d % 3 == 0, F.concat(F.lit(" dated "), _date(d), F.lit(" "))).when(d % 3 == 1, F.concat(F.lit(" of "), (d % 28 + 1).cast("string"), F.lit("th "), _month(d), F.lit(" "), (d % 30 + 1990).cast("string"), F.lit(" "))).otherwise("")
     return table(spark, sf_dir, "documents").select("doc_id", dates.find_date(F.concat(F.coalesce("text", F.lit("")), said)).cast("string").alias("day"))
 
 

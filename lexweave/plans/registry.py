@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.plans import adapted, corpus, deep, laws, relational, retrieval
+from lexweave.plans import adapted, corpus, deep, desk, laws, layout, relational, retrieval
 
-MODULES: list = [relational, retrieval, deep, corpus, adapted, laws]
+MODULES: list = [relational, retrieval, deep, corpus, adapted, laws, layout, desk]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
