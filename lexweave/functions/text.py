@@ -111,7 +111,7 @@ def excerpt_within(text: Column, terms: Iterable[str], width: Column) -> Column:
 def highlight(text: Column, terms: Iterable[str]) -> Column:
     """Words that begin with a term between mark tags, terms in the order given."""
     for term in terms:
-        text = F.regexp_replace(text, rf"(?i)\b({term}\w*)", "<mark>$1</mark>")
+        text = F.regexp_replace(text, rf"(?iu)(?<![\p{{L}}\p{{N}}_])({term}[\p{{L}}\p{{N}}_]*)", "<mark>$1</mark>")
     return text
 
 

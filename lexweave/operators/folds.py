@@ -6,31 +6,27 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CHANGES = "chain long, req_id string, requirement string, status string, origin string, history int"
-
-
 def consolidate(changes: DataFrame) -> DataFrame:
     """Change lists (chain, position, source, action, req_id, requirement) folded into the state of requirements.
 
     ``add`` needs a text and an id not there yet; ``modify`` and ``remove`` pass
     over ids that are unknown or removed; what was added stays "added" when
-    modified later. A chain is bounded by its closure, so a group is small.
+    modified later. A requirement's state follows from its own changes alone: it
+    begins with its first addition and ends with the first removal after it, so
+    windows take the place of the fold. Positions of one requirement differ.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state: dict[str, dict] = {}
-        for r in pdf.sort_values(["position", "req_id"], kind="stable").itertuples():
-            have = state.get(r.req_id)
-            live = have is not None and have["status"] != "removed"
-            if r.action == "add" and r.requirement and have is None:
-                state[r.req_id] = {"chain": r.chain, "req_id": r.req_id, "requirement": r.requirement, "status": "original" if r.position == 0 else "added", "origin": r.source, "history": 1}
-            elif r.action == "modify" and live and r.requirement:
-                have |= {"requirement": r.requirement, "status": have["status"] if have["status"] == "added" else "modified", "history": have["history"] + 1}
-            elif r.action == "remove" and live:
-                have |= {"status": "removed", "history": have["history"] + 1}
-        return pd.DataFrame(list(state.values()), columns=["chain", "req_id", "requirement", "status", "origin", "history"])
-
-    return changes.groupBy("chain").applyInPandas(fold, CHANGES)
+    own = Window.partitionBy("chain", "req_id")
+    texted = F.coalesce(F.length("requirement"), F.lit(0)) > 0
+    begun = changes.withColumn("_start", F.min(F.when((F.col("action") == "add") & texted, F.col("position"))).over(own)).where("position >= _start")
+    ended = begun.withColumn("_end", F.min(F.when((F.col("action") == "remove") & (F.col("position") > F.col("_start")), F.col("position"))).over(own)).where("_end is null or position <= _end")
+    first = F.col("position") == F.col("_start")
+    modified = (F.col("action") == "modify") & texted & ~first
+    said = F.when(first | modified, F.struct("position", "requirement"))
+    found = ended.groupBy("chain", "req_id").agg(
+        F.max(said)["requirement"].alias("requirement"), F.max(F.when(first, F.col("source"))).alias("origin"), F.count_if(modified).alias("n"), F.max("_end").isNotNull().alias("removed"), F.max("_start").alias("start")
+    )
+    status = F.when(F.col("removed"), "removed").when(F.col("start") != 0, "added").when(F.col("n") > 0, "modified").otherwise("original")
+    return found.select("chain", "req_id", "requirement", status.alias("status"), "origin", (1 + F.col("n") + F.col("removed").cast("int")).cast("int").alias("history"))
 
 
 def greedy_budget(rows: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:

@@ -93,7 +93,7 @@ def results(page: DataFrame, evidence: DataFrame, texts: DataFrame, terms: list[
     several passages the densest in the terms is shown, ties to the first; all go
     along as ``passages``.
     """
-    dense = R.densest(X.blank_split(F.col("text")), terms, 25)["score"]
+    dense = X.let(X.blank_split(F.col("text")), lambda words: R.densest(words, terms, 25)["score"])
     ranked = evidence.where(F.coalesce(F.length("text"), F.lit(0)) > 0).withColumn("dense", F.coalesce(dense, F.lit(0).cast("long")))
     if attachments is not None:
         ranked = ranked.join(R.small_side(attachments.select("source_id", "filename"), R.BROADCAST_TERMS), "source_id", "left")
@@ -114,10 +114,12 @@ def first_hit(text: Column, terms: list[str]) -> Column:
 
 def preview_of(text: Column, terms: list[str], width: int = 25) -> Column:
     """The densest window of words, with dots where text is left out; empty for a text without words."""
-    words = X.blank_split(F.coalesce(text, F.lit("")))
-    at = R.densest(words, terms, width)["at"]
-    body = F.array_join(F.slice(words, (at + 1).cast("int"), F.lit(width)), " ")
-    return F.when(F.size(words) == 0, F.lit("")).otherwise(F.concat(F.when(at > 0, F.lit("…")).otherwise(""), body, F.when(at + width < F.size(words), F.lit("…")).otherwise("")))
+
+    def shown(words: Column) -> Column:
+        cut = lambda at: F.concat(F.when(at > 0, F.lit("…")).otherwise(""), F.array_join(F.slice(words, (at + 1).cast("int"), F.lit(width)), " "), F.when(at + width < F.size(words), F.lit("…")).otherwise(""))
+        return F.when(F.size(words) == 0, F.lit("")).otherwise(X.let(R.densest(words, terms, width)["at"], cut))
+
+    return X.let(X.blank_split(F.coalesce(text, F.lit(""))), shown)
 
 
 def document_pick(documents: DataFrame, terms: list[str]) -> DataFrame:

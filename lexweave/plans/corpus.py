@@ -134,6 +134,10 @@ e AS (SELECT * FROM v WHERE eff IS NULL OR eff <= TIMESTAMP '1995-06-30'),
 dated AS (SELECT d, arg_min(k, (-epoch(eff), k)) AS k FROM e WHERE eff IS NOT NULL GROUP BY d),
 undated AS (SELECT d, first(k ORDER BY k % 2 = 0 DESC, CASE WHEN k % 2 = 0 AND k % 5 <> 0 THEN k % 11 END DESC NULLS LAST, CASE WHEN k % 2 = 0 THEN k % 17 END DESC NULLS LAST, k * 7919 % 10007 DESC, k) AS k FROM e WHERE d NOT IN (SELECT d FROM dated) GROUP BY d)
 SELECT d AS document_id, k AS version_id FROM dated UNION ALL SELECT d, k FROM undated""",
+    "carry_forward_pairs": """WITH c AS (SELECT user_id AS r, event_id AS p, CASE WHEN event_id % 2 = 0 THEN event_id % 50 END AS d, CASE WHEN event_id % 2 = 1 THEN event_id::DOUBLE END AS rate FROM events),
+q AS (SELECT *, last_value(d IGNORE NULLS) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS day FROM c),
+f AS (SELECT r, day, min(p) AS p FROM q WHERE rate IS NOT NULL AND day IS NOT NULL GROUP BY 1, 2)
+SELECT r % 10 AS table_id, day, arg_max(p::DOUBLE, (r, p)) AS rate FROM f GROUP BY 1, 2""",
     "tag_facet": "SELECT unnest([lang, source]) AS tag, count(*) AS n FROM documents GROUP BY 1",
     "json_facet": "SELECT unnest(json_keys(props)) AS field, count(*) AS n FROM events GROUP BY 1",
     "span_verified": f"""WITH d AS (SELECT doc_id, ' ' || array_to_string({CANON}, ' ') || ' ' AS t, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS body FROM documents), b AS (SELECT item_id, {CANON} AS w, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS span FROM benchmark)

@@ -139,6 +139,11 @@ FROM documents d LEFT JOIN ({EDGE_SQL}) e ON d.doc_id = e.target_id GROUP BY 1""
 r AS (SELECT source, 0::BIGINT AS n, 4000::BIGINT AS room, NULL::BIGINT AS doc_id, NULL::BIGINT AS tokens FROM documents GROUP BY source
   UNION ALL SELECT t.source, t.n, CASE WHEN t.tokens <= r.room THEN r.room - t.tokens ELSE r.room END, CASE WHEN t.tokens <= r.room THEN t.doc_id END, t.tokens FROM r JOIN t ON t.source = r.source AND t.n = r.n + 1)
 SELECT source, doc_id, tokens FROM r WHERE doc_id IS NOT NULL""",
+    "consolidation_fold": """WITH c AS (SELECT user_id AS chain, event_id AS p, CASE WHEN event_id % 3 = 0 THEN 'add' WHEN event_id % 11 = 0 THEN 'remove' ELSE 'modify' END AS a, (event_id % 7)::VARCHAR AS r, event_type AS t FROM events),
+b AS (SELECT chain, r, min(p) AS p0 FROM c WHERE a = 'add' AND t <> '' GROUP BY 1, 2), e AS (SELECT c.chain, c.r, min(p) AS p1 FROM c JOIN b USING (chain, r) WHERE a = 'remove' AND p > p0 GROUP BY 1, 2),
+l AS (SELECT c.*, p0, p1 FROM c JOIN b USING (chain, r) LEFT JOIN e USING (chain, r) WHERE p >= p0 AND p <= coalesce(p1, p))
+SELECT chain, r AS req_id, arg_max(t, p) FILTER (WHERE p = p0 OR a = 'modify') AS requirement, CASE WHEN any_value(p1) IS NOT NULL THEN 'removed' WHEN any_value(p0) <> 0 THEN 'added' WHEN count(*) FILTER (WHERE a = 'modify') > 0 THEN 'modified' ELSE 'original' END AS status,
+any_value(p0)::VARCHAR AS origin, 1 + count(*) FILTER (WHERE a = 'modify') + CASE WHEN any_value(p1) IS NULL THEN 0 ELSE 1 END AS history FROM l GROUP BY 1, 2""",
     "checklist_dedupe": "SELECT md5(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')) AS key_md5, count(*) AS n, min(turn) AS first_turn, count(DISTINCT role) AS roles FROM conversations GROUP BY 1",
     "transcript_export": "SELECT conv_id, md5(string_agg('**' || upper(role[1]) || lower(role[2:]) || '**' || chr(10) || chr(10) || trim(text), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn)) AS markdown_md5 FROM conversations GROUP BY 1",
     "csv_cells": "SELECT c_custkey, CASE WHEN c_acctbal::DECIMAL(12,2)::VARCHAR LIKE '-%' THEN '''' || c_acctbal::DECIMAL(12,2)::VARCHAR ELSE c_acctbal::DECIMAL(12,2)::VARCHAR END AS balance FROM customer",

@@ -267,7 +267,7 @@ def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supporting_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", evidence.value_supported(F.concat(F.upper(F.substring("text", 5, 12))), F.col("text")).alias("own"), evidence.value_supported(F.concat(F.lit("Rs 1,0"), d.cast("string")), F.col("text")).alias("other"))
+    return table(spark, sf_dir, "documents").select("doc_id", evidence.value_supported(F.substring("text", 5, 12), F.col("text")).alias("own"), evidence.value_supported(F.concat(F.lit("Rs 1,0"), d.cast("string")), F.col("text")).alias("other"))
 
 
 def phrase_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,6 +377,8 @@ CASE WHEN source_id % 2 = 0 AND source_id % 3 <> 0 AND source_id % 5 <> 0 AND ki
 FROM (SELECT doc_id AS source_id, doc_id % 97 AS target_id, CASE doc_id % 5 WHEN 0 THEN 'amends' WHEN 1 THEN 'supersedes' WHEN 2 THEN 'clarifies' WHEN 3 THEN 'adds_to' ELSE 'other' END AS kind FROM documents WHERE doc_id > 96)""",
     "reference_targets": """SELECT d.doc_id AS source_id, CASE WHEN count(n.doc_id) = 1 THEN min(n.doc_id) END AS target_id FROM documents d
 LEFT JOIN documents n ON n.doc_id % 90 = d.doc_id % 90 AND n.doc_id // 90 + 1950 = d.doc_id // 90 + 1949 + d.doc_id % 3 AND n.doc_id <> d.doc_id GROUP BY 1""",
+    "mention_excerpts": r"""SELECT doc_id, least(3, len(regexp_extract_all(text, '(?is).{0,40}?of\W+the.{0,40}'))) AS n FROM documents""",
+    "highlighted": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(^|[^\p{L}\p{N}_])(the[\p{L}\p{N}_]*)', '\1<mark>\2</mark>', 'gi'), '(^|[^\p{L}\p{N}_])(en[\p{L}\p{N}_]*)', '\1<mark>\2</mark>', 'gi')) AS text_md5 FROM documents""",
     "citation_slugs": """SELECT doc_id AS position, CASE WHEN doc_id % 2 = 0 THEN 'BPRD' ELSE 'bprd' END || '-CL-' || (doc_id % 7) || '-2021' || CASE WHEN r > 1 THEN '-' || r ELSE '' END AS slug FROM (SELECT doc_id, row_number() OVER (PARTITION BY source, doc_id % 7 ORDER BY doc_id) AS r FROM documents)""",
     "not_applicable_reasons": r"""SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'template_placeholder' WHEN regexp_matches(text, '(?i)<\s*MM\s*-\s*YYYY\s*>|_{5,}|\bxx\s+of\s+20[0-9]{2}\b') THEN 'template_placeholder'
 WHEN turn = 1 AND NOT regexp_matches(text, '(?i)\b(shall|must|may|should|required|prohibited|directed|requested|ensure)\b') THEN 'table_header' END AS reason FROM conversations""",

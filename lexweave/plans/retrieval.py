@@ -25,7 +25,7 @@ POSTS = f"""p AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n_doc FRO
 def bm25_sql(query_table: str, k: int, k1: float, b: float, idf: str) -> str:
     return f"""WITH {POSTS},
 q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({tok("text")}) AS term FROM {query_table}) GROUP BY 1, 2),
-tot AS (SELECT count(*) AS n, avg(n_doc) AS m FROM (SELECT DISTINCT doc_id, n_doc FROM p)),
+tot AS (SELECT count(*) AS n, avg(len(t)) AS m FROM (SELECT {tok("text")} AS t FROM documents)),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 s AS (SELECT item_id, doc_id, round(sum(qtf * {idf} * tf * {k1 + 1} / (tf + {k1} * ({1 - b} + {b} * n_doc / m))), 6) AS score
   FROM q JOIN df USING (term) JOIN p USING (term), tot GROUP BY 1, 2)
