@@ -11,10 +11,13 @@ Inner products become distances by one more component, the square root of the
 shard's largest squared norm less the vector's own, so that vectors of any
 length can be searched.
 
-Edge cases: vectors that are null, empty, zero, of another width than most, or
-that hold null or non-finite components take no part; a query's own row never
-answers it, though an equal vector of another row does; rows with an id that is
-there already are vectors of their own; with fewer candidates all are given.
+Edge cases: vectors that are null, empty, zero, or that hold null or non-finite
+components take no part; vectors of each width are an index of their own, which
+queries of that width alone meet; a query's own row never answers it, though an
+equal vector of another row does; rows with an id that is there already are
+vectors of their own; equal scores go to the smaller id; rows with a null id take
+no part; with fewer candidates all are given; no rows give no rows; only the id
+and the vector are read, so that no other column can clash.
 """
 
 from __future__ import annotations

@@ -12,8 +12,10 @@ merges as it does alone. So a sequence is valid if and only if each adjacent
 pair is. A join keeps valid runs outside the window and puts a valid run into
 it; only the two pairs at the window's ends remain to be tested.
 
-Results for edge cases: null and empty texts give no tokens; decoding any
-encoding gives the text's own bytes.
+Edge cases: null and empty texts give no tokens; decoding any encoding gives the
+text's own bytes; of equal ranks the leftmost pair merges first; a text of any
+length is encoded whole; repeated rows and null ids are like any others; no rows
+give no rows; a new column whose name is in use gets underscores until it is free.
 """
 
 from __future__ import annotations

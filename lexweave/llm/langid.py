@@ -11,8 +11,11 @@ The model is fitted on at most ``SAMPLE_PER_LANGUAGE`` labelled rows for each
 language, the first by a hash of the id; everything else reads all rows.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 1; with
-no labelled row every text is ``und`` with score 0; repeated rows get equal
-results; a text of any length is read whole, in segments.
+no labelled row every text is ``und`` with score 0; of equal scores the first
+label in order wins; repeated rows get equal results; a null id is like any
+other, a null lang is no label; a text of any length is read whole, in segments;
+no rows give no rows; a new column whose name is in use gets underscores until
+it is free.
 """
 
 from __future__ import annotations

@@ -7,9 +7,10 @@
 2. Images with the same corners are one class, which stands for all of them. The
    descriptor is cut into ``TABLES`` keys. Every two classes that share a key are
    counted, however many share it; the work grows with the pairs of a key.
-3. For two images that meet in at least ``VOTES`` corners of equal key, a vote
-   over rotation, scale and shift finds the best similarity; its inliers are
-   counted.
+3. Corners of two images that share a key are compared by their whole
+   descriptors; those within ``HAMMING`` bits meet. For two images with at least
+   ``VOTES`` meetings a vote over rotation, scale and shift finds the best
+   similarity; its inliers are counted.
 4. Images with at least ``INLIERS`` agreeing corners are linked; links are closed
    into groups. ``n_links`` counts all images that an image is linked to.
 
@@ -17,8 +18,12 @@ Media are bytes: PGM or PPM (binary, 8 bits), or PNG with 8-bit grey or RGB
 samples without interlacing. ``rasterise`` makes such bytes from a page's markup:
 every word is a cell of grey texture, every block a new row.
 
-Edge cases: null, empty, broken or featureless media have no corners and are
-their own group; equal ids are one image; images of any size are read whole.
+Edge cases: null, empty, broken or featureless media, and those under 8 pixels a
+side, have no corners and are their own group; rows of one id are one image with
+the corners of all of them, and repeated rows change nothing; a row with a null
+id is one image of null id without links; images of any size are read whole; ties
+between groups go to the smaller id; only the first two columns are read, so no
+other can clash; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +44,8 @@ from lexweave.llm.components import components
 LEVELS, SPACING, STRENGTH = 2, 4, 0.02
 BITS, TABLES, ANGLES, RADIUS = 128, 4, 32, 7
 VOTES, INLIERS, TOLERANCE = 6, 8, 3.0
+#: Bits of a descriptor in which two corners that share a key may differ.
+HAMMING = 32
 CELL, COLUMNS = 4, 32
 #: Images of a key in a block, about; pairs that a task holds before it sums them up.
 BLOCK, HELD_PAIRS = 1000, 2_000_000
@@ -228,11 +235,11 @@ def corner_table(media: DataFrame, decode=decode_image) -> DataFrame:
     return media.mapInArrow(run, "image long, n long, print string, places binary, keys binary")
 
 
-def keyed(places: bytes, keys: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Keys with their table's number, each once, and the place of the first corner that has it."""
-    at, parts = np.frombuffer(places, np.int64), np.frombuffer(keys, "<u4").reshape(-1, TABLES).astype(np.int64)
+def keyed(keys: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys with their table's number, each once, and the first corner that has it."""
+    parts = np.frombuffer(keys, "<u4").reshape(-1, TABLES).astype(np.int64)
     found, first = np.unique(parts | (np.arange(TABLES) << 32), return_index=True)
-    return found, at[first // TABLES]
+    return found, first // TABLES
 
 
 def key_table(found: DataFrame) -> DataFrame:
@@ -242,11 +249,11 @@ def key_table(found: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = [keyed(p, k)[0] for p, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            lists = [keyed(k)[0] for k in batch.column(1).to_pylist()]
             images = np.repeat(batch.column(0).to_numpy(), [len(x) for x in lists])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(images)], ["key", "image"])
 
-    return found.select("image", "places", "keys").mapInArrow(run, "key long, image long")
+    return found.select("image", "keys").mapInArrow(run, "key long, image long")
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
@@ -297,14 +304,29 @@ def shared_keys(keys: DataFrame) -> DataFrame:
 
 
 def meetings(first: list[tuple[bytes, bytes]], second: list[tuple[bytes, bytes]]) -> np.ndarray:
-    """The distinct pairs of places of two images' corners with an equal key; an image is its rows' places and keys."""
-    (k1, p1), (k2, p2) = ([np.concatenate(c) for c in zip(*(keyed(*row) for row in rows), strict=True)] for rows in (first, second))
+    """The distinct pairs of places of two images' corners that share a key and differ in at most ``HAMMING`` bits.
+
+    An image is its rows' places and keys; the keys of a corner together are its descriptor.
+    """
+
+    def read(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, places, bits = [], [], []
+        for at, blob in rows:
+            found, corner = keyed(blob)
+            keys.append(found)
+            places.append(np.frombuffer(at, np.int64)[corner])
+            bits.append(np.frombuffer(blob, "<u4").reshape(-1, TABLES)[corner])
+        return np.concatenate(keys), np.concatenate(places), np.concatenate(bits)
+
+    (k1, p1, b1), (k2, p2, b2) = read(first), read(second)
     order = np.argsort(k2, kind="stable")
-    k2, p2 = k2[order], p2[order]
+    k2, p2, b2 = k2[order], p2[order], b2[order]
     low, high = np.searchsorted(k2, k1), np.searchsorted(k2, k1, "right")
     n = high - low
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-    return np.unique(np.stack([np.repeat(p1, n), p2[at]], 1), axis=0)
+    left = np.repeat(np.arange(len(k1)), n)
+    near = np.bitwise_count(b1[left] ^ b2[at]).sum(1) <= HAMMING
+    return np.unique(np.stack([p1[left[near]], p2[at[near]]], 1), axis=0)
 
 
 def consensus(first: np.ndarray, second: np.ndarray) -> int:

@@ -26,7 +26,9 @@ probability 1 - (1 - 0.8**4)**20 > 0.9999.
 Edge cases: a text that is null or has no words has an empty set and links with
 nothing; with fewer words than a shingle the whole sequence is the one shingle;
 rows with equal doc_id are one document for the links and each get its
-component; a null doc_id links with nothing.
+component; a null doc_id links with nothing; repeated rows and sets change no
+component; a text of any length is read whole; no rows give no rows; only doc_id
+and text are read, so that no other column can clash.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ take their slots by their rank within their length. Ranks come from a
 two-level count, so a length that holds most of the pieces is still dealt out.
 
 Edge cases: a null or empty text is the one end token; repeated rows are packed
-once each; an empty table gives no rows.
+once each, and ties in length take any slots; a null doc_id keeps its pieces; a
+text of any length is cut into pieces, none is dropped; an empty table gives no
+rows; only doc_id and text are read, so that no other column can clash.
 """
 
 from __future__ import annotations

@@ -8,7 +8,10 @@ by a hash of the id; everything else reads all rows.
 
 Edge cases: null and empty texts have all statistics zero and get a score as
 any other text; with no labelled row every score is 0.5, with one class the
-prior; repeated rows get equal scores.
+prior; labels of null ids or null quality do not count, of several labels of one
+id the largest; repeated rows get equal scores, and so do ties; null ids are
+scored like any other; a text of any length is read whole; no rows give no rows;
+a new column whose name is in use gets underscores until it is free.
 """
 
 from __future__ import annotations

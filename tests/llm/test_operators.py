@@ -340,8 +340,8 @@ def test_quality_edges(spark, edge_docs, no_docs):
     model = quality.train(edge_docs, labels, never)
     rows = quality.score(edge_docs.drop("score"), model).collect()
     assert len(rows) == len(EDGES) + 2 and all(0 <= r.score <= 1 for r in rows)
-    with pytest.raises(ValueError):
-        quality.score(edge_docs, model)
+    clashing = quality.score(edge_docs, model)
+    assert clashing.columns == [*edge_docs.columns, "score_"] and {r.score for r in clashing.collect()} <= {0.5, 0.1}
     empty = quality.train(no_docs, labels, never)
     assert {r.score for r in quality.score(edge_docs.drop("score"), empty).collect()} == {0.5}
     assert quality.score(no_docs.drop("score"), model).collect() == []
@@ -555,6 +555,62 @@ def test_no_documents_no_scores(spark, no_docs):
     assert ctw.score_documents(no_docs, F.lit(False)).collect() == []
 
 
+# All operators
+
+
+def test_names_in_use_stay(spark):
+    rows = [(1, "Permission is hereby granted", 1, 2, 3, "x"), (None, None, 1, 2, 3, "x"), (1, "Permission is hereby granted", 1, 2, 3, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, digest int, license_id int, n_tokens int, lang_pred string")
+    found = licenses.find_licenses(frame, licenses.known_digests(spark))
+    assert found.columns == [*frame.columns, "digest_", "license_id_"] and {r.digest for r in found.collect()} == {1} and found.count() == 3
+    found = bpe.token_digests(frame, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    assert "n_tokens_" in found.columns and {r.n_tokens for r in found.collect()} == {3} and len({r.n_tokens_ for r in found.collect()}) == 2
+    model = langid.train(spark.createDataFrame([(1, "the cat sat here", "en"), (2, "der hund und die", "de")], "doc_id long, text string, lang string"))
+    found = langid.identify(frame, model)
+    assert {r.lang_pred for r in found.collect()} == {"x"} and "lang_pred_" in found.columns
+    found = line_dedup.dedup_lines(frame, count="digest")
+    assert found.columns == [*frame.columns, "digest_"] and sorted((r.doc_id or 0) for r in found.collect()) == [0, 1, 1]
+
+
+def test_nulls_ties_and_repeated_rows_in_packing(spark):
+    path = P.path("byte_bpe_50k.json")
+    frame = spark.createDataFrame([(1, "a b c", 5), (1, "a b c", 5), (None, "a b c", 5), (None, None, 5)], "doc_id long, text string, piece int")
+    rows = packing.pack(frame, path).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in rows) == [(0, 1), (0, 4), (1, 4), (1, 4)]
+    assert len({r.sequence_id for r in rows}) == 1 and sorted(r.offset for r in rows)[0] == 0
+
+
+def test_packing_ids_are_those_of_the_library(spark):
+    import tokenizers
+
+    path = P.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(str(path))
+    library.encode_special_tokens = True  # strings of special tokens are ordinary text
+    encode = packing.tokenizer(path)
+    rng = random.Random(4)
+    for text in [t for t in EDGES if t and len(t) < 5000] + ["<|endoftext|> naïve Straße 12,345\r\n\t", *("".join(rng.choice("ab é1 .\n'") for _ in range(200)) for _ in range(20))]:
+        assert list(encode(text)) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_images_of_one_id_and_odd_rows(spark):
+    one, two = scene(1), scene(2)
+    pgm = lambda x: b"P5 %d %d 255\n" % (x.shape[1], x.shape[0]) + x.tobytes()
+    rows = [(1, pgm(one)), (1, pgm(two)), (1, pgm(one)), (2, pgm(one)), (3, pgm(two)), (None, pgm(one)), (4, None), (5, b""), (6, pgm(one[:4, :4]))]
+    frame = spark.createDataFrame([(i, bytearray(d) if d is not None else None, 9) for i, d in rows], "id long, data binary, n_links long")
+    found = {r.id: (r.n_links, r.group_id) for r in media.image_groups(frame).collect()}
+    assert found == {1: (2, 1), 2: (1, 1), 3: (1, 1), 4: (0, 4), 5: (0, 5), 6: (0, 6), None: (0, None)}
+
+
+def test_descriptors_are_compared_by_their_bits():
+    place = np.array([7 << 38 | 9 << 8, 8 << 38 | 9 << 8], np.int64).tobytes()
+    base = np.array([[1, 2, 3, 4], [5, 6, 7, 8]], "<u4")
+    near, far = base.copy(), base.copy()
+    near[:, 1:] ^= np.uint32(0xFF)
+    far[:, 1:] ^= np.uint32(0xFFFF)
+    met = lambda other: len(media.meetings([(place, base.tobytes())], [(place, other.tobytes())]))
+    assert (met(base), met(near), met(far)) == (2, 2, 0)
+
+
 # 9. Packing
 
 
