@@ -3,6 +3,15 @@
 Every stage reads all rows that the one before it kept; all but the last return
 the columns of ``documents``. Models are fitted on the rows of the stage's own
 input, except those that the operators' own queries hold out.
+
+Edge cases, of every stage: no rows give no rows; a text of any length is read
+whole; columns beside those of ``documents`` pass through the stages but the last,
+also those with an operator's own names; repeated rows are judged each and alike,
+so that all of them stay or go, and rows of one doc_id are one document for near
+copies, all of whose rows stay or go; a null doc_id is a document that copies
+none; ties go to the smaller doc_id or, of languages, to the first in order. A
+null or empty text has no language and goes at the first stage; the others keep
+it, without lines, links or tokens but the end.
 """
 
 from __future__ import annotations
