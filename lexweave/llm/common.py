@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from lexweave.session import settled
+
 #: Rows and bytes that go to a Python worker at once, so that long texts stay bounded; a batch ends at the row that exceeds the bytes.
 ARROW_ROWS, ARROW_BYTES = 1024, "4m"
 
@@ -24,31 +24,12 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is missing (tests, one machine) a temporary folder of
-    this process stands in; no cluster runs without the setting.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = getattr(shared_dir, "own", None)
-        if found is None:
-            found = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="lexweave-")
-    return found.rstrip("/")
-
-
 def written(frame: DataFrame, name: str) -> DataFrame:
-    """``frame`` as a Parquet table in the shared folder, read back.
+    """``frame`` as a Parquet table in the shared folder, read back; ``session.discard`` deletes it.
 
     Cuts the lineage: a lost executor costs only the reading of files.
     """
-    spark = frame.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return settled(frame, name)
 
 
 def free(name: str, taken: list[str]) -> str:
