@@ -365,3 +365,97 @@ def page_count(html: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def title_of(html: pd.Series, url: pd.Series) -> pd.Series:
     return pd.Series([page_title(h, u) for h, u in zip(html, url, strict=True)])
+
+
+class _Rewriter(HTMLParser):
+    """Gives a page's markup again, with known addresses and references led to documents."""
+
+    def __init__(self, base: str, addresses: dict[str, str], references: dict[str, str], find):
+        super().__init__(convert_charrefs=False)
+        self.base, self.addresses, self.references, self.find = base, addresses, references, find
+        self.out: list[str] = []
+        self.inside = 0
+
+    def handle_starttag(self, tag, attrs):
+        raw = self.get_starttag_text()
+        if tag == "a":
+            self.inside += 1
+            href = dict(attrs).get("href") or ""
+            url = _joined(self.base, href.strip()) if href else None
+            known = self.addresses.get(re.sub(r"[#?].*$", "", url or "").lower().rstrip("/"))
+            if known:
+                raw = f'<a href="/documents/{known}" data-document="{known}">'
+        self.out.append(raw)
+
+    def handle_startendtag(self, tag, attrs):
+        self.out.append(self.get_starttag_text())
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "a" and self.inside > 0
+        self.out.append(f"</{tag}>")
+
+    def handle_data(self, data):
+        if self.inside or self.cdata_elem:
+            self.out.append(data)
+            return
+        at = 0
+        for start, end, key in self.find(data):
+            known = self.references.get(key)
+            if known and start >= at:
+                self.out += [data[at:start], f'<a href="/documents/{known}" data-document="{known}">{data[start:end]}</a>']
+                at = end
+        self.out.append(data[at:])
+
+    def handle_entityref(self, name):
+        self.out.append(f"&{name};")
+
+    def handle_charref(self, name):
+        self.out.append(f"&#{name};")
+
+    def handle_comment(self, data):
+        self.out.append(f"<!--{data}-->")
+
+    def handle_decl(self, decl):
+        self.out.append(f"<!{decl}>")
+
+
+PLAIN = re.compile(r"\b([A-Z][A-Z&]{1,12})\s+Circular(\s+Letter)?\s+(?:No\.?\s*)?(\d{1,3})\s+of\s+((?:19|20)\d{2})\b", re.I)
+
+
+def plain_references(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, canonical reference) of references with their year."""
+    for m in PLAIN.finditer(text):
+        yield m.start(), m.end(), f"{m[1].upper()} CIRCULAR{' LETTER' if m[2] else ''} NO {int(m[3])} OF {m[4]}"
+
+
+def rewritten(html: str | None, base: str, addresses: dict[str, str], references: dict[str, str]) -> str | None:
+    """A page whose links to known addresses, and references in plain text, lead to documents; all else stays as it was."""
+    if html is None:
+        return None
+    writer = _Rewriter(base, addresses, references, plain_references)
+    writer.feed(html)
+    writer.close()
+    return "".join(writer.out)
+
+
+@F.pandas_udf(T.StringType())
+def _rewritten(html: pd.Series, base: pd.Series, addresses: pd.Series, references: pd.Series) -> pd.Series:
+    return pd.Series([rewritten(h, b or "", dict(a or ()), dict(r or ())) for h, b, a, r in zip(html, base, addresses, references, strict=True)])
+
+
+def rewrite_links(pages, addresses, references):
+    """(page_id, html) of pages (page_id, url, html): links and references led to documents.
+
+    Addresses are (address, id), references (reference, id). Only those that a
+    page mentions go with it, as maps found by joins.
+    """
+    from lexweave.functions import references as REF
+    from lexweave.functions.markup import html_links, html_text
+    from lexweave.operators.links import address_key
+    from lexweave.operators.retrieval import small_side
+
+    linked = pages.select("page_id", F.explode(html_links("html", "url")).alias("l")).select("page_id", address_key(F.col("l.url")).alias("address"))
+    a = linked.join(small_side(addresses, 100_000), "address").groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("address", F.col("id").cast("string")))).alias("a"))
+    said = pages.select("page_id", html_text("html").alias("text")).select("page_id", F.explode(REF.mentions(F.col("text"))).alias("m")).select("page_id", REF.canonical(F.col("m")).alias("reference"))
+    r = said.join(small_side(references, 100_000), "reference").groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("reference", F.col("id").cast("string")))).alias("r"))
+    return pages.join(a, "page_id", "left").join(r, "page_id", "left").select("page_id", _rewritten("html", "url", "a", "r").alias("html"))

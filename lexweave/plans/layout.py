@@ -109,6 +109,17 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", layouts.title_of(html, F.concat(F.lit("https://x.y/a/some-page_"), _s(p), F.lit("/?q"))).alias("title"))
 
 
+def rewritten_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that link every second circular and name another in their text."""
+    t = Tables(spark, sf_dir)
+    p = F.col("page_id")
+    html = F.concat(F.lit("<!DOCTYPE html><p>See &amp; <A class=x href='/circulars/C-"), _s(p), F.lit("/#a'>EPD Circular No. 3 of 2010</A>, EPD Circular No. "), _s(p % 9), F.lit(" of 2010.<br/></p><!-- c -->"))
+    pages = t.pages.select("page_id", F.lit(BASE).alias("url"), html.alias("html"))
+    addresses = t.documents.where("doc_id % 2 = 0").select(F.concat(F.lit("https://www.example.org/circulars/c-"), _s(F.col("doc_id"))).alias("address"), F.col("doc_id").alias("id"))
+    known = t.documents.where("doc_id < 5").select(F.concat(F.lit("EPD CIRCULAR NO "), _s(F.col("doc_id")), F.lit(" OF 2010")).alias("reference"), (F.col("doc_id") + 700).alias("id"))
+    return layouts.rewrite_links(pages, addresses, known).select("page_id", F.md5("html").alias("html_md5"))
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as layout items: a head every third turn, lists, tables, a form, and texts."""
     t = table(spark, sf_dir, "conversations")
@@ -197,7 +208,7 @@ def zipped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        circular_listing, listing_pages, oldest_on_page, law_listing, series_index, news_cards, attachment_links, container_parts, page_titles, reference_units, analysis_blocks, paragraph_windows, document_texts, cache_names,
+        circular_listing, listing_pages, oldest_on_page, law_listing, series_index, news_cards, attachment_links, container_parts, page_titles, rewritten_links, reference_units, analysis_blocks, paragraph_windows, document_texts, cache_names,
         sniffed_files, chosen_downloads, extracted_files, workbook_round_trip, zip_paths, zipped_files,
     )
 }
@@ -225,6 +236,8 @@ SELECT page_id, url, filename, 'pdf' AS file_type, CASE WHEN page_id % 2 = 0 AND
     "container_parts": f"""SELECT page_id, CASE WHEN i % 4 <> 0 THEN i::VARCHAR END AS part_key, CASE WHEN i % 4 = 0 THEN 'Subject of ' || i WHEN page_id % 2 = 0 THEN 'Chapter ' || i ELSE 'Appendix ' || i END AS part_label, CASE WHEN i = 3 THEN 'Subject of' ELSE 'Subject of ' || i END AS title,
 '{ORIGIN}/assets/p' || i || '.pdf' AS url, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS position FROM {N.format(7)} WHERE i <> 5""",
     "page_titles": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Head ' || page_id WHEN 1 THEN 'Only title' ELSE 'some page ' || page_id END AS title FROM pages",
+    "rewritten_links": """SELECT page_id, md5('<!DOCTYPE html><p>See &amp; ' || CASE WHEN page_id % 2 = 0 AND page_id IN (SELECT doc_id FROM documents) THEN '<a href="/documents/' || page_id || '" data-document="' || page_id || '">' ELSE '<A class=x href=''/circulars/C-' || page_id || '/#a''>' END || 'EPD Circular No. 3 of 2010</a>, '
+|| CASE WHEN page_id % 9 < 5 THEN '<a href="/documents/' || (page_id % 9 + 700) || '" data-document="' || (page_id % 9 + 700) || '">EPD Circular No. ' || (page_id % 9) || ' of 2010</a>' ELSE 'EPD Circular No. ' || (page_id % 9) || ' of 2010' END || '.<br/></p><!-- c -->') AS html_md5 FROM pages""",
     "reference_units": f"SELECT doc, unit, ref, kind, words FROM ({UNITS})",
     "analysis_blocks": f"""WITH u AS ({UNITS}), b AS (SELECT *, CASE WHEN kind <> 'text' OR turn % 6 = 5 OR turn % 6 = 1 THEN 1 ELSE 0 END AS fresh FROM u),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc ORDER BY turn) AS block FROM b)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "lexweave", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -38,21 +42,53 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset and the master is local."""
-    import tempfile
-    import uuid
+_OWN: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where the setting is missing (tests, one machine) a temporary folder of this
+    process stands in, which goes when the process ends; no cluster runs without
+    the setting.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lexweave-")
-    return f"{found.rstrip('/')}/lexweave-{uuid.uuid4().hex}"
+        if "folder" not in _OWN:
+            folder = tempfile.mkdtemp(prefix="lexweave-")
+            atexit.register(shutil.rmtree, folder, True)
+            _OWN["folder"] = f"file://{folder}"
+        found = _OWN["folder"]
+    return found.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str = "lexweave") -> str:
+    """A new folder below the shared one; ``discard`` deletes it."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
 
+def settled(frame: DataFrame, name: str = "lexweave") -> DataFrame:
+    """``frame`` as a written Parquet table in the shared folder, read back.
 
-def settled(frame):
-    """``frame`` as a written table, read back: its lineage ends there."""
-    path = shared_folder(frame.sparkSession)
+    Its lineage ends there: a lost executor costs only the reading of files.
+    """
+    path = shared_folder(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes the tables that this process has written so far; frames that read them are void. Gives their number.
+
+    Results must be written elsewhere or collected before, as they are lazy.
+    """
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

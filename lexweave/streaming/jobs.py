@@ -73,10 +73,23 @@ def replace_by_key(target: str, key: str, order: str) -> Callable[[DataFrame, in
 
 
 def current(spark: SparkSession, target: str, key: str) -> DataFrame:
+    """The newest row of each key; ``compacted`` keeps what has to be ranked small."""
     rows = spark.read.parquet(target).drop("batch")
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_batch")))).where("_r = 1").drop("_r", "_batch")
 
 
+def compacted(spark: SparkSession, target: str, key: str, new_target: str, gone: DataFrame | None = None) -> DataFrame:
+    """The upserts of ``target`` as one batch in a new folder: old versions of a key go, as do keys in ``gone``.
+
+    The new batch has the number of the newest old one, so that a stream can go on into it.
+    """
+    rows = current(spark, target, key)
+    last = spark.read.parquet(target).agg(F.max("_batch")).first()[0] or 0
+    kept = rows if gone is None else rows.join(gone.select(key).distinct(), key, "left_anti")
+    kept.withColumn("_batch", F.lit(last).cast("long")).write.mode("overwrite").parquet(f"{new_target}/batch={last}")
+    return current(spark, new_target, key)
+
+
 def incremental(stream: DataFrame, key: str, order: str) -> DataFrame:
     """An index kept by key from a stream of upserts."""
     spark = stream.sparkSession

@@ -1,6 +1,7 @@
 """Functions and operators of the library on small fixtures."""
 
 from datetime import date, datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,6 +172,10 @@ def test_incremental_index_replaces(spark, tmp_path):
     spark.createDataFrame([(1, 1, "old"), (1, 2, "new"), (2, 1, "two")], "k long, v long, t string").write.parquet(path)
     stream = spark.readStream.schema("k long, v long, t string").parquet(path)
     assert sorted(map(tuple, jobs.incremental(stream, "k", "v").collect())) == [(1, 2, "new"), (2, 1, "two")]
+    jobs.replace_by_key(str(tmp_path / "out"), "k", "v")(spark.read.parquet(path), 0)
+    jobs.replace_by_key(str(tmp_path / "out"), "k", "v")(spark.createDataFrame([(2, 2, "later")], "k long, v long, t string"), 1)
+    kept = jobs.compacted(spark, str(tmp_path / "out"), "k", str(tmp_path / "small"), spark.createDataFrame([(1,)], "k long"))
+    assert [tuple(r) for r in kept.collect()] == [(2, 2, "later")] and spark.read.parquet(str(tmp_path / "small")).count() == 1
 
 
 def test_graph(spark):
@@ -245,3 +250,41 @@ def test_sinks(spark, tmp_path):
     names = spark.createDataFrame([(1, "a.pdf"), (2, "A.pdf"), (3, "b")], "id long, name string")
     assert {r.id: r.name for r in sinks.unique_names(names, "name", "id").collect()} == {1: "a.pdf", 2: "A-2.pdf", 3: "b"}
     assert one(spark, sinks.safe_filename(F.col("t")), t="../a b?.txt") == "a_b_.txt"
+
+
+def test_written_tables_are_shared_and_discarded(spark):
+    from lexweave import session
+
+    frame = session.settled(spark.range(3))
+    assert frame.count() == 3 and session.shared_root(spark) == session.shared_root(spark)
+    path = session._WRITTEN[-1]
+    session.discard(spark)
+    assert not session._WRITTEN and not Path(path.removeprefix("file://")).exists()
+
+
+def test_tools_check_their_arguments(spark):
+    from lexweave.operators.tools import ToolError, Tools
+
+    circulars = spark.createDataFrame([(1, "Capital rules", "EPD Circular No. 1 of 2010", "EPD", date(2010, 1, 1), "minimum capital of banks"), (2, "Cash", "EPD Circular No. 2 of 2011", "BSD", date(2011, 1, 1), "cash reserve")], "id long, title string, reference string, department string, day date, body string")
+    edges = spark.createDataFrame([(2, 1, "amends")], "source_id long, target_id long, kind string")
+    values = spark.createDataFrame([("CAR", "banks", date(2010, 1, 1))], "metric string, subject string, day date")
+    tools = Tools(circulars, edges, values)
+    first = lambda name, **given: [r[0] for r in tools.call(name, given).collect()]
+    assert first("find_reference", reference="EPD Circular 2") == [2] and first("amendment_chain", id=2) == [1, 2] and first("related_circulars", id=1) == [2]
+    assert [r.id for r in tools.call("search_circulars", {"query": "cash reserve", "department": "bsd"}).collect()] == [2]
+    assert first("find_values", metric="car") == ["CAR"] and first("list_departments") == ["BSD", "EPD"] and first("get_circular", id=1) == [1]
+    for name, given in (("none", {}), ("get_circular", {}), ("get_circular", {"id": "1"}), ("get_circular", {"id": 1, "x": 2})):
+        with pytest.raises(ToolError):
+            tools.call(name, given)
+
+
+def test_requests_terms_and_fields():
+    from lexweave.operators import inventory as I
+
+    assert I.Request("capital").checked().band == 150
+    for bad in ({"query": " "}, {"query": "a", "sources": ()}, {"query": "a", "sources": ("x",)}, {"query": "a", "band": -1}, {"query": "a", "candidates": 0}, {"query": "a", "results": 0}, {"query": "a", "evidence": 6}):
+        with pytest.raises(I.InvalidRequest):
+            I.Request(**bad).checked()
+    terms, warned = I.build_terms("call centre", ["of the", "Call Centre"], lambda q: {"found": ["contact center", "CALL CENTRE", "", 3, "a b c d e f g"]})
+    assert terms == {"verbatim": ["call centre"], "caller": ["Call Centre"], "generated": ["contact center"]} and warned == []
+    assert I.build_terms("x", None, lambda q: 1 / 0)[1] and I.field_of_kind({"a": [1], "b": [2]}, "terms", list) is None
