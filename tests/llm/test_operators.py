@@ -555,6 +555,13 @@ def test_no_documents_no_scores(spark, no_docs):
     assert ctw.score_documents(no_docs, F.lit(False)).collect() == []
 
 
+def test_every_known_licence_is_found_in_other_dress(spark):
+    dressed = [(name, "Copyright (c) 2020 Some One. All rights reserved.\n\n" + body.upper().replace(" ", "  ").replace(",", " ,")) for name, body in sorted(licenses.KNOWN.items())]
+    frame = spark.createDataFrame([(n, t) for n, t in dressed], "name string, text string")
+    found = {r.name: r.license_id for r in licenses.find_licenses(frame, licenses.known_digests(spark)).collect()}
+    assert found == {n: n for n, _ in dressed}
+
+
 # All operators
 
 
