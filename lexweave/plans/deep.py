@@ -90,7 +90,8 @@ def transcript_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", sinks.cell(F.col("c_acctbal").cast("decimal(12,2)")).alias("balance"))
+    sign = F.get(F.array(*[F.lit(x) for x in ("=", "+", "-", "@", "")]), (F.col("c_custkey") % 5).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", sinks.cell(F.col("c_acctbal").cast("decimal(12,2)")).alias("balance"), sinks.cell(F.concat(sign, "c_name")).alias("name"))
 
 
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +147,7 @@ SELECT chain, r AS req_id, arg_max(t, p) FILTER (WHERE p = p0 OR a = 'modify') A
 any_value(p0)::VARCHAR AS origin, 1 + count(*) FILTER (WHERE a = 'modify') + CASE WHEN any_value(p1) IS NULL THEN 0 ELSE 1 END AS history FROM l GROUP BY 1, 2""",
     "checklist_dedupe": "SELECT md5(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')) AS key_md5, count(*) AS n, min(turn) AS first_turn, count(DISTINCT role) AS roles FROM conversations GROUP BY 1",
     "transcript_export": "SELECT conv_id, md5(string_agg('**' || upper(role[1]) || lower(role[2:]) || '**' || chr(10) || chr(10) || trim(text), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn)) AS markdown_md5 FROM conversations GROUP BY 1",
-    "csv_cells": "SELECT c_custkey, CASE WHEN c_acctbal::DECIMAL(12,2)::VARCHAR LIKE '-%' THEN '''' || c_acctbal::DECIMAL(12,2)::VARCHAR ELSE c_acctbal::DECIMAL(12,2)::VARCHAR END AS balance FROM customer",
+    "csv_cells": "SELECT c_custkey, CASE WHEN c_acctbal::DECIMAL(12,2)::VARCHAR LIKE '-%' THEN '''' || c_acctbal::DECIMAL(12,2)::VARCHAR ELSE c_acctbal::DECIMAL(12,2)::VARCHAR END AS balance, CASE WHEN c_custkey % 5 < 4 THEN '''' || ['=', '+', '-', '@'][c_custkey % 5 + 1] ELSE '' END || c_name AS name FROM customer",
     "stream_window_counts": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, hour(ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2, 3",
     "stream_dedupe": "SELECT DISTINCT event_id, user_id FROM events",
     "stream_tail": "SELECT event_id, event_type FROM events WHERE event_id > 9000",

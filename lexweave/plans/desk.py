@@ -32,8 +32,8 @@ def settings_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def settings_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     stored = t.region.select(F.lower("r_name").alias("key"), F.when(F.col("r_regionkey") % 2 == 0, F.concat(F.lit(" v"), _s(F.col("r_regionkey")))).otherwise(" ").alias("value"))
-    environment = t.nation.where("n_nationkey in (3, 7, 9)").select("n_name", "n_nationkey").select(F.col("n_name").alias("key"), F.when(F.col("n_nationkey") != 3, F.concat(F.lit("e"), _s(F.col("n_nationkey")))).otherwise("").alias("value"))
-    keys = {"africa": ("NATION_9",), "america": ("NATION_3", "NATION_7"), "asia": (), "europe": ("NATION_3",), "nowhere": ("NATION_9", "NATION_7")}
+    environment = t.nation.select(F.col("n_name").alias("key"), F.when(F.col("n_nationkey") % 4 != 3, F.concat(F.lit("e"), _s(F.col("n_nationkey")))).otherwise("").alias("value"))
+    keys = {"africa": ("NATION_9",), "america": ("NATION_3", "NATION_8"), "asia": (), "europe": ("NATION_3",), "nowhere": ("NATION_9", "NATION_7")}
     return A.settings_of(stored, environment, keys, {"europe": "far", "nowhere": "none"})
 
 
@@ -61,8 +61,8 @@ def chat_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as requests: a session is its user's own where their numbers agree modulo 5."""
     t = Tables(spark, sf_dir)
     e = F.col("event_id")
-    requests = t.events.select(e.alias("request_id"), F.concat(F.lit("s"), _s(e % 50)).alias("session_id"), (e % 5).alias("user_id"))
-    sessions = t.customer.where("c_custkey < 40").select(F.concat(F.lit("s"), _s(F.col("c_custkey"))).alias("session_id"), (F.col("c_custkey") % 3).alias("user_id"))
+    requests = t.events.select(e.alias("request_id"), F.concat(F.lit("s"), _s(e % 4000)).alias("session_id"), (e % 5).alias("user_id"))
+    sessions = t.customer.select(F.concat(F.lit("s"), _s(F.col("c_custkey"))).alias("session_id"), (F.col("c_custkey") % 3).alias("user_id"))
     return CH.sessions_for(requests, sessions)
 
 
@@ -220,7 +220,7 @@ def context_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     circulars = t.documents.select(d.alias("id"), F.concat(F.lit("C"), _s(d)).alias("label"), "source", F.lit("T").alias("title"), F.when(d % 2 == 0, F.col("source")).alias("department"), F.when(d % 3 == 0, F.lit("2024-01-01")).alias("day"), F.lit(None).cast("string").alias("url"))
     k = F.col("turn")
-    files = t.conversations.where("turn < 3").select(F.col("conv_id").alias("owner"), k.alias("attachment_id"), F.concat(F.when(k % 2 == 0, "b").otherwise("A"), _s(k), F.lit(".pdf")).alias("filename"), F.lit("pdf").alias("file_type"), F.lit("u").alias("url"), F.lit(None).cast("string").alias("status"), (k > 0).alias("has_text"), (k > 1).alias("indexed"))
+    files = t.conversations.select(F.col("conv_id").alias("owner"), k.alias("attachment_id"), F.concat(F.when(k % 2 == 0, "b").otherwise("A"), _s(k), F.lit(".pdf")).alias("filename"), F.lit("pdf").alias("file_type"), F.lit("u").alias("url"), F.lit(None).cast("string").alias("status"), (k > 0).alias("has_text"), (k > 1).alias("indexed"))
     return CH.manifest(circulars, files).select("id", F.md5("manifest").alias("manifest_md5"))
 
 
@@ -276,7 +276,7 @@ def inventory_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as candidates with vectors as chunks: up to two passages each, spans where they are verified."""
     t = Tables(spark, sf_dir)
     d = F.col("doc_id")
-    candidates = t.documents.where("doc_id < 100").select(d.alias("key"), F.lit("circular").alias("kind"), (d % 2).alias("lexical"), (d % 10 / 10).alias("score"), F.array(d, d + 1000000, d + 100).alias("chunk_ids"))
+    candidates = t.documents.select(d.alias("key"), F.lit("circular").alias("kind"), (d % 2).alias("lexical"), (d % 10 / 10).alias("score"), F.array(d, d + 1000000, d + 100).alias("chunk_ids"))
     chunks = t.embeddings.select(F.col("vec_id").alias("chunk_id"), _s(F.col("vec_id") % 7).alias("source_id"), F.lit("L").alias("label"), F.concat(F.lit("passage "), _s(F.col("vec_id"))).alias("text"), F.when(F.col("vec_id") % 2 == 0, F.col("vec_id") % 9).alias("page"), F.when(F.col("vec_id") % 4 == 1, F.col("vec_id")).alias("offset"))
     spans = t.embeddings.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("span "), _s(F.col("vec_id"))).alias("span"), (F.col("vec_id") % 3 == 1).alias("verified"))
     found = I.results(candidates, chunks, t.documents.select(d.alias("key"), F.col("source").alias("title")), 3, spans)
@@ -309,7 +309,7 @@ def valid_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     k = F.col("o_orderkey")
     items = t.orders.select(k.alias("item_id"), F.lit("x").alias("text"), F.array(_s(k % 50), _s(k % 7), _s(k % 50)).alias("citations"))
-    listed = t.part.where("p_partkey < 20").select(_s(F.col("p_partkey")).alias("block_id"), (F.col("p_partkey") % 6).alias("page"))
+    listed = t.part.where("p_size > 25").select(_s(F.col("p_partkey")).alias("block_id"), (F.col("p_partkey") % 6).alias("page"))
     return V.valid_items(items, listed).select("item_id", F.array_join("cited", ",").alias("cited"), "page_start", "page_end")
 
 
@@ -391,13 +391,13 @@ def _tok(column: str) -> str:
 
 ORACLE = {
     "settings_merge": "SELECT c_name AS key, CASE WHEN c_custkey % 6 = 0 THEN 'changed' ELSE c_mktsegment END AS value FROM customer UNION ALL SELECT 'new-' || c_name, 'changed' FROM customer WHERE c_custkey % 6 = 3",
-    "settings_resolved": "SELECT * FROM (VALUES ('africa', 'v0', 'stored'), ('america', 'e7', 'NATION_7'), ('asia', 'v2', 'stored'), ('europe', 'far', 'default'), ('nowhere', 'e9', 'NATION_9')) t(name, value, origin)",
+    "settings_resolved": "SELECT * FROM (VALUES ('africa', 'v0', 'stored'), ('america', 'e8', 'NATION_8'), ('asia', 'v2', 'stored'), ('europe', 'far', 'default'), ('nowhere', 'e9', 'NATION_9')) t(name, value, origin)",
     "emails": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'user' || c_custkey || '@example.org' END AS email FROM customer",
     "workspace_pins": """WITH p AS (SELECT l_orderkey AS workspace_id, l_partkey AS id, min(l_linenumber) AS position, bool_or(l_returnflag = 'R') AS gone FROM lineitem GROUP BY 1, 2),
 r AS (SELECT workspace_id, id, 0 AS late, position FROM p WHERE NOT gone UNION ALL SELECT DISTINCT l_orderkey, -1, 1, 1 FROM lineitem)
 SELECT workspace_id, id, row_number() OVER (PARTITION BY workspace_id ORDER BY late, position, id) AS position FROM r""",
     "orphaned_rows": "SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels)",
-    "chat_sessions": "SELECT event_id AS request_id, CASE WHEN own THEN 's' || (event_id % 50) ELSE 's-' || event_id END AS session_id, NOT own AS created FROM (SELECT event_id, event_id % 50 < 40 AND event_id % 50 % 3 = event_id % 5 AS own FROM events)",
+    "chat_sessions": "SELECT event_id AS request_id, CASE WHEN own THEN 's' || (event_id % 4000) ELSE 's-' || event_id END AS session_id, NOT own AS created FROM (SELECT event_id, event_id % 4000 IN (SELECT c_custkey FROM customer) AND event_id % 4000 % 3 = event_id % 5 AS own FROM events)",
     "generation_plan": """WITH f AS (SELECT doc_id, n_chars, unnest(['summary', 'tags', 'entities', 'relationships']) AS feature FROM documents)
 SELECT doc_id AS id, feature, CASE WHEN doc_id % 7 = 0 THEN 'document:' || doc_id ELSE 'version:' || (doc_id * 10) END AS target FROM f
 WHERE CASE WHEN doc_id % 7 = 0 THEN feature <> 'entities' ELSE doc_id % 4 <> 0 AND n_chars >= 300 END AND (doc_id, feature) NOT IN (SELECT doc_id, CASE WHEN quality = 1 THEN 'summary' ELSE 'tags' END FROM labels)""",
@@ -441,7 +441,7 @@ UNION ALL SELECT o_custkey, min(o_orderkey) FROM orders WHERE o_orderkey % 3 = 1
 e AS (SELECT conv_id AS session, -1 AS position, 'meta' AS event, conv_id::VARCHAR AS data FROM s UNION ALL SELECT p.conv_id, turn, CASE WHEN bad THEN 'error' ELSE 'token' END, CASE WHEN bad THEN 'lost' ELSE 'part ' || turn END FROM p JOIN s USING (conv_id) WHERE turn % 4 <> 2 AND (NOT lost OR turn <= 3)
   UNION ALL SELECT conv_id, last + 1, 'done', '' FROM s WHERE NOT lost)
 SELECT session, position, event, md5('event: ' || event || chr(10) || 'data: ' || data || chr(10) || chr(10)) AS wire_md5 FROM e""",
-    "context_manifests": """WITH f AS (SELECT conv_id AS id, string_agg('- [[attachment:' || turn || '|' || CASE WHEN turn % 2 = 0 THEN 'b' ELSE 'A' END || turn || '.pdf]]; type=pdf; source_url=u; extraction_status=unknown; text_available=' || CASE WHEN turn > 0 THEN 'yes' ELSE 'no' END || '; indexed=' || CASE WHEN turn > 1 THEN 'yes' ELSE 'no' END, chr(10) ORDER BY CASE WHEN turn % 2 = 0 THEN 'b' ELSE 'a' END || turn) AS lines FROM conversations WHERE turn < 3 GROUP BY 1)
+    "context_manifests": """WITH f AS (SELECT conv_id AS id, string_agg('- [[attachment:' || turn || '|' || CASE WHEN turn % 2 = 0 THEN 'b' ELSE 'A' END || turn || '.pdf]]; type=pdf; source_url=u; extraction_status=unknown; text_available=' || CASE WHEN turn > 0 THEN 'yes' ELSE 'no' END || '; indexed=' || CASE WHEN turn > 1 THEN 'yes' ELSE 'no' END, chr(10) ORDER BY CASE WHEN turn % 2 = 0 THEN 'b' ELSE 'a' END || turn) AS lines FROM conversations GROUP BY 1)
 SELECT doc_id AS id, md5('Circular: [[circular:' || doc_id || '|C' || doc_id || ']]' || chr(10) || 'Title: T' || chr(10) || 'Department: ' || CASE WHEN doc_id % 2 = 0 THEN source ELSE 'Unknown' END || chr(10) || 'Date: ' || CASE WHEN doc_id % 3 = 0 THEN '2024-01-01' ELSE 'Unknown' END || chr(10) || 'Source URL: Unavailable' || chr(10) || 'Attachments:' || chr(10) || coalesce(lines, '- None')) AS manifest_md5
 FROM documents LEFT JOIN f ON f.id = doc_id""",
     "direct_texts": """WITH RECURSIVE t AS (SELECT conv_id, turn, greatest(1, (length(text) + 3) // 4) AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
@@ -466,10 +466,10 @@ SELECT item_id AS query_id, doc_id AS id, round(1.0::DOUBLE / (60 + rank), 8) AS
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id, lower(term) ORDER BY part, position) AS r FROM r), n AS (SELECT *, row_number() OVER (PARTITION BY query_id, part ORDER BY position) AS n FROM o WHERE r = 1)
 SELECT query_id, term, ['verbatim', 'caller', 'generated'][part + 1] AS origin FROM n WHERE part < 2 OR n <= 48""",
     "answer_fields": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a|b' WHEN 1 THEN 'd' END AS terms FROM events",
-    "inventory_results": """WITH c AS (SELECT doc_id, source, unnest([0, 1, 2]) AS n, unnest([doc_id, doc_id + 1000000, doc_id + 100]) AS chunk FROM documents WHERE doc_id < 100),
+    "inventory_results": """WITH c AS (SELECT doc_id, source, unnest([0, 1, 2]) AS n, unnest([doc_id, doc_id + 1000000, doc_id + 100]) AS chunk FROM documents),
 e AS (SELECT c.doc_id, source, n, v.vec_id FROM c JOIN embeddings v ON v.vec_id = chunk)
 SELECT doc_id AS key, source AS title, n, CASE WHEN vec_id % 3 = 1 THEN 'span ' ELSE 'passage ' END || vec_id AS text, vec_id % 3 = 1 AS verified, CASE WHEN vec_id % 2 = 0 THEN 'p. ' || (vec_id % 9) WHEN vec_id % 4 = 1 THEN 'offset ' || vec_id ELSE 'chunk ' || vec_id END AS locator FROM e
-UNION ALL SELECT doc_id, source, NULL, NULL, NULL, NULL FROM documents WHERE doc_id < 100 AND doc_id NOT IN (SELECT doc_id FROM e)""",
+UNION ALL SELECT doc_id, source, NULL, NULL, NULL, NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM e)""",
     "index_state": """WITH s AS (SELECT doc_id AS id, doc_id % 4 AS expected, doc_id % 11 = 0 AS out_, length(text) < 300 AS short FROM documents), l AS (SELECT vec_id AS id, vec_id % 3 AS stored FROM embeddings)
 SELECT CASE WHEN out_ THEN 'excluded: external' WHEN short THEN 'unsearchable: short' WHEN expected IS NULL THEN 'orphan' WHEN expected = 0 THEN 'empty' WHEN stored IS NULL THEN 'missing' WHEN expected = stored THEN 'indexed' ELSE 'stale' END AS status, count(*) AS sources, CAST(coalesce(sum(stored), 0) AS BIGINT) AS chunks
 FROM s FULL JOIN l ON s.id = l.id GROUP BY 1""",
@@ -477,7 +477,7 @@ FROM s FULL JOIN l ON s.id = l.id GROUP BY 1""",
     "clean_entities": """SELECT l_orderkey AS id, l_linenumber, ['ratio', 'deadline', 'requirement', 'gossip', 'fee'][l_orderkey % 5 + 1] AS entity_type, CASE WHEN l_orderkey % 5 = 1 THEN 2024.0 WHEN l_orderkey % 3 <> 0 THEN (1000 + l_orderkey % 1000 + 0.5)::DOUBLE END AS value_numeric,
 CASE WHEN l_orderkey % 5 = 1 THEN '2024-05-' || lpad((l_orderkey % 28 + 1)::VARCHAR, 2, '0') END AS day FROM lineitem WHERE l_orderkey % 5 <> 3 AND l_orderkey % 7 <> 0 AND (l_orderkey % 5 IN (1, 2) OR l_orderkey % 3 <> 0)""",
     "valid_items": """WITH c AS (SELECT DISTINCT o_orderkey, unnest([o_orderkey % 50, o_orderkey % 7]) AS b FROM orders)
-SELECT o_orderkey AS item_id, string_agg(b::VARCHAR, ',' ORDER BY b::VARCHAR) AS cited, min(b % 6) AS page_start, max(b % 6) AS page_end FROM c WHERE b < 20 AND b IN (SELECT p_partkey FROM part) GROUP BY 1""",
+SELECT o_orderkey AS item_id, string_agg(b::VARCHAR, ',' ORDER BY b::VARCHAR) AS cited, min(b % 6) AS page_start, max(b % 6) AS page_end FROM c WHERE b IN (SELECT p_partkey FROM part WHERE p_size > 25) GROUP BY 1""",
     "valid_relations": """WITH e AS (SELECT doc_id AS s, doc_id % 97 AS t, CASE doc_id % 5 WHEN 0 THEN 'amends' WHEN 1 THEN 'supersedes' WHEN 2 THEN 'clarifies' WHEN 3 THEN 'adds_to' ELSE CASE WHEN doc_id % 3 = 0 THEN 'cancels' ELSE 'references' END END AS kind, CASE WHEN doc_id % 2 = 0 THEN greatest((doc_id % 10) / 10.0, 0.5) ELSE 0.5 END AS c FROM documents WHERE doc_id > 96)
 SELECT s AS source_id, t AS target_id, kind, c::DOUBLE AS confidence FROM e WHERE t % 3 <> 0 AND t IN (SELECT doc_id FROM documents)""",
     "harvested_edges": """WITH e AS (SELECT doc_id AS s, doc_id % 97 AS t, CASE doc_id % 5 WHEN 0 THEN 'amends' WHEN 1 THEN 'supersedes' WHEN 2 THEN 'clarifies' WHEN 3 THEN 'adds_to' ELSE CASE WHEN doc_id % 3 = 0 THEN 'cancels' ELSE 'references' END END AS kind FROM documents WHERE doc_id > 96)

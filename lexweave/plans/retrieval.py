@@ -195,6 +195,13 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.url_canonical(F.col("url")).alias("canonical"))
 
 
+def slug_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Handles of all turns by the words that they begin with, up to 12 characters; equal ones, whatever their case, get a number."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 10000 + F.col("turn")).alias("turn_id"), X.slug(F.col("text"), 12).alias("slug"))
+    ranked = R.top_k(rows.withColumn("low", F.lower("slug")), 2**31 - 1, ["low"], [F.asc("turn_id")])
+    return ranked.select("turn_id", F.concat("slug", F.when(F.col("rank") > 1, F.concat(F.lit("-"), F.col("rank").cast("string"))).otherwise("")).alias("handle"))
+
+
 COS = "round(list_dot_product(e.embedding::DOUBLE[], a.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])), 6)"
 SEM = f"SELECT a.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, e.vec_id) AS rank FROM embeddings e, embeddings a WHERE a.vec_id IN (SELECT item_id FROM benchmark)"
 LEX = f"SELECT item_id AS query_id, doc_id AS id, rank FROM ({bm25_sql('benchmark', 20, 1.2, 0.75, CLAMPED)})"
@@ -211,7 +218,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_okapi, tokenize_counts, phrase_match, matched_terms, cosine_topk, knn_filtered, cosine_max_per_group, dense_band, rrf_fusion, dual_arm, hybrid_score,
-        best_window, preview_region, preview, jaccard_sentence, chunk_counts, chunk_index, titled_chunks, content_hash, snapshot_id, exact_duplicates, page_furniture, token_estimates, canonical_text, url_canonical,
+        best_window, preview_region, preview, jaccard_sentence, chunk_counts, chunk_index, titled_chunks, content_hash, snapshot_id, exact_duplicates, page_furniture, token_estimates, canonical_text, url_canonical, slug_collisions,
     )
 }
 
@@ -266,4 +273,6 @@ SELECT doc_id, chunk, md5(source || chr(10) || chr(10) || array_to_string(list_s
     "token_estimates": "SELECT doc_id, greatest(1, (length(text) + 3) // 4) AS up, greatest(1, length(text) // 4) AS down FROM documents",
     "canonical_text": "SELECT doc_id, md5(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')) AS canonical_md5, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS collapsed_md5 FROM documents",
     "url_canonical": "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '[?#].*$', ''), '^http://', 'https://'), '[/.,;:)]+$', '') AS canonical FROM pages",
+    "slug_collisions": """SELECT turn_id, slug || CASE WHEN r > 1 THEN '-' || r ELSE '' END AS handle FROM (SELECT turn_id, slug, row_number() OVER (PARTITION BY lower(slug) ORDER BY turn_id) AS r FROM (
+SELECT conv_id * 10000 + turn AS turn_id, regexp_replace(left(regexp_replace(regexp_replace(text, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 12), '-+$', '') AS slug FROM conversations))""",
 }
