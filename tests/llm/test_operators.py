@@ -325,6 +325,47 @@ def test_trees_learn_and_flatten():
     assert quality.boost(x[:5], np.ones(5)).score(x[:2])[0] > 0.5
 
 
+def slow_boost(x, y):
+    """Margins of the training rows: every split of every node tried one by one."""
+    n, width = x.shape
+    prior = (y.sum() + 0.5) / (n + 1)
+    margin = np.full(n, math.log(prior / (1 - prior)))
+    cuts = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, quality.BINS + 1)[1:-1]).astype(np.float32))) for j in range(width)]
+    for _ in range(quality.TREES):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = y - p, p * (1 - p)
+        step = np.zeros(n)
+
+        def gain(rows, g=g, h=h):
+            return g[rows].sum() ** 2 / (h[rows].sum() + quality.LEAF_PENALTY)
+
+        def grow(rows, depth):
+            if depth == quality.DEPTH:
+                step[rows] = quality.LEARNING_RATE * g[rows].sum() / (h[rows].sum() + quality.LEAF_PENALTY)  # noqa: B023
+                return
+            best, split = 1e-12, None
+            for j in range(width):
+                for cut in cuts[j]:
+                    low, high = [r for r in rows if x[r, j] <= cut], [r for r in rows if x[r, j] > cut]
+                    if min(len(low), len(high)) >= quality.LEAF_ROWS and (found := gain(low) + gain(high) - gain(rows)) > best + 1e-9:
+                        best, split = found, (low, high)
+            for part in split or (rows,):
+                grow(part, depth + 1)
+
+        grow(list(range(n)), 0)
+        margin += step
+    return margin
+
+
+def test_trees_equal_a_search_of_all_splits(monkeypatch):
+    monkeypatch.setattr(quality, "TREES", 4)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(160, 3)).astype(np.float32)
+    y = ((x[:, 0] > 0.3) | (x[:, 2] < -0.8)).astype(float)
+    want = 1 / (1 + np.exp(-slow_boost(x, y)))
+    assert np.allclose(quality.boost(x, y).score(x), want, atol=1e-9)
+
+
 def test_quality_held_out(spark, sf_dir):
     frame = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/../sf0.01/labels.parquet")
@@ -364,6 +405,21 @@ def test_kernel_is_the_blend_of_presence_kernels():
         assert abs(got[i, j] - want) < 1e-5
 
 
+def test_fit_is_kernel_ridge_regression_on_landmarks():
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(words) for _ in range(12)).encode() for words in (["der", "hund", "und"], ["the", "cat", "and"]) for _ in range(30)]
+    labels = ["de"] * 30 + ["en"] * 30
+    features = langid.presence(texts)
+    model = langid.fit(features, labels)
+    marks = model.landmarks.astype(np.float32)
+    k, kmm = langid.kernel(features, marks).astype(float), langid.kernel(model.landmarks, marks).astype(float)
+    targets = np.array([[1.0 if x == m else -1.0 for m in model.languages] for x in labels])
+    # The solution in the span of the landmarks, without a whitened map; a pseudo-inverse takes equal landmarks.
+    slow = k @ np.linalg.pinv(k.T @ k + langid.RIDGE * len(labels) * kmm, rcond=1e-9) @ k.T @ targets
+    assert np.allclose(k @ model.weights, slow, atol=1e-3)
+    assert [model.languages[i] for i in (k @ model.weights).argmax(1)] == labels
+
+
 def test_language_edges(spark, edge_docs, no_docs):
     labelled = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, None, "fr"), (4, "x", None)], "doc_id long, text string, lang string")
     model = langid.train(labelled)
@@ -402,6 +458,25 @@ def test_neighbours_recall_and_scores(spark):
     assert hits / (10 * len(got)) >= 0.9
 
 
+def test_query_recall_on_the_table(spark, sf_dir):
+    from lexweave.llm import queries
+
+    folder = f"{sf_dir}/../sf0.01"
+    table = spark.read.parquet(f"{folder}/embeddings.parquet").toPandas()
+    x = np.stack(table["embedding"]).astype(float)
+    at = {v: i for i, v in enumerate(table["vec_id"])}
+    got = {}
+    for r in queries.op6_graph_ann(spark, folder).collect():
+        assert abs(r.score - x[at[r.query_id]] @ x[at[r.vec_id]]) < 1e-9
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == {v for v in at if v % 20 == 0}
+    hits = 0
+    for q, found in got.items():
+        scores = x @ x[at[q]]
+        hits += len(found & set(sorted((v for v in at if v != q), key=lambda v: (-scores[at[v]], v))[:20]))
+    assert hits / (20 * len(got)) >= 0.9
+
+
 def test_neighbours_of_few_or_no_vectors(spark):
     frame = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.5]), (20, [1.0, 1.0])], "vec_id long, embedding array<float>")
     graphs, shards = ann.index(frame, 21)
