@@ -11,17 +11,17 @@ from pyspark.sql import types as T
 from lexweave.session import settled
 
 #: Rows and bytes that go to a Python worker at once, so that long texts stay bounded; a batch ends at the row that exceeds the bytes.
-ARROW_ROWS, ARROW_BYTES = 1024, "4m"
+ARROW_ROWS, ARROW_BYTES = 1024, "16m"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, size: str = ARROW_BYTES) -> None:
     """Lower the size of Arrow batches for maps over long texts, for this session: plans are lazy, so it holds beyond the call."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def written(frame: DataFrame, name: str) -> DataFrame:

@@ -600,7 +600,7 @@ def added(blocks: DataFrame, answers: DataFrame, total: int, known: int) -> Data
 def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     """Each document with its counts, its base score and the model's score."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, "4m")  # rows here are blobs that are unpacked whole
     parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = written(dealt(docs, held_out, parts), "blocks")
     model = written(learned(blocks), "context-trees")
