@@ -161,7 +161,7 @@ def test_citations_replay_and_drops():
 
 
 def test_stream_operator_keeps_state(spark, tmp_path):
-    spark.createDataFrame([(1, 0, "x [[l:some-"), (1, 1, "act]] y"), (1, 2, None), (2, 0, "[[l:Some-Act]]")], "session long, position long, text string").write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(1, 0, "x [[l:some-"), (1, 1, "act]] y"), (1, 2, None), (2, 0, "[[l:Some-Act]]"), (2, 1, None)], "session long, position long, text string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("session long, position long, text string").parquet(str(tmp_path / "in"))
     rows = jobs.drain(jobs.expand_stream(stream, [("law", "id-1", "Some Act")])).orderBy("session", "position").collect()
     assert ["".join(r.text for r in rows if r.session == k) for k in (1, 2)] == ["x [[law:id-1|Some Act]] y", "[[law:id-1|Some Act]]"] and rows[0].text == "x"
