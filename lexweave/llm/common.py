@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -68,6 +69,15 @@ def append_columns(
     return frame.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns memory that this worker has freed to the system, so that what one block took is not held beside the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of a column as UTF-8; null is empty."""
     if isinstance(column, pa.ChunkedArray):

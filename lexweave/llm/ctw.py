@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import small_batches, utf8, written
+from lexweave.llm.common import give_back, small_batches, utf8, written
 
 DEPTH = 6
 #: Contexts of so many bytes at least are weighed in the parts, shorter ones on the driver.
@@ -294,6 +294,7 @@ def dealt(docs: DataFrame, held_out: Column, parts: int) -> DataFrame:
             for gathered in (texts, kept, words, unseen):
                 gathered.clear()
             size, number, found = 0, number + 1, Gathered()
+            give_back()
 
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in (0, 1, 2, 4)]
@@ -481,6 +482,7 @@ def learned(blocks: DataFrame) -> DataFrame:
             found = Gathered()
             words.clear()
             yield batch_of(MODEL, rows)
+            give_back()
 
         for batch in batches:
             for part, kind, data, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -577,9 +579,11 @@ def added(blocks: DataFrame, answers: DataFrame, total: int, known: int) -> Data
         for batch in batches:
             for block, kind, data, counts, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != now:
-                    places, words, now = None, {}, block
+                    places = spread = None
+                    words, now = {}, block
                     keys.clear()
                     lengths.clear()
+                    give_back()
                 if kind == BLOCK_KEYS:
                     keys.append(unpacked_keys(data))
                     lengths.append(np.frombuffer(counts, "<f4"))
