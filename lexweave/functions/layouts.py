@@ -239,6 +239,7 @@ def attachments(html: str | None, base: str) -> list[dict]:
     return found
 
 
+# The form of a part's key ("12", "III", "A-I"), nouns of parts, their odd plurals, and heads that name nothing.
 KEY = re.compile(r"[0-9]{1,3}[a-z]?|[ivxlc]+|[a-z]{1,3}-[0-9ivxlc]{1,6}", re.I)
 NOUNS = ("appendix", "annexure", "annex", "chapter", "schedule", "part", "section", "form")
 PLURALS = {"appendices": "Appendix", "annexes": "Annex"}
@@ -419,6 +420,7 @@ class _Rewriter(HTMLParser):
         self.out.append(f"<!{decl}>")
 
 
+# Fixed value: the form of a reference with its year.
 PLAIN = re.compile(r"\b([A-Z][A-Z&]{1,12})\s+Circular(\s+Letter)?\s+(?:No\.?\s*)?(\d{1,3})\s+of\s+((?:19|20)\d{2})\b", re.I)
 
 

@@ -43,6 +43,7 @@ def harvested(edges: DataFrame, anchors: DataFrame, kind: str = "clarifies", con
     return edges.unionByName(new.select("source_id", "target_id", F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence")))
 
 
+# Fixed value: a line that only tells a page.
 PAGE_NUMBER = r"(?i)^(page\s+)?[0-9]+(\s+of\s+[0-9]+)?$"
 
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A spreadsheet's cell holds no more characters.
+# The characters that a spreadsheet's cell holds, and what begins a formula.
 CELL = 32_767
+FORMULA = r"^[=+\-@\t\r]"
 
 
 def cell(value: Column) -> Column:
     """Text that no spreadsheet takes for a formula, cut to a cell's length."""
     text = F.coalesce(value.cast("string"), F.lit(""))
-    return F.left(F.when(text.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text), F.lit(CELL))
+    return F.left(F.when(text.rlike(FORMULA), F.concat(F.lit("'"), text)).otherwise(text), F.lit(CELL))
 
 
 def write_csv(hits: DataFrame, path: str, limit: int = 500) -> None:
