@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import ann, bpe, ctw, langid, licenses, line_dedup, media, minhash_forest, packing, quality
+from lexweave.llm import ann, bpe, collocations, ctw, divergence, langid, licenses, line_dedup, media, minhash_forest, packing, quality, toxicity
 from lexweave.llm.common import documents, small_batches
 
 
@@ -81,6 +81,22 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(documents(spark, sf_dir))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = lambda doc_id: remainder(doc_id, 5) == 0
+    found = toxicity.score(docs, toxicity.train(docs, labels, held_out))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_page_images": op2_page_images,
@@ -92,6 +108,9 @@ QUERIES = {
     "op8_context_tree": op8_context_tree,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_tree_bpe": op10_tree_bpe,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_toxicity": op12_toxicity,
+    "op13_collocations": op13_collocations,
 }
 
 OP1_SQL = r"""WITH RECURSIVE w AS (
@@ -123,7 +142,37 @@ f AS (SELECT t.doc_id, t.no, t.raw, coalesce(later.line IS NOT NULL OR t.doc_id
 g AS (SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '') AS text, count(*) FILTER (WHERE gone) AS n_dropped FROM f GROUP BY 1)
 SELECT d.doc_id, md5(g.text) AS text_md5, length(g.text) AS n_chars, coalesce(g.n_dropped, 0) AS n_dropped FROM documents d LEFT JOIN g USING (doc_id)"""
 
-ORACLE: dict[str, str] = {"op1_minhash_forest": OP1_SQL, "op3_line_dedup": OP3_SQL, "op7_license_digest": licenses.oracle()}
+OP11_SQL = r"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(ws) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(ws)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+t AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT t.lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY t.lang, source) + v) AS p FROM t JOIN v ON t.lang = v.lang),
+l AS (SELECT lang, term, sum(n) AS n FROM t GROUP BY ALL),
+q AS (SELECT l.lang, term, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY l.lang) + v) AS q FROM l JOIN v ON l.lang = v.lang),
+pairs AS (SELECT a.lang, a.source, b.source AS item FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT lang, source, 'pair' AS part, item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM pairs LEFT JOIN f USING (lang, source, item)
+  UNION ALL SELECT p.lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r) WHERE part = 'pair' OR rank <= 200"""
+
+OP13_SQL = r"""WITH s AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM s),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+m AS (SELECT lang, ws, unnest(range(1, 6)) AS m FROM w),
+c AS (SELECT lang, phrase, m, count(*) AS f FROM (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase FROM m WHERE len(ws) >= m) GROUP BY ALL HAVING count(*) >= 100),
+k AS (SELECT lang, phrase, f AS a, m, string_split(phrase, ' ') AS ws FROM c WHERE m >= 2),
+cut AS (SELECT lang, phrase, a, unnest(range(1, m)) AS k, ws, m FROM k),
+sc AS (SELECT cut.lang, cut.phrase, a, k, x.f AS l, y.f AS r, n.n, (1000::HUGEINT * a * n.n) // (x.f::HUGEINT * y.f) AS score
+  FROM cut JOIN c x ON x.lang = cut.lang AND x.phrase = array_to_string(ws[1:k], ' ') JOIN c y ON y.lang = cut.lang AND y.phrase = array_to_string(ws[k + 1:cut.m], ' ') JOIN n ON n.lang = cut.lang),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM sc) WHERE o = 1),
+gone AS (SELECT DISTINCT x.lang, x.phrase FROM k x JOIN k y ON x.lang = y.lang AND x.m < y.m AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ') AND 100 * y.a >= 100 * x.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT lang, phrase, a, l, r, n, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM best ANTI JOIN gone USING (lang, phrase)) WHERE rank <= 2000"""
+
+ORACLE: dict[str, str] = {"op11_source_divergence": OP11_SQL, "op13_collocations": OP13_SQL, "op1_minhash_forest": OP1_SQL, "op3_line_dedup": OP3_SQL, "op7_license_digest": licenses.oracle()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
