@@ -1,16 +1,20 @@
 """Phrases whose words come together more often than their parts would, by pivot partitioning.
 
-1. Texts become blocks of bounded size of one language each; pieces stay whole.
-   A block asks for the corpus counts of its own words and gets those of the
+1. Texts become blocks of bounded size of one language each, compressed; pieces stay
+   whole. A block asks for the corpus counts of its own words and gets those of the
    frequent ones, so no task holds a dictionary of the corpus.
-2. In a block each frequent word stands as pivot for what it may own: up to four
-   words before it that are more frequent, and up to four after it that are not rarer.
-   Equal such fragments of a block are one row with a count. The pivot of a phrase
-   is thus the first place of its rarest word, and each occurrence has one.
-3. Fragments go to their pivot's partition, which counts all phrases that go
-   through the pivot's place; those under ``SUPPORT`` stay there. Pivots of more than
-   ``HOT`` occurrences are dealt over several partitions by a hash of the
-   fragment, whose counts are added up afterwards.
+2. Neighbouring frequent words go to the partition of the rarer of them, the pair's
+   pivot, in a row for each pivot of a block. A pivot of more than ``HOT`` occurrences
+   is dealt out by the other word, so that every pair is still counted in one place.
+   Blocks get back the frequent pairs that they have.
+3. In a block each word of such pairs stands as pivot for what it may own: up to four
+   words before it that are more frequent, and up to four after it that are not rarer, as
+   far as neighbours are frequent pairs. Equal such fragments of a block are one row
+   with a count. The pivot of a phrase is thus the first place of its rarest word, and
+   each occurrence has one. A pivot's partition counts all phrases of three words or
+   more that go through the pivot's place; those under ``SUPPORT`` stay there. Pivots of
+   more than ``HOT`` occurrences are dealt out by a hash of the fragment, and their counts
+   are added up afterwards.
 4. Cuts meet the counts of both parts, which are frequent as well, by joins; the
    scores are decimals without a fraction. Phrases that a longer one explains go
    by a join on the longer one's parts.
@@ -31,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,14 +53,14 @@ _PIECES = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b
 
 
 def blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
-    """(block, lang, data): pieces of one language, ended by line ends, in lower case, of about ``size`` bytes."""
+    """(block, lang, data): pieces of one language, ended by line ends, in lower case, of about ``size`` bytes, compressed."""
     names = ["block", "lang", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[list[bytes], int]] = {}
 
         def block(lang: str) -> pa.RecordBatch:
-            data = b"\n".join(held.pop(lang)[0])
+            data = zstandard.compress(b"\n".join(held.pop(lang)[0]), 3)
             return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([lang]), pa.array([data], pa.binary())], names)
 
         for batch in batches:
@@ -86,31 +91,139 @@ def asked_words(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, lang, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = Counter(data.replace(b"\n", b" ").split(b" "))
+                words = Counter(zstandard.decompress(data).replace(b"\n", b" ").split(b" "))
                 words.pop(b"", None)
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.string()), pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.binary()).cast(pa.string()), pa.array(list(words.values()), pa.int64())], ["block", "lang", "word", "n"])
 
     return found.select("block", "lang", "data").mapInArrow(run, "block string, lang string, word string, n long")
 
 
-def windows(places: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each place its fragment, a row of ``2 * reach + 1`` ranks around it with 0 for none; and which have more than the pivot.
+def ranked(words: list[bytes], counts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Words and their counts, the most frequent first, then by their bytes."""
+    order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
+    return [words[i] for i in order], counts[order]
+
+
+def places_of(data: bytes, words: list[bytes]) -> np.ndarray:
+    """The rank from 1 of each word of a block, with 0 for others and the ends of pieces."""
+    rank = {w: i + 1 for i, w in enumerate(words)}
+    rank[b"\n"], rank[b""] = 0, -1
+    get = rank.get
+    places = np.array([get(w, 0) for w in zstandard.decompress(data).replace(b"\n", b" \n ").split(b" ")], np.int32)
+    return places[places >= 0]
 
-    Ranks count from 1, the most frequent word; 0 is a word that is not
-    frequent or the end of a piece. Before the pivot only smaller ranks go on,
-    after it smaller or equal ones.
+
+def salted(texts: list[bytes], counts: list[int], hot: int) -> list[int]:
+    """The part of its pivot, which has this count, that each text goes to."""
+    return [xxhash.xxh64_intdigest(t) % -(-c // hot) if c > hot else 0 for t, c in zip(texts, counts, strict=True)]
+
+
+def pair_rows(asked: DataFrame, hot: int) -> DataFrame:
+    """Rows (block, lang, data, words, counts) as (lang, pivot, salt, block, others, n): for each pivot its neighbours, each after ``<`` or ``>``."""
+    names = ["lang", "pivot", "salt", "block", "others", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, lang, data = (batch.column(j)[i].as_py() for j in range(3))
+                words, counts = ranked(batch.column(3)[i].values.cast(pa.binary()).to_pylist(), batch.column(4)[i].values.to_numpy())
+                places = places_of(data, words).astype(np.int64)
+                one, two = places[:-1], places[1:]
+                both = (one > 0) & (two > 0)
+                codes, n = np.unique(one[both] << 32 | two[both], return_counts=True)
+                if not len(codes):
+                    continue
+                one, two = codes >> 32, codes & 0xFFFFFFFF
+                pivot, after = np.maximum(one, two), one >= two
+                other = np.minimum(one, two)
+                salts = np.maximum(1, -(-counts // hot))[pivot - 1]
+                hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+                salt = (hashes[other - 1] % salts.astype(np.uint64)).astype(np.int64)
+                order = np.lexsort((salt, pivot))
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(pivot[order]) != 0) | (np.diff(salt[order]) != 0)]))
+                signs = np.where(after, 1, 0)
+                named = ([b"<" + w for w in words], [b">" + w for w in words])
+                others = [named[s][o] for s, o in zip(signs[order].tolist(), (other[order] - 1).tolist(), strict=True)]
+                ends = [*first[1:].tolist(), len(order)]
+                packed = [b"\n".join(others[a:b]) for a, b in zip(first.tolist(), ends, strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array([*first, len(order)], pa.int32()), pa.array(n[order], pa.int64()))
+                text = lambda x: pa.array(x, pa.binary()).cast(pa.string())
+                heads = [words[r - 1] for r in pivot[order][first].tolist()]
+                rows = len(first)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * rows, pa.string()), text(heads), pa.array(salt[order][first], pa.int32()), pa.array([block] * rows, pa.string()), text(packed), lists], names)
+            give_back()
+
+    return asked.select("block", "lang", "data", "words", "counts").mapInArrow(run, "lang string, pivot string, salt int, block string, others string, n array<long>")
+
+
+def mined_pairs(dealt: DataFrame, support: int) -> DataFrame:
+    """(lang, phrase, n, block) of rows in the order of their pivots' parts: each frequent pair once with its count, and with null for each block that has it."""
+    names = ["lang", "phrase", "n", "block"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: tuple = ()
+        counts: dict[bytes, int] = {}
+        held: list[tuple[str, list[bytes]]] = []
+        out: tuple[list, list, list, list] = ([], [], [], [])
+
+        def close() -> None:
+            kept = {o: n for o, n in counts.items() if n >= support}
+            if kept:
+                pivot = own[1].encode()
+                phrase = {o: o[1:] + b" " + pivot if o[:1] == b"<" else pivot + b" " + o[1:] for o in kept}
+                rows = [(phrase[o], n, None) for o, n in kept.items()] + [(phrase[o], None, block) for block, others in held for o in others if o in kept]
+                for column, values in zip(out[1:], zip(*rows, strict=True), strict=True):
+                    column.extend(values)
+                out[0].extend([own[0]] * len(rows))
+            counts.clear()
+            held.clear()
+
+        def batch_out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()).cast(pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], names)
+            for x in out:
+                x.clear()
+            return made
+
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(4)]
+            packed, numbers = batch.column(4).cast(pa.binary()).to_pylist(), batch.column(5).to_pylist()
+            for lang, pivot, salt, block, others, n in zip(*columns, packed, numbers, strict=True):
+                if (lang, pivot, salt) != own:
+                    close()
+                    own = (lang, pivot, salt)
+                listed = others.split(b"\n")
+                held.append((block, listed))
+                for other, c in zip(listed, n, strict=True):
+                    counts[other] = counts.get(other, 0) + c
+            if len(out[0]) > 1000:
+                yield batch_out()
+        close()
+        if out[0]:
+            yield batch_out()
+
+    return dealt.mapInArrow(run, "lang string, phrase string, n long, block string")
+
+
+def windows(places: np.ndarray, linked: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place its fragment, a row of ``2 * reach + 1`` ranks around it with 0 for none; and which have three words or more.
+
+    Ranks count from 1, the most frequent word; 0 is another word or the end of
+    a piece. ``linked`` says which places go on to the next. Before the pivot only
+    smaller ranks go on, after it smaller or equal ones.
     """
     n = len(places)
-    framed = np.concatenate([np.zeros(reach, np.int32), places, np.zeros(reach, np.int32)])
+    blank = np.zeros(reach + 1, np.int32)
+    framed, links = np.concatenate([blank, places, blank]), np.concatenate([blank, linked, blank]).astype(bool)
     out = np.zeros((n, 2 * reach + 1), np.int32)
     out[:, reach] = places
     for side in (-1, 1):
         going = places > 0
         for j in range(1, reach + 1):
-            near = framed[reach + side * j : reach + side * j + n]
-            going = going & (near > 0) & ((near < places) if side < 0 else (near <= places))
+            at = reach + 1 + side * j
+            near, link = framed[at : at + n], links[min(at, at - side) :][:n]
+            going = going & link & (near > 0) & ((near < places) if side < 0 else (near <= places))
             out[:, reach + side * j] = np.where(going, near, 0)
-    return out, (places > 0) & ((out[:, reach - 1] > 0) | (out[:, reach + 1] > 0))
+    return out, (out > 0).sum(1) > 2
 
 
 def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,22 +236,22 @@ def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[first], np.diff(np.concatenate([first, [len(rows)]]))
 
 
-def fragments(data: bytes, words: list[bytes], counts: np.ndarray, longest: int, hot: int) -> tuple[list[list], int]:
-    """Columns pivot, salt, salts, fragment, at and n of one block, given the corpus counts of its frequent words."""
-    order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
-    words, counts, reach = [words[i] for i in order], counts[order], longest - 1
+def fragments(data: bytes, pairs: list[bytes], counts: list[tuple[int, int]], longest: int, hot: int) -> tuple[list[list], int]:
+    """Columns pivot, salt, salts, fragment, at and n of one block, given its frequent pairs and the corpus counts of their words."""
+    known = {w: c for pair, both in zip(pairs, counts, strict=True) for w, c in zip(pair.split(b" "), both, strict=True)}
+    words, counts, reach = *ranked(list(known), np.array(list(known.values()), np.int64)), longest - 1
     rank = {w: i + 1 for i, w in enumerate(words)}
-    rank[b"\n"], rank[b""] = 0, -1
-    get = rank.get
-    places = np.array([get(w, 0) for w in data.replace(b"\n", b" \n ").split(b" ")], np.int32)
-    around, has = windows(places[places >= 0], reach)
+    codes = np.sort(np.array([rank[a] << 32 | rank[b] for a, b in (p.split(b" ") for p in pairs)], np.int64))
+    places = places_of(data, words)
+    linked = np.zeros(len(places), bool)
+    linked[:-1] = np.isin(places[:-1].astype(np.int64) << 32 | places[1:], codes)
+    around, has = windows(places, linked, reach)
     rows, n = distinct_rows(around[has])
-    salts = np.maximum(1, -(-counts // hot))[rows[:, reach] - 1] if len(rows) else np.zeros(0, np.int64)
+    totals = counts[rows[:, reach] - 1].tolist() if len(rows) else []
     at = (rows[:, :reach] > 0).sum(1)
     texts = [b" ".join([words[r - 1] for r in row if r]) for row in rows.tolist()]
-    salt = [xxhash.xxh64_intdigest(t) % s if s > 1 else 0 for t, s in zip(texts, salts.tolist(), strict=True)]
     pivots = [words[r - 1] for r in rows[:, reach].tolist()]
-    return [pivots, salt, salts.tolist(), texts, at.tolist(), n.tolist()], len(rows)
+    return [pivots, salted(texts, totals, hot), [-(-c // hot) for c in totals], texts, at.tolist(), n.tolist()], len(rows)
 
 
 FRAGMENTS = "lang string, pivot string, salt int, salts int, fragment string, at int, n long"
@@ -146,24 +259,25 @@ PHRASES = "lang string, phrase string, n long"
 
 
 def fragment_rows(asked: DataFrame, longest: int, hot: int) -> DataFrame:
-    """Rows (lang, data, words, counts), one to a block, as fragments of their pivots."""
+    """Rows (lang, data, pairs, left, right), one to a block, as fragments of their pivots."""
     names = [f.split()[0] for f in FRAGMENTS.split(", ")]
     text, number = (lambda x: pa.array(x, pa.binary()).cast(pa.string())), (lambda x: pa.array(x, pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                words = batch.column(2)[i].values.cast(pa.binary()).to_pylist()
-                (pivot, salt, salts, texts, at, n), rows = fragments(data, words, batch.column(3)[i].values.to_numpy(), longest, hot)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * rows, pa.string()), text(pivot), number(salt), number(salts), text(texts), number(at), pa.array(n, pa.int64())], names)
+                lang, data, _, left, right = (batch.column(j)[i].as_py() for j in range(5))
+                pairs = batch.column(2)[i].values.cast(pa.binary()).to_pylist()
+                (pivot, salt, salts, texts, at, n), rows = fragments(data, pairs, list(zip(left, right, strict=True)), longest, hot)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * rows, pa.string()), text(pivot), number(salt), number(salts), text(texts), number(at), pa.array(n, pa.int64())], names)
             give_back()
 
-    return asked.select("lang", "data", "words", "counts").mapInArrow(run, FRAGMENTS)
+    return asked.select("lang", "data", "pairs", "left", "right").mapInArrow(run, FRAGMENTS)
 
 
 def mined(dealt: DataFrame, support: int, longest: int) -> DataFrame:
-    """(lang, phrase, n) of rows in the order of their pivots' parts: whole counts of at least ``support``, and all parts of dealt-out pivots."""
+    """(lang, phrase, n), of three words or more, of rows in the order of their pivots' parts: whole counts of at least ``support``, and all parts of dealt-out pivots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[bytes, int] = {}
@@ -196,7 +310,7 @@ def mined(dealt: DataFrame, support: int, longest: int) -> DataFrame:
                     close()
                 words = text.split(b" ")
                 for first in range(max(0, at - longest + 1), at + 1):
-                    for last in range(max(at, first + 1), min(len(words), first + longest)):
+                    for last in range(max(at, first + 2), min(len(words), first + longest)):
                         phrase = b" ".join(words[first : last + 1])
                         counts[phrase] = counts.get(phrase, 0) + n
             if out[0]:
@@ -218,8 +332,18 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     known = asked.join(words, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("word", "f")).alias("w"))
     rows = found.join(known.select("block", F.col("w.word").alias("words"), F.col("w.f").alias("counts")), "block")
     own = ["lang", "pivot", "salt"]
-    dealt = fragment_rows(rows, longest, hot).repartition(*own).sortWithinPartitions(*own)
-    phrases = mined(dealt, support, longest).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
+    pairs = written(mined_pairs(pair_rows(rows, hot).repartition(*own).sortWithinPartitions(*own), support), "frequent-pairs")
+
+    side = lambda name: words.select("lang", F.col("word").alias(f"{name}_word"), F.col("f").alias(name))
+    parts = F.split("phrase", " ")
+    told = pairs.where("block is null").select("lang", "phrase", "n", F.get(parts, 0).alias("left_word"), F.get(parts, 1).alias("right_word"))
+    told = told.join(side("left"), ["lang", "left_word"]).join(side("right"), ["lang", "right_word"]).select("lang", "phrase", "left", "right")
+    asks = pairs.where("block is not null").select("block", "lang", "phrase").join(told, ["lang", "phrase"]).groupBy("block").agg(F.collect_list(F.struct("phrase", "left", "right")).alias("p"))
+    rows = found.join(asks.select("block", F.col("p.phrase").alias("pairs"), F.col("p.left").alias("left"), F.col("p.right").alias("right")), "block")
+    longer = mined(fragment_rows(rows, longest, hot).repartition(*own).sortWithinPartitions(*own), support, longest)
+    longer = longer.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
+    phrases = pairs.where("block is null").select("lang", "phrase", "n")
+    phrases = phrases.unionByName(longer) if longest > 2 else phrases
     return words.select("lang", F.col("word").alias("phrase"), F.col("f").alias("n")), written(phrases, "frequent-phrases"), totals
 
 

@@ -235,14 +235,16 @@ def test_a_dealt_out_pivot_passes_counts_on_early(spark, monkeypatch):
 
 def test_each_occurrence_has_one_pivot():
     places = np.array([3, 1, 3, 3, 2, 0, 1, 1], np.int32)
-    rows, has = collocations.windows(places, 4)
+    rows, has = collocations.windows(places, np.append((places[:-1] > 0) & (places[1:] > 0), False), 4)
     seen = Counter()
     for row in rows[has].tolist():
         for first, last in itertools.product(range(5), range(4, 9)):
-            if 1 <= last - first <= 4 and all(row[first : last + 1]):
+            if 2 <= last - first <= 4 and all(row[first : last + 1]):
                 seen[tuple(row[first : last + 1])] += 1
     runs = [[3, 1, 3, 3, 2], [1, 1]]
-    assert seen == Counter(tuple(r[i : i + m]) for r in runs for m in range(2, 6) for i in range(len(r) - m + 1))
+    parted, _ = collocations.windows(places, np.zeros(8, bool), 4)
+    assert (parted[:, [3, 5]] == 0).all()
+    assert seen == Counter(tuple(r[i : i + m]) for r in runs for m in range(3, 6) for i in range(len(r) - m + 1))
 
 
 def test_scores_whose_products_pass_64_bits(spark):
