@@ -13,8 +13,9 @@
    with a count. The pivot of a phrase is thus the first place of its rarest word, and
    each occurrence has one. A pivot's partition counts all phrases of three words or
    more that go through the pivot's place; those under ``SUPPORT`` stay there. Pivots of
-   more than ``HOT`` occurrences are dealt out by a hash of the fragment, and their counts
-   are added up afterwards.
+   more than ``HOT`` occurrences are dealt out by the word before the pivot, for phrases
+   that have one, and by the word after it for those that begin with the pivot, so that
+   each phrase is still counted in one place.
 4. Cuts meet the counts of both parts, which are frequent as well, by joins; the
    scores are decimals without a fraction. Phrases that a longer one explains go
    by a join on the longer one's parts.
@@ -44,8 +45,6 @@ from lexweave.llm.common import give_back, small_batches, utf8, written
 SUPPORT, LONGEST, TOP, SHARE = 100, 5, 2000, 100
 #: Bytes of a block, and occurrences of a pivot beyond which its fragments are dealt out.
 BLOCK_BYTES, HOT = 4 << 20, 100_000
-#: Phrases that a task counts before it passes on what a dealt-out pivot has.
-HELD_PHRASES = 500_000
 
 # A-Z in lower case; a zero byte, which ends a piece as a line end does, stays itself as part of words.
 _LOWER = bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))
@@ -113,14 +112,9 @@ def places_of(data: bytes, words: list[bytes]) -> np.ndarray:
     return places[places >= 0]
 
 
-def salted(texts: list[bytes], counts: list[int], hot: int) -> list[int]:
-    """The part of its pivot, which has this count, that each text goes to."""
-    return [xxhash.xxh64_intdigest(t) % -(-c // hot) if c > hot else 0 for t, c in zip(texts, counts, strict=True)]
-
-
 def pair_rows(asked: DataFrame, hot: int) -> DataFrame:
-    """Rows (block, lang, data, words, counts) as (lang, pivot, salt, block, others, n): for each pivot its neighbours, each after ``<`` or ``>``."""
-    names = ["lang", "pivot", "salt", "block", "others", "n"]
+    """Rows (block, lang, data, words, counts) as (lang, pivot, salt, block, others): for each pivot its neighbours in lines, after ``<`` or ``>``, and after each its number if it is not one."""
+    names = ["lang", "pivot", "salt", "block", "others"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,17 +137,16 @@ def pair_rows(asked: DataFrame, hot: int) -> DataFrame:
                 first = np.flatnonzero(np.concatenate([[True], (np.diff(pivot[order]) != 0) | (np.diff(salt[order]) != 0)]))
                 signs = np.where(after, 1, 0)
                 named = ([b"<" + w for w in words], [b">" + w for w in words])
-                others = [named[s][o] for s, o in zip(signs[order].tolist(), (other[order] - 1).tolist(), strict=True)]
+                others = [named[s][o] if c == 1 else b"%b\n%d" % (named[s][o], c) for s, o, c in zip(signs[order].tolist(), (other[order] - 1).tolist(), n[order].tolist(), strict=True)]
                 ends = [*first[1:].tolist(), len(order)]
                 packed = [b"\n".join(others[a:b]) for a, b in zip(first.tolist(), ends, strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array([*first, len(order)], pa.int32()), pa.array(n[order], pa.int64()))
                 text = lambda x: pa.array(x, pa.binary()).cast(pa.string())
                 heads = [words[r - 1] for r in pivot[order][first].tolist()]
                 rows = len(first)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * rows, pa.string()), text(heads), pa.array(salt[order][first], pa.int32()), pa.array([block] * rows, pa.string()), text(packed), lists], names)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * rows, pa.string()), text(heads), pa.array(salt[order][first], pa.int32()), pa.array([block] * rows, pa.string()), text(packed)], names)
             give_back()
 
-    return asked.select("block", "lang", "data", "words", "counts").mapInArrow(run, "lang string, pivot string, salt int, block string, others string, n array<long>")
+    return asked.select("block", "lang", "data", "words", "counts").mapInArrow(run, "lang string, pivot string, salt int, block string, others string")
 
 
 def mined_pairs(dealt: DataFrame, support: int) -> DataFrame:
@@ -186,15 +179,18 @@ def mined_pairs(dealt: DataFrame, support: int) -> DataFrame:
 
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(4)]
-            packed, numbers = batch.column(4).cast(pa.binary()).to_pylist(), batch.column(5).to_pylist()
-            for lang, pivot, salt, block, others, n in zip(*columns, packed, numbers, strict=True):
+            for lang, pivot, salt, block, others in zip(*columns, batch.column(4).cast(pa.binary()).to_pylist(), strict=True):
                 if (lang, pivot, salt) != own:
                     close()
                     own = (lang, pivot, salt)
-                listed = others.split(b"\n")
+                listed: list[bytes] = []
+                for line in others.split(b"\n"):
+                    if line[:1] in (b"<", b">"):
+                        listed.append(line)
+                        counts[line] = counts.get(line, 0) + 1
+                    else:
+                        counts[listed[-1]] += int(line) - 1
                 held.append((block, listed))
-                for other, c in zip(listed, n, strict=True):
-                    counts[other] = counts.get(other, 0) + c
             if len(out[0]) > 1000:
                 yield batch_out()
         close()
@@ -247,11 +243,20 @@ def fragments(data: bytes, pairs: list[bytes], counts: list[tuple[int, int]], lo
     linked[:-1] = np.isin(places[:-1].astype(np.int64) << 32 | places[1:], codes)
     around, has = windows(places, linked, reach)
     rows, n = distinct_rows(around[has])
-    totals = counts[rows[:, reach] - 1].tolist() if len(rows) else []
+    parts = np.maximum(1, -(-counts // hot))[rows[:, reach] - 1] if len(rows) else np.zeros(0, np.int64)
+    dealt = np.flatnonzero(parts > 1)
+    before, after = dealt[rows[dealt, reach - 1] > 0], dealt[rows[dealt, reach + 2] > 0] if reach > 1 else dealt[:0]
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    salt = np.zeros(len(rows), np.int64)
+    salt[before] = hashes[rows[before, reach - 1] - 1] % parts[before].astype(np.uint64)
+    alone = rows[after].copy()  # phrases that begin with the pivot
+    alone[:, :reach] = 0
+    keep = np.concatenate([np.flatnonzero(parts == 1), before])
+    rows, n, parts, salt = np.concatenate([rows[keep], alone]), np.concatenate([n[keep], n[after]]), np.concatenate([parts[keep], parts[after]]), np.concatenate([salt[keep], (hashes[alone[:, reach + 1] - 1] % parts[after].astype(np.uint64)).astype(np.int64)])
     at = (rows[:, :reach] > 0).sum(1)
     texts = [b" ".join([words[r - 1] for r in row if r]) for row in rows.tolist()]
     pivots = [words[r - 1] for r in rows[:, reach].tolist()]
-    return [pivots, salted(texts, totals, hot), [-(-c // hot) for c in totals], texts, at.tolist(), n.tolist()], len(rows)
+    return [pivots, salt.tolist(), parts.tolist(), texts, at.tolist(), n.tolist()], len(rows)
 
 
 FRAGMENTS = "lang string, pivot string, salt int, salts int, fragment string, at int, n long"
@@ -277,7 +282,7 @@ def fragment_rows(asked: DataFrame, longest: int, hot: int) -> DataFrame:
 
 
 def mined(dealt: DataFrame, support: int, longest: int) -> DataFrame:
-    """(lang, phrase, n), of three words or more, of rows in the order of their pivots' parts: whole counts of at least ``support``, and all parts of dealt-out pivots."""
+    """(lang, phrase, n), of three words or more and at least ``support`` occurrences, of rows in the order of their pivots' parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[bytes, int] = {}
@@ -285,12 +290,10 @@ def mined(dealt: DataFrame, support: int, longest: int) -> DataFrame:
         own: tuple = ()
 
         def close() -> None:
-            least = support if own and own[3] == 1 else 1
-            for phrase, n in counts.items():
-                if n >= least:
-                    out[0].append(own[0])
-                    out[1].append(phrase)
-                    out[2].append(n)
+            kept = [(phrase, n) for phrase, n in counts.items() if n >= support]
+            out[0].extend([own[0]] * len(kept) if kept else [])
+            out[1].extend(phrase for phrase, _ in kept)
+            out[2].extend(n for _, n in kept)
             counts.clear()
 
         def batch_out() -> pa.RecordBatch:
@@ -301,15 +304,14 @@ def mined(dealt: DataFrame, support: int, longest: int) -> DataFrame:
 
         for batch in batches:
             texts = batch.column(4).cast(pa.binary()).to_pylist()
-            keys = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
-            for key, text, at, n in zip(keys, texts, batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
+            keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            for key, salts, text, at, n in zip(keys, batch.column(3).to_pylist(), texts, batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
                 if key != own:
                     close()
                     own = key
-                elif own[3] > 1 and len(counts) > HELD_PHRASES:
-                    close()
                 words = text.split(b" ")
-                for first in range(max(0, at - longest + 1), at + 1):
+                # Of a pivot that is dealt out by the word before it, what begins with the pivot is counted elsewhere.
+                for first in range(max(0, at - longest + 1), at if salts > 1 and at else at + 1):
                     for last in range(max(at, first + 2), min(len(words), first + longest)):
                         phrase = b" ".join(words[first : last + 1])
                         counts[phrase] = counts.get(phrase, 0) + n
@@ -341,7 +343,6 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     asks = pairs.where("block is not null").select("block", "lang", "phrase").join(told, ["lang", "phrase"]).groupBy("block").agg(F.collect_list(F.struct("phrase", "left", "right")).alias("p"))
     rows = found.join(asks.select("block", F.col("p.phrase").alias("pairs"), F.col("p.left").alias("left"), F.col("p.right").alias("right")), "block")
     longer = mined(fragment_rows(rows, longest, hot).repartition(*own).sortWithinPartitions(*own), support, longest)
-    longer = longer.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
     phrases = pairs.where("block is null").select("lang", "phrase", "n")
     phrases = phrases.unionByName(longer) if longest > 2 else phrases
     return words.select("lang", F.col("word").alias("phrase"), F.col("f").alias("n")), written(phrases, "frequent-phrases"), totals

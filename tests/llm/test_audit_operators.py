@@ -226,13 +226,6 @@ def test_collocations_equal_brute_force_in_any_blocks_and_parts(spark, block, ho
     assert {tuple(r) for r in got.collect()} == brute_collocations(rows + [rows[0]] * 9, 12, 5, 25)
 
 
-def test_a_dealt_out_pivot_passes_counts_on_early(spark, monkeypatch):
-    monkeypatch.setattr(collocations, "HELD_PHRASES", 5)
-    rows = phrase_rows(8, 80)
-    got = collocations.collocations(docs(spark, [(t, lang, "s") for t, lang in rows]), support=5, hot=10, block_bytes=200)
-    assert {tuple(r) for r in got.collect()} == brute_collocations(rows, 5, 5, 2000)
-
-
 def test_each_occurrence_has_one_pivot():
     places = np.array([3, 1, 3, 3, 2, 0, 1, 1], np.int32)
     rows, has = collocations.windows(places, np.append((places[:-1] > 0) & (places[1:] > 0), False), 4)
