@@ -252,36 +252,56 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def best_per_group(vectors: DataFrame, queries: DataFrame, group: str) -> DataFrame:
     """(query_id, group, best): each query's largest cosine in each group; (group, best) of any query where ``group`` is vec_id.
 
-    Queries, a bounded set, go to every task; scores are matrix products, and
-    only maxima leave a task.
+    Scores are matrix products, and only maxima leave a task. Up to
+    ``BROADCAST_QUERIES`` queries go to every task; more are dealt to groups, each of
+    which meets every block of vectors once, and the groups' maxima are merged.
     """
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "q")
-    if asked.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
-        raise ValueError(f"more than {BROADCAST_QUERIES} queries: ask in several sets")
-    table = asked.toArrow()
-    shared = vectors.sparkSession.sparkContext.broadcast((table.column(0).to_numpy(), _matrix(table.column(1).combine_chunks())))
     alone = group == "vec_id"
-    schema = "vec_id long, best double" if alone else f"query_id long, {group} long, best double"
+    names = ["vec_id", "best"] if alone else ["query_id", group, "best"]
+    schema = ", ".join(f"{n} double" if n == "best" else f"{n} long" for n in names)
+    rows = vectors.select(F.col(group).cast("long").alias("key"), "embedding")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = shared.value
+    def maxima(ids: np.ndarray, matrix: np.ndarray, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[list[np.ndarray]]:
         held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(0).to_numpy()
-            scores = matrix @ _matrix(batch.column(1), matrix.shape[1]).T
+        for keys, embeddings in parts:
+            scores = matrix @ embeddings.T
             if alone:
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(scores.max(0))], ["vec_id", "best"])
+                yield [keys, scores.max(0)]
                 continue
             for key in np.unique(keys):
                 most = scores[:, keys == key].max(1)
                 held[int(key)] = np.maximum(held[int(key)], most) if int(key) in held else most
         for key, most in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), key)), pa.array(most)], ["query_id", group, "best"])
+            yield [ids, np.full(len(ids), key), most]
+
+    if asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        table = asked.toArrow()
+        shared = vectors.sparkSession.sparkContext.broadcast((table.column(0).to_numpy(), _matrix(table.column(1).combine_chunks())))
 
-    found = vectors.select(F.col(group).cast("long").alias(group), "embedding").mapInArrow(run, schema)
-    return found.groupBy(*([] if alone else ["query_id"]), group).agg(F.round(F.max("best"), 6).alias("best"))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, matrix = shared.value
+            if len(ids):
+                parts = ((b.column(0).to_numpy(), _matrix(b.column(1), matrix.shape[1])) for b in batches if b.num_rows)
+                for columns in maxima(ids, matrix, parts):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+        found = rows.mapInArrow(run, schema)
+    else:
+        blocks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        groups = -(-asked.count() // BROADCAST_QUERIES)
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = rows.withColumn("block", F.pmod(F.xxhash64("embedding"), F.lit(blocks)).cast("int")).withColumn("part", every(groups))
+        right = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")).withColumn("block", every(blocks))
+
+        def meet(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+            matrix = _matrix(pa.array(q["q"]))
+            parts = ((v["key"].to_numpy()[i : i + HELD_VECTORS], _matrix(pa.array(v["embedding"].iloc[i : i + HELD_VECTORS]), matrix.shape[1])) for i in range(0, len(v) if len(q) else 0, HELD_VECTORS))
+            made = list(maxima(q["query_id"].to_numpy(), matrix, parts))
+            return pd.DataFrame(dict(zip(names, [np.concatenate(c) for c in zip(*made, strict=True)] if made else [[] for _ in names], strict=True)))
+
+        found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(meet, schema)
+    return found.groupBy(*names[:-1]).agg(F.round(F.max("best"), 6).alias("best"))
 
 
 def rrf(arms: dict[str, DataFrame], key: list[str], constant: int = 60) -> DataFrame:

@@ -288,3 +288,29 @@ def test_requests_terms_and_fields():
     terms, warned = I.build_terms("call centre", ["of the", "Call Centre"], lambda q: {"found": ["contact center", "CALL CENTRE", "", 3, "a b c d e f g"]})
     assert terms == {"verbatim": ["call centre"], "caller": ["Call Centre"], "generated": ["contact center"]} and warned == []
     assert I.build_terms("x", None, lambda q: 1 / 0)[1] and I.field_of_kind({"a": [1], "b": [2]}, "terms", list) is None
+
+
+def test_every_department_by_its_full_name(spark):
+    from lexweave.functions import references
+
+    assert len(references.DEPARTMENTS) == 21
+    for name, code in references.DEPARTMENTS.items():
+        rows = spark.createDataFrame([(f"see {name.title()} Circular No. 5 of 2020, and {name} circular letter 7",)], "t string")
+        found = rows.select(F.transform(references.mentions(F.col("t")), references.canonical).alias("c")).first().c
+        assert found == [f"{code} CIRCULAR NO 5 OF 2020", f"{code} CIRCULAR LETTER NO 7"], name
+
+
+def test_maxima_of_groups_for_many_queries(spark, monkeypatch):
+    import numpy as np
+
+    from lexweave.operators import retrieval as R
+
+    dealt = np.random.default_rng(3)
+    x = dealt.normal(size=(60, 5))
+    vectors = spark.createDataFrame([(i, i % 4, [float(v) for v in row]) for i, row in enumerate(x)] + [(60, 1, None), (61, 2, [0.0] * 5)], "vec_id long, label int, embedding array<double>")
+    asked = vectors.where("vec_id < 25").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    few = {g: sorted(map(tuple, R.best_per_group(vectors, asked, g).collect())) for g in ("label", "vec_id")}
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    assert dict((r[:2], r[2]) for r in few["label"])[(3, 0)] == round(float((unit[::4] @ unit[3]).max()), 6)
+    monkeypatch.setattr(R, "BROADCAST_QUERIES", 7)
+    assert {g: sorted(map(tuple, R.best_per_group(vectors, asked, g).collect())) for g in ("label", "vec_id")} == few
