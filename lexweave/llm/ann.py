@@ -14,9 +14,10 @@ length can be searched.
 Edge cases: vectors that are null, empty, zero, or that hold null or non-finite
 components take no part; vectors of each width are an index of their own, which
 queries of that width alone meet; a query's own row never answers it, though an
-equal vector of another row does; rows with an id that is there already are
-vectors of their own; equal scores go to the smaller id; rows with a null id take
-no part; with fewer candidates all are given; no rows give no rows; only the id
+equal vector of another row does; repeated rows count once; of an id with several
+vectors, each is searched and found, and an answer has the id once, by the best
+score of its vectors, those of the query's id included; equal scores go to the
+smaller id; rows with a null id take no part; with fewer candidates all are given; no rows give no rows; only the id
 and the vector are read, so that no other column can clash.
 """
 
@@ -47,7 +48,7 @@ def vertices(rows: DataFrame, keep: int) -> DataFrame:
 
     Ids are ranked in two levels, so that a vector of very many rows is dealt out.
     """
-    keyed = rows.withColumn("h", F.xxhash64("v")).withColumn("deal", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
+    keyed = rows.distinct().withColumn("h", F.xxhash64("v")).withColumn("deal", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("vec_id"))
     few = keyed.withColumn("r", rank("h", "v", "deal")).where(F.col("r") <= keep)
     few = few.withColumn("r", rank("h", "v")).where(F.col("r") <= keep)
@@ -185,7 +186,8 @@ def index(vectors: DataFrame, keep: int, vec_id: str = "vec_id", vector: str = "
 
 
 def nearest(graphs: DataFrame, shards: int, queries: DataFrame, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest found for rows (query_id, v)."""
+    """(query_id, rank, vec_id, score): the ``k`` nearest found for rows (query_id, v); repeated rows ask once."""
+    queries = queries.select("query_id", "v").distinct()
     if not queries.take(1):
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
@@ -212,7 +214,8 @@ def nearest(graphs: DataFrame, shards: int, queries: DataFrame, k: int, beam: in
                 rows = np.concatenate([ids[starts[p] : ends[p]] for p in near])
                 scores = np.repeat((base[near] * vector).sum(1), held)
                 rows, scores = rows[rows != q], scores[rows != q]
-                best = np.lexsort((rows, -scores))[:k]
+                order = np.lexsort((rows, -scores))
+                best = order[np.sort(np.unique(rows[order], return_index=True)[1])[:k]]  # each id once, by its best score
                 out.append((np.full(len(best), q, np.int64), rows[best], scores[best]))
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pd.DataFrame(dict(zip(["query_id", "vec_id", "score"], columns, strict=True)))
@@ -220,4 +223,5 @@ def nearest(graphs: DataFrame, shards: int, queries: DataFrame, k: int, beam: in
     copies = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     pairs = copies.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(answer, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return pairs.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

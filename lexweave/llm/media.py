@@ -5,10 +5,11 @@
    its patch's intensity centroid; its descriptor is ``BITS`` comparisons of
    smoothed pixels at places turned by that orientation.
 2. Images with the same corners are one class, which stands for all of them. The
-   descriptor is cut into ``TABLES`` keys. Every two classes that share a key are
-   counted, however many share it; the work grows with the pairs of a key.
-3. Corners of two images that share a key are compared by their whole
-   descriptors; those within ``HAMMING`` bits meet. For two images with at least
+   descriptor is cut into ``TABLES`` keys; corners of an image may share keys, as in a
+   repeated texture. For every two classes the corners of each that have a shared key
+   are counted, however many classes share it; the work grows with the pairs of a key.
+3. All corners of two images that share a key are compared by their whole
+   descriptors, each with each; those within ``HAMMING`` bits meet. For two images with at least
    ``VOTES`` meetings a vote over rotation, scale and shift finds the best
    similarity; its inliers are counted.
 4. Images with at least ``INLIERS`` agreeing corners are linked; links are closed
@@ -236,63 +237,68 @@ def corner_table(media: DataFrame, decode=decode_image) -> DataFrame:
 
 
 def keyed(keys: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Keys with their table's number, each once, and the first corner that has it."""
-    parts = np.frombuffer(keys, "<u4").reshape(-1, TABLES).astype(np.int64)
-    found, first = np.unique(parts | (np.arange(TABLES) << 32), return_index=True)
-    return found, first // TABLES
+    """The keys of all corners with their table's number, in order, and the corner of each."""
+    parts = (np.frombuffer(keys, "<u4").reshape(-1, TABLES).astype(np.int64) | (np.arange(TABLES) << 32)).ravel()
+    order = np.argsort(parts, kind="stable")
+    return parts[order], order // TABLES
 
 
 def key_table(found: DataFrame) -> DataFrame:
-    """(key, image) for each key of each row of a corner table."""
+    """(key, image, corners) for each key of each row of a corner table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = [keyed(k)[0] for k in batch.column(1).to_pylist()]
-            images = np.repeat(batch.column(0).to_numpy(), [len(x) for x in lists])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(images)], ["key", "image"])
+            lists = [np.unique(keyed(k)[0], return_counts=True) for k in batch.column(1).to_pylist()]
+            images = np.repeat(batch.column(0).to_numpy(), [len(x) for x, _ in lists])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in lists])), pa.array(images), pa.array(np.concatenate([n for _, n in lists]).astype(np.int32))], ["key", "image", "corners"])
 
-    return found.select("image", "keys").mapInArrow(run, "key long, image long")
+    return found.select("image", "keys").mapInArrow(run, "key long, image long, corners int").groupBy("key", "image").agg(F.sum("corners").cast("int").alias("corners"))
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """(a, b, n), a < b: how many keys any two images share; rows (key, image).
+    """(a, b, n_a, n_b), a < b: how many corners of each of two images have a key that both have; rows (key, image, corners).
 
-    Images of a key that more than ``BLOCK`` have are dealt to blocks, and every
-    block meets every other, so no task holds all pairs of a key.
+    A corner counts for each such key. Images of a key that more than ``BLOCK``
+    have are dealt to blocks, and every block meets every other, so no task holds
+    all pairs of a key.
     """
     heavy = keys.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK).select("key", F.ceil(F.col("rows") / BLOCK).alias("blocks"))
     dealt = keys.join(heavy, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("image"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
-    cells = dealt.select("key", "image", "block", low, high).groupBy("key", "low", "high").agg(
-        F.collect_list(F.when(F.col("block") == F.col("low"), F.col("image"))).alias("ones"),
-        F.collect_list(F.when(F.col("block") != F.col("low"), F.col("image"))).alias("others"),
+    own = F.struct("image", "corners")
+    cells = dealt.select("key", "image", "corners", "block", low, high).groupBy("key", "low", "high").agg(
+        F.collect_list(F.when(F.col("block") == F.col("low"), own)).alias("ones"),
+        F.collect_list(F.when(F.col("block") != F.col("low"), own)).alias("others"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            x, y = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+            x, y, m, n = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
+            turned = x > y
+            x, y, m, n = np.where(turned, y, x), np.where(turned, x, y), np.where(turned, n, m), np.where(turned, m, n)
             ids, at = np.unique(np.concatenate([x, y]), return_inverse=True)
             x, y = at[: len(x)], at[len(x) :]
-            code, counts = np.unique((np.minimum(x, y) * len(ids) + np.maximum(x, y))[x != y], return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(ids[code // len(ids)]), pa.array(ids[code % len(ids)]), pa.array(counts.astype(np.int64))], ["a", "b", "n"])
+            apart = x != y
+            code, place = np.unique((x * len(ids) + y)[apart], return_inverse=True)
+            sums = [np.bincount(place, c[apart], len(code)).astype(np.int64) for c in (m, n)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[code // len(ids)], ids[code % len(ids)], *sums)], ["a", "b", "n_a", "n_b"])
 
         for batch in batches:
             for ones, others in zip(batch.column(0), batch.column(1), strict=True):
-                x, y = ones.values.to_numpy(), others.values.to_numpy()
+                (x, m), (y, n) = ((c.values.field("image").to_numpy(), c.values.field("corners").to_numpy()) for c in (ones, others))
                 if len(y):
-                    pair = np.repeat(x, len(y)), np.tile(y, len(x))
+                    i, j = np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x))
                 else:
-                    i, j = np.triu_indices(len(x), 1)
-                    pair = x[i], x[j]
-                held.append(pair)
-                size += len(pair[0])
+                    (i, j), y, n = np.triu_indices(len(x), 1), x, m
+                held.append((x[i], y[j], m[i], n[j]))
+                size += len(i)
                 if size > HELD_PAIRS:
                     yield flush()
                     size = 0
@@ -300,13 +306,15 @@ def shared_keys(keys: DataFrame) -> DataFrame:
             yield flush()
 
     met = cells.where("low <> high or size(ones) > 1").where("low = high or size(others) > 0").where("size(ones) > 0")
-    return met.select("ones", "others").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    counted = met.select("ones", "others").mapInArrow(run, "a long, b long, n_a long, n_b long")
+    return counted.groupBy("a", "b").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
 
 
 def meetings(first: list[tuple[bytes, bytes]], second: list[tuple[bytes, bytes]]) -> np.ndarray:
     """The distinct pairs of places of two images' corners that share a key and differ in at most ``HAMMING`` bits.
 
-    An image is its rows' places and keys; the keys of a corner together are its descriptor.
+    An image is its rows' places and keys; the keys of a corner together are its
+    descriptor. Candidate pairs are looked at in parts of ``HELD_PAIRS``.
     """
 
     def read(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -323,10 +331,17 @@ def meetings(first: list[tuple[bytes, bytes]], second: list[tuple[bytes, bytes]]
     k2, p2, b2 = k2[order], p2[order], b2[order]
     low, high = np.searchsorted(k2, k1), np.searchsorted(k2, k1, "right")
     n = high - low
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-    left = np.repeat(np.arange(len(k1)), n)
-    near = np.bitwise_count(b1[left] ^ b2[at]).sum(1) <= HAMMING
-    return np.unique(np.stack([p1[left[near]], p2[at[near]]], 1), axis=0)
+    ends = np.cumsum(n)
+    found, begin = np.zeros((0, 2), np.int64), 0
+    while begin < len(n):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + HELD_PAIRS, "right")))
+        own = n[begin:end]
+        left = np.repeat(np.arange(begin, end), own)
+        at = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(low[begin:end], own)
+        near = np.bitwise_count(b1[left] ^ b2[at]).sum(1) <= HAMMING
+        found = np.unique(np.concatenate([found, np.stack([p1[left[near]], p2[at[near]]], 1)]), axis=0)
+        begin = end
+    return found
 
 
 def consensus(first: np.ndarray, second: np.ndarray) -> int:
@@ -341,12 +356,20 @@ def consensus(first: np.ndarray, second: np.ndarray) -> int:
             if near.sum() <= best:
                 continue
             a, k = 2 * np.pi * t / ANGLES, 2.0**s
-            sx = x2 - k * (np.cos(a) * x1 - np.sin(a) * y1)
-            sy = y2 - k * (np.sin(a) * x1 + np.cos(a) * y1)
-            for cx, cy in np.unique(np.rint(np.stack([sx[near], sy[near]], 1) / TOLERANCE), axis=0) * TOLERANCE:
-                inside = near & (np.abs(sx - cx) <= TOLERANCE) & (np.abs(sy - cy) <= TOLERANCE)
+            sx = (x2 - k * (np.cos(a) * x1 - np.sin(a) * y1))[near]
+            sy = (y2 - k * (np.sin(a) * x1 + np.cos(a) * y1))[near]
+            one, two = first[near], second[near]
+            cells, counts = np.unique(np.rint(np.stack([sx, sy], 1) / TOLERANCE).astype(np.int64), axis=0, return_counts=True)
+            # A square around a cell reaches into the eight beside it, so that their counts bound what it holds.
+            number = {c: n for c, n in zip(map(tuple, cells.tolist()), counts.tolist(), strict=True)}
+            bounds = [sum(number.get((x + i, y + j), 0) for i in (-1, 0, 1) for j in (-1, 0, 1)) for x, y in number]
+            for i in np.argsort(-np.array(bounds), kind="stable"):
+                if bounds[i] <= best:
+                    break
+                cx, cy = cells[i] * TOLERANCE
+                inside = (np.abs(sx - cx) <= TOLERANCE) & (np.abs(sy - cy) <= TOLERANCE)
                 if inside.sum() > best:
-                    best = max(best, min(len(np.unique(first[inside])), len(np.unique(second[inside]))))
+                    best = max(best, min(len(np.unique(one[inside])), len(np.unique(two[inside]))))
     return best
 
 
@@ -361,8 +384,8 @@ def image_groups(media: DataFrame, decode=decode_image) -> DataFrame:
     classes = images.where("image = rep").select("image", "size")
     ours = found.join(classes.select("image"), "image", "left_semi")
 
-    # So many corners can't agree where fewer keys are shared. Images of one class meet as their first with itself.
-    close = shared_keys(key_table(ours)).where(F.col("n") >= max(VOTES, INLIERS)).select("a", "b")
+    # So many corners can't agree where fewer of either image have a shared key. Images of one class meet as their first with itself.
+    close = shared_keys(key_table(ours)).where(F.least("n_a", "n_b") >= INLIERS).select("a", "b")
     close = written(close.unionByName(classes.where("size > 1").select(F.col("image").alias("a"), F.col("image").alias("b"))), "close-images")
     rows = ours.groupBy("image").agg(F.collect_set(F.struct("places", "keys")).alias("rows"))
     pairs = close.join(rows.select(F.col("image").alias("a"), F.col("rows").alias("first")), "a").join(rows.select(F.col("image").alias("b"), F.col("rows").alias("second")), "b")

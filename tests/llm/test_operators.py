@@ -193,23 +193,60 @@ def test_image_copies(spark):
 
 
 def brute_links(images):
-    """Pairs of images by every pair of corners with an equal part of the descriptor, without joins."""
+    """Pairs of images by every corner against every corner: an equal part of the descriptor, and few bits apart; without joins."""
     found = [media.corners(media.decode_image(x)) for x in images]
+    pack = lambda p: (int(p[0]) << 38) | (int(p[1]) << 8) | (int(p[2]) << 5) | int(p[3])
     links = set()
     for i, j in itertools.combinations(range(len(images)), 2):
-        votes = set()
-        for t in range(media.TABLES):
-            first, second = ({}, {})
-            for held, (places, descriptors) in ((first, found[i]), (second, found[j])):
-                for (x, y, level, turn), d in sorted(zip(map(tuple, places.tolist()), descriptors, strict=True), key=lambda r: r[0]):
-                    held.setdefault(d[4 * t : 4 * t + 4].tobytes(), (x << 38) | (y << 8) | (level << 5) | turn)
-            votes |= {(first[k], second[k]) for k in first.keys() & second.keys()}
+        (p1, d1), (p2, d2) = found[i], found[j]
+        if not len(p1) or not len(p2):
+            continue
+        apart = d1[:, None, :] ^ d2[None, :, :]
+        shared = (apart.reshape(len(d1), len(d2), media.TABLES, -1) == 0).all(3).any(2)
+        near = np.bitwise_count(apart).sum(2) <= media.HAMMING
+        votes = {(pack(p1[a]), pack(p2[b])) for a, b in zip(*np.nonzero(shared & near), strict=True)}
         rows = np.array(sorted(votes), np.int64).reshape(-1, 2)
         if len(votes) >= media.VOTES and media.consensus(rows[:, 0], rows[:, 1]) >= media.INLIERS:
             links.add((i, j))
     return links
 
 
+def test_repeated_texture_keeps_all_its_corners(spark):
+    tile = scene(5, 24)
+    tiled, other = np.tile(tile, (4, 4)), scene(6)
+    other[12:60, 12:60] = np.tile(tile, (2, 2))
+    images = [pgm(tiled), pgm(other), pgm(np.tile(tile, (3, 4))[6:, 5:]), pgm(scene(7))]
+    corners, descriptors = media.corners(media.decode_image(images[0]))
+    keys, at = media.keyed(descriptors.tobytes())
+    assert len(keys) == media.TABLES * len(corners) and set(at) == set(range(len(corners)))
+    assert len(np.unique(keys)) < len(keys) / 2
+    links = brute_links(images)
+    got = {r.id: r for r in media.image_groups(spark.createDataFrame(list(enumerate(images)), "id long, data binary")).collect()}
+    assert {(0, 1), (0, 2), (1, 2)} <= links
+    assert {i: got[i].n_links for i in got} == {i: sum(i in x for x in links) for i in range(len(images))}
+
+
+def test_consensus_equals_trying_every_cell():
+    dealt = np.random.default_rng(2)
+    for _ in range(20):
+        n = int(dealt.integers(1, 60))
+        pack = lambda x, y, t: (x << 38) | (y << 8) | t
+        x, y = dealt.integers(0, 40, n), dealt.integers(0, 40, n)
+        first = pack(x, y, dealt.integers(0, 2, n))
+        second = pack(x + dealt.integers(0, 12, n), y + dealt.integers(0, 12, n), dealt.integers(0, 2, n))
+        best = 0
+        x1, y1, t1, x2, y2, t2 = first >> 38, (first >> 8) & 0x3FFFFFFF, first & 31, second >> 38, (second >> 8) & 0x3FFFFFFF, second & 31
+        turn = (t2 - t1) % media.ANGLES
+        for t in np.unique(turn):
+            near = np.minimum((turn - t) % media.ANGLES, (t - turn) % media.ANGLES) <= 1
+            a = 2 * np.pi * t / media.ANGLES
+            sx, sy = x2 - (np.cos(a) * x1 - np.sin(a) * y1), y2 - (np.sin(a) * x1 + np.cos(a) * y1)
+            for cx, cy in zip(np.rint(sx[near] / 3) * 3, np.rint(sy[near] / 3) * 3, strict=True):
+                inside = near & (np.abs(sx - cx) <= 3) & (np.abs(sy - cy) <= 3)
+                best = max(best, min(len(set(first[inside])), len(set(second[inside]))))
+        assert media.consensus(first, second) == best
+
+
 @pytest.mark.parametrize("block", [1000, 3])
 def test_image_links_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(media, "BLOCK", block)
@@ -487,6 +524,27 @@ def test_neighbours_of_few_or_no_vectors(spark):
     assert ann.nearest(graphs, shards, ann.usable(none, "vec_id", "embedding").withColumnRenamed("vec_id", "query_id"), 20).collect() == []
 
 
+def test_repeated_queries_and_ids(spark):
+    dealt = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in dealt.normal(size=6)]) for i in range(60)]
+    rows += [rows[20], rows[20], rows[33], (40, [float(x) for x in dealt.normal(size=6)])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    graphs, shards = ann.index(frame, 21, shard_rows=30)
+    asked = ann.usable(frame, "vec_id", "embedding").where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    got = {}
+    for r in ann.nearest(graphs, shards, asked, 20, beam=60).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in (0, 20, 40):
+        best = {}
+        for i, v in rows:
+            for j, w in rows:
+                if i == q and j != q:
+                    best[j] = max(best.get(j, -np.inf), float(np.dot(v, w)))
+        want = sorted(best, key=lambda j: (-best[j], j))[:20]
+        assert [(r, i) for r, i, _ in got[q]] == list(enumerate(want, 1))
+        assert all(abs(s - best[i]) < 1e-9 for _, i, s in got[q])
+
+
 # 7. Licences
 
 
