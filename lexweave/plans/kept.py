@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as X
 from lexweave.operators import retrieval as R
+from lexweave.operators import vector_index
 from lexweave.operators.kept_index import KeptIndex
 from lexweave.plans import retrieval
 from lexweave.session import shared_folder, table
@@ -72,12 +73,37 @@ def replaced_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.read()
 
 
-QUERIES = {f.__name__: f for f in (kept_bm25, kept_bm25_merged, kept_phrases, kept_frequencies, replaced_chunks)}
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest by the index; a test holds them to those of all rows."""
+    return vector_index.search(vector_index.index(table(spark, sf_dir, "embeddings")), _asked(spark, sf_dir), 10)
+
+
+def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many queries were asked, and whether nine in ten of their exact neighbours were found."""
+    exact = R.cosine_top_k(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir), 10).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    met = exact.join(ivf_search(spark, sf_dir).select("query_id", "vec_id", F.lit(1).alias("found")), ["query_id", "vec_id"], "left")
+    return met.agg(F.count_distinct("query_id").alias("queries"), (F.sum("found") >= 0.9 * F.sum("hit")).alias("enough"))
+
+
+def ivf_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each query gets under a filter, and whether all of them pass it."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = vector_index.search(vector_index.index(vectors, ["label"]), _asked(spark, sf_dir), 5, "label = 1", probes=1)
+    return found.join(vectors.select("vec_id", "label"), "vec_id").groupBy("query_id").agg(F.count("*").alias("n"), F.min((F.col("label") == 1).cast("long")).alias("passing"))
+
+
+QUERIES = {f.__name__: f for f in (kept_bm25, kept_bm25_merged, kept_phrases, kept_frequencies, replaced_chunks, ivf_search, ivf_recall, ivf_filtered)}
 
 ORACLE = {
     "kept_bm25": retrieval.ORACLE["bm25_topk"],
     "kept_bm25_merged": retrieval.ORACLE["bm25_topk"],
     "kept_phrases": retrieval.ORACLE["phrase_match"],
     "kept_frequencies": f"WITH {retrieval.POSTS} SELECT term, count(*) AS df FROM p GROUP BY 1",
+    "ivf_recall": "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0",
+    "ivf_filtered": "SELECT vec_id AS query_id, least(5, (SELECT count(*) FROM embeddings WHERE label = 1)) AS n, 1 AS passing FROM embeddings WHERE vec_id % 100 = 0",
     "replaced_chunks": f"SELECT * FROM ({retrieval.ORACLE['chunk_index']}) WHERE doc_id % 2 = 0 OR doc_id % 7 <> 0",
 }
