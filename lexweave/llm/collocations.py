@@ -232,10 +232,9 @@ def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[first], np.diff(np.concatenate([first, [len(rows)]]))
 
 
-def fragments(data: bytes, pairs: list[bytes], counts: list[tuple[int, int]], longest: int, hot: int) -> tuple[list[list], int]:
-    """Columns pivot, salt, salts, fragment, at and n of one block, given its frequent pairs and the corpus counts of their words."""
-    known = {w: c for pair, both in zip(pairs, counts, strict=True) for w, c in zip(pair.split(b" "), both, strict=True)}
-    words, counts, reach = *ranked(list(known), np.array(list(known.values()), np.int64)), longest - 1
+def fragments(data: bytes, pairs: list[bytes], words: list[bytes], counts: np.ndarray, longest: int, hot: int) -> tuple[list[list], int]:
+    """Columns pivot, salt, salts, fragment, at and n of one block, given its frequent pairs and the corpus counts of its frequent words."""
+    (words, counts), reach = ranked(words, counts), longest - 1
     rank = {w: i + 1 for i, w in enumerate(words)}
     codes = np.sort(np.array([rank[a] << 32 | rank[b] for a, b in (p.split(b" ") for p in pairs)], np.int64))
     places = places_of(data, words)
@@ -264,21 +263,21 @@ PHRASES = "lang string, phrase string, n long"
 
 
 def fragment_rows(asked: DataFrame, longest: int, hot: int) -> DataFrame:
-    """Rows (lang, data, pairs, left, right), one to a block, as fragments of their pivots."""
+    """Rows (lang, data, pairs, words, counts), one to a block, as fragments of their pivots."""
     names = [f.split()[0] for f in FRAGMENTS.split(", ")]
     text, number = (lambda x: pa.array(x, pa.binary()).cast(pa.string())), (lambda x: pa.array(x, pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, data, _, left, right = (batch.column(j)[i].as_py() for j in range(5))
-                pairs = batch.column(2)[i].values.cast(pa.binary()).to_pylist()
-                (pivot, salt, salts, texts, at, n), rows = fragments(data, pairs, list(zip(left, right, strict=True)), longest, hot)
+                lang, data = (batch.column(j)[i].as_py() for j in range(2))
+                pairs, words = (batch.column(j)[i].values.cast(pa.binary()).to_pylist() for j in (2, 3))
+                (pivot, salt, salts, texts, at, n), rows = fragments(data, pairs, words, batch.column(4)[i].values.to_numpy(), longest, hot)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * rows, pa.string()), text(pivot), number(salt), number(salts), text(texts), number(at), pa.array(n, pa.int64())], names)
             give_back()
 
-    return asked.select("lang", "data", "pairs", "left", "right").mapInArrow(run, FRAGMENTS)
+    return asked.select("lang", "data", "pairs", "words", "counts").mapInArrow(run, FRAGMENTS)
 
 
 def mined(dealt: DataFrame, support: int, longest: int) -> DataFrame:
@@ -332,16 +331,13 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     words = written(asked.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= support), "frequent-words")
     totals = written(asked.groupBy("lang").agg(F.sum("n").alias("n")), "language-words")
     known = asked.join(words, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("word", "f")).alias("w"))
-    rows = found.join(known.select("block", F.col("w.word").alias("words"), F.col("w.f").alias("counts")), "block")
+    known = written(known.select("block", F.col("w.word").alias("words"), F.col("w.f").alias("counts")), "known-words")
+    rows = found.join(known, "block")
     own = ["lang", "pivot", "salt"]
     pairs = written(mined_pairs(pair_rows(rows, hot).repartition(*own).sortWithinPartitions(*own), support), "frequent-pairs")
 
-    side = lambda name: words.select("lang", F.col("word").alias(f"{name}_word"), F.col("f").alias(name))
-    parts = F.split("phrase", " ")
-    told = pairs.where("block is null").select("lang", "phrase", "n", F.get(parts, 0).alias("left_word"), F.get(parts, 1).alias("right_word"))
-    told = told.join(side("left"), ["lang", "left_word"]).join(side("right"), ["lang", "right_word"]).select("lang", "phrase", "left", "right")
-    asks = pairs.where("block is not null").select("block", "lang", "phrase").join(told, ["lang", "phrase"]).groupBy("block").agg(F.collect_list(F.struct("phrase", "left", "right")).alias("p"))
-    rows = found.join(asks.select("block", F.col("p.phrase").alias("pairs"), F.col("p.left").alias("left"), F.col("p.right").alias("right")), "block")
+    asks = pairs.where("block is not null").groupBy("block").agg(F.collect_list("phrase").alias("pairs"))
+    rows = found.join(asks, "block").join(known, "block")
     longer = mined(fragment_rows(rows, longest, hot).repartition(*own).sortWithinPartitions(*own), support, longest)
     phrases = pairs.where("block is null").select("lang", "phrase", "n")
     phrases = phrases.unionByName(longer) if longest > 2 else phrases
