@@ -52,6 +52,14 @@ def greedy_budget(rows: DataFrame, group: str, order: str, size: str, budget: in
 
 
 def prefix_budget(rows: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
-    """Rows taken in order until one does not fit; that one ends the group."""
-    taken = F.sum(size).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("_taken", taken).where(F.col("_taken") <= budget).drop("_taken")
+    """Rows taken in order until one does not fit; that one ends the group.
+
+    A row of a size takes one at least, so a group ends among its first
+    ``budget + 1`` such rows: only these are put in order, and each task passes on no
+    more of a group, whatever the group's rows.
+    """
+    nth = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    few = rows.where(F.col(size) >= 1).select(F.col(group).alias("_group"), F.col(order).alias("_order"), F.col(size).alias("_size"), nth.alias("_nth")).where(F.col("_nth") <= budget + 1)
+    taken = F.sum("_size").over(Window.partitionBy("_group").orderBy("_nth").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = few.withColumn("_taken", taken).where(F.col("_taken") > budget).groupBy("_group").agg(F.min("_order").alias("_end"))
+    return rows.join(ends, rows[group].eqNullSafe(ends["_group"]), "left").where(F.col("_end").isNull() | (F.col(order) < F.col("_end"))).drop("_group", "_end")

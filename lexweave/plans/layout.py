@@ -1,7 +1,7 @@
 """Queries over pages of known layouts, layout items, files and exports.
 
 The pages table has no such layouts, so a page's markup is written by rule
-from its number, around the page's own words; the SQL says what it holds.
+from its number alone; the SQL says what it holds.
 """
 
 from __future__ import annotations

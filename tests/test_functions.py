@@ -314,3 +314,18 @@ def test_maxima_of_groups_for_many_queries(spark, monkeypatch):
     assert dict((r[:2], r[2]) for r in few["label"])[(3, 0)] == round(float((unit[::4] @ unit[3]).max()), 6)
     monkeypatch.setattr(R, "BROADCAST_QUERIES", 7)
     assert {g: sorted(map(tuple, R.best_per_group(vectors, asked, g).collect())) for g in ("label", "vec_id")} == few
+
+
+def test_a_prefix_budget_of_a_hot_group(spark):
+    rows = [("hot", i, 1 + i % 3) for i in range(5000)] + [("small", 1, 4), ("small", 2, 90), ("none", 1, 99), (None, 1, 5), (None, 2, 0), (None, 3, 60)]
+    frame = spark.createDataFrame(rows, "source string, doc_id long, tokens long").repartition(5)
+    got = folds.prefix_budget(frame, "source", "doc_id", "tokens", 50)
+    assert got.columns == ["source", "doc_id", "tokens"]
+    want, taken, ended = [], {}, set()
+    for source, i, n in rows:
+        taken[source] = taken.get(source, 0) + n
+        if taken[source] > 50:
+            ended.add(source)
+        if source not in ended:
+            want.append((source, i, n))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
