@@ -7,7 +7,11 @@ tables as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+from datetime import datetime, time
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as X
@@ -16,6 +20,7 @@ from lexweave.operators import vector_index
 from lexweave.operators.kept_index import KeptIndex
 from lexweave.plans import retrieval
 from lexweave.session import shared_folder, table
+from lexweave.sources import listing
 from lexweave.sources.snapshots import SnapshotTable
 
 SURPLUS = 1_000_000_000
@@ -96,9 +101,55 @@ def ivf_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(vectors.select("vec_id", "label"), "vec_id").groupBy("query_id").agg(F.count("*").alias("n"), F.min((F.col("label") == 1).cast("long")).alias("passing"))
 
 
-QUERIES = {f.__name__: f for f in (kept_bm25, kept_bm25_merged, kept_phrases, kept_frequencies, replaced_chunks, ivf_search, ivf_recall, ivf_filtered)}
+PAGE_ROWS = 30
+
+
+def _pages(listed: DataFrame) -> Callable[[int], list[tuple]]:
+    """Rows (id, url, title, day) written as the pages of a listing, newest first; the fetch of a page.
+
+    Days are counted first, so that no task orders more than a day's rows.
+    """
+    per_day = listed.groupBy("day").agg(F.count("*").alias("n"))
+    before = per_day.select("day", (F.sum("n").over(Window.orderBy(F.desc("day"))) - F.col("n")).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("day").orderBy("id")) - 1
+    rows = listed.join(before, "day").withColumn("place", place).withColumn("page", (F.col("place") / PAGE_ROWS).cast("long"))
+    folder = shared_folder(listed.sparkSession, "pages")
+    rows.repartition("page").write.partitionBy("page").parquet(folder)
+    local = folder.removeprefix("file://").removeprefix("file:")
+
+    def fetch(number: int) -> list[tuple]:
+        import os
+
+        import pyarrow.parquet as pq
+
+        path = f"{local}/page={number}"
+        if not os.path.isdir(path):
+            return []
+        found = pq.read_table(path, columns=["place", "id", "url", "title", "day"], partitioning=None).sort_by("place")
+        return [(r["id"], r["url"], r["title"], datetime.combine(r["day"], time())) for r in found.to_pylist()]
+
+    return fetch
+
+
+def crawled_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a listing that is crawled twice, by one stream: which crawl found each.
+
+    The second crawl goes on at the first one's mark, on a day that has got more rows since.
+    """
+    day = F.col("doc_id") % 400
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("title"), F.date_add(F.lit("2020-01-01").cast("date"), day.cast("int")).alias("day"))
+    store, mark = SnapshotTable(spark, shared_folder(spark, "crawled"), "id"), shared_folder(spark, "mark")
+    kind = f"listing_{uuid.uuid4().hex}"
+    for shown in (docs.where((day < 199) | ((day == 199) & (F.col("doc_id") % 800 == 199))), docs):
+        spark.dataSource.register(listing.listing_source(_pages(shown.drop("doc_id")), kind))
+        listing.crawl(spark, kind, shown.count() // PAGE_ROWS + 1, store, mark)
+    return store.read().select(F.col("id").cast("long").alias("doc_id"), "crawl")
+
+
+QUERIES = {f.__name__: f for f in (kept_bm25, kept_bm25_merged, kept_phrases, kept_frequencies, replaced_chunks, ivf_search, ivf_recall, ivf_filtered, crawled_listing)}
 
 ORACLE = {
+    "crawled_listing": "SELECT doc_id, CASE WHEN doc_id % 400 < 199 OR doc_id % 800 = 199 THEN 0 ELSE 1 END AS crawl FROM documents",
     "kept_bm25": retrieval.ORACLE["bm25_topk"],
     "kept_bm25_merged": retrieval.ORACLE["bm25_topk"],
     "kept_phrases": retrieval.ORACLE["phrase_match"],
