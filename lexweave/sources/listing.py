@@ -64,11 +64,21 @@ class _Listing:
 
 
 class _Reader(DataSourceReader):
-    """Each needed page is a task; a lower bound of the day, pushed down, bounds the pages."""
+    """Each needed page is a task."""
 
     def __init__(self, listing: _Listing):
         self.listing, self.since = listing, None
 
+    def partitions(self) -> list[_Page]:
+        return [_Page(n, self.since) for n in range(self.listing.needed(self.since))]
+
+    def read(self, partition: _Page) -> Iterator[tuple]:
+        yield from self.listing.rows(partition)
+
+
+class _BoundedReader(_Reader):
+    """A lower bound of the day, pushed down, bounds the pages."""
+
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
             if isinstance(f, (GreaterThan, GreaterThanOrEqual)) and f.attribute == (DAY,):
@@ -77,12 +87,6 @@ class _Reader(DataSourceReader):
             # Days bound pages; Spark still compares the instants of each row.
             yield f
 
-    def partitions(self) -> list[_Page]:
-        return [_Page(n, self.since) for n in range(self.listing.needed(self.since))]
-
-    def read(self, partition: _Page) -> Iterator[tuple]:
-        yield from self.listing.rows(partition)
-
 
 class _StreamReader(DataSourceStreamReader):
     """An offset is the newest day listed and a digest of the first page.
@@ -123,8 +127,8 @@ class _StreamReader(DataSourceStreamReader):
 def listing_source(fetch: Callable[[int], list[tuple]], kind: str = "listing", fields: str = "id string, url string, title string, day timestamp") -> type[DataSource]:
     """A data source that reads each page of a listing in a task of its own; ``fetch`` gives a page's rows, none behind the last.
 
-    The option ``pages`` bounds the pages. A filter ``day > x`` is pushed down
-    where the session has ``spark.sql.python.filterPushdown.enabled``. The driver looks
+    The option ``pages`` bounds the pages. With the option ``bounded`` a filter ``day > x`` is
+    pushed down; the session must have ``spark.sql.python.filterPushdown.enabled`` then. The driver looks
     at pages one by one only to find where to stop, so the fetch is best cached.
     """
     at = [f.split()[0] for f in fields.split(",")].index(DAY)
@@ -138,7 +142,8 @@ def listing_source(fetch: Callable[[int], list[tuple]], kind: str = "listing", f
             return fields
 
         def reader(self, schema) -> DataSourceReader:
-            return _Reader(_Listing(self.options, fetch, at))
+            bounded = str(self.options.get("bounded", "false")).lower() == "true"
+            return (_BoundedReader if bounded else _Reader)(_Listing(self.options, fetch, at))
 
         def streamReader(self, schema) -> DataSourceStreamReader:
             return _StreamReader(_Listing(self.options, fetch, at))

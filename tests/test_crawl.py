@@ -57,7 +57,7 @@ def test_a_batch_bound_reaches_the_pages(spark, tmp_path):
     try:
         made, asked = source(tmp_path, "bounded", [(k, k) for k in range(30)])
         spark.dataSource.register(made)
-        found = spark.read.format("bounded").option("pages", 10).load().where(f"day > timestamp '{START + timedelta(days=24)}'")
+        found = spark.read.format("bounded").options(pages=10, bounded=True).load().where(f"day > timestamp '{START + timedelta(days=24)}'")
         assert sorted(r.id for r in found.collect()) == [f"id{k}" for k in range(25, 30)]
         assert asked() == [0, 1, 2]
     finally:
