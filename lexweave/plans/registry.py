@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.plans import adapted, corpus, deep, desk, kept, laws, layout, relational, retrieval
+from lexweave.plans import adapted, corpus, deep, desk, kept, laws, layout, relational, retrieval, state
 
-MODULES: list = [relational, retrieval, deep, corpus, adapted, laws, layout, desk, kept]
+MODULES: list = [relational, retrieval, deep, corpus, adapted, laws, layout, desk, kept, state]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

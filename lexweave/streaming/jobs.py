@@ -22,10 +22,10 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return found.select(*[F.col(c).cast("timestamp").alias(c) if kind == "timestamp_ntz" else F.col(c) for c, kind in found.dtypes])
 
 
-def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Everything the stream gives now, as a table."""
+def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None, out: str | None = None) -> DataFrame:
+    """Everything the stream gives now, as a table; with the checkpoint and the folder of an earlier run it goes on there."""
     spark = stream.sparkSession
-    out, checkpoint = shared_folder(spark), checkpoint or shared_folder(spark)
+    out, checkpoint = out or shared_folder(spark), checkpoint or shared_folder(spark)
     if mode == "append":
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(out)
