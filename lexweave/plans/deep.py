@@ -16,7 +16,7 @@ from lexweave.streaming import jobs
 KINDS = ("amends", "supersedes", "clarifies", "adds_to", "references", "cancels")
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("doc_id") % 6 + 1).cast("int"))
     return table(spark, sf_dir, "documents").where("doc_id > 0").select(F.col("doc_id").alias("source_id"), (F.col("doc_id") / 2).cast("long").alias("target_id"), kind.alias("kind"))
 
@@ -27,7 +27,7 @@ def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chain_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain of every document."""
-    return graph.chain(_edges(spark, sf_dir), _seeds(spark, sf_dir))
+    return graph.chain(edges(spark, sf_dir), _seeds(spark, sf_dir))
 
 
 def chain_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +38,11 @@ def chain_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What lies within three edges of every document."""
-    return graph.neighbourhood(_edges(spark, sf_dir), _seeds(spark, sf_dir), 3)
+    return graph.neighbourhood(edges(spark, sf_dir), _seeds(spark, sf_dir), 3)
 
 
 def status_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.status_rollup(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), _edges(spark, sf_dir))
+    return graph.status_rollup(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), edges(spark, sf_dir))
 
 
 def reference_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,9 +119,15 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EDGE_SQL = "SELECT doc_id AS source_id, doc_id // 2 AS target_id, ['amends', 'supersedes', 'clarifies', 'adds_to', 'references', 'cancels'][doc_id % 6 + 1] AS kind FROM documents WHERE doc_id > 0"
-# What a member amends comes first; only then what amends any of these.
-CHAIN = f"""e AS (SELECT * FROM ({EDGE_SQL}) WHERE kind IN ('amends', 'adds_to')), up AS (SELECT doc_id AS seed, doc_id AS node FROM documents UNION SELECT up.seed, e.target_id FROM up JOIN e ON up.node = e.source_id),
+
+
+def chain_sql(edges: str) -> str:
+    """What a member amends comes first; only then what amends any of these."""
+    return f"""e AS (SELECT * FROM ({edges}) WHERE kind IN ('amends', 'adds_to')), up AS (SELECT doc_id AS seed, doc_id AS node FROM documents UNION SELECT up.seed, e.target_id FROM up JOIN e ON up.node = e.source_id),
 c AS (SELECT seed, node FROM up UNION SELECT c.seed, e.source_id FROM c JOIN e ON c.node = e.target_id)"""
+
+
+CHAIN = chain_sql(EDGE_SQL)
 TOK = r"list_filter(regexp_extract_all(regexp_replace(lower(text), '\b([a-z])\.([a-z]|\s|$)', '\1\2', 'g'), '[\p{L}\p{N}_]+'), lambda w: length(w) > 1 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "], w))"
 
 ORACLE = {

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.operators.digest_tree import DigestTree
+from lexweave.operators.kept_chains import KeptChains
+from lexweave.plans import deep
+from lexweave.session import shared_folder, table
 from lexweave.streaming import jobs, timed
 
 
@@ -26,9 +30,43 @@ def traces_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
         return jobs.drain(timed.trace_ends(traces, 6 * 3600)).select("trace_id", "state")
 
 
-QUERIES = {f.__name__: f for f in (currency_by_timer, traces_closed)}
+def _rewritten(spark: SparkSession, sf_dir: str) -> tuple[KeptChains, DataFrame]:
+    """Chains over the documents' edges, of which every fifth document had another first; the stale ones after the rewrite."""
+    edges = deep.edges(spark, sf_dir)
+    wrong = edges.withColumn("target_id", F.when(F.col("source_id") % 5 == 0, (F.col("source_id") / 3).cast("long")).otherwise(F.col("target_id")))
+    sources = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"))
+    kept = KeptChains(spark, shared_folder(spark, "chains"))
+    kept.rewrite(wrong, sources)
+    return kept, kept.rewrite(edges.where("source_id % 5 = 0"), sources.where("source_id % 5 = 0"))
+
+
+def maintained_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rewritten(spark, sf_dir)[0].chains()
+
+
+def stale_after_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rewritten(spark, sf_dir)[1]
+
+
+def digest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changed between two states of the orders, by their digest trees."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    later = orders.where("o_orderkey % 501 <> 7").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 307 == 3, "X").otherwise(F.col("o_orderstatus")))
+    later = later.unionByName(orders.where("o_orderkey % 999 = 1").withColumn("o_orderkey", -F.col("o_orderkey")))
+    trees = [DigestTree(spark, shared_folder(spark, "digests")).build(rows, "o_orderkey", ["o_orderstatus", "o_orderpriority"]) for rows in (orders, later)]
+    return trees[0].diff(trees[1]).withColumnRenamed("key", "o_orderkey")
+
+
+QUERIES = {f.__name__: f for f in (currency_by_timer, traces_closed, maintained_chains, stale_after_rewrite, digest_diff)}
+
+WRONG_SQL = deep.EDGE_SQL.replace("doc_id // 2 AS", "CASE WHEN doc_id % 5 = 0 THEN doc_id // 3 ELSE doc_id // 2 END AS")
 
 ORACLE = {
+    "maintained_chains": deep.ORACLE["chain_closure"],
+    "stale_after_rewrite": f"""WITH now AS (WITH RECURSIVE {deep.chain_sql(deep.EDGE_SQL)} SELECT seed, node FROM c), was AS (WITH RECURSIVE {deep.chain_sql(WRONG_SQL)} SELECT seed, node FROM c)
+SELECT DISTINCT seed FROM ((FROM now EXCEPT FROM was) UNION ALL (FROM was EXCEPT FROM now))""",
+    "digest_diff": """WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders), l AS (SELECT k, CASE WHEN k % 307 = 3 THEN 'X' ELSE s END AS s FROM o WHERE k % 501 <> 7 UNION ALL SELECT -k, s FROM o WHERE k % 999 = 1)
+SELECT coalesce(o.k, l.k) AS o_orderkey, CASE WHEN l.k IS NULL THEN 'gone' WHEN o.k IS NULL THEN 'new' ELSE 'changed' END AS status FROM o FULL JOIN l ON o.k = l.k WHERE o.k IS NULL OR l.k IS NULL OR o.s IS DISTINCT FROM l.s""",
     "currency_by_timer": """WITH v AS (SELECT o_custkey AS d, o_orderkey AS k, o_orderdate + to_days(CAST(o_orderkey % 90 AS INTEGER)) AS e FROM orders WHERE o_custkey IS NOT NULL)
 SELECT d AS document_id, arg_max(k, (e, -k)) AS version_id FROM v WHERE e <= (SELECT max(o_orderdate) FROM orders) GROUP BY 1""",
     "traces_closed": """SELECT * FROM (SELECT user_id || '/' || CAST(ts AS DATE) AS trace_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'finished' WHEN epoch_ms(max(ts)) + 21600000 <= (SELECT epoch_ms(max(ts)) FROM events) THEN 'interrupted' END AS state
