@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexweave.functions import references as REF
 from lexweave.functions import text as X
 from lexweave.operators import retrieval as R
+from lexweave.operators.batches import StopMark
 from lexweave.operators.folds import greedy_budget
 
 
@@ -94,11 +95,12 @@ def provider_state(status: Column, message: Column) -> Column:
     return found
 
 
-def batch_calls(rows: DataFrame, call: Callable[[dict], str], skip: Column | None = None) -> DataFrame:
+def batch_calls(rows: DataFrame, call: Callable[[dict], str], skip: Column | None = None, stop: StopMark | None = None) -> DataFrame:
     """``rows`` with ``output`` and ``error`` of a call for each; skipped rows have neither.
 
     A call that fails costs its row alone. After an error that tells of a limit
-    a task makes no further calls: its other rows have the error "stopped".
+    a task makes no further calls: its other rows have the error "stopped". With
+    a ``stop`` mark the other tasks see it before their next call and stop too.
     """
     asked = rows.withColumn("_skip", F.coalesce(skip, F.lit(False)) if skip is not None else F.lit(False))
     schema = rows.schema.add("output", "string").add("error", "string")
@@ -111,6 +113,7 @@ def batch_calls(rows: DataFrame, call: Callable[[dict], str], skip: Column | Non
             for row in batch.to_pylist():
                 output = error = None
                 if not row.pop("_skip"):
+                    stopped = stopped or (stop is not None and stop.is_set())
                     if stopped:
                         error = "stopped"
                     else:
@@ -119,6 +122,8 @@ def batch_calls(rows: DataFrame, call: Callable[[dict], str], skip: Column | Non
                         except Exception as problem:  # noqa: BLE001  what a provider raises is data here
                             error = str(problem) or type(problem).__name__
                             stopped = any(s in error.lower() for s in limits)
+                            if stopped and stop is not None:
+                                stop.set()
                 outputs.append(output)
                 errors.append(error)
             kept = batch.drop_columns(["_skip"])

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.operators.batches import resumed
 from lexweave.operators.digest_tree import DigestTree
 from lexweave.operators.kept_chains import KeptChains
 from lexweave.plans import deep
 from lexweave.session import shared_folder, table
+from lexweave.sources.snapshots import SnapshotTable
 from lexweave.streaming import jobs, timed
 
 
@@ -57,7 +59,22 @@ def digest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees[0].diff(trees[1]).withColumnRenamed("key", "o_orderkey")
 
 
-QUERIES = {f.__name__: f for f in (currency_by_timer, traces_closed, maintained_chains, stale_after_rewrite, digest_diff)}
+def resumed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call for each document; the first run is refused in its course, the second asks what is left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    store = SnapshotTable(spark, shared_folder(spark, "calls"), "doc_id")
+
+    def call(row: dict, refusing: bool = False) -> str:
+        if refusing and row["doc_id"] % 100 == 57:
+            raise RuntimeError("too many requests")
+        return f"{row['doc_id']}:{len(row['text'] or '')}"
+
+    resumed(docs, "doc_id", lambda row: call(row, True), store)
+    resumed(docs, "doc_id", call, store)
+    return store.read()
+
+
+QUERIES = {f.__name__: f for f in (currency_by_timer, traces_closed, maintained_chains, stale_after_rewrite, digest_diff, resumed_calls)}
 
 WRONG_SQL = deep.EDGE_SQL.replace("doc_id // 2 AS", "CASE WHEN doc_id % 5 = 0 THEN doc_id // 3 ELSE doc_id // 2 END AS")
 
@@ -65,6 +82,7 @@ ORACLE = {
     "maintained_chains": deep.ORACLE["chain_closure"],
     "stale_after_rewrite": f"""WITH now AS (WITH RECURSIVE {deep.chain_sql(deep.EDGE_SQL)} SELECT seed, node FROM c), was AS (WITH RECURSIVE {deep.chain_sql(WRONG_SQL)} SELECT seed, node FROM c)
 SELECT DISTINCT seed FROM ((FROM now EXCEPT FROM was) UNION ALL (FROM was EXCEPT FROM now))""",
+    "resumed_calls": "SELECT doc_id, doc_id || ':' || length(coalesce(text, '')) AS output FROM documents WHERE doc_id IS NOT NULL",
     "digest_diff": """WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders), l AS (SELECT k, CASE WHEN k % 307 = 3 THEN 'X' ELSE s END AS s FROM o WHERE k % 501 <> 7 UNION ALL SELECT -k, s FROM o WHERE k % 999 = 1)
 SELECT coalesce(o.k, l.k) AS o_orderkey, CASE WHEN l.k IS NULL THEN 'gone' WHEN o.k IS NULL THEN 'new' ELSE 'changed' END AS status FROM o FULL JOIN l ON o.k = l.k WHERE o.k IS NULL OR l.k IS NULL OR o.s IS DISTINCT FROM l.s""",
     "currency_by_timer": """WITH v AS (SELECT o_custkey AS d, o_orderkey AS k, o_orderdate + to_days(CAST(o_orderkey % 90 AS INTEGER)) AS e FROM orders WHERE o_custkey IS NOT NULL)
