@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.functions import text as X
+from lexweave.operators import graph, supersession
 from lexweave.operators.batches import resumed
 from lexweave.operators.digest_tree import DigestTree
 from lexweave.operators.kept_chains import KeptChains
@@ -74,11 +76,50 @@ def resumed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read()
 
 
-QUERIES = {f.__name__: f for f in (currency_by_timer, traces_closed, maintained_chains, stale_after_rewrite, digest_diff, resumed_calls)}
+def _superseded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents titled by their first lines, and what the rules make of their edges; every third says its last line, or a word, is its subject."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("ls"))
+    nodes = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("day"), F.element_at("ls", 1).alias("title"))
+    first = X.tokens(F.element_at("ls", 1))
+    flags = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("source_id"), F.when(F.col("doc_id") % 2 == 0, F.element_at("ls", -1)).otherwise(F.element_at(first, F.greatest(F.size(first), F.lit(1)))).alias("subject"))
+    listed = docs.where("doc_id % 10 IN (3, 4)").select(F.col("doc_id").alias("source_id"), (F.col("doc_id") / F.when(F.col("doc_id") % 10 == 3, 7).otherwise(2)).cast("long").alias("target_id"), F.when(F.col("doc_id") % 20 < 10, "cancels").alias("kind"))
+    explicit = deep.edges(spark, sf_dir).withColumn("confidence", F.lit(1.0))
+    return nodes, *supersession.supersessions(nodes, explicit, listed, flags)
+
+
+def superseding_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _superseded(spark, sf_dir)[1].select("source_id", "target_id", "kind", "rule")
+
+
+def supersession_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _superseded(spark, sf_dir)[2]
+
+
+def rederived_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges, _ = _superseded(spark, sf_dir)
+    return graph.status_rollup(nodes, edges)
+
+
+QUERIES = {f.__name__: f for f in (currency_by_timer, traces_closed, maintained_chains, stale_after_rewrite, digest_diff, resumed_calls, superseding_edges, supersession_review, rederived_statuses)}
 
 WRONG_SQL = deep.EDGE_SQL.replace("doc_id // 2 AS", "CASE WHEN doc_id % 5 = 0 THEN doc_id // 3 ELSE doc_id // 2 END AS")
 
+STEMS = "list_distinct(list_transform({}, lambda w: CASE WHEN length(w) > 3 THEN regexp_replace(w, 's$', '') ELSE w END))"
+TITLE, LAST = deep.TOK.replace("lower(text)", "lower(ls[1])"), deep.TOK.replace("lower(text)", "lower(ls[-1])")
+SUPERSEDED = f"""l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), d AS (SELECT doc_id, {TITLE} AS t, {LAST} AS u, ls[-1] AS body FROM l), w AS (SELECT doc_id, {STEMS.format('t')} AS own, CASE WHEN doc_id % 2 = 0 THEN {STEMS.format('u')} ELSE {STEMS.format('t[-1:]')} END AS want, body, t FROM d),
+s AS (SELECT doc_id, own, CASE WHEN len(want) > 0 THEN want ELSE own END AS want FROM w WHERE doc_id % 3 = 0 AND CASE WHEN doc_id % 2 = 0 THEN trim(body) <> '' ELSE len(t) > 0 END),
+m AS (SELECT s.doc_id AS source_id, w.doc_id AS target_id, len(list_intersect(w.own, list_distinct(list_concat(s.want, s.own)))) AS score FROM s JOIN w ON w.doc_id < s.doc_id WHERE len(s.want) > 0 AND list_has_all(w.own, s.want)),
+n AS (SELECT *, count(*) OVER (PARTITION BY source_id) AS matches, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) AS r FROM m),
+x AS (SELECT source_id, target_id, kind, 'explicit' AS rule FROM ({deep.EDGE_SQL})),
+y AS (SELECT doc_id AS source_id, CASE WHEN doc_id % 10 = 3 THEN doc_id // 7 ELSE doc_id // 2 END AS target_id, CASE WHEN doc_id % 20 < 10 THEN 'cancels' ELSE 'supersedes' END AS kind, 'listed' AS rule FROM documents WHERE doc_id % 10 IN (3, 4)),
+k AS (SELECT * FROM x UNION ALL SELECT * FROM y WHERE source_id <> target_id AND (source_id, target_id) NOT IN (SELECT (source_id, target_id) FROM x)),
+z AS (SELECT * FROM k UNION ALL SELECT source_id, target_id, 'supersedes', 'blanket' FROM n WHERE matches <= 80 AND r <= 40 AND (source_id, target_id) NOT IN (SELECT (source_id, target_id) FROM k WHERE kind = 'supersedes'))"""
+
 ORACLE = {
+    "superseding_edges": f"WITH {SUPERSEDED} SELECT * FROM z",
+    "supersession_review": f"WITH {SUPERSEDED} SELECT DISTINCT source_id, 'blanket' AS rule, matches FROM n WHERE matches > 80",
+    "rederived_statuses": f"""WITH {SUPERSEDED} SELECT d.doc_id AS id, CASE WHEN bool_or(kind = 'cancels') THEN 'cancelled' WHEN bool_or(kind = 'supersedes') THEN 'superseded' WHEN count(kind) > 0 THEN 'amended' ELSE 'active' END AS status
+FROM documents d LEFT JOIN z ON d.doc_id = z.target_id GROUP BY 1""",
     "maintained_chains": deep.ORACLE["chain_closure"],
     "stale_after_rewrite": f"""WITH now AS (WITH RECURSIVE {deep.chain_sql(deep.EDGE_SQL)} SELECT seed, node FROM c), was AS (WITH RECURSIVE {deep.chain_sql(WRONG_SQL)} SELECT seed, node FROM c)
 SELECT DISTINCT seed FROM ((FROM now EXCEPT FROM was) UNION ALL (FROM was EXCEPT FROM now))""",
