@@ -81,7 +81,7 @@ def _superseded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("ls"))
     nodes = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("day"), F.element_at("ls", 1).alias("title"))
     first = X.tokens(F.element_at("ls", 1))
-    flags = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("source_id"), F.when(F.col("doc_id") % 2 == 0, F.element_at("ls", -1)).otherwise(F.element_at(first, F.greatest(F.size(first), F.lit(1)))).alias("subject"))
+    flags = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("source_id"), F.when(F.col("doc_id") % 2 == 0, F.element_at("ls", -1)).otherwise(F.get(first, F.size(first) - 1)).alias("subject"))
     listed = docs.where("doc_id % 10 IN (3, 4)").select(F.col("doc_id").alias("source_id"), (F.col("doc_id") / F.when(F.col("doc_id") % 10 == 3, 7).otherwise(2)).cast("long").alias("target_id"), F.when(F.col("doc_id") % 20 < 10, "cancels").alias("kind"))
     explicit = deep.edges(spark, sf_dir).withColumn("confidence", F.lit(1.0))
     return nodes, *supersession.supersessions(nodes, explicit, listed, flags)
