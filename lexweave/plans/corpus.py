@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as X
 from lexweave.operators import corpus as C
+from lexweave.operators.name_spans import name_spans
 from lexweave.plans.deep import TOK
 from lexweave.session import table
 
@@ -37,6 +38,15 @@ def proximity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.near(at("tion of"), at("ing the"))
 
 
+def named_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where documents name something; names are beginnings and inner parts of the benchmark's passages, one to four words."""
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.split(X.canonical_words(F.col("text")), " ").alias("w"))
+    i = F.col("item_id").cast("int")
+    part = lambda start, n, k: words.select((F.col("item_id") * 2 + k).alias("name_id"), F.array_join(F.slice("w", start, n), " ").alias("name"))
+    names = part(F.lit(1), i % 4 + 1, 0).unionByName(part(i % 3 + 2, i % 2 + 2, 1))
+    return name_spans(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), names).withColumnRenamed("id", "doc_id")
+
+
 def title_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles, the first lines of documents, that have every word of a later one's last line."""
     docs = table(spark, sf_dir, "documents").withColumn("lines", F.split("text", "\n"))
@@ -125,6 +135,13 @@ SELECT d.doc_id, k.name_id FROM (SELECT doc_id, ' ' || array_to_string({CANON},
     "proximity_join": """WITH a AS (SELECT doc_id, unnest(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 7) = 'tion of')) AS at_a FROM documents WHERE contains(text, 'tion of') AND contains(text, 'ing the')),
 b AS (SELECT doc_id, unnest(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 7) = 'ing the')) AS at_b FROM documents WHERE contains(text, 'tion of') AND contains(text, 'ing the'))
 SELECT doc_id, at_a, at_b FROM a JOIN b USING (doc_id) WHERE abs(at_a - at_b) <= 200""",
+    "named_spans": """WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark),
+m AS (SELECT DISTINCT name_id, n AS name, len(n) AS n FROM (SELECT item_id * 2 AS name_id, w[1:item_id % 4 + 1] AS n FROM b UNION ALL SELECT item_id * 2 + 1, w[item_id % 3 + 2:item_id % 3 + item_id % 2 + 3] FROM b) WHERE len(n) > 0),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, w[generate_subscripts(w, 1):generate_subscripts(w, 1) + 3] AS x FROM d),
+f AS (SELECT DISTINCT doc_id, i - 1 AS start, n, name FROM p JOIN (SELECT DISTINCT name, n, name[1] AS word FROM m) USING (word) WHERE x[1:n] = name),
+g AS (SELECT doc_id, list([{'s': start, 'n': n, 'name': name}] ORDER BY n DESC, start) AS spans FROM f GROUP BY 1),
+k AS (SELECT doc_id, unnest(list_reduce(spans, lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.s < x[1].s + x[1].n AND x[1].s < y.s + y.n)) = 0 THEN list_concat(a, x) ELSE a END)) AS s FROM g)
+SELECT doc_id, s.s AS start, s.n AS n, name_id FROM k JOIN m ON m.name = s.name""",
     "title_subsets": f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), t AS (SELECT doc_id AS id, list_distinct({TOK.replace("lower(text)", "lower(ls[1])")}) AS w FROM l), s AS (SELECT doc_id AS subject_id, list_distinct({TOK.replace("lower(text)", "lower(ls[-1])")}) AS w FROM l)
 SELECT subject_id, id FROM t JOIN s ON id < subject_id WHERE len(s.w) > 0 AND list_has_all(t.w, s.w)""",
     "synonym_expand": """WITH t AS (SELECT DISTINCT conv_id AS query, lower(role) AS term FROM conversations), s(term, phrase) AS (VALUES ('user', 'human'), ('user', 'person'), ('assistant', 'model'), ('assistant', 'helper'), ('system', 'user'), ('system', 'rules'))
@@ -152,7 +169,7 @@ SELECT doc_id, item_id, contains(body, span) AS verified FROM d, b WHERE len(w)
 QUERIES = {
     f.__name__: f
     for f in (
-        scope_reasons, expected_vs_stored, name_contains, proximity_join, title_subsets, synonym_expand, versions_in_force, carry_forward_pairs, tag_facet, json_facet,
+        scope_reasons, expected_vs_stored, name_contains, proximity_join, named_spans, title_subsets, synonym_expand, versions_in_force, carry_forward_pairs, tag_facet, json_facet,
         span_verified, redacted, coerced, allowed_urls, latency_summary, reattach,
     )
 }
