@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as X
+from lexweave.functions.evidence import split_oversize
 from lexweave.operators import retrieval as R
 from lexweave.operators import vector_index
 from lexweave.operators.kept_index import KeptIndex
@@ -146,9 +147,34 @@ def crawled_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select(F.col("id").cast("long").alias("doc_id"), "crawl")
 
 
-QUERIES = {f.__name__: f for f in (kept_bm25, kept_bm25_merged, kept_phrases, kept_frequencies, replaced_chunks, ivf_search, ivf_recall, ivf_filtered, crawled_listing)}
+def _listed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as listed rows, a day each, and the two thirds of them that are stored."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("url"), F.timestamp_seconds(F.col("doc_id") * 86400 + 43200).alias("day"))
+    return docs, docs.where("id % 3 <> 0")
+
+
+def listing_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.availability(*_listed(spark, sf_dir))
+
+
+def discovered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a dry run would fetch: listed, not stored, behind the mark."""
+    return listing.new_rows(*_listed(spark, sf_dir), datetime(1970, 4, 11)).select("id")
+
+
+def oversize_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of more than 600 words in parts of 450."""
+    parts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_oversize(X.blank_split(F.col("text")))).alias("part", "ws"))
+    return parts.select("doc_id", F.col("part").cast("long").alias("part"), F.size("ws").cast("long").alias("n_words"), F.md5(F.array_join("ws", " ")).alias("text_md5"))
+
+
+QUERIES = {f.__name__: f for f in (kept_bm25, kept_bm25_merged, kept_phrases, kept_frequencies, replaced_chunks, ivf_search, ivf_recall, ivf_filtered, crawled_listing, listing_availability, discovered_rows, oversize_parts)}
 
 ORACLE = {
+    "listing_availability": "SELECT count(*) AS missing, max(doc_id) AS newest, CASE WHEN count(*) > 0 THEN 'new_available' ELSE 'fresh' END AS status FROM documents WHERE doc_id % 3 = 0",
+    "discovered_rows": "SELECT doc_id AS id FROM documents WHERE doc_id % 3 = 0 AND doc_id >= 100",
+    "oversize_parts": f"""WITH w AS (SELECT doc_id, {retrieval.SPLIT} AS ws FROM documents), p AS (SELECT doc_id, ws, unnest(range(0, CASE WHEN len(ws) <= 600 THEN 1 ELSE CAST(ceil(len(ws) / 450) AS BIGINT) END)) AS part FROM w),
+s AS (SELECT doc_id, part, CASE WHEN len(ws) <= 600 THEN ws ELSE ws[part * 450 + 1:part * 450 + 450] END AS ws FROM p) SELECT doc_id, part, len(ws) AS n_words, md5(array_to_string(ws, ' ')) AS text_md5 FROM s""",
     "crawled_listing": "SELECT doc_id, CASE WHEN doc_id % 400 < 199 OR doc_id % 800 = 199 THEN 0 ELSE 1 END AS crawl FROM documents",
     "kept_bm25": retrieval.ORACLE["bm25_topk"],
     "kept_bm25_merged": retrieval.ORACLE["bm25_topk"],
