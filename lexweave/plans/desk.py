@@ -115,9 +115,10 @@ def folded_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reextraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents extracted anew; every tenth comes under an id that no document has."""
     t = Tables(spark, sf_dir)
     d = F.col("doc_id")
-    fresh = t.documents.where("doc_id % 10 <> 9").select(F.when(d % 10 == 8, d + 100000).otherwise(d).alias("id"), F.when(d % 10 == 0, F.lit(None)).when(d % 10 == 1, F.upper("text")).otherwise(F.col("text")).alias("text"))
+    fresh = t.documents.where("doc_id % 10 <> 9").select(F.when(d % 10 == 8, -1 - d).otherwise(d).alias("id"), F.when(d % 10 == 0, F.lit(None)).when(d % 10 == 1, F.upper("text")).otherwise(F.col("text")).alias("text"))
     return A.reextracted(t.documents.select(d.alias("id"), "text"), fresh)
 
 
