@@ -123,9 +123,10 @@ def reextraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reindex_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rebuild over an index in which some documents are missing, some stand under ids that no document has, and some have older texts."""
     t = Tables(spark, sf_dir)
     expected = t.documents.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("fingerprint"), X.chunk_count(F.size(X.blank_split(F.col("text"))), 350, 75).alias("chunks"))
-    stored = t.documents.where("doc_id % 6 <> 0").select(F.when(F.col("doc_id") % 6 == 1, F.col("doc_id") + 100000).otherwise(F.col("doc_id")).alias("id"), F.sha2(F.when(F.col("doc_id") % 6 == 2, F.lower("text")).otherwise(F.col("text")), 256).alias("fingerprint"), F.lit(2).cast("long").alias("chunks"))
+    stored = t.documents.where("doc_id % 6 <> 0").select(F.when(F.col("doc_id") % 6 == 1, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("id"), F.sha2(F.when(F.col("doc_id") % 6 == 2, F.lower("text")).otherwise(F.col("text")), 256).alias("fingerprint"), F.lit(2).cast("long").alias("chunks"))
     return A.reindex_plan(expected, stored)
 
 
