@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexweave.operators.retrieval import BROADCAST_TERMS, cosine, small_side, top_k
+from lexweave.operators.retrieval import BROADCAST_TERMS, cosine, cosine_top_k, small_side, top_k
 from lexweave.session import settled
 
 #: Vectors that centroids and codebooks are trained on, the first by a hash of the id; lists at most; parts of a vector; codewords.
 SAMPLE, LISTS, PARTS, WORDS, ROUNDS = 20_000, 1024, 16, 256, 10
-#: Lists that a query probes at first, rows by code for each row of the answer, rows of a part.
-PROBES, OVERFETCH, PART_ROWS = 12, 8, 8192
+#: Rows by code for each row of the answer, rows of a part.
+OVERFETCH, PART_ROWS = 8, 8192
+#: Queries whose exact neighbours are looked for, the first by a hash of the id; rows by code that their ranks are told from; share of the neighbours that the lists, and the codes, are to reach.
+TRIED, TRIED_ROWS, REACHED = 100, 4096, 0.98
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -131,15 +133,17 @@ def index(vectors: DataFrame, columns: list[str] | None = None, lists: int | Non
     return VectorIndex(quantiser, width, held, rows, parts)
 
 
-def search(found: VectorIndex, queries: DataFrame, k: int, where: str | None = None, probes: int = PROBES) -> DataFrame:
-    """(query_id, vec_id, score, rank): the ``k`` nearest found by cosine, to six places, of the rows that pass ``where``."""
+def search(found: VectorIndex, queries: DataFrame, k: int, where: str | None = None, probes: int | None = None) -> DataFrame:
+    """(query_id, vec_id, score, rank): the ``k`` nearest found by cosine, to six places, of the rows that pass ``where``.
+
+    Without ``probes`` the lists to probe at first are measured on a sample of the queries.
+    """
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("q").cast("array<double>").alias("q")).where("query_id is not null").dropDuplicates(["query_id"])
     if found.quantiser is None:
         return asked.select("query_id", F.col("query_id").alias("vec_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).limit(0)
     shared, width, n_lists = asked.sparkSession.sparkContext.broadcast(found.quantiser), found.width, len(found.quantiser.centroids)
     rows = found.lists if where is None else found.lists.where(where)
     dealt = rows.join(F.broadcast(found.parts), "list").select("list", F.pmod(F.xxhash64("vec_id"), "parts").alias("part"), "vec_id", "code")
-    take = k * OVERFETCH
 
     def probed(n: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +157,15 @@ def search(found: VectorIndex, queries: DataFrame, k: int, where: str | None = N
 
         return run
 
-    def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The place of a row's list among those that a query probes."""
+        for batch in batches:
+            at, x = unit_rows(batch.column(0), width)
+            nearness = x @ shared.value.centroids.T - (shared.value.centroids**2).sum(1) / 2
+            own = nearness[np.arange(len(at)), batch.column(1).to_numpy()[at]]
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(at)), batch.column(3).take(pa.array(at)), pa.array((nearness > own[:, None]).sum(1) + 1)], ["query_id", "vec_id", "place"])
+
+    def meet(rows: pa.Table, asked: pa.Table, take: int) -> pa.Table:
         ids, codes = rows.column("vec_id").to_numpy(), np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8)
         out: list[tuple] = []
         if len(ids):
@@ -166,12 +178,32 @@ def search(found: VectorIndex, queries: DataFrame, k: int, where: str | None = N
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(dict(zip(["query_id", "vec_id", "score"], columns, strict=True)))
 
-    answers, left = None, settled(asked)
-    while True:
+    def by_code(left: DataFrame, probes: int, take: int) -> DataFrame:
+        """(query_id, vec_id, rank): the first ``take`` rows by code of the lists that a query probes."""
         probing = left.mapInArrow(probed(probes), "query_id long, list int, q array<double>").join(F.broadcast(found.parts), "list")
         probing = probing.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("list", "part", "query_id", "q")
-        near = dealt.groupBy("list", "part").cogroup(probing.groupBy("list", "part")).applyInArrow(meet, "query_id long, vec_id long, score double")
-        coded = top_k(near, take, ["query_id"], [F.desc("score"), F.asc("vec_id")]).select("query_id", "vec_id")
+        near = dealt.groupBy("list", "part").cogroup(probing.groupBy("list", "part")).applyInArrow(lambda rows, asked: meet(rows, asked, take), "query_id long, vec_id long, score double")
+        return top_k(near, take, ["query_id"], [F.desc("score"), F.asc("vec_id")]).select("query_id", "vec_id", "rank")
+
+    def tried() -> tuple[int, int]:
+        """Lists to probe and rows to score by their vectors, as the exact neighbours of some of the queries tell."""
+        some = settled(left.orderBy(F.xxhash64("query_id"), "query_id").limit(TRIED))
+        passing = found.vectors.join(rows.select("vec_id"), "vec_id", "left_semi")
+        exact = settled(cosine_top_k(passing, some, k).select("query_id", "vec_id"))
+        near = exact.join(rows.select("vec_id", "list"), "vec_id").join(F.broadcast(some), "query_id").select("q", "list", "query_id", "vec_id")
+        ranks = near.mapInArrow(listed, "query_id long, vec_id long, place long").join(by_code(some, n_lists, TRIED_ROWS), ["query_id", "vec_id"], "left")
+        told = ranks.select("place", "rank").collect()  # TRIED * k rows at most
+        if not told:
+            return n_lists, k * OVERFETCH
+        at = int(np.ceil(REACHED * len(told))) - 1
+        rank = sorted(r["rank"] or np.inf for r in told)[at]
+        return sorted(r["place"] for r in told)[at], int(max(k * OVERFETCH, min(rank, np.iinfo(np.int32).max)))
+
+    answers, left, take = None, settled(asked), k * OVERFETCH
+    if probes is None:
+        probes, take = tried()
+    while True:
+        coded = by_code(left, probes, take).drop("rank")
         exact = found.vectors.select("vec_id", "embedding").join(small_side(settled(coded), BROADCAST_TERMS), "vec_id").join(small_side(left, BROADCAST_TERMS), "query_id")
         exact = exact.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
         best = settled(top_k(exact, k, ["query_id"], [F.desc("score"), F.asc("vec_id")]))
