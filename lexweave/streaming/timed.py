@@ -49,44 +49,66 @@ class _Clock:
 
 
 class _Currency(StatefulProcessor):
-    """Pending versions by day of effect in a map, the one in force in a value; a timer to each pending day."""
+    """Pending versions in a list, the one in force in a value; one timer, to the first pending day.
+
+    Each call to a state goes from Python to the JVM, so a document makes a few calls
+    a batch, however many versions it has.
+    """
 
     def __init__(self, mode: str):
         self.clock = _Clock(mode)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", "effective long", "version long")
+        self.pending = handle.getListState("pending", "effective long, version long")
+        self.next = handle.getValueState("next", "effective long")
         self.current = handle.getValueState("current", "effective long, version long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         now = self.clock.now(timerValues)
         arrived: tuple[int, int] | None = None
+        fresh: dict[int, int] = {}
         for row in rows:
-            day = (row.effective_ms,)
-            if row.effective_ms > now:
-                other = self.pending.getValue(day) if self.pending.containsKey(day) else None
-                if other is None:
-                    self.handle.registerTimer(row.effective_ms)
-                if other is None or row.version_id < other[0]:
-                    self.pending.updateValue(day, (row.version_id,))
-            elif arrived is None or (row.effective_ms, -row.version_id) > (arrived[0], -arrived[1]):
-                arrived = (row.effective_ms, row.version_id)
+            day, version = row.effective_ms, row.version_id
+            if day > now:
+                fresh[day] = min(version, fresh.get(day, version))
+            elif arrived is None or (day, -version) > (arrived[0], -arrived[1]):
+                arrived = (day, version)
+        if fresh:
+            self.pending.appendList(list(fresh.items()))
+            self.wait(min(fresh), self.next.get())
         if arrived is not None:
-            yield from self.enter(key, *arrived)
+            yield from self.enter(key, [arrived])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        day = (expiredTimerInfo.getExpiryTimeInMs(),)
-        if self.pending.containsKey(day):
-            (version,) = self.pending.getValue(day)
-            self.pending.removeKey(day)
-            yield from self.enter(key, day[0], version)
-
-    def enter(self, key, effective: int, version: int) -> Iterator[Row]:
-        held = self.current.get() if self.current.exists() else None
-        if held is None or (effective, -version) > (held[0], -held[1]):
-            self.current.update((effective, version))
-            yield Row(document_id=key[0], version_id=version, effective_from=_instant(effective), replaced=held[1] if held else None)
+        now = max(self.clock.now(timerValues), expiredTimerInfo.getExpiryTimeInMs())
+        days: dict[int, int] = {}
+        for day, version in self.pending.get():
+            days[day] = min(version, days.get(day, version))
+        later = {d: v for d, v in days.items() if d > now}
+        if later:
+            self.pending.put(list(later.items()))
+            self.wait(min(later), None)
+        else:
+            self.pending.clear()
+            self.next.clear()
+        yield from self.enter(key, sorted((d, v) for d, v in days.items() if d <= now))
+
+    def wait(self, day: int, held: tuple | None) -> None:
+        if held is None or day < held[0]:
+            if held is not None:
+                self.handle.deleteTimer(held[0])
+            self.handle.registerTimer(day)
+            self.next.update((day,))
+
+    def enter(self, key, versions: list[tuple[int, int]]) -> Iterator[Row]:
+        before = held = self.current.get()
+        for effective, version in versions:
+            if held is None or (effective, -version) > (held[0], -held[1]):
+                yield Row(document_id=key[0], version_id=version, effective_from=_instant(effective), replaced=held[1] if held else None)
+                held = (effective, version)
+        if held is not before:
+            self.current.update(held)
 
     def close(self) -> None:
         pass
@@ -107,49 +129,51 @@ def currency_flips(versions: DataFrame, late: str = "0 seconds", mode: str = "Ev
 
 
 class _Traces(StatefulProcessor):
-    """The last sign of a trace and its timer, which each later sign moves."""
+    """The last sign of a trace, whether it is closed, and its timer, which each later sign moves; all in one value, as each call to a state costs."""
 
     def __init__(self, ttl_ms: int):
         self.ttl = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "ms long")
-        self.closed = handle.getValueState("closed", "at long")
+        self.held = handle.getValueState("held", "ms long, closed boolean")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        if self.closed.exists():
+        held = self.held.get()
+        if held is not None and held[1]:
             for _ in rows:
                 pass
             return
-        first_end, newest = None, self.last.get()[0] if self.last.exists() else None
+        first_end, last = None, held[0] if held is not None else None
+        newest = last
         for row in rows:
             newest = row.ms if newest is None else max(newest, row.ms)
             if row.ends:
                 first_end = row.ms if first_end is None else min(first_end, row.ms)
         if first_end is not None:
-            yield from self.shut(key, "finished", first_end)
-        elif not self.last.exists() or newest > self.last.get()[0]:
-            if self.last.exists():
-                self.handle.deleteTimer(self.last.get()[0] + self.ttl)
-            self.last.update((newest,))
-            self.handle.registerTimer(newest + self.ttl)
+            yield self.shut(key, "finished", first_end, last)
+        elif last is None or newest > last:
+            self.hold(newest, False, last)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        if self.closed.exists():
+        at, held = expiredTimerInfo.getExpiryTimeInMs(), self.held.get()
+        if held is None or held[0] + self.ttl != at:
+            return
+        if held[1]:
             # A second time to live has passed since the trace was closed: it is forgotten.
-            self.closed.clear()
-        elif self.last.exists() and self.last.get()[0] + self.ttl == at:
-            yield from self.shut(key, "interrupted", at)
-
-    def shut(self, key, state: str, at: int) -> Iterator[Row]:
-        if self.last.exists():
-            self.handle.deleteTimer(self.last.get()[0] + self.ttl)
-            self.last.clear()
-        self.closed.update((at,))
-        self.handle.registerTimer(at + self.ttl)
-        yield Row(trace_id=key[0], state=state, at=_instant(at))
+            self.held.clear()
+        else:
+            yield self.shut(key, "interrupted", at, None)
+
+    def hold(self, ms: int, closed: bool, last: int | None) -> None:
+        if last is not None:
+            self.handle.deleteTimer(last + self.ttl)
+        self.held.update((ms, closed))
+        self.handle.registerTimer(ms + self.ttl)
+
+    def shut(self, key, state: str, at: int, last: int | None) -> Row:
+        self.hold(at, True, last)
+        return Row(trace_id=key[0], state=state, at=_instant(at))
 
     def close(self) -> None:
         pass
