@@ -240,6 +240,29 @@ def test_each_occurrence_has_one_pivot():
     assert seen == Counter(tuple(r[i : i + m]) for r in runs for m in range(3, 6) for i in range(len(r) - m + 1))
 
 
+def test_frequent_pairs_of_a_block_go_by_parts_not_by_rows(spark, monkeypatch):
+    made, written = {}, collocations.written
+    monkeypatch.setattr(collocations, "written", lambda frame, name: made.setdefault(name, written(frame, name)))
+    dealt = random.Random(4)
+    texts = [" ".join(dealt.choices([f"w{i}" for i in range(60)], k=400)) for _ in range(60)]
+    _, phrases, _ = collocations.frequent_phrases(docs(spark, [(t, "en", "s") for t in texts]), support=2, longest=3, block_bytes=40_000)
+    pairs = Counter(p for t in texts for p in zip(t.split(), t.split()[1:], strict=False))
+    frequent = {" ".join(p): n for p, n in pairs.items() if n >= 2}
+    assert {r.phrase: r.n for r in phrases.collect() if r.phrase.count(" ") == 1} == frequent
+    assert len(frequent) > 3000 and made["frequent-pairs"].count() <= 32 * (made["phrase-blocks"].count() + 1)
+
+
+def test_frequent_words_have_numbers_without_gaps(spark):
+    asked = spark.createDataFrame([(b, lang, f"w{i}", i, 2) for b in range(3) for lang in ("en", "de") for i in range(50)], "block long, lang string, word string, at int, n long")
+    rows = collocations.frequent_words(asked.repartition(5), 6).collect()
+    assert sorted(r.id for r in rows) == list(range(100)) and all(r.f == 6 and {(p.block, p.at) for p in r.places} == {(b, int(r.word[1:])) for b in range(3)} for r in rows)
+
+
+def test_packed_columns_come_back():
+    for table in (np.zeros((3, 0), np.int64), np.array([[0, -1, 2**62], [5, 300, 70_000]])):
+        assert np.array_equal(collocations.unpacked(collocations.packed(*table), len(table)), table)
+
+
 def test_scores_whose_products_pass_64_bits(spark):
     words = spark.createDataFrame([("en", "x", 3 * 10**12), ("en", "y", 10**12)], "lang string, phrase string, n long")
     phrases = spark.createDataFrame([("en", "x y", 10**11 + 7)], "lang string, phrase string, n long")
