@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.llm.common import small_batches, written
@@ -254,22 +254,25 @@ def key_table(found: DataFrame) -> DataFrame:
             images = np.repeat(batch.column(0).to_numpy(), [len(x) for x, _ in lists])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in lists])), pa.array(images), pa.array(np.concatenate([n for _, n in lists]).astype(np.int32))], ["key", "image", "corners"])
 
-    return found.select("image", "keys").mapInArrow(run, "key long, image long, corners int").groupBy("key", "image").agg(F.sum("corners").cast("int").alias("corners"))
+    # Dealt by the key alone, they are grouped, counted and paired without another shuffle.
+    return found.select("image", "keys").mapInArrow(run, "key long, image long, corners int").repartition("key").groupBy("key", "image").agg(F.sum("corners").cast("int").alias("corners"))
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b), a < b: how many corners of each of two images have a key that both have; rows (key, image, corners).
 
-    A corner counts for each such key. Images of a key that more than ``BLOCK``
+    A corner counts for each such key. Keys of one image go no further. Images of a key that more than ``BLOCK``
     have are dealt to blocks, and every block meets every other, so no task holds
     all pairs of a key.
     """
-    heavy = keys.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK).select("key", F.ceil(F.col("rows") / BLOCK).alias("blocks"))
-    dealt = keys.join(heavy, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("image"), "blocks"))
+    rows = F.count("*").over(Window.partitionBy("key"))
+    met = keys.withColumn("rows", rows).where(F.col("rows") > 1).withColumn("blocks", F.ceil(F.col("rows") / BLOCK))
+    own = F.struct("image", "corners")
+    few = met.where("blocks = 1").groupBy("key").agg(F.collect_list(own).alias("ones")).select("ones", F.array().cast("array<struct<image:bigint,corners:int>>").alias("others"))
+    dealt = met.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("image"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
-    own = F.struct("image", "corners")
-    cells = dealt.select("key", "image", "corners", "block", low, high).groupBy("key", "low", "high").agg(
+    cells = dealt.select("key", "image", "corners", "block", low, high).repartition("key", "low", "high").groupBy("key", "low", "high").agg(
         F.collect_list(F.when(F.col("block") == F.col("low"), own)).alias("ones"),
         F.collect_list(F.when(F.col("block") != F.col("low"), own)).alias("others"),
     )
@@ -305,7 +308,8 @@ def shared_keys(keys: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    met = cells.where("low <> high or size(ones) > 1").where("low = high or size(others) > 0").where("size(ones) > 0")
+    many = cells.where("low <> high or size(ones) > 1").where("low = high or size(others) > 0").where("size(ones) > 0")
+    met = few.unionByName(many.select("ones", "others"))
     counted = met.select("ones", "others").mapInArrow(run, "a long, b long, n_a long, n_b long")
     return counted.groupBy("a", "b").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
 

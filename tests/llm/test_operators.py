@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 from pathlib import Path
 
@@ -842,3 +843,15 @@ def test_digests_and_edges(spark, codec, edge_docs, no_docs):
     assert all(bytes(r.decoded).decode() == (r.text or "") for r in both)
     assert bpe.token_digests(no_docs, path, P.PATTERN).collect() == []
     assert isinstance(bpe.token_digests(no_docs, path, P.PATTERN).schema["n_tokens"].dataType, T.LongType)
+
+
+def test_keys_of_images_are_dealt_once(spark, monkeypatch):
+    rows = [(1, 10, 2), (1, 11, 1), (1, 12, 3), (2, 10, 1), (2, 12, 1), (3, 11, 4)]
+    for block in (1000, 1, 2):
+        monkeypatch.setattr(media, "BLOCK", block)
+        got = media.shared_keys(spark.createDataFrame(rows, "key long, image long, corners int"))
+        assert {tuple(r) for r in got.collect()} == {(10, 11, 2, 1), (10, 12, 3, 4), (11, 12, 1, 3)}
+    found = spark.createDataFrame([(i, bytes(range(i, i + 32))) for i in range(4)], "image long, keys binary")
+    plan = media.shared_keys(media.key_table(found))._jdf.queryExecution().executedPlan().toString()
+    # By a key alone or with its image; the union's two sides share one exchange.
+    assert set(re.findall(r"hashpartitioning\(key(?:, image)?, \d+\), \w+", re.sub(r"#\d+L?", "", plan))) == {f"hashpartitioning(key, {spark.conf.get('spark.sql.shuffle.partitions')}), REPARTITION_BY_COL"}
