@@ -6,12 +6,12 @@
    smoothed pixels at places turned by that orientation.
 2. Images with the same corners are one class, which stands for all of them. The
    descriptor is cut into ``TABLES`` keys; corners of an image may share keys, as in a
-   repeated texture. For every two classes the corners of each that have a shared key
-   are counted, however many classes share it; the work grows with the pairs of a key.
-3. All corners of two images that share a key are compared by their whole
-   descriptors, each with each; those within ``HAMMING`` bits meet. For two images with at least
-   ``VOTES`` meetings a vote over rotation, scale and shift finds the best
-   similarity; its inliers are counted.
+   repeated texture. Images lie in packed blocks, and every block meets every other:
+   for two classes the corners of each that have a shared key are counted there, so
+   that no pair of images is shuffled; the work grows with the pairs of a key.
+3. Where enough are shared, corners of two images that share a key are compared by
+   their whole descriptors, each with each; those within ``HAMMING`` bits meet and vote
+   for a similarity's rotation, scale and shift; the best one's inliers are counted.
 4. Images with at least ``INLIERS`` agreeing corners are linked; links are closed
    into groups. ``n_links`` counts all images that an image is linked to.
 
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import small_batches, written
+from lexweave.llm.common import give_back, small_batches, written
 from lexweave.llm.components import components
 
 LEVELS, SPACING, STRENGTH = 2, 4, 0.02
@@ -48,8 +48,11 @@ VOTES, INLIERS, TOLERANCE = 6, 8, 3.0
 #: Bits of a descriptor in which two corners that share a key may differ.
 HAMMING = 32
 CELL, COLUMNS = 4, 32
-#: Images of a key in a block, about; pairs that a task holds before it sums them up.
+#: Images of a key in a block, about, and of a block of corners; pairs that a task holds before it sums them up.
 BLOCK, HELD_PAIRS = 1000, 2_000_000
+#: Corners of a block, about; pairs of corners whose votes are counted at once.
+BLOCK_CORNERS, HELD_VOTES = 250_000, 500_000
+_SCALES = 2 * LEVELS - 1
 
 _RANDOM = np.random.default_rng(7)
 _TESTS = np.clip(_RANDOM.normal(0, RADIUS / 2.2, (BITS, 4)), -RADIUS, RADIUS)
@@ -207,33 +210,48 @@ def corners(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(descriptors)
 
 
-def corner_table(media: DataFrame, decode=decode_image) -> DataFrame:
-    """(image, n, print, places, keys) for each row (id, data) with corners.
+def corner_blocks(media: DataFrame, decode=decode_image) -> DataFrame:
+    """Blocks of images with corners, of rows (id, list of data): (block, images, sizes, prints, places, keys).
 
-    ``n`` counts the corners; ``places`` packs x, y, level and angle of each into
-    64 bits, in order; ``keys`` has ``TABLES`` parts of 32 bits of each
-    descriptor; ``print`` is a digest of both.
+    A block has ``BLOCK`` images or about ``BLOCK_CORNERS`` corners at most, of one
+    task. ``sizes`` counts the corners of each image; ``places`` packs x, y, level
+    and angle of each into 64 bits, in order; ``keys`` has ``TABLES`` parts of 32
+    bits of each descriptor, both compressed; a print is a digest of both.
     """
+    most = BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            images, sizes, prints, places, keys = zip(*held, strict=True)
+            held.clear()
+            planes = np.concatenate(places).view(np.uint8).reshape(-1, 8).T
+            blobs = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in (planes, np.concatenate(keys))]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([images], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([prints], pa.list_(pa.string())), *(pa.array([x], pa.binary()) for x in blobs)],
+                ["images", "sizes", "prints", "places", "keys"],
+            )
+
         for batch in batches:
-            rows: list[tuple] = []
-            for image, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                pixels = decode(data.as_py())
-                if image is None or pixels is None:
-                    continue
-                found, descriptors = corners(pixels)
-                if not len(found):
+            for image, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                pixels = [decode(x.as_py()) for x in rows.values] if image is not None and rows.values is not None else []
+                found = [corners(x) for x in pixels if x is not None]
+                found = [x for x in found if len(x[0])]
+                if not found:
                     continue
-                packed = (found[:, 0].astype(np.int64) << 38) | (found[:, 1].astype(np.int64) << 8) | (found[:, 2] << 5) | found[:, 3]
+                places, descriptors = (np.concatenate(x) for x in zip(*found, strict=True))
+                packed = (places[:, 0].astype(np.int64) << 38) | (places[:, 1].astype(np.int64) << 8) | (places[:, 2] << 5) | places[:, 3]
                 order = np.argsort(packed)
-                places, keys = packed[order].tobytes(), descriptors[order].tobytes()
-                rows.append((image, len(packed), hashlib.blake2b(places + keys, digest_size=16).hexdigest(), places, keys))
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["image", "n", "print", "places", "keys"])
+                packed, descriptors = packed[order], descriptors[order]
+                held.append((image, len(packed), hashlib.blake2b(packed.tobytes() + descriptors.tobytes(), digest_size=16).hexdigest(), packed, descriptors))
+                if len(held) >= most or sum(x[1] for x in held) >= BLOCK_CORNERS:
+                    yield flush()
+        if held:
+            yield flush()
 
-    return media.mapInArrow(run, "image long, n long, print string, places binary, keys binary")
+    blocks = media.mapInArrow(run, "images array<long>, sizes array<long>, prints array<string>, places binary, keys binary")
+    return blocks.select(F.monotonically_increasing_id().alias("block"), "*")
 
 
 def keyed(keys: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +262,7 @@ def keyed(keys: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def key_table(found: DataFrame) -> DataFrame:
-    """(key, image, corners) for each key of each row of a corner table."""
+    """(key, image, corners) for each key of each row (image, keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,6 +279,7 @@ def key_table(found: DataFrame) -> DataFrame:
 def shared_keys(keys: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b), a < b: how many corners of each of two images have a key that both have; rows (key, image, corners).
 
+    The counts of all pairs as one table, which ``agreeing`` takes within two blocks.
     A corner counts for each such key. Keys of one image go no further. Images of a key that more than ``BLOCK``
     have are dealt to blocks, and every block meets every other, so no task holds
     all pairs of a key.
@@ -348,12 +367,37 @@ def meetings(first: list[tuple[bytes, bytes]], second: list[tuple[bytes, bytes]]
     return found
 
 
-def consensus(first: np.ndarray, second: np.ndarray) -> int:
-    """The most corners that one similarity maps from one image onto the other; rows of packed places."""
+class Squares:
+    """Shifts of several kinds in cells of ``TOLERANCE``, and squares that reach as far around each cell with shifts.
+
+    A square reaches into the eight cells beside it, so that their counts together bound what it holds.
+    """
+
+    def __init__(self, kind: np.ndarray, sx: np.ndarray, sy: np.ndarray):
+        cx, cy = (np.rint(c / TOLERANCE).astype(np.int64) for c in (sx, sy))
+        self.sx, self.sy, self.left, self.top = sx, sy, int(cx.min()) - 1, int(cy.min()) - 1
+        self.wide, self.high = int(cx.max()) - self.left + 2, int(cy.max()) - self.top + 2
+        code = (kind * self.wide + cx - self.left) * self.high + cy - self.top
+        self.order = np.argsort(code)
+        self.code = code[self.order]
+        self.cells = self.code[np.concatenate([[True], self.code[1:] != self.code[:-1]])]
+        self.bounds = sum(np.searchsorted(self.code, self.cells + c + 1, "right") - np.searchsorted(self.code, self.cells + c - 1) for c in (-self.high, 0, self.high))
+
+    def kinds(self, cells: np.ndarray) -> np.ndarray:
+        return cells // self.high // self.wide
+
+    def inside(self, cell: int) -> np.ndarray:
+        """The places of the shifts that the square around a cell holds."""
+        rows = np.concatenate([self.order[np.searchsorted(self.code, cell + c - 1) : np.searchsorted(self.code, cell + c + 1, "right")] for c in (-self.high, 0, self.high)])
+        x, y = (cell // self.high % self.wide + self.left) * TOLERANCE, (cell % self.high + self.top) * TOLERANCE
+        return rows[(np.abs(self.sx[rows] - x) <= TOLERANCE) & (np.abs(self.sy[rows] - y) <= TOLERANCE)]
+
+
+def consensus(first: np.ndarray, second: np.ndarray, best: int = 0) -> int:
+    """The most corners that one similarity maps from one image onto the other, or ``best`` if those are no more; rows of packed places."""
     x1, y1, l1, t1 = first >> 38, (first >> 8) & 0x3FFFFFFF, (first >> 5) & 7, first & 31
     x2, y2, l2, t2 = second >> 38, (second >> 8) & 0x3FFFFFFF, (second >> 5) & 7, second & 31
     turn, scale = (t2 - t1) % ANGLES, l2 - l1
-    best = 0
     for s in np.unique(scale):
         for t in np.unique(turn[scale == s]):
             near = (scale == s) & (np.minimum((turn - t) % ANGLES, (t - turn) % ANGLES) <= 1)
@@ -363,47 +407,257 @@ def consensus(first: np.ndarray, second: np.ndarray) -> int:
             sx = (x2 - k * (np.cos(a) * x1 - np.sin(a) * y1))[near]
             sy = (y2 - k * (np.sin(a) * x1 + np.cos(a) * y1))[near]
             one, two = first[near], second[near]
-            cells, counts = np.unique(np.rint(np.stack([sx, sy], 1) / TOLERANCE).astype(np.int64), axis=0, return_counts=True)
-            # A square around a cell reaches into the eight beside it, so that their counts bound what it holds.
-            number = {c: n for c, n in zip(map(tuple, cells.tolist()), counts.tolist(), strict=True)}
-            bounds = [sum(number.get((x + i, y + j), 0) for i in (-1, 0, 1) for j in (-1, 0, 1)) for x, y in number]
-            for i in np.argsort(-np.array(bounds), kind="stable"):
-                if bounds[i] <= best:
+            squares = Squares(np.zeros(len(sx), np.int64), sx, sy)
+            for i in np.argsort(-squares.bounds, kind="stable"):
+                if squares.bounds[i] <= best:
                     break
-                cx, cy = cells[i] * TOLERANCE
-                inside = (np.abs(sx - cx) <= TOLERANCE) & (np.abs(sy - cy) <= TOLERANCE)
-                if inside.sum() > best:
+                inside = squares.inside(int(squares.cells[i]))
+                if len(inside) > best:
                     best = max(best, min(len(np.unique(one[inside])), len(np.unique(two[inside]))))
     return best
 
 
+class Block:
+    """Images with their corners: the image, place and descriptor of each corner, by image."""
+
+    def __init__(self, ids: np.ndarray, twins: np.ndarray, sizes: np.ndarray, places: np.ndarray, keys: np.ndarray):
+        self.ids, self.twins, self.sizes, self.places, self.keys = ids, twins, sizes, places, keys
+        self.image = np.repeat(np.arange(len(ids)), sizes)
+
+    @classmethod
+    def read(cls, row: dict) -> Block:
+        """Of a row of ``corner_blocks``, without the images at the places ``skip``; those at ``twins`` stand for several."""
+        sizes = np.array(row["sizes"], np.int64)
+        total = int(sizes.sum())
+        places = np.frombuffer(pa.decompress(row["places"], 8 * total, "zstd"), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
+        keys = np.frombuffer(pa.decompress(row["keys"], total * BITS // 8, "zstd"), "<u4").reshape(-1, TABLES)
+        kept, twins = np.ones(len(sizes), bool), np.zeros(len(sizes), bool)
+        kept[row["skip"] or []], twins[row["twins"] or []] = False, True
+        return cls(np.array(row["images"], np.int64), twins, sizes, places, keys).part(kept)
+
+    def part(self, kept: np.ndarray) -> Block:
+        if kept.all():
+            return self
+        corners = kept[self.image]
+        return Block(self.ids[kept], self.twins[kept], self.sizes[kept], self.places[corners], self.keys[corners])
+
+    def halves(self) -> tuple[Block, Block]:
+        first = np.arange(len(self.ids)) < len(self.ids) // 2
+        return self.part(first), self.part(~first)
+
+    def runs(self, table: int) -> tuple[np.ndarray, ...]:
+        """Key, image, first place and number of the corners of each key and image, in order, and the corners."""
+        packed = np.sort((self.keys[:, table].astype(np.uint64) << np.uint64(32)) | np.arange(len(self.keys), dtype=np.uint64))
+        corner, key = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64), packed >> np.uint64(32)
+        image = self.image[corner]
+        begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (image[1:] != image[:-1])]))
+        return key[begin], image[begin], begin, np.diff(begin, append=len(key)), corner
+
+
+def _each(m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each of the first ``m`` with each of the first ``n``, row by row: the row and both numbers."""
+    row = np.repeat(np.arange(len(m)), m * n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(m * n) - m * n, m * n)
+    return row, at // n[row], at % n[row]
+
+
+def agreeing(one: Block, two: Block) -> list[tuple[int, int]]:
+    """Pairs of images of two blocks, or of a block with itself, with ``INLIERS`` agreeing corners at least.
+
+    Images with many common keys are halved until the pairs of a part are few.
+    An image meets itself if it stands for several.
+    """
+    same = one is two
+    if not len(one.ids) or not len(two.ids):
+        return []
+    tables, met = [], 0
+    for table in range(TABLES):
+        a = one.runs(table)
+        b = a if same else two.runs(table)
+        (ka, ga, la), (kb, gb, lb) = (np.unique(x[0], return_index=True, return_counts=True) for x in (a, b))
+        _, x, y = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+        tables.append((a, b, ga[x], la[x], gb[y], lb[y]))
+        met += int((la[x] * lb[y]).sum())
+    if max(met, len(one.ids) * len(two.ids)) > 2 * HELD_PAIRS and max(len(one.ids), len(two.ids)) > 1:
+        del tables, a, b
+        if same:
+            first, second = one.halves()
+            return agreeing(first, first) + agreeing(first, second) + agreeing(second, second)
+        if len(one.ids) >= len(two.ids):
+            return [x for half in one.halves() for x in agreeing(half, two)]
+        return [x for half in two.halves() for x in agreeing(one, half)]
+
+    # So many corners can't agree where fewer of either image have a shared key.
+    size = len(one.ids) * len(two.ids)
+    counts, runs = np.zeros((2, size), np.int64), []
+    for a, b, ga, la, gb, lb in tables:
+        row, i, j = _each(la, lb)
+        i, j = i + ga[row], j + gb[row]
+        if same:
+            kept = (a[1][i] < b[1][j]) | ((a[1][i] == b[1][j]) & one.twins[a[1][i]])
+            i, j = i[kept], j[kept]
+        code = a[1][i] * len(two.ids) + b[1][j]
+        counts += np.stack([np.bincount(code, a[3][i], size), np.bincount(code, b[3][j], size)]).astype(np.int64)
+        runs.append((code, i, j))
+    close = counts.min(0) >= INLIERS
+    pairs, number = np.flatnonzero(close), np.cumsum(close) - 1
+    votes, rows = np.zeros(len(pairs), np.int64), []
+    for (a, b, *_), (code, i, j) in zip(tables, runs, strict=True):
+        kept = close[code]
+        pair = number[code[kept]]
+        order = np.argsort(pair, kind="stable")
+        pair, i, j = pair[order], i[kept][order], j[kept][order]
+        votes += np.bincount(pair, a[3][i] * b[3][j], len(pairs)).astype(np.int64)
+        rows.append((pair, a[2][i], a[3][i], b[2][j], b[3][j], a[4], b[4]))
+    del tables, runs, counts, close
+
+    ends, begin, found = np.cumsum(votes), 0, []
+    while begin < len(pairs):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + HELD_VOTES, "right")))
+        spans = [slice(*np.searchsorted(r[0], [begin, end])) for r in rows]
+        part = [(table, r[0][at] - begin, *(c[at] for c in r[1:5]), *r[5:]) for table, (r, at) in enumerate(zip(rows, spans, strict=True))]
+        if votes[begin] <= HELD_VOTES:
+            found += [begin + int(p) for p in agreed(*_votes(one, two, part), end - begin)]
+        elif _agree_in_parts(one, two, part):
+            found.append(begin)
+        begin = end
+    ids = [(int(one.ids[pairs[p] // len(two.ids)]), int(two.ids[pairs[p] % len(two.ids)])) for p in found]
+    return [(min(x), max(x)) for x in ids]
+
+
+def _votes(one: Block, two: Block, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pair and both places of all corners that share a key and differ in few bits, each two corners in the first table of a shared key."""
+    out = []
+    for table, pair, i, m, j, n, first, second in rows:
+        row, x, y = _each(m, n)
+        x, y = first[i[row] + x], second[j[row] + y]
+        bits = one.keys[x] ^ two.keys[y]
+        kept = (np.bitwise_count(bits).sum(1) <= HAMMING) & bits[:, :table].all(1)
+        out.append((pair[row[kept]], one.places[x[kept]], two.places[y[kept]]))
+    pair, first, second = (np.concatenate(c) for c in zip(*out, strict=True))
+    return pair, first, second
+
+
+def _agree_in_parts(one: Block, two: Block, rows: list[tuple]) -> bool:
+    """Whether two images agree whose repeated textures meet very often, by parts of ``HELD_VOTES``, about.
+
+    A part may show it. Else the votes of each scale and turn are counted together.
+    """
+    for begin, number, corner in ((2, 3, 6), (4, 5, 7)):
+        some = [r[corner][r[begin][k] : r[begin][k] + r[number][k]] for r in rows for k in range(len(r[1]))]
+        if len(np.unique(np.concatenate(some))) < INLIERS:
+            return False
+
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for table, pair, i, m, j, n, first, second in rows:
+            step = np.maximum(1, HELD_VOTES // n)
+            row, piece, _ = _each(-(-m // step), np.ones(len(m), np.int64))
+            begin, step = piece * step[row], step[row]
+            i, m, j, n = i[row] + begin, np.minimum(m[row] - begin, step), j[row], n[row]
+            for some in np.split(np.arange(len(row)), np.flatnonzero(np.diff(np.cumsum(m * n) // HELD_VOTES)) + 1):
+                yield _votes(one, two, [(table, pair[row][some], i[some], m[some], j[some], n[some], first, second)])[1:]
+
+    kind = lambda first, second: (((second >> 5) & 7) - ((first >> 5) & 7) + LEVELS - 1) * ANGLES + ((second & 31) - (first & 31)) % ANGLES
+    number = np.zeros(_SCALES * ANGLES, np.int64)
+    for first, second in parts():
+        if len(agreed(np.zeros(len(first), np.int64), first, second, 1)):
+            return True
+        number += np.bincount(kind(first, second), minlength=len(number))
+    number = number.reshape(-1, ANGLES)
+    for scale, turn in np.argwhere((number + np.roll(number, 1, 1) + np.roll(number, -1, 1) >= INLIERS) & (number > 0)):
+        near = [scale * ANGLES + (turn + step) % ANGLES for step in (-1, 0, 1)]
+        kept = [(first[at], second[at]) for first, second in parts() for at in [np.isin(kind(first, second), near)]]
+        if consensus(*(np.concatenate(c) for c in zip(*kept, strict=True)), INLIERS - 1) >= INLIERS:
+            return True
+    return False
+
+
+def agreed(pair: np.ndarray, first: np.ndarray, second: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` pairs of images have ``INLIERS`` corners at least that agree, as ``consensus`` counts; rows of votes.
+
+    All pairs are counted at once: votes of a turn and scale by cells, then by
+    the square around each cell. Where the fullest square doesn't decide,
+    ``consensus`` does.
+    """
+    x1, y1, l1, t1 = first >> 38, (first >> 8) & 0x3FFFFFFF, (first >> 5) & 7, first & 31
+    x2, y2, l2, t2 = second >> 38, (second >> 8) & 0x3FFFFFFF, (second >> 5) & 7, second & 31
+    turn, scale = (t2 - t1) % ANGLES, l2 - l1
+    group = pair * _SCALES + scale + LEVELS - 1
+    number = np.bincount(group * ANGLES + turn, minlength=n * _SCALES * ANGLES).reshape(-1, ANGLES)
+    enough = (number + np.roll(number, 1, 1) + np.roll(number, -1, 1) >= INLIERS) & (number > 0)
+    parts = []
+    for step in (-1, 0, 1):
+        t = (turn + step) % ANGLES
+        at = np.flatnonzero(enough[group, t])
+        a, k = 2 * np.pi * t[at] / ANGLES, 2.0 ** scale[at]
+        sx = x2[at] - k * (np.cos(a) * x1[at] - np.sin(a) * y1[at])
+        sy = y2[at] - k * (np.sin(a) * x1[at] + np.cos(a) * y1[at])
+        parts.append((at, group[at] * ANGLES + t[at], sx, sy))
+    at, kind, sx, sy = (np.concatenate(c) for c in zip(*parts, strict=True))
+    if not len(at):
+        return at
+    kinds, kind = np.unique(kind, return_inverse=True)
+    squares = Squares(kind, sx, sy)
+    hopeful = np.flatnonzero(squares.bounds >= INLIERS)
+    owner = kinds[squares.kinds(squares.cells[hopeful])] // ANGLES // _SCALES
+    fullest = np.lexsort((-squares.bounds[hopeful], owner))
+    fullest = fullest[np.diff(owner[fullest], prepend=-1) > 0]
+    found, by_pair = [], None
+    for cell, p in zip(squares.cells[hopeful[fullest]].tolist(), owner[fullest].tolist(), strict=True):
+        inside = at[squares.inside(cell)]
+        if min(len(np.unique(first[inside])), len(np.unique(second[inside]))) >= INLIERS:
+            found.append(p)
+            continue
+        if by_pair is None:
+            by_pair = np.argsort(pair, kind="stable")
+            sorted_pair = pair[by_pair]
+        own = by_pair[slice(*np.searchsorted(sorted_pair, [p, p + 1]))]
+        if consensus(first[own], second[own], INLIERS - 1) >= INLIERS:
+            found.append(p)
+    return np.array(found, np.int64)
+
+
 def image_groups(media: DataFrame, decode=decode_image) -> DataFrame:
     """(id, n_corners, n_links, group_id) for each id of rows (id, data)."""
     small_batches(media.sparkSession)
     ids = media.select(F.col(media.columns[0]).cast("long").alias("id"), F.col(media.columns[1]).alias("data"))
-    found = written(corner_table(ids, decode), "corners")
-    prints = found.groupBy("image").agg(F.max("n").alias("n_corners"), F.array_sort(F.collect_set("print")).alias("prints"))
+    blocks = written(corner_blocks(ids.select("id", F.array("data")), decode), "corners")
+    listed = lambda of: of.select("block", F.posexplode(F.arrays_zip("images", "sizes", "prints")).alias("at", "x")).select("block", "at", F.col("x.images").alias("image"), F.col("x.sizes").alias("n"), F.col("x.prints").alias("print"))
+    entries = listed(blocks)
+    prints = entries.groupBy("image").agg(F.max("n").alias("n_corners"), F.array_sort(F.collect_set("print")).alias("prints"), F.min(F.struct("block", "at")).alias("first"))
     named = prints.join(prints.groupBy("prints").agg(F.min("image").alias("rep"), F.count("*").alias("size")), "prints")
-    images = written(named.select("image", "n_corners", "rep", "size"), "images")
+    images = written(named.select("image", "n_corners", "rep", "size", "first", F.size("prints").alias("rows")), "images")
     classes = images.where("image = rep").select("image", "size")
-    ours = found.join(classes.select("image"), "image", "left_semi")
 
-    # So many corners can't agree where fewer of either image have a shared key. Images of one class meet as their first with itself.
-    close = shared_keys(key_table(ours)).where(F.least("n_a", "n_b") >= INLIERS).select("a", "b")
-    close = written(close.unionByName(classes.where("size > 1").select(F.col("image").alias("a"), F.col("image").alias("b"))), "close-images")
-    rows = ours.groupBy("image").agg(F.collect_set(F.struct("places", "keys")).alias("rows"))
-    pairs = close.join(rows.select(F.col("image").alias("a"), F.col("rows").alias("first")), "a").join(rows.select(F.col("image").alias("b"), F.col("rows").alias("second")), "b")
+    def marked(of: DataFrame, kept) -> DataFrame:
+        """The blocks with the places of images that take no part there, and of those that stand for several."""
+        marks = listed(of).join(images.select("image", "rep", "size", "first", "rows"), "image").withColumn("kept", kept).where("not kept or size > 1")
+        marks = written(marks.groupBy("block").agg(F.collect_list(F.expr("case when not kept then at end")).alias("skip"), F.collect_list(F.expr("case when kept then at end")).alias("twins")), "marks")
+        return of.drop("prints").join(marks, "block", "left")
+
+    whole = marked(blocks, F.expr("image = rep and rows = 1 and first.block = block and first.at = at"))
+    several = images.where("image = rep and rows > 1").select(F.col("image").alias("id"))
+    if several.take(1):
+        # Images of several rows have the corners of all of them, and stand in blocks of their own.
+        joined = written(corner_blocks(ids.join(several, "id", "left_semi").groupBy("id").agg(F.collect_list("data").alias("data")), decode).withColumn("block", -1 - F.col("block")), "corners-joined")
+        whole = whole.unionByName(marked(joined, F.lit(True)))
+
+    # Every block meets every other and itself without a shuffle: a task reads both.
+    sides = [whole.select(*(F.col(c).alias(f"{c}_{side}") for c in whole.columns)) for side in "ab"]
+    met = sides[0].hint("shuffle_replicate_nl").join(sides[1], F.col("block_a") <= F.col("block_b"))
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            inliers = []
-            for one, two in zip(batch.column(2), batch.column(3), strict=True):
-                votes = meetings(*([(r["places"], r["keys"]) for r in x.as_py()] for x in (one, two)))
-                inliers.append(consensus(votes[:, 0], votes[:, 1]) if len(votes) >= VOTES else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inliers, pa.int64())], ["a", "b", "inliers"])
-
-    agreed = pairs.select("a", "b", "first", "second").mapInArrow(agree, "a long, b long, inliers long")
-    links = written(agreed.where(F.col("inliers") >= INLIERS), "image-links")
+            for row in range(batch.num_rows):
+                values = {name: batch.column(k)[row].as_py() for k, name in enumerate(batch.schema.names)}
+                one = Block.read({k[:-2]: v for k, v in values.items() if k.endswith("_a")})
+                two = one if values["block_a"] == values["block_b"] else Block.read({k[:-2]: v for k, v in values.items() if k.endswith("_b")})
+                found = agreeing(one, two)
+                give_back()
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    links = written(met.mapInArrow(agree, "a long, b long"), "image-links")
     groups = components(links, "image-groups").select(F.col("node").alias("rep"), "label")
     ends = links.select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
     degrees = ends.join(classes.withColumnRenamed("image", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum(F.col("size") - (F.col("a") == F.col("b")).cast("long")).alias("n_links"))

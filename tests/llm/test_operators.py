@@ -855,3 +855,37 @@ def test_keys_of_images_are_dealt_once(spark, monkeypatch):
     plan = media.shared_keys(media.key_table(found))._jdf.queryExecution().executedPlan().toString()
     # By a key alone or with its image; the union's two sides share one exchange.
     assert set(re.findall(r"hashpartitioning\(key(?:, image)?, \d+\), \w+", re.sub(r"#\d+L?", "", plan))) == {f"hashpartitioning(key, {spark.conf.get('spark.sql.shuffle.partitions')}), REPARTITION_BY_COL"}
+
+
+def block_of(images, first=0):
+    found = [media.corners(media.decode_image(x)) for x in images]
+    pack = lambda p: (p[:, 0].astype(np.int64) << 38) | (p[:, 1].astype(np.int64) << 8) | (p[:, 2] << 5) | p[:, 3]
+    sizes = np.array([len(p) for p, _ in found])
+    keys = np.concatenate([d for _, d in found]).view("<u4").reshape(-1, media.TABLES)
+    return media.Block(np.arange(first, first + len(images)), np.zeros(len(images), bool), sizes, np.concatenate([pack(p) for p, _ in found]), keys)
+
+
+@pytest.mark.parametrize("held", [2_000_000, 300, 20])
+def test_blocks_agree_as_brute_force(monkeypatch, held):
+    monkeypatch.setattr(media, "HELD_PAIRS", held)
+    monkeypatch.setattr(media, "HELD_VOTES", held)
+    tile, base = scene(5, 24), scene(3)
+    other = scene(6)
+    other[12:60, 12:60] = np.tile(tile, (2, 2))
+    images = [base, base[24:66, 24:66], np.tile(tile, (4, 4)), other, np.tile(tile, (3, 4))[6:, 5:], scene(4), np.rot90(base).copy(), scene(4)[12:], np.rot90(other, 2).copy()]
+    images = [pgm(x) for x in images]
+    links = brute_links(images)
+    assert len(links) > 5
+    one, two = block_of(images[:5]), block_of(images[5:], 5)
+    found = media.agreeing(one, one) + media.agreeing(one, two) + media.agreeing(two, two)
+    assert len(found) == len(set(found)) and set(found) == links
+
+
+def test_pairs_of_images_are_not_shuffled(spark, monkeypatch):
+    def refused(keys):
+        raise AssertionError("a row for each pair of images with a key")
+
+    monkeypatch.setattr(media, "shared_keys", refused)
+    images = [pgm(scene(3)), pgm(scene(3)[12:]), pgm(scene(4))]
+    got = {r.id: r.n_links for r in media.image_groups(spark.createDataFrame(list(enumerate(images)), "id long, data binary")).collect()}
+    assert got == {0: 1, 1: 1, 2: 0}
