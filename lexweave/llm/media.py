@@ -51,13 +51,14 @@ CELL, COLUMNS = 4, 32
 #: Images of a key in a block, about, and of a block of corners; pairs that a task holds before it sums them up.
 BLOCK, HELD_PAIRS = 1000, 2_000_000
 #: Corners of a block, about; pairs of corners whose votes are counted at once.
-BLOCK_CORNERS, HELD_VOTES = 250_000, 500_000
+BLOCK_CORNERS, HELD_VOTES = 250_000, 100_000
 _SCALES = 2 * LEVELS - 1
 
 _RANDOM = np.random.default_rng(7)
 _TESTS = np.clip(_RANDOM.normal(0, RADIUS / 2.2, (BITS, 4)), -RADIUS, RADIUS)
 _TURN = 2 * np.pi * np.arange(ANGLES) / ANGLES
 _COS, _SIN = np.cos(_TURN)[:, None], np.sin(_TURN)[:, None]
+_TURN_COS, _TURN_SIN = (np.array([f(2 * np.pi * t / ANGLES) for t in range(ANGLES)]) for f in (np.cos, np.sin))
 # Places of both pixels of every test, for every orientation.
 _AY, _AX = np.rint(_TESTS[:, 0] * _COS + _TESTS[:, 1] * _SIN).astype(int), np.rint(_TESTS[:, 1] * _COS - _TESTS[:, 0] * _SIN).astype(int)
 _BY, _BX = np.rint(_TESTS[:, 2] * _COS + _TESTS[:, 3] * _SIN).astype(int), np.rint(_TESTS[:, 3] * _COS - _TESTS[:, 2] * _SIN).astype(int)
@@ -194,13 +195,14 @@ def corners(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(y):
             # Beyond the edge there is grey of the image's mean, whatever the crop.
             padded = _framed(soft, _REACH + 1, float(soft.mean()))
-            y0, x0 = y + _REACH + 1, x + _REACH + 1
-            patch = padded[y0[:, None] + _DISC[:, 0], x0[:, None] + _DISC[:, 1]]
+            width = padded.shape[1]
+            flat, at = padded.ravel(), ((y + _REACH + 1) * width + x + _REACH + 1)[:, None]
+            patch = flat.take(at + (_DISC[:, 0] * width + _DISC[:, 1]))
             patch = patch - patch.mean(1, keepdims=True)
             angle = np.arctan2((patch * _DISC[:, 0]).sum(1), (patch * _DISC[:, 1]).sum(1))
             turn = np.rint(angle / (2 * np.pi) * ANGLES).astype(int) % ANGLES
-            first = padded[y0[:, None] + _AY[turn], x0[:, None] + _AX[turn]]
-            second = padded[y0[:, None] + _BY[turn], x0[:, None] + _BX[turn]]
+            first = flat.take(at + (_AY * width + _AX)[turn])
+            second = flat.take(at + (_BY * width + _BX)[turn])
             descriptors.append(np.packbits(first < second, axis=1))
             places.append(np.stack([x << level, y << level, np.full(len(x), level), turn], 1))
         height, width = level_image.shape[0] // 2 * 2, level_image.shape[1] // 2 * 2
@@ -403,9 +405,9 @@ def consensus(first: np.ndarray, second: np.ndarray, best: int = 0) -> int:
             near = (scale == s) & (np.minimum((turn - t) % ANGLES, (t - turn) % ANGLES) <= 1)
             if near.sum() <= best:
                 continue
-            a, k = 2 * np.pi * t / ANGLES, 2.0**s
-            sx = (x2 - k * (np.cos(a) * x1 - np.sin(a) * y1))[near]
-            sy = (y2 - k * (np.sin(a) * x1 + np.cos(a) * y1))[near]
+            cos, sin, k = _TURN_COS[t], _TURN_SIN[t], 2.0**s
+            sx = (x2 - k * (cos * x1 - sin * y1))[near]
+            sy = (y2 - k * (sin * x1 + cos * y1))[near]
             one, two = first[near], second[near]
             squares = Squares(np.zeros(len(sx), np.int64), sx, sy)
             for i in np.argsort(-squares.bounds, kind="stable"):
@@ -423,6 +425,7 @@ class Block:
     def __init__(self, ids: np.ndarray, twins: np.ndarray, sizes: np.ndarray, places: np.ndarray, keys: np.ndarray):
         self.ids, self.twins, self.sizes, self.places, self.keys = ids, twins, sizes, places, keys
         self.image = np.repeat(np.arange(len(ids)), sizes)
+        self.tables: dict[int, tuple[np.ndarray, ...]] = {}
 
     @classmethod
     def read(cls, row: dict) -> Block:
@@ -446,12 +449,16 @@ class Block:
         return self.part(first), self.part(~first)
 
     def runs(self, table: int) -> tuple[np.ndarray, ...]:
-        """Key, image, first place and number of the corners of each key and image, in order, and the corners."""
-        packed = np.sort((self.keys[:, table].astype(np.uint64) << np.uint64(32)) | np.arange(len(self.keys), dtype=np.uint64))
-        corner, key = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64), packed >> np.uint64(32)
-        image = self.image[corner]
-        begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (image[1:] != image[:-1])]))
-        return key[begin], image[begin], begin, np.diff(begin, append=len(key)), corner
+        """The distinct keys with the first and number of their images; of each key and image the image, first and number of corners; the corners."""
+        if table not in self.tables:
+            packed = np.sort((self.keys[:, table].astype(np.uint64) << np.uint64(32)) | np.arange(len(self.keys), dtype=np.uint64))
+            corner, key = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64), (packed >> np.uint64(32)).astype(np.uint32)
+            image = self.image[corner]
+            begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (image[1:] != image[:-1])]))
+            key = key[begin]
+            group = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            self.tables[table] = key[group], group, np.diff(group, append=len(key)), image[begin], begin, np.diff(begin, append=len(corner)), corner
+        return self.tables[table]
 
 
 def _each(m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -474,9 +481,11 @@ def agreeing(one: Block, two: Block) -> list[tuple[int, int]]:
     for table in range(TABLES):
         a = one.runs(table)
         b = a if same else two.runs(table)
-        (ka, ga, la), (kb, gb, lb) = (np.unique(x[0], return_index=True, return_counts=True) for x in (a, b))
-        _, x, y = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-        tables.append((a, b, ga[x], la[x], gb[y], lb[y]))
+        (ka, ga, la), (kb, gb, lb) = a[:3], b[:3]
+        y = np.minimum(np.searchsorted(kb, ka), len(kb) - 1)
+        x = np.flatnonzero(kb[y] == ka)
+        y = y[x]
+        tables.append((a[3:], b[3:], ga[x], la[x], gb[y], lb[y]))
         met += int((la[x] * lb[y]).sum())
     if max(met, len(one.ids) * len(two.ids)) > 2 * HELD_PAIRS and max(len(one.ids), len(two.ids)) > 1:
         del tables, a, b
@@ -489,33 +498,31 @@ def agreeing(one: Block, two: Block) -> list[tuple[int, int]]:
 
     # So many corners can't agree where fewer of either image have a shared key.
     size = len(one.ids) * len(two.ids)
-    counts, runs = np.zeros((2, size), np.int64), []
-    for a, b, ga, la, gb, lb in tables:
+    runs = []
+    for table, (a, b, ga, la, gb, lb) in enumerate(tables):
         row, i, j = _each(la, lb)
         i, j = i + ga[row], j + gb[row]
         if same:
-            kept = (a[1][i] < b[1][j]) | ((a[1][i] == b[1][j]) & one.twins[a[1][i]])
+            kept = (a[0][i] < b[0][j]) | ((a[0][i] == b[0][j]) & one.twins[a[0][i]])
             i, j = i[kept], j[kept]
-        code = a[1][i] * len(two.ids) + b[1][j]
-        counts += np.stack([np.bincount(code, a[3][i], size), np.bincount(code, b[3][j], size)]).astype(np.int64)
-        runs.append((code, i, j))
-    close = counts.min(0) >= INLIERS
-    pairs, number = np.flatnonzero(close), np.cumsum(close) - 1
-    votes, rows = np.zeros(len(pairs), np.int64), []
-    for (a, b, *_), (code, i, j) in zip(tables, runs, strict=True):
-        kept = close[code]
-        pair = number[code[kept]]
-        order = np.argsort(pair, kind="stable")
-        pair, i, j = pair[order], i[kept][order], j[kept][order]
-        votes += np.bincount(pair, a[3][i] * b[3][j], len(pairs)).astype(np.int64)
-        rows.append((pair, a[2][i], a[3][i], b[2][j], b[3][j], a[4], b[4]))
-    del tables, runs, counts, close
+        # Corners of all tables lie one after another.
+        runs.append((a[0][i] * len(two.ids) + b[0][j], a[1][i] + table * len(one.keys), a[2][i], b[1][j] + table * len(two.keys), b[2][j]))
+    first, second = (np.concatenate([x[side][3] for x in tables]) for side in (0, 1))
+    code, i, m, j, n = (np.concatenate(c) for c in zip(*runs, strict=True))
+    del tables, runs
+    for side in (0, 1):
+        kept = (np.bincount(code, (m, n)[side], size) >= INLIERS)[code]
+        code, i, m, j, n = (c[kept] for c in (code, i, m, j, n))
+    order = np.argsort(code, kind="stable")
+    pairs, pair = np.unique(code[order], return_inverse=True)
+    i, m, j, n = (c[order] for c in (i, m, j, n))
+    votes = np.bincount(pair, m * n, len(pairs)).astype(np.int64)
 
     ends, begin, found = np.cumsum(votes), 0, []
     while begin < len(pairs):
         end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + HELD_VOTES, "right")))
-        spans = [slice(*np.searchsorted(r[0], [begin, end])) for r in rows]
-        part = [(table, r[0][at] - begin, *(c[at] for c in r[1:5]), *r[5:]) for table, (r, at) in enumerate(zip(rows, spans, strict=True))]
+        at = slice(*np.searchsorted(pair, [begin, end]))
+        part = (pair[at] - begin, i[at], m[at], j[at], n[at], first, second)
         if votes[begin] <= HELD_VOTES:
             found += [begin + int(p) for p in agreed(*_votes(one, two, part), end - begin)]
         elif _agree_in_parts(one, two, part):
@@ -525,48 +532,47 @@ def agreeing(one: Block, two: Block) -> list[tuple[int, int]]:
     return [(min(x), max(x)) for x in ids]
 
 
-def _votes(one: Block, two: Block, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _votes(one: Block, two: Block, rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pair and both places of all corners that share a key and differ in few bits, each two corners in the first table of a shared key."""
-    out = []
-    for table, pair, i, m, j, n, first, second in rows:
-        row, x, y = _each(m, n)
-        x, y = first[i[row] + x], second[j[row] + y]
-        bits = one.keys[x] ^ two.keys[y]
-        kept = (np.bitwise_count(bits).sum(1) <= HAMMING) & bits[:, :table].all(1)
-        out.append((pair[row[kept]], one.places[x[kept]], two.places[y[kept]]))
-    pair, first, second = (np.concatenate(c) for c in zip(*out, strict=True))
-    return pair, first, second
-
-
-def _agree_in_parts(one: Block, two: Block, rows: list[tuple]) -> bool:
+    pair, i, m, j, n, first, second = rows
+    row, x, y = _each(m, n)
+    x, y = first[i[row] + x], second[j[row] + y]
+    bits = one.keys[x] ^ two.keys[y]
+    halves = np.bitwise_count(bits.view(np.uint64))
+    kept = (halves[:, 0] + halves[:, 1] <= HAMMING) & ((bits == 0).argmax(1) == (i // max(1, len(one.keys)))[row])
+    return pair[row[kept]], one.places[x[kept]], two.places[y[kept]]
+
+
+def _agree_in_parts(one: Block, two: Block, rows: tuple[np.ndarray, ...]) -> bool:
     """Whether two images agree whose repeated textures meet very often, by parts of ``HELD_VOTES``, about.
 
     A part may show it. Else the votes of each scale and turn are counted together.
     """
-    for begin, number, corner in ((2, 3, 6), (4, 5, 7)):
-        some = [r[corner][r[begin][k] : r[begin][k] + r[number][k]] for r in rows for k in range(len(r[1]))]
-        if len(np.unique(np.concatenate(some))) < INLIERS:
+    pair, *own, first, second = rows
+    for begin, number, corner in ((own[0], own[1], first), (own[2], own[3], second)):
+        row, at, _ = _each(number, np.ones(len(number), np.int64))
+        if len(np.unique(corner[begin[row] + at])) < INLIERS:
             return False
 
     def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for table, pair, i, m, j, n, first, second in rows:
-            step = np.maximum(1, HELD_VOTES // n)
-            row, piece, _ = _each(-(-m // step), np.ones(len(m), np.int64))
-            begin, step = piece * step[row], step[row]
-            i, m, j, n = i[row] + begin, np.minimum(m[row] - begin, step), j[row], n[row]
-            for some in np.split(np.arange(len(row)), np.flatnonzero(np.diff(np.cumsum(m * n) // HELD_VOTES)) + 1):
-                yield _votes(one, two, [(table, pair[row][some], i[some], m[some], j[some], n[some], first, second)])[1:]
-
-    kind = lambda first, second: (((second >> 5) & 7) - ((first >> 5) & 7) + LEVELS - 1) * ANGLES + ((second & 31) - (first & 31)) % ANGLES
+        i, m, j, n = own
+        step = np.maximum(1, HELD_VOTES // n)
+        row, piece, _ = _each(-(-m // step), np.ones(len(m), np.int64))
+        begin, step = piece * step[row], step[row]
+        i, m, j, n = i[row] + begin, np.minimum(m[row] - begin, step), j[row], n[row]
+        for at in np.split(np.arange(len(row)), np.flatnonzero(np.diff(np.cumsum(m * n) // HELD_VOTES)) + 1):
+            yield _votes(one, two, (pair[row][at], i[at], m[at], j[at], n[at], first, second))[1:]
+
+    kind = lambda here, there: (((there >> 5) & 7) - ((here >> 5) & 7) + LEVELS - 1) * ANGLES + ((there & 31) - (here & 31)) % ANGLES
     number = np.zeros(_SCALES * ANGLES, np.int64)
-    for first, second in parts():
-        if len(agreed(np.zeros(len(first), np.int64), first, second, 1)):
+    for here, there in parts():
+        if len(agreed(np.zeros(len(here), np.int64), here, there, 1)):
             return True
-        number += np.bincount(kind(first, second), minlength=len(number))
+        number += np.bincount(kind(here, there), minlength=len(number))
     number = number.reshape(-1, ANGLES)
     for scale, turn in np.argwhere((number + np.roll(number, 1, 1) + np.roll(number, -1, 1) >= INLIERS) & (number > 0)):
         near = [scale * ANGLES + (turn + step) % ANGLES for step in (-1, 0, 1)]
-        kept = [(first[at], second[at]) for first, second in parts() for at in [np.isin(kind(first, second), near)]]
+        kept = [(here[at], there[at]) for here, there in parts() for at in [np.isin(kind(here, there), near)]]
         if consensus(*(np.concatenate(c) for c in zip(*kept, strict=True)), INLIERS - 1) >= INLIERS:
             return True
     return False
@@ -579,19 +585,20 @@ def agreed(pair: np.ndarray, first: np.ndarray, second: np.ndarray, n: int) -> n
     the square around each cell. Where the fullest square doesn't decide,
     ``consensus`` does.
     """
-    x1, y1, l1, t1 = first >> 38, (first >> 8) & 0x3FFFFFFF, (first >> 5) & 7, first & 31
-    x2, y2, l2, t2 = second >> 38, (second >> 8) & 0x3FFFFFFF, (second >> 5) & 7, second & 31
-    turn, scale = (t2 - t1) % ANGLES, l2 - l1
+    turn, scale = ((second & 31) - (first & 31)) % ANGLES, ((second >> 5) & 7) - ((first >> 5) & 7)
     group = pair * _SCALES + scale + LEVELS - 1
     number = np.bincount(group * ANGLES + turn, minlength=n * _SCALES * ANGLES).reshape(-1, ANGLES)
     enough = (number + np.roll(number, 1, 1) + np.roll(number, -1, 1) >= INLIERS) & (number > 0)
+    some = (enough | np.roll(enough, 1, 1) | np.roll(enough, -1, 1))[group, turn]
+    pair, first, second, turn, scale, group = (c[some] for c in (pair, first, second, turn, scale, group))
+    x1, y1, x2, y2 = first >> 38, (first >> 8) & 0x3FFFFFFF, second >> 38, (second >> 8) & 0x3FFFFFFF
     parts = []
     for step in (-1, 0, 1):
         t = (turn + step) % ANGLES
         at = np.flatnonzero(enough[group, t])
-        a, k = 2 * np.pi * t[at] / ANGLES, 2.0 ** scale[at]
-        sx = x2[at] - k * (np.cos(a) * x1[at] - np.sin(a) * y1[at])
-        sy = y2[at] - k * (np.sin(a) * x1[at] + np.cos(a) * y1[at])
+        cos, sin, k = _TURN_COS[t[at]], _TURN_SIN[t[at]], 2.0 ** scale[at]
+        sx = x2[at] - k * (cos * x1[at] - sin * y1[at])
+        sy = y2[at] - k * (sin * x1[at] + cos * y1[at])
         parts.append((at, group[at] * ANGLES + t[at], sx, sy))
     at, kind, sx, sy = (np.concatenate(c) for c in zip(*parts, strict=True))
     if not len(at):
@@ -647,11 +654,14 @@ def image_groups(media: DataFrame, decode=decode_image) -> DataFrame:
     met = sides[0].hint("shuffle_replicate_nl").join(sides[1], F.col("block_a") <= F.col("block_b"))
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, one = None, None
         for batch in batches:
             for row in range(batch.num_rows):
-                values = {name: batch.column(k)[row].as_py() for k, name in enumerate(batch.schema.names)}
-                one = Block.read({k[:-2]: v for k, v in values.items() if k.endswith("_a")})
-                two = one if values["block_a"] == values["block_b"] else Block.read({k[:-2]: v for k, v in values.items() if k.endswith("_b")})
+                value = lambda name: batch.column(name)[row].as_py()  # noqa: B023, E731
+                read = lambda side: Block.read({c: value(f"{c}_{side}") for c in ("images", "sizes", "places", "keys", "skip", "twins")})  # noqa: B023, E731
+                if block != value("block_a"):
+                    block, one = value("block_a"), read("a")
+                two = one if block == value("block_b") else read("b")
                 found = agreeing(one, two)
                 give_back()
                 if found:
