@@ -1,7 +1,7 @@
 """Stateful operators that act when a time arrives, not only when a row does.
 
-Each key has its own state and its own timers, so that nothing is read again to
-see what time has changed. Time is the stream's watermark ("EventTime"), by which a
+Each key, or bucket of traces, has its own state and its own timers, so that nothing is
+read again to see what time has changed. Time is the stream's watermark ("EventTime"), by which a
 log that is run again gives equal rows, or the clock ("ProcessingTime"). State
 is in RocksDB, which the session must name while a stream starts; within ``timed`` it does.
 
@@ -15,10 +15,14 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import UTC, datetime
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Groups of traces with a state each; a batch writes those whole that it has rows of.
+TRACE_BUCKETS = 512
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -129,62 +133,93 @@ def currency_flips(versions: DataFrame, late: str = "0 seconds", mode: str = "Ev
 
 
 class _Traces(StatefulProcessor):
-    """The last sign of a trace, whether it is closed, and its timer, which each later sign moves; all in one value, as each call to a state costs."""
+    """The traces of a bucket: the last sign of each, or when it was closed, packed into one value; one timer, to the first that is due.
+
+    Each call to a state goes from Python to the JVM, so a bucket makes a few calls a
+    batch, however many traces it has. A timer that a later sign has overtaken
+    only sets the next one.
+    """
 
     def __init__(self, ttl_ms: int):
         self.ttl = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "ms long, closed boolean")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.held.get()
-        if held is not None and held[1]:
-            for _ in rows:
-                pass
+        self.held = handle.getValueState("held", "next long, traces binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh = None
+        for part in rows:
+            part = pd.DataFrame({"trace_id": part["trace_id"], "newest": part["ms"], "first_end": part["ms"].where(part["ends"]).astype("Int64")})
+            # A part may bring the same traces again: what is held is a row for each.
+            fresh = (part if fresh is None else pd.concat([fresh, part])).groupby("trace_id", as_index=False, sort=False).agg({"newest": "max", "first_end": "min"})
+        if fresh is None:
             return
-        first_end, last = None, held[0] if held is not None else None
-        newest = last
-        for row in rows:
-            newest = row.ms if newest is None else max(newest, row.ms)
-            if row.ends:
-                first_end = row.ms if first_end is None else min(first_end, row.ms)
-        if first_end is not None:
-            yield self.shut(key, "finished", first_end, last)
-        elif last is None or newest > last:
-            self.hold(newest, False, last)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        at, held = expiredTimerInfo.getExpiryTimeInMs(), self.held.get()
-        if held is None or held[0] + self.ttl != at:
+        timer, traces = self.read()
+        seen = fresh if traces is None else fresh.merge(traces, "left", "trace_id")
+        if traces is not None:
+            held = seen["ms"].astype("Int64")
+            seen = seen.assign(newest=seen["newest"].where(held.isna(), seen["newest"].clip(lower=held.fillna(0).astype("int64"))))
+            seen = seen[~seen["closed"].eq(True)]
+        closed = seen["first_end"].notna()
+        now = pd.DataFrame({"trace_id": seen["trace_id"], "ms": seen["first_end"].fillna(seen["newest"]).astype("int64"), "closed": closed.astype(bool)})
+        if len(now):
+            self.write(timer, now if traces is None else pd.concat([traces[~traces["trace_id"].isin(now["trace_id"])], now]))
+        if closed.any():
+            yield self.told(now[now["closed"]], "finished")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        now = max(timerValues.getCurrentWatermarkInMs(), at)
+        timer, traces = self.read()
+        if traces is None or timer != at:
             return
-        if held[1]:
-            # A second time to live has passed since the trace was closed: it is forgotten.
-            self.held.clear()
-        else:
-            yield self.shut(key, "interrupted", at, None)
-
-    def hold(self, ms: int, closed: bool, last: int | None) -> None:
-        if last is not None:
-            self.handle.deleteTimer(last + self.ttl)
-        self.held.update((ms, closed))
-        self.handle.registerTimer(ms + self.ttl)
+        ended = traces[(traces["ms"] + self.ttl <= now) & ~traces["closed"]]
+        ended = ended.assign(ms=ended["ms"] + self.ttl, closed=True)
+        traces = pd.concat([traces.drop(ended.index), ended])
+        # Where a second time to live has passed since a trace was closed, it is forgotten.
+        self.write(None, traces[~traces["closed"] | (traces["ms"] + self.ttl > now)])
+        if len(ended):
+            yield self.told(ended, "interrupted")
+
+    def read(self) -> tuple[int | None, pd.DataFrame | None]:
+        held = self.held.get()
+        if held is None:
+            return None, None
+        return held[0], pa.ipc.open_stream(bytes(held[1])).read_all().to_pandas()
 
-    def shut(self, key, state: str, at: int, last: int | None) -> Row:
-        self.hold(at, True, last)
-        return Row(trace_id=key[0], state=state, at=_instant(at))
+    def write(self, timer: int | None, traces: pd.DataFrame) -> None:
+        if not len(traces):
+            self.held.clear()
+            return
+        due = int(traces["ms"].min()) + self.ttl
+        if timer is None or due < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+            timer = due
+        table = pa.Table.from_pandas(traces, preserve_index=False)
+        with pa.BufferOutputStream() as sink:
+            with pa.ipc.new_stream(sink, table.schema) as writer:
+                writer.write_table(table)
+            self.held.update((timer, sink.getvalue().to_pybytes()))
+
+    def told(self, traces: pd.DataFrame, state: str) -> pd.DataFrame:
+        return pd.DataFrame({"trace_id": traces["trace_id"], "state": state, "at": pd.to_datetime(traces["ms"], unit="ms")}).reset_index(drop=True)
 
     def close(self) -> None:
         pass
 
 
-def trace_ends(events: DataFrame, ttl_seconds: int, late: str = "0 seconds") -> DataFrame:
+def trace_ends(events: DataFrame, ttl_seconds: int, late: str = "0 seconds", buckets: int = TRACE_BUCKETS) -> DataFrame:
     """(trace_id, state, at in UTC): each trace's end, told by an event or, without any sign for ``ttl_seconds``, by a timer.
 
     ``events`` is a stream of (trace_id, ends, ts). A closed trace takes no more
     events; it is forgotten after a further ``ttl_seconds``, so that state doesn't grow.
+    Traces are dealt to ``buckets`` with a state each, of which a task holds one at a time;
+    a checkpoint goes on with the number that it began with.
     """
     rows = events.withWatermark("ts", late).where("trace_id is not null and ts is not null").select("trace_id", F.coalesce("ends", F.lit(False)).alias("ends"), F.unix_millis("ts").alias("ms"), "ts")
     kind = dict(rows.dtypes)["trace_id"]
-    return rows.groupBy("trace_id").transformWithState(_Traces(ttl_seconds * 1000), f"trace_id {kind}, state string, at timestamp_ntz", "Append", "EventTime")
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("trace_id"), F.lit(buckets)))
+    return dealt.groupBy("bucket").transformWithStateInPandas(_Traces(ttl_seconds * 1000), f"trace_id {kind}, state string, at timestamp_ntz", "Append", "EventTime")
